@@ -15,7 +15,11 @@ from rainloom.plans.scalars import q6
 from rainloom.plans.views import sql, table
 
 R = S.rounded
-START, END = F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date")
+
+
+def record():
+    """First and last day of the event record."""
+    return F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date")
 
 
 @query("tmp01_reporting_day", sql("fx_halfhour", f"""
@@ -52,7 +56,7 @@ m as (select station_id, window_days, block, avg(obs) as obs, avg(pred) as pred,
 @query("tmp04_calendar_blocks", sql("fx_pair", f"""with {CAL}
 select station_id, window_days, block, {q6("obs","obs")}, {q6("pred","pred")}, n as n_days from m"""))
 def tmp04(spark, sf):
-    m = T.calendar_blocks(V.pair(spark, sf), ["station_id"], ["obs", "pred"], [1, 5, 10, 30], START, END)
+    m = T.calendar_blocks(V.pair(spark, sf), ["station_id"], ["obs", "pred"], [1, 5, 10, 30], *record())
     return m.select("station_id", F.col("window").alias("window_days"), "block", R("obs").alias("obs"), R("pred").alias("pred"), "n_days")
 
 
@@ -138,14 +142,14 @@ def tmp12(spark, sf):
 select station_id, count(distinct date) as n_obs, 30::bigint as n_days, {q6("count(distinct date)/30e0","coverage")}, count(distinct date)/30e0>=0.75e0 as kept
 from fx_obs where precip_mm is not null and date between date '2024-01-01' and date '2024-01-30' group by 1"""))
 def tmp13(spark, sf):
-    return T.coverage(V.obs(spark, sf), START, END, 0.75).withColumn("coverage", R("coverage"))
+    return T.coverage(V.obs(spark, sf), *record(), 0.75).withColumn("coverage", R("coverage"))
 
 
 @query("tmp13_on_spine", sql("fx_obs", f"""
 with d as (select station_id, d.d as date from (select distinct station_id from fx_obs), (select cast(unnest(generate_series(date '2024-01-01', date '2024-01-30', interval 1 day)) as date) as d) d)
 select d.station_id, d.date, {q6("o.precip_mm","precip_mm")} from d left join fx_obs o on o.station_id=d.station_id and o.date=d.date"""))
 def tmp13b(spark, sf):
-    return T.on_spine(V.obs(spark, sf), START, END).withColumn("precip_mm", R("precip_mm"))
+    return T.on_spine(V.obs(spark, sf), *record()).withColumn("precip_mm", R("precip_mm"))
 
 
 @query("tmp14_stuck_runs", """
