@@ -39,6 +39,17 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / F.nullif(den, F.lit(0.0)))
 
 
+def clip(c, low=None, high=None) -> Column:
+    """Bounds a value and keeps NULL; greatest and least would drop the NULL."""
+    c = col(c)
+    out = c
+    if high is not None:
+        out = F.when(c > high, F.lit(float(high))).otherwise(out)
+    if low is not None:
+        out = F.when(c < low, F.lit(float(low))).otherwise(out)
+    return out
+
+
 # ---- cleaning -------------------------------------------------------------
 
 def token_value(c: str | Column) -> Column:
@@ -77,7 +88,7 @@ def station_key(c: str | Column) -> Column:
 
 def stretch(p: Column, kind: str, eps: float = 0.1) -> Column:
     """Variance-stabilising function of a non-negative amount."""
-    p = F.when(p < 0, F.lit(0.0)).otherwise(p)
+    p = clip(p, 0)
     if kind == "log1p":
         return F.log1p(p / eps)
     if kind == "sqrt":
@@ -158,7 +169,7 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
     half_lat = F.sin((p2 - p1) / 2)
     half_lon = F.sin((F.radians(col(lon2)) - F.radians(col(lon1))) / 2)
     a = half_lat * half_lat + F.cos(p1) * F.cos(p2) * half_lon * half_lon
-    return F.asin(F.sqrt(F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0)))) * (2.0 * radius)
+    return F.asin(F.sqrt(clip(a, 0, 1))) * (2.0 * radius)
 
 
 def tangent_km(lat1, lon1, lat2, lon2) -> Column:
@@ -180,8 +191,7 @@ def gaspari_cohn(distance, support) -> Column:
 
     near = poly(1, 0, -5 / 3, 5 / 8, 1 / 2, -1 / 4)
     far = poly(4, -5, 5 / 3, 5 / 8, -1 / 2, 1 / 12) - F.lit(2.0) / (r * 3.0)
-    w = F.when(r <= 1, near).when(r < 2, far).otherwise(F.lit(0.0))
-    return F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0))
+    return clip(F.when(r <= 1, near).when(r < 2, far).when(r >= 2, F.lit(0.0)), 0, 1)
 
 
 def cell_area_m2(lat_south, lat_north, dlon_deg) -> Column:
@@ -244,14 +254,13 @@ def confirmatory_year(date) -> Column:
 def secant_variance(p, err, rep=0.0, floor=1e-4, kind="log1p", eps=0.1, mu=0.0, sd=1.0) -> Column:
     """Physical error of an amount restated as a variance in transformed units."""
     up = rain_forward(col(p) + col(err), kind, eps, mu, sd)
-    down = rain_forward(F.greatest(col(p) - col(err), F.lit(0.0)), kind, eps, mu, sd)
-    s = F.greatest(F.abs(up - down) * 0.5, F.lit(floor))
+    down = rain_forward(clip(col(p) - col(err), 0), kind, eps, mu, sd)
+    s = clip(F.abs(up - down) * 0.5, floor)
     return s * s + rep * rep
 
 
 def intensity_variance(p, floor=0.30, slope=0.15, largest=1.5) -> Column:
-    s = F.log1p(F.greatest(col(p), F.lit(0.0))) * slope + floor
-    s = F.least(F.greatest(s, F.lit(floor)), F.lit(largest))
+    s = clip(F.log1p(clip(p, 0)) * slope + floor, floor, largest)
     return s * s
 
 

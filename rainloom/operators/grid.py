@@ -83,7 +83,7 @@ def require_covered(weights: DataFrame) -> DataFrame:
 
 def conservative_regrid(field: DataFrame, wy: DataFrame, wx: DataFrame, value="value", keys=("day",)) -> DataFrame:
     """Area remap of rain: weight tables are axis-sized, so one aggregation shuffles."""
-    v = F.greatest(F.col(value), F.lit(0.0))
+    v = S.clip(value, 0)
     j = field.join(wy.select("iy", "ty", F.col("weight").alias("_wy")), "iy").join(
         wx.select("ix", "tx", F.col("weight").alias("_wx")), "ix")
     return j.groupBy(*keys, "ty", "tx").agg(F.sum(v * F.col("_wy") * F.col("_wx")).alias(value))
@@ -145,7 +145,7 @@ def area_block_mean(df: DataFrame, factor: int, area: Column, threshold: float,
     ok = F.col(value).isNotNull()
     g = d.groupBy(*keys, "by", "bx").agg(
         F.sum(F.when(ok, F.col("_a") * F.col(value))).alias("_n"), F.sum(F.when(ok, F.col("_a"))).alias("_v"),
-        F.sum(F.col("_a") if total_area is None else total_area).alias("_t"))
+        (F.sum("_a") if total_area is None else total_area).alias("_t"))
     frac = F.coalesce(F.col("_v"), F.lit(0.0)) / F.col("_t")
     kept = (frac >= threshold) & (frac > 0)
     return g.select(*keys, "by", "bx", F.when(kept, F.col("_n") / F.nullif(F.col("_v"), F.lit(0.0))).otherwise(F.lit(0.0)).alias(value),

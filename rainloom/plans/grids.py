@@ -72,7 +72,7 @@ k as (select station_id, cast(floor(y) as int)+dy as iy, cast(floor(x) as int)+d
 @query("grd03_coverage_interpolation", sql("fx_grid fx_station", f"""with {CORNERS},
 s as (select station_id, day, sum(w*value) as s, sum(w) as w from fx_grid g join k on k.iy=g.iy and k.ix=g.ix where value between 10 and 40 group by 1,2),
 sp as (select station_id, day from fx_station, (select distinct day from fx_grid))
-select sp.station_id, sp.day, {q6("case when coalesce(w,0)>1e-6 then s/w else 0e0 end","value")}, {q6("coalesce(least(w,1),0)","coverage")} from sp left join s on s.station_id=sp.station_id and s.day=sp.day"""))
+select sp.station_id, sp.day, {q6("case when coalesce(w,0)>1e-6 then s/w else 0e0 end","value")}, {q6("least(coalesce(w,0),1)","coverage")} from sp left join s on s.station_id=sp.station_id and s.day=sp.day"""))
 def grd03(spark, sf):
     g = V.grid(spark, sf)
     gaps = g.withColumn("value", F.when(F.col("value").between(10, 40), F.col("value")))
@@ -95,7 +95,7 @@ def grd05(spark, sf):
     return report(GR.bin_average(V.grid(spark, sf), G, Lattice(86.1, 20.1, 5, 5, 1.5)))
 
 
-BLK = "cast(floor(iy/4) as int) as by, cast(floor(ix/4) as int) as bx"
+BLK = 'cast(floor(iy/4) as int) as "by", cast(floor(ix/4) as int) as bx'
 
 
 @query("grd06_block_mean", sql("fx_grid", f"""
@@ -129,7 +129,7 @@ def grd08(spark, sf):
     return report(GR.area_block_mean(g, 4, area(), 0.8))
 
 
-@query("grd09_upsample", sql("fx_grid", f"with b as (select day, {BLK}, avg(value) as c from fx_grid group by 1,2,3) select g.day, iy, ix, {q6('c','value')} from fx_grid g join b on b.day=g.day and b.by=cast(floor(iy/4) as int) and b.bx=cast(floor(ix/4) as int)"))
+@query("grd09_upsample", sql("fx_grid", f"with b as (select day, {BLK}, avg(value) as c from fx_grid group by 1,2,3) select g.day, iy, ix, {q6('c','value')} from fx_grid g join b on b.day=g.day and b."by"=cast(floor(iy/4) as int) and b.bx=cast(floor(ix/4) as int)"))
 def grd09(spark, sf):
     coarse = GR.block_mean(V.grid(spark, sf), 4).select("day", "by", "bx", "value")
     cells = V.grid(spark, sf).select("day", "iy", "ix")
@@ -169,7 +169,7 @@ def grd13(spark, sf):
 with p as (select i*0.1e0*111.32e0 as y, j*0.1e0*111.32e0*cos(radians(24e0)) as x from (select unnest(range(4)) as i), (select unnest(range(4)) as j)),
 f as (select avg(exp(-sqrt(pow(a.y-b.y,2)+pow(a.x-b.x,2))/40e0)) as f from p a, p b),
 b as (select day, {BLK}, sqrt(avg(ref*ref)) as r, count(ref) as n from fx_grid group by 1,2,3)
-select day, by, bx, n as n_valid, {q6("r","rms")}, {q6("r*sqrt(f)","sigma")}, {q6("r/sqrt(n)","sigma_independent")} from b, f"""))
+select day, "by", bx, n as n_valid, {q6("r","rms")}, {q6("r*sqrt(f)","sigma")}, {q6("r/sqrt(n)","sigma_independent")} from b, f"""))
 def grd14(spark, sf):
     f = GR.geometric_factor(4, 0.1, 24.0, 40.0)
     return report(GR.block_error(V.grid(spark, sf), 4, f, "ref"))
@@ -190,19 +190,19 @@ def grd16(spark, sf):
 
 def lift_sql(name, src, col):
     """Bilinear lift of a 4 x 4 block table (edges repeated) onto the cells."""
-    return f"""{name} as (select s.day, c.iy, c.ix, sum(c.w*coalesce(s.{col},0)) as l from lw c join {src} s on s.by=c.by and s.bx=c.bx group by 1,2,3)"""
+    return f"""{name} as (select s.day, c.iy, c.ix, sum(c.w*coalesce(s.{col},0)) as l from lw c join {src} s on s."by"=c."by" and s.bx=c.bx group by 1,2,3)"""
 
 
 SMOOTH = f"""cl as (select distinct iy, ix from fx_grid), ps as (select iy, ix, greatest((iy+0.5e0)/4-0.5e0,0) as py, greatest((ix+0.5e0)/4-0.5e0,0) as px from cl),
-lw as (select iy, ix, cast(least(floor(py)+dy,3) as int) as by, cast(least(floor(px)+dx,3) as int) as bx, (case when dy=1 then py-floor(py) else 1-(py-floor(py)) end)*(case when dx=1 then px-floor(px) else 1-(px-floor(px)) end) as w
+lw as (select iy, ix, cast(least(floor(py)+dy,3) as int) as "by", cast(least(floor(px)+dx,3) as int) as bx, (case when dy=1 then py-floor(py) else 1-(py-floor(py)) end)*(case when dx=1 then px-floor(px) else 1-(px-floor(px)) end) as w
  from ps, (values (0,0),(0,1),(1,0),(1,1)) d(dy,dx)),
 t as (select day, {BLK}, sum(value*{AREA})/sum({AREA}) as t from fx_grid group by 1,2,3),
-{lift_sql("b0","t","t")}, m0 as (select day, {BLK}, sum(l*{AREA})/sum({AREA}) as m from b0 group by 1,2,3), r0 as (select t.*, least(greatest(t/m,0),1000) as r from t join m0 using(day,by,bx)),
+{lift_sql("b0","t","t")}, m0 as (select day, {BLK}, sum(l*{AREA})/sum({AREA}) as m from b0 group by 1,2,3), r0 as (select t.*, least(greatest(t/m,0),1000) as r from t join m0 using(day,"by",bx)),
 {lift_sql("u0","r0","r")}, b1 as (select b0.day, b0.iy, b0.ix, b0.l*u0.l as l from b0 join u0 on u0.day=b0.day and u0.iy=b0.iy and u0.ix=b0.ix),
-m1 as (select day, {BLK}, sum(l*{AREA})/sum({AREA}) as m from b1 group by 1,2,3), r1 as (select t.*, least(greatest(t/m,0),1000) as r from t join m1 using(day,by,bx)),
+m1 as (select day, {BLK}, sum(l*{AREA})/sum({AREA}) as m from b1 group by 1,2,3), r1 as (select t.*, least(greatest(t/m,0),1000) as r from t join m1 using(day,"by",bx)),
 {lift_sql("u1","r1","r")}, b2 as (select b1.day, b1.iy, b1.ix, b1.l*u1.l as l from b1 join u1 on u1.day=b1.day and u1.iy=b1.iy and u1.ix=b1.ix),
 m2 as (select day, {BLK}, sum(l*{AREA})/sum({AREA}) as m from b2 group by 1,2,3),
-sm as (select b2.day, b2.iy, b2.ix, l*t/m as v, t.t from b2 join m2 on m2.day=b2.day and m2.by=floor(b2.iy/4) and m2.bx=floor(b2.ix/4) join t on t.day=b2.day and t.by=floor(b2.iy/4) and t.bx=floor(b2.ix/4))"""
+sm as (select b2.day, b2.iy, b2.ix, l*t/m as v, t.t from b2 join m2 on m2.day=b2.day and m2."by"=floor(b2.iy/4) and m2.bx=floor(b2.ix/4) join t on t.day=b2.day and t."by"=floor(b2.iy/4) and t.bx=floor(b2.ix/4))"""
 
 
 def smooth(spark, sf):
@@ -241,7 +241,7 @@ def grd19(spark, sf):
 
 @query("grd20_archive_coarsening", sql("fx_grid", f"""
 with l as (select day, iy, ix, 'target' as channel, value as v from fx_grid union all select day, iy, ix, 'cond', ref from fx_grid)
-select channel, day, cast(floor(iy/2) as int) as by, cast(floor(ix/2) as int) as bx, {q6(f"case when sum({AREA})/any_value(t)>=0.5e0 then sum(v*{AREA})/sum({AREA}) else 0e0 end","value")}, sum({AREA})/any_value(t)>=0.5e0 as retained
+select channel, day, cast(floor(iy/2) as int) as "by", cast(floor(ix/2) as int) as bx, {q6(f"case when sum({AREA})/any_value(t)>=0.5e0 then sum(v*{AREA})/sum({AREA}) else 0e0 end","value")}, sum({AREA})/any_value(t)>=0.5e0 as retained
 from (select l.*, 2*cos(radians(20e0+(floor(iy/2)*2+0.5e0)*0.5e0))+2*cos(radians(20e0+(floor(iy/2)*2+1.5e0)*0.5e0)) as t from l) group by 1,2,3,4"""))
 def grd20(spark, sf):
     long = V.grid(spark, sf).select("day", "iy", "ix", F.col("value").alias("target"), F.col("ref").alias("cond")).unpivot(

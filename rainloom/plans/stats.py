@@ -222,13 +222,13 @@ kn as (select holdout, stratum, iy, ix, n, cut,
 
 
 @query("agg19_quantile_map_fit", sql("fx_grid", f"""with {QMAP}
-select holdout, stratum, iy, ix, cast(n as int) as n, {q6("cut","cut")}, {q6("sk[1]","s_low")}, {q6("sk[len(sk)]","s_top")}, {q6("tk[1]","t_low")}, {q6("tk[len(tk)]","t_top")}, {q6("list_sum(sk)","s_sum")}, {q6("list_sum(tk)","t_sum")} from kn"""))
+select cast(holdout as int) as holdout, stratum, iy, ix, cast(n as int) as n, {q6("cut","cut")}, {q6("sk[1]","s_low")}, {q6("sk[len(sk)]","s_top")}, {q6("tk[1]","t_low")}, {q6("tk[len(tk)]","t_top")}, round(list_sum(sk),3)+0e0 as s_sum, round(list_sum(tk),3)+0e0 as t_sum from kn"""))
 def agg19(spark, sf):
     _, pooled = _samples(spark, sf)
     m = B.fit_quantile_map(pooled, "ref", "value", n_knots=11, wet_mm=20.0, min_samples=20)
     s, t = F.col("source_knots"), F.col("target_knots")
     return m.select("holdout", "stratum", "iy", "ix", "n", R("cut").alias("cut"), R(s[0]).alias("s_low"), R(F.element_at(s, -1)).alias("s_top"), R(t[0]).alias("t_low"),
-                    R(F.element_at(t, -1)).alias("t_top"), R(EN.total(s)).alias("s_sum"), R(EN.total(t)).alias("t_sum"))
+                    R(F.element_at(t, -1)).alias("t_top"), R(EN.total(s), 3).alias("s_sum"), R(EN.total(t), 3).alias("t_sum"))
 
 
 APPLY = f"""{QMAP}, ap as (select g0.*, cut, sk, tk, cast(len([x for x in sk if x<=ref]) as int) as k from g0 join kn on kn.holdout=g0.yr and kn.stratum=g0.stratum and kn.iy=g0.iy and kn.ix=g0.ix),
