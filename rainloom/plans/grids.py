@@ -129,7 +129,7 @@ def grd08(spark, sf):
     return report(GR.area_block_mean(g, 4, area(), 0.8))
 
 
-@query("grd09_upsample", sql("fx_grid", f"with b as (select day, {BLK}, avg(value) as c from fx_grid group by 1,2,3) select g.day, iy, ix, {q6('c','value')} from fx_grid g join b on b.day=g.day and b."by"=cast(floor(iy/4) as int) and b.bx=cast(floor(ix/4) as int)"))
+@query("grd09_upsample", sql("fx_grid", f"""with b as (select day, {BLK}, avg(value) as c from fx_grid group by 1,2,3) select g.day, iy, ix, {q6('c','value')} from fx_grid g join b on b.day=g.day and b."by"=cast(floor(iy/4) as int) and b.bx=cast(floor(ix/4) as int)"""))
 def grd09(spark, sf):
     coarse = GR.block_mean(V.grid(spark, sf), 4).select("day", "by", "bx", "value")
     cells = V.grid(spark, sf).select("day", "iy", "ix")
