@@ -30,8 +30,9 @@ def finite(c: str | Column) -> Column:
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:
-    """Report value; adding zero removes the sign of a negative zero."""
-    return F.round(col(c), digits) + F.lit(0.0)
+    """Report value: half-up on the double itself, never a negative zero."""
+    scale = float(10 ** digits)
+    return F.floor(col(c) * scale + 0.5) / scale
 
 
 def ratio(num: Column, den: Column) -> Column:

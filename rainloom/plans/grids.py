@@ -95,17 +95,17 @@ def grd05(spark, sf):
     return report(GR.bin_average(V.grid(spark, sf), G, Lattice(86.1, 20.1, 5, 5, 1.5)))
 
 
+BLK3 = 'cast(floor(iy/3) as int) as "by", cast(floor(ix/3) as int) as bx'
 BLK = 'cast(floor(iy/4) as int) as "by", cast(floor(ix/4) as int) as bx'
 
 
 @query("grd06_block_mean", sql("fx_grid", f"""
-select day, {BLK}, {q6("avg(value)","value")}, {q6("min(ref)","lowest")}, {q6("sqrt(avg(ref*ref))","rms")}, count(value) as n_valid from fx_grid group by 1,2,3"""))
+select day, {BLK3}, {q6("avg(value)","value")}, {q6("min(ref)","lowest")}, {q6("sqrt(avg(ref*ref))","rms")}, count(value) as n_valid from fx_grid group by 1,2,3"""))
 def grd06(spark, sf):
     g = V.grid(spark, sf)
-    d = GR.with_blocks(g, 4).groupBy("day", "by", "bx")
-    m = GR.block_mean(g, 4)
-    lo = GR.block_mean(g, 4, ("ref",), how="min").select("day", "by", "bx", F.col("ref").alias("lowest"))
-    rms = GR.block_mean(g, 4, ("ref",), how="rms").select("day", "by", "bx", F.col("ref").alias("rms"))
+    m = GR.block_mean(g, 3)
+    lo = GR.block_mean(g, 3, ("ref",), how="min").select("day", "by", "bx", F.col("ref").alias("lowest"))
+    rms = GR.block_mean(g, 3, ("ref",), how="rms").select("day", "by", "bx", F.col("ref").alias("rms"))
     return report(m.join(lo, ["day", "by", "bx"]).join(rms, ["day", "by", "bx"]).select("day", "by", "bx", "value", "lowest", "rms", "n_valid"))
 
 
@@ -119,7 +119,7 @@ def grd07(spark, sf):
     return report(a.join(b, ["day", "by", "bx"]).select("day", "by", "bx", "full_only", "half", "n_valid"))
 
 
-ABM = f"""select day, {BLK}, case when coalesce(sum(case when v is not null then {AREA} end),0)/sum({AREA})>=0.8e0 then round(sum(v*{AREA})/sum(case when v is not null then {AREA} end),6)+0e0 else 0e0 end as value,
+ABM = f"""select day, {BLK}, case when coalesce(sum(case when v is not null then {AREA} end),0)/sum({AREA})>=0.8e0 then floor((sum(v*{AREA})/sum(case when v is not null then {AREA} end))*1e6+0.5e0)/1e6 else 0e0 end as value,
  coalesce(sum(case when v is not null then {AREA} end),0)/sum({AREA})>=0.8e0 as retained, {q6(f"coalesce(sum(case when v is not null then {AREA} end),0)/sum({AREA})","valid_fraction")}"""
 
 
@@ -129,19 +129,20 @@ def grd08(spark, sf):
     return report(GR.area_block_mean(g, 4, area(), 0.8))
 
 
-@query("grd09_upsample", sql("fx_grid", f"""with b as (select day, {BLK}, avg(value) as c from fx_grid group by 1,2,3) select g.day, iy, ix, {q6('c','value')} from fx_grid g join b on b.day=g.day and b."by"=cast(floor(iy/4) as int) and b.bx=cast(floor(ix/4) as int)"""))
+@query("grd09_upsample", sql("fx_grid", f"""with b as (select day, {BLK3}, avg(value) as c from fx_grid group by 1,2,3) select g.day, iy, ix, {q6('c','value')} from fx_grid g join b on b.day=g.day and b."by"=cast(floor(iy/3) as int) and b.bx=cast(floor(ix/3) as int)"""))
 def grd09(spark, sf):
-    coarse = GR.block_mean(V.grid(spark, sf), 4).select("day", "by", "bx", "value")
+    coarse = GR.block_mean(V.grid(spark, sf), 3).select("day", "by", "bx", "value")
     cells = V.grid(spark, sf).select("day", "iy", "ix")
-    return GR.upsample(coarse, cells, 4).select("day", "iy", "ix", R("value").alias("value"))
+    return GR.upsample(coarse, cells, 3).select("day", "iy", "ix", R("value").alias("value"))
 
 
+W3 = "over (partition by day, floor(iy/3), floor(ix/3))"
 W4 = "over (partition by day, floor(iy/4), floor(ix/4))"
 
 
-@query("grd10_scale_decompose", sql("fx_grid", f"select day, iy, ix, {q6(f'avg(value) {W4}','coarse')}, {q6(f'value-avg(value) {W4}','residual')} from fx_grid"))
+@query("grd10_scale_decompose", sql("fx_grid", f"select day, iy, ix, {q6(f'avg(value) {W3}','coarse')}, {q6(f'value-avg(value) {W3}','residual')} from fx_grid"))
 def grd10(spark, sf):
-    return GR.scale_decompose(V.grid(spark, sf), 4).select("day", "iy", "ix", R("coarse").alias("coarse"), R("residual").alias("residual"))
+    return GR.scale_decompose(V.grid(spark, sf), 3).select("day", "iy", "ix", R("coarse").alias("coarse"), R("residual").alias("residual"))
 
 
 @query("grd11_relative_anomaly", sql("fx_grid", f"select day, iy, ix, {q6(f'value/(sum(value*{AREA}) {W4}/sum({AREA}) {W4})-1','relative')} from fx_grid"))
@@ -211,7 +212,7 @@ def smooth(spark, sf):
     return GR.smooth_upsample(coarse, V.grid(spark, sf), 4, area(), 4, 4)
 
 
-@query("grd17_smooth_upsample", sql("fx_grid", f"with {SMOOTH} select day, iy, ix, round(v,5)+0e0 as value from sm"))
+@query("grd17_smooth_upsample", sql("fx_grid", f"with {SMOOTH} select day, iy, ix, floor((v)*1e5+0.5e0)/1e5 as value from sm"))
 def grd17(spark, sf):
     return smooth(spark, sf).select("day", "iy", "ix", R("value", 5).alias("value"))
 

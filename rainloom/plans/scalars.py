@@ -17,7 +17,7 @@ R = S.rounded
 
 
 def q6(e: str, name: str) -> str:
-    return f"round(cast({e} as double),6)+0e0 as {name}"
+    return f"floor((cast({e} as double))*1e6+0.5e0)/1e6 as {name}"
 
 
 @query("scl01_rain_transform", sql("fx_obs", f"""
@@ -127,8 +127,8 @@ def scl08(spark, sf):
 with a as (select distinct iy, 20e0+(iy+0.5e0)*0.5e0 as lat from fx_grid),
 e as (select iy, lat, coalesce((lag(lat) over (order by iy)+lat)/2, lat-(lead(lat) over (order by iy)-lat)/2) as lo,
  coalesce((lead(lat) over (order by iy)+lat)/2, lat+(lat-lag(lat) over (order by iy))/2) as hi from a)
-select iy, round(lo,6)+0e0 as lat_south, round(hi,6)+0e0 as lat_north,
- round(pow(6371000e0,2)*(sin(radians(hi))-sin(radians(lo)))*radians(0.5e0)/1e6,6)+0e0 as area_km2 from e"""))
+select iy, floor((lo)*1e6+0.5e0)/1e6 as lat_south, floor((hi)*1e6+0.5e0)/1e6 as lat_north,
+ floor((pow(6371000e0,2)*(sin(radians(hi))-sin(radians(lo)))*radians(0.5e0)/1e6)*1e6+0.5e0)/1e6 as area_km2 from e"""))
 def scl09(spark, sf):
     axis = V.grid(spark, sf).select("iy").distinct().withColumn("lat", G.lat())
     e = GR.axis_edges(axis, "lat")
@@ -155,7 +155,7 @@ def scl10(spark, sf):
 @query("scl11_orientation", sql("", """
 with p as (select event_id, case when event_id%2=0 then 88.05e0+(event_id%40)*0.1e0 else 88.05e0+(event_id%40)*0.1e0+(event_id%5)*0.001e0-360e0+720e0*(event_id%3//2) end as lon from events),
 w as (select event_id, case when lon>180 then lon-360e0 else lon end as lon from p)
-select event_id, round(lon,6)+0e0 as lon, cast(floor((lon-88.05e0)/0.1e0+0.5e0) as int) as ix,
+select event_id, floor((lon)*1e6+0.5e0)/1e6 as lon, cast(floor((lon-88.05e0)/0.1e0+0.5e0) as int) as ix,
  abs(lon-(88.05e0+floor((lon-88.05e0)/0.1e0+0.5e0)*0.1e0))<=2.0001e-3 as matched from w"""))
 def scl11(spark, sf):
     k = F.col("event_id")

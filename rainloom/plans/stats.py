@@ -127,7 +127,7 @@ sc as (select k, r, nugget, sill, sum(w*pow(g-(nugget+sill*(1-exp(-h/r))),2)) as
 ft as (select r, nugget, sill, score from sc order by score, k limit 1)"""
 
 
-@query("agg13_variogram_fit", sql("fx_station fx_obs", f"with {VARIO}, {VFIT} select round(nugget,3)+0e0 as nugget, round(sill,3)+0e0 as sill, round(sqrt(score),3)+0e0 as fit_rmse, (select count(*) from u)::int as n_bins from ft where (select count(*) from u)>=3"))
+@query("agg13_variogram_fit", sql("fx_station fx_obs", f"with {VARIO}, {VFIT} select floor((nugget)*1e3+0.5e0)/1e3 as nugget, floor((sill)*1e3+0.5e0)/1e3 as sill, floor((sqrt(score))*1e3+0.5e0)/1e3 as fit_rmse, (select count(*) from u)::int as n_bins from ft where (select count(*) from u)>=3"))
 def agg13(spark, sf):
     f = ST.fit_variogram(ST.empirical_variogram(V.obs(spark, sf), V.station(spark, sf), EDGES))
     return f.select(R("nugget", 3).alias("nugget"), R("sill", 3).alias("sill"), R("fit_rmse", 3).alias("fit_rmse"), "n_bins")
@@ -136,7 +136,7 @@ def agg13(spark, sf):
 @query("agg14_block_dispersion", sql("fx_station fx_obs", f"""with {VARIO}, {VFIT},
 pt as (select i*12+j as id, (i+0.5e0)/12*5 as x, (j+0.5e0)/12*5 as y from (select unnest(range(12)) as i), (select unnest(range(12)) as j)),
 pd as (select sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) as h from pt a join pt b on a.id<b.id)
-select round(avg(nugget+sill*(1-exp(-h/greatest(r,1e-9)))),3)+0e0 as block_variance, round(sqrt(avg(nugget+sill*(1-exp(-h/greatest(r,1e-9))))),3)+0e0 as rep_sigma from ft, pd having (select count(*) from u)>=3"""))
+select floor((avg(nugget+sill*(1-exp(-h/greatest(r,1e-9)))))*1e3+0.5e0)/1e3 as block_variance, floor((sqrt(avg(nugget+sill*(1-exp(-h/greatest(r,1e-9))))))*1e3+0.5e0)/1e3 as rep_sigma from ft, pd having (select count(*) from u)>=3"""))
 def agg14(spark, sf):
     f = ST.fit_variogram(ST.empirical_variogram(V.obs(spark, sf), V.station(spark, sf), EDGES))
     return ST.block_dispersion(f, 5.0).select(R("block_variance", 3).alias("block_variance"), R("rep_sigma", 3).alias("rep_sigma"))
@@ -151,8 +151,8 @@ def window_scores(spark, sf):
 @query("agg15_aggregation_decomposition", sql("fx_pair", f"""with {CAL},
 s as (select window_days as w, avg(pow(pred-obs,2)) as mse from m group by 1 having count(*)>10),
 f as (select count(*) as n, regr_intercept(mse,1e0/w) as a0, regr_slope(mse,1e0/w) as b from s), g as (select *, greatest(a0,0) as a from f)
-select any_value(n) as n_windows, round(any_value(a),3)+0e0 as systematic_mse, round(any_value(b),3)+0e0 as random_mse, round(sqrt(any_value(a)),3)+0e0 as systematic_rmse, round(sqrt(greatest(any_value(b),0)),3)+0e0 as random_rmse_daily,
- round(1-sum(pow(mse-a-b/w,2))/sum(pow(mse-(select avg(mse) from s),2)),5)+0e0 as r_squared, any_value(a0<0) as intercept_was_negative, any_value(b<0) as error_grows, any_value(a0>=0 and b>=0) as model_is_valid from s, g having count(*)>=2"""))
+select any_value(n) as n_windows, floor((any_value(a))*1e3+0.5e0)/1e3 as systematic_mse, floor((any_value(b))*1e3+0.5e0)/1e3 as random_mse, floor((sqrt(any_value(a)))*1e3+0.5e0)/1e3 as systematic_rmse, floor((sqrt(greatest(any_value(b),0)))*1e3+0.5e0)/1e3 as random_rmse_daily,
+ floor((1-sum(pow(mse-a-b/w,2))/sum(pow(mse-(select avg(mse) from s),2)))*1e5+0.5e0)/1e5 as r_squared, any_value(a0<0) as intercept_was_negative, any_value(b<0) as error_grows, any_value(a0>=0 and b>=0) as model_is_valid from s, g having count(*)>=2"""))
 def agg15(spark, sf):
     f = ST.aggregation_decomposition(window_scores(spark, sf))
     return f.select("n_windows", *[R(c, 3).alias(c) for c in ("systematic_mse", "random_mse", "systematic_rmse", "random_rmse_daily")],
@@ -222,7 +222,7 @@ kn as (select holdout, stratum, iy, ix, n, cut,
 
 
 @query("agg19_quantile_map_fit", sql("fx_grid", f"""with {QMAP}
-select cast(holdout as int) as holdout, stratum, iy, ix, cast(n as int) as n, {q6("cut","cut")}, {q6("sk[1]","s_low")}, {q6("sk[len(sk)]","s_top")}, {q6("tk[1]","t_low")}, {q6("tk[len(tk)]","t_top")}, round(list_sum(sk),3)+0e0 as s_sum, round(list_sum(tk),3)+0e0 as t_sum from kn"""))
+select cast(holdout as int) as holdout, stratum, iy, ix, cast(n as int) as n, {q6("cut","cut")}, {q6("sk[1]","s_low")}, {q6("sk[len(sk)]","s_top")}, {q6("tk[1]","t_low")}, {q6("tk[len(tk)]","t_top")}, floor((list_sum(sk))*1e3+0.5e0)/1e3 as s_sum, floor((list_sum(tk))*1e3+0.5e0)/1e3 as t_sum from kn"""))
 def agg19(spark, sf):
     _, pooled = _samples(spark, sf)
     m = B.fit_quantile_map(pooled, "ref", "value", n_knots=11, wet_mm=20.0, min_samples=20)

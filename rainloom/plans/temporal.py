@@ -24,8 +24,8 @@ def record():
 
 @query("tmp01_reporting_day", sql("fx_halfhour", f"""
 select station_id, cast(cast(ts - interval 3 hour as date) + 1 as date) as date,
- case when count(rate)>=2 then round(sum(rate*0.5e0),6)+0e0 end as precip_mm,
- case when count(rate)>=2 then round(sqrt(sum(pow(rate*0.05e0,2))),6)+0e0 end as error_mm, count(rate) as n_valid
+ case when count(rate)>=2 then floor((sum(rate*0.5e0))*1e6+0.5e0)/1e6 end as precip_mm,
+ case when count(rate)>=2 then floor((sqrt(sum(pow(rate*0.05e0,2))))*1e6+0.5e0)/1e6 end as error_mm, count(rate) as n_valid
 from fx_halfhour group by 1,2"""))
 def tmp01(spark, sf):
     h = V.halfhour(spark, sf).withColumn("err", F.col("rate") * 0.1)
@@ -40,7 +40,7 @@ def tmp02(spark, sf):
 
 
 @query("tmp03_daily_total", f"""
-select event_type, cast(ts - interval 1 hour as date) as date, case when count(distinct date_trunc('hour', ts))>=24 then round(1000*sum(value),4)+0e0 end as value,
+select event_type, cast(ts - interval 1 hour as date) as date, case when count(distinct date_trunc('hour', ts))>=24 then floor((1000*sum(value))*1e4+0.5e0)/1e4 end as value,
  count(distinct date_trunc('hour', ts)) as n_hours from events group by 1,2""")
 def tmp03(spark, sf):
     d = T.daily_total(table(spark, sf, "events"), ["event_type"], "value")
@@ -107,7 +107,7 @@ def tmp08(spark, sf):
 with g as (select dayofyear(l_shipdate)-1 as doy, cast(l_shipdate as date) as day, cast(l_partkey%4 as int) as iy, cast(l_suppkey%4 as int) as ix, l_quantity as v from lineitem),
 n as (select doy, count(distinct day) as nd from g group by 1),
 c as (select g.doy, iy, ix, sum(v)/any_value(nd) as c from g join n on g.doy=n.doy group by 1,2,3)
-select cast((doy+o+366)%366 as int) as doy, iy, ix, round(sum(c)/5,6)+0e0 as climatology from c, (select unnest([-2,-1,0,1,2]) as o) group by 1,2,3""")
+select cast((doy+o+366)%366 as int) as doy, iy, ix, floor((sum(c)/5)*1e6+0.5e0)/1e6 as climatology from c, (select unnest([-2,-1,0,1,2]) as o) group by 1,2,3""")
 def tmp09(spark, sf):
     li = table(spark, sf, "lineitem").select(
         F.to_date("l_shipdate").alias("day"), (F.col("l_partkey") % 4).cast("int").alias("iy"),
