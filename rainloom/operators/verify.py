@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from rainloom.functions import order as O, scalar as S
 from rainloom.operators import grid as GR, joins as J
@@ -112,9 +112,10 @@ def fss_days(df: DataFrame, thresholds, windows, nlat: int, nlon: int, pred="pre
 
     All windows share the two running sums of box_sums. edge 'zero' pads with dry
     cells, 'replicate' repeats the border. cells 'all' averages over the lattice,
-    'paired' only over cells where both fields are present (others count as dry).
+    'land' scores only cells where both fields are present, and 'paired' also counts
+    every other cell as dry.
     """
-    if edge not in ("zero", "replicate") or cells not in ("all", "paired"):
+    if edge not in ("zero", "replicate") or cells not in ("all", "land", "paired"):
         raise ValueError("unknown edge or cells rule")
     pad = max(windows) // 2 if edge == "replicate" else 0
     spine = df.select(day).distinct().withColumn("iy", F.explode(F.sequence(F.lit(-pad), F.lit(nlat - 1 + pad)))).withColumn(
@@ -132,7 +133,7 @@ def fss_days(df: DataFrame, thresholds, windows, nlat: int, nlon: int, pred="pre
     spans = {f"_{w}": (w // 2, w - 1 - w // 2) for w in windows}
     b = GR.box_sums(d, {"p": "pb", "o": "ob"}, spans, (day, "threshold"))
     b = b.where(F.col("iy").between(0, nlat - 1) & F.col("ix").between(0, nlon - 1))
-    use = F.col("ok") if cells == "paired" else F.lit(True)
+    use = F.lit(True) if cells == "all" else F.col("ok")
 
     def part(w):
         a = float(w * w)
@@ -219,7 +220,10 @@ def seam_index(df: DataFrame, factor: int, value="value", keys=("day",), group=(
 
 # ---- spectra --------------------------------------------------------------
 
-@F.pandas_udf("array<struct<re:double,im:double>>")
+COMPLEX = T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]))
+
+
+@F.pandas_udf(COMPLEX)
 def _fft_rows(re: pd.Series, im: pd.Series) -> pd.Series:
     """FFT of one lattice row or column per array; Spark supplies the grouping."""
     out = []
@@ -432,3 +436,37 @@ def sal(df: DataFrame, nlat: int, nlon: int, pred="pred", obs="obs", day="day",
     dy, dx = F.col("pred_cy") - F.col("obs_cy"), F.col("pred_cx") - F.col("obs_cx")
     loc = F.sqrt(dy * dy + dx * dx) / d_max + F.abs(F.col("pred_r") - F.col("obs_r")) * 2 / d_max
     return a.select(day, rel("volume").alias("structure"), rel("mean").alias("amplitude"), loc.alias("location"))
+
+
+def single_day_comparison(df: DataFrame, gauges: DataFrame, lattice, factor: int, truth="value", background="ref", analysis="an", day="day") -> DataFrame:
+    """Field and within-block correlations, RMSE gain, and the near-gauge over far increment ratio."""
+    d = GR.with_blocks(df, factor)
+    w = W.partitionBy(day, "by", "bx")
+    for n, c in (("_t", truth), ("_b", background), ("_a", analysis)):
+        d = d.withColumn(n, F.col(c) - F.avg(c).over(w))
+    cells = J.nearest_cell(gauges, lattice).select("iy", "ix").distinct()
+
+    def around(h, name):
+        o = F.sequence(F.lit(-h), F.lit(h))
+        e = cells.withColumn("_dy", F.explode(o)).withColumn("_dx", F.explode(o))
+        return e.select((F.col("iy") + F.col("_dy")).alias("iy"), (F.col("ix") + F.col("_dx")).alias("ix")).distinct().withColumn(name, F.lit(True))
+
+    d = d.join(around(1, "_near"), ["iy", "ix"], "left").join(around(5, "_reach"), ["iy", "ix"], "left")
+    inc = F.abs(F.col(analysis) - F.col(background))
+
+    def rmse(a):
+        return F.sqrt(F.avg((F.col(a) - F.col(truth)) * (F.col(a) - F.col(truth))))
+    g = d.groupBy(day).agg(rmse(analysis).alias("field_rmse"), rmse(background).alias("background_rmse"), safe_corr(analysis, truth).alias("field_corr"), safe_corr(background, truth).alias("background_corr"),
+                           safe_corr("_a", "_t").alias("subgrid_corr"), safe_corr("_b", "_t").alias("background_subgrid_corr"),
+                           S.ratio(F.avg(F.when(F.col("_near"), inc)), F.avg(F.when(F.col("_reach").isNull(), inc))).alias("bullseye"))
+    return g.withColumn("rmse_gain_percent", (F.col("background_rmse") - F.col("field_rmse")) * 100.0 / F.greatest("background_rmse", F.lit(1e-9)))
+
+
+def field_verification(df: DataFrame, keys=("day",), members="members", truth="truth", wet=WET_MM) -> DataFrame:
+    """RMSE, bias, wet-share error, maxima and mean spread of the ensemble mean."""
+    from rainloom.functions import ensemble as EN
+
+    d = df.where(EN.usable(members, truth)).withColumn("_m", EN.mean(members)).withColumn("_s", EN.std(members))
+    e = F.col("_m") - F.col(truth)
+    return d.groupBy(*keys).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), (share(F.col("_m") >= wet) - share(F.col(truth) >= wet)).alias("wet_share_error"),
+                                F.max("_m").alias("max_pred"), F.max(truth).alias("max_truth"), F.avg("_s").alias("mean_spread"))

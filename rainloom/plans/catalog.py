@@ -1,4 +1,4 @@
 """All registered queries: importing the plan modules fills the registry."""
 
-from rainloom.plans import ensembles, grids, scalars, stats, temporal  # noqa: F401
+from rainloom.plans import ensembles, grids, scalars, stats, temporal, verify  # noqa: F401
 from rainloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -137,8 +137,8 @@ f as (select method, least(greatest(sqrt(greatest(avg(er*er)-0.25e0,1e-9)/(avg(v
 select p.method, date, station_id, {q6("a","alpha")}, {q6("list_avg([greatest(mn+a*(x-mn),0e0) for x in members])","inflated_mean")} from ps p join f on f.method=p.method"""))
 def ver18(spark, sf):
     a = E.fit_inflation(V.methods(spark, sf), ["method"], obs_var=0.25)
-    d = V.methods(spark, sf).join(a, "method")
-    return d.select("method", "date", "station_id", R("alpha").alias("alpha"), R(EN.mean(E.inflate("members", F.col("alpha")))).alias("inflated_mean"))
+    d = V.methods(spark, sf).join(a, "method").withColumn("inflated_mean", EN.mean(E.inflate("members", F.col("alpha"))))
+    return report(d.select("method", "date", "station_id", "alpha", "inflated_mean"))
 
 
 RECAL = """rk as (select len([x for x in members if x<truth])/16e0 as r from fx_ens),
