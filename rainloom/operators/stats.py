@@ -266,7 +266,7 @@ def weighted_mean(value, weight) -> Column:
 
 def fisher_pooled(corr, n) -> Column:
     """Correlation pooled through Fisher z with weights max(n - 3, 1)."""
-    z = F.atanh(F.least(F.greatest(S.col(corr), F.lit(-0.999999)), F.lit(0.999999)))
+    z = F.atanh(S.clip(corr, -0.999999, 0.999999))
     return F.tanh(weighted_mean(z, F.greatest(S.col(n) - 3, F.lit(1))))
 
 

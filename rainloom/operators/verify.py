@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from rainloom.functions import order as O, scalar as S
 from rainloom.operators import grid as GR, joins as J
 from rainloom.operators.stats import safe_corr, share
+from rainloom.session import cut_lineage
 
 WET_MM = 1.0
 
@@ -385,14 +386,13 @@ def subgrid_report(df: DataFrame, factor: int, candidate: str, pred="pred", obs=
 
 
 def objects(df: DataFrame, flag: str, keys=("day",), max_rounds=64) -> DataFrame:
-    """8-connected components by label propagation with pointer jumping.
+    """8-connected components by hooking and pointer jumping.
 
-    Every round takes the smallest label among neighbours and then follows the
-    label's own label, so rounds grow with the logarithm of an object's extent.
-    Rounds are checkpointed; the loop ends when no label changes.
+    Every round gives a node the smallest of its neighbours' labels, of its label's
+    label, and of what the nodes carrying its name as label have seen, so rounds grow
+    with the logarithm of an object's size. Rounds are cut through a written table,
+    and the loop ends when no label changes.
     """
-    from rainloom.session import cut_lineage
-
     k = list(keys)
     cells = df.where(F.col(flag)).select(*k, "iy", "ix", (F.col("iy").cast("bigint") * 2 ** 31 + F.col("ix")).alias("node"))
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
@@ -401,10 +401,11 @@ def objects(df: DataFrame, flag: str, keys=("day",), max_rounds=64) -> DataFrame
     lab = cut_lineage(edges.groupBy(*k, "node").agg(F.min("peer").alias("label")))
     for _ in range(max_rounds):
         near = edges.join(lab.select(*k, F.col("node").alias("peer"), "label"), [*k, "peer"]).groupBy(*k, "node").agg(F.min("label").alias("near"))
+        seen = near.join(lab, [*k, "node"])
+        hook = seen.groupBy(*k, F.col("label").alias("node")).agg(F.min("near").alias("hook"))
         jump = lab.select(*k, F.col("node").alias("near"), F.col("label").alias("far"))
-        new = near.join(jump, [*k, "near"]).join(lab, [*k, "node"]).select(
-            *k, "node", F.least("near", "far").alias("label"), (F.least("near", "far") != F.col("label")).alias("moved"))
-        new = cut_lineage(new)
+        best = seen.join(jump, [*k, "near"]).join(hook, [*k, "node"], "left").select(*k, "node", "label", F.least("near", "far", "hook").alias("best"))
+        new = cut_lineage(best.select(*k, "node", F.col("best").alias("label"), (F.col("best") != F.col("label")).alias("moved")))
         lab = new.drop("moved")
         if new.where("moved").isEmpty():
             break

@@ -264,7 +264,7 @@ def agg21b(spark, sf):
 
 @query("agg22_fisher_pooled", sql("fx_multipair", f"""
 with s as (select product, station_id, count(*) as n, case when stddev_pop(pred)>0 and stddev_pop(obs)>0 then corr(pred,obs) end as c, avg(pow(pred-obs,2)) as mse, avg(abs(pred-obs)) as mae from fx_multipair group by 1,2),
-f as (select *, greatest(n-3,1) as w, atanh(least(greatest(c,-0.999999e0),0.999999e0)) as z from s)
+f as (select *, greatest(n-3,1) as w, case when c is not null then atanh(least(greatest(c,-0.999999e0),0.999999e0)) end as z from s)
 select product, {q6("tanh(sum(z*w)/sum(case when z is not null then w end))","corr")}, {q6("sqrt(sum(mse*n)/sum(n))","rmse")}, {q6("sum(mae*n)/sum(n)","mae")} from f group by 1"""))
 def agg22(spark, sf):
     d = F.col("pred") - F.col("obs")

@@ -287,7 +287,7 @@ def ver34(spark, sf):
 with c as (select * from fx_multipair where (station_id, date) in (select (station_id, date) from fx_multipair group by station_id, date having count(distinct product)=2)),
 st as (select product, station_id, count(*) as n, {corr_sql("pred","obs")} as c, avg(pred) as mp, avg(obs) as mo from c group by 1,2),
 d as (select product, count(*) as n, avg(pred-obs) as b, sqrt(avg(pow(pred-obs,2))) as r, corr(pred,obs) as c from c group by 1),
-f as (select product, tanh(sum(atanh(least(greatest(c,-0.999999e0),0.999999e0))*greatest(n-3,1))/sum(case when c is not null then greatest(n-3,1) end)) as z, corr(mp,mo) as lc, avg(mp-mo) as lb, count(*) as stations from st group by 1)
+f as (select product, tanh(sum(case when c is not null then atanh(least(greatest(c,-0.999999e0),0.999999e0)) end*greatest(n-3,1))/sum(case when c is not null then greatest(n-3,1) end)) as z, corr(mp,mo) as lc, avg(mp-mo) as lb, count(*) as stations from st group by 1)
 select d.product, n, stations, {q6("b","daily_bias")}, {q6("r","daily_rmse")}, {q6("c","daily_corr")}, {q6("z","station_corr")}, {q6("lc","longterm_corr")}, {q6("lb","longterm_bias")} from d join f on f.product=d.product"""))
 def ver35(spark, sf):
     c = J.common_sample(V.multipair(spark, sf), ["station_id", "date"], "product", "pred", 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +39,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder and read back.
+
+    The result survives executor loss, and unlike a checkpointed frame it carries no
+    constraints of the old plan, which would grow with every round of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rainloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
