@@ -134,6 +134,11 @@ def spread_holdout(stations: DataFrame, count: int, key="station_id", mean_lat=N
     return chosen
 
 
+def _nearer(d: Column, fold: int):
+    """Lower the distance entry of one fold."""
+    return lambda x, i: F.when(i == fold, F.least(x, d)).otherwise(x)
+
+
 def spread_folds(stations: DataFrame, n_splits: int, key="station_id") -> DataFrame:
     """Farthest-point order; each station joins the smallest fold it is farthest from.
 
@@ -154,7 +159,7 @@ def spread_folds(stations: DataFrame, n_splits: int, key="station_id") -> DataFr
         d = _d2(pick)
         nd = d if first else F.least("_d", d)
         first = False
-        nf = F.transform("_f", lambda x, i, d=d, fold=fold: F.when(i == fold, F.least(x, d)).otherwise(x))
+        nf = F.transform("_f", _nearer(d, fold))
         state = state.select(key, "_y", "_x", nd.alias("_d"), nf.alias("_f"), F.when(F.col(key) == pick[key], F.lit(fold)).otherwise(F.col("fold")).alias("fold"))
         if step % 6 == 5:
             state = cut_lineage(state)

@@ -19,7 +19,7 @@ def list_files(spark: SparkSession, folder: str, pattern="*") -> DataFrame:
 
 def daily_inventory(files: DataFrame, start: Column, end: Column, name="file") -> DataFrame:
     """One row per requested day with its file count and whether it is usable."""
-    d = files.withColumn("day", F.try_to_date(F.regexp_extract(name, DAILY_NAME, 1), F.lit("yyyyMMdd"))).where("day is not null")
+    d = files.withColumn("day", F.try_to_date(F.regexp_extract(name, DAILY_NAME, 1), "yyyyMMdd")).where("day is not null")
     c = d.groupBy("day").agg(F.count("*").alias("files"), F.min(name).alias("file"))
     spine = files.sparkSession.range(1).select(F.explode(F.sequence(start, end)).alias("day"))
     n = F.coalesce(F.col("files"), F.lit(0))
@@ -29,8 +29,11 @@ def daily_inventory(files: DataFrame, start: Column, end: Column, name="file") -
 def half_hour_start(name="file") -> Column:
     """Start time of a half-hourly name; it must span exactly 29:59 from :00 or :30."""
     day, s, e = (F.regexp_extract(name, HALF_HOUR_NAME, i) for i in (1, 2, 3))
-    t0 = F.try_to_timestamp(F.concat(day, s), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
-    t1 = F.try_to_timestamp(F.concat(day, e), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+
+    def at(clock):
+        n = [F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2), F.substring(clock, 1, 2), F.substring(clock, 3, 2)]
+        return F.try_make_timestamp_ntz(*[x.try_cast("int") for x in n], F.substring(clock, 5, 2).try_cast("decimal(16,6)"))
+    t0, t1 = at(s), at(e)
     ok = (t1 == t0 + F.expr("interval 29 minutes 59 seconds")) & F.minute(t0).isin(0, 30) & (F.second(t0) == 0)
     return F.when(ok, t0)
 

@@ -77,7 +77,7 @@ def month_matrix_long(matrix: DataFrame, max_mm: float = 1000.0) -> DataFrame:
     d = matrix.select(F.trim("Stati").alias("name"), _number("Year", "int").alias("_y"), _number("Month", "int").alias("_m"), *DAYS)
     d = d.unpivot(["name", "_y", "_m"], DAYS, "_d", "cell")
     text = F.concat_ws("-", F.lpad(F.col("_y").cast("string"), 4, "0"), F.lpad(F.col("_m").cast("string"), 2, "0"), F.lpad("_d", 2, "0"))
-    d = d.withColumn("date", F.try_to_date(text, F.lit("yyyy-MM-dd"))).where("date is not null")
+    d = d.withColumn("date", F.try_to_date(text, "yyyy-MM-dd")).where("date is not null")
     cell = F.coalesce("cell", F.lit(""))
     good = F.when(S.is_unknown_token(cell), F.raise_error(F.concat(F.lit("unrecognized precipitation token "), cell)).cast("double")).otherwise(S.clean_legacy(cell, max_mm))
     return d.select("name", "date", good.alias("precip_mm"))
@@ -131,7 +131,7 @@ def match_files(files: DataFrame, catalog: DataFrame, file_col="file", order_col
 
 def station_file_rows(rows: DataFrame, matches: DataFrame, file_col="file", date_text="date_text", cell="cell", max_mm=1000.0) -> DataFrame:
     """Station-day rows of matched files; unparseable dates drop out and bad tokens become missing."""
-    d = rows.withColumn("date", F.coalesce(F.try_to_date(F.trim(date_text), F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.trim(date_text)).cast("date"))).where("date is not null")
+    d = rows.withColumn("date", F.coalesce(F.try_to_date(F.trim(date_text), "yyyy-MM-dd"), F.try_to_timestamp(F.trim(date_text)).cast("date"))).where("date is not null")
     d = d.join(matches, file_col)
     return d.select("station_id", F.col("catalog_name").alias("name"), "lat", "lon", "date", S.clean_legacy(F.coalesce(cell, F.lit("")), max_mm).alias("precip_mm"))
 

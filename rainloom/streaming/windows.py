@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rainloom.operators import stats as ST
 
@@ -16,6 +16,16 @@ def event_stream(spark: SparkSession, folder: str, glob="events.parquet", files_
     return r.parquet(folder)
 
 
+def event_time(ts) -> Column:
+    """Zoneless wall-clock time as an instant with the same reading in UTC, whatever the session zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts) if isinstance(ts, str) else ts))
+
+
+def utc_day(ts: Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+
+
 def reporting_windows(stream: DataFrame, keys, min_count: int, delay="6 hours", ts="ts", rate="rate", hour=3, granule: str | None = None) -> DataFrame:
     """Half-hourly rates to 03:00 windows in append mode.
 
@@ -27,7 +37,7 @@ def reporting_windows(stream: DataFrame, keys, min_count: int, delay="6 hours",
         s = s.dropDuplicatesWithinWatermark([granule])
     w = F.window(ts, "1 day", "1 day", f"{hour} hours")
     g = s.groupBy(*keys, w.alias("w")).agg(F.sum(F.col(rate) * 0.5).alias("_p"), F.count(rate).alias("n_valid"))
-    return g.select(*keys, F.to_date("w.end").alias("date"), F.when(F.col("n_valid") >= min_count, F.col("_p")).alias("precip_mm"), "n_valid")
+    return g.select(*keys, utc_day(F.col("w.end")).alias("date"), F.when(F.col("n_valid") >= min_count, F.col("_p")).alias("precip_mm"), "n_valid")
 
 
 def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
