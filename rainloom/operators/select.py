@@ -118,52 +118,87 @@ def _farthest(points: DataFrame, score: Column, key: str):
     return points.agg(F.max_by(F.struct("*"), F.struct(score, -F.col(key))).alias("r")).first()["r"]
 
 
+FRONT = 64
+
+
+def _front(state: DataFrame, key: str, extra=()) -> tuple[list, float]:
+    """The FRONT most distant rows and the distance every other row stays below."""
+    rows = state.select(key, "_y", "_x", "_d", *extra).orderBy(F.desc("_d"), key).limit(FRONT).collect()
+    rows = [r.asDict() for r in rows]
+    return rows, (rows[-1]["_d"] if len(rows) == FRONT else -1.0)
+
+
+def _picks(rows: list, bound: float, key: str, limit: int, taken=None):
+    """Farthest points that the front alone decides.
+
+    Distances only shrink, so a row of the front that still exceeds the bound beats
+    every row outside it. One job therefore settles many picks, and the driver never
+    holds more than the front.
+    """
+    out: list = []
+    while rows and len(out) < limit:
+        best = min(rows, key=lambda r: (-r["_d"], r[key]))
+        if out and best["_d"] <= bound:
+            break
+        rows.remove(best)
+        out.append(best)
+        if taken:
+            taken(best, rows)
+        for r in rows:
+            r["_d"] = min(r["_d"], (r["_y"] - best["_y"]) ** 2 + (r["_x"] - best["_x"]) ** 2)
+    return out
+
+
 def spread_holdout(stations: DataFrame, count: int, key="station_id", mean_lat=None) -> list:
-    """Farthest-point selection: `count` small jobs, each keeping only a distance column."""
+    """Farthest-point selection: few small jobs, each keeping only a distance column."""
     p = _scaled(stations, key, mean_lat)
     c = p.agg(F.avg("_y").alias("_y"), F.avg("_x").alias("_x")).first()
     pick = _farthest(p, _d2(c), key)
     chosen, state = [pick[key]], p.withColumn("_d", _d2(pick))
     while len(chosen) < count:
-        left = state.where(~F.col(key).isin(chosen))
-        pick = _farthest(left.select(key, "_y", "_x", "_d"), F.col("_d"), key)
-        chosen.append(pick[key])
-        state = state.withColumn("_d", F.least("_d", _d2(pick)))
-        if len(chosen) % 16 == 0:
-            state = cut_lineage(state)
+        rows, bound = _front(state.where(~F.col(key).isin(chosen)), key)
+        new = _picks(rows, bound, key, count - len(chosen))
+        if not new:
+            raise ValueError(f"only {len(chosen)} stations to choose from")
+        chosen += [r[key] for r in new]
+        state = cut_lineage(state.select(key, "_y", "_x", F.least("_d", *[_d2(r) for r in new]).alias("_d")))
     return chosen
 
 
-def _nearer(d: Column, fold: int):
-    """Lower the distance entry of one fold."""
-    return lambda x, i: F.when(i == fold, F.least(x, d)).otherwise(x)
-
-
 def spread_folds(stations: DataFrame, n_splits: int, key="station_id") -> DataFrame:
     """Farthest-point order; each station joins the smallest fold it is farthest from.
 
     The distances to the ordered set and to every fold are columns of the station
-    table. The driver sees one station per step and keeps the fold sizes only.
+    table. The driver keeps the fold sizes and the current front.
     """
     p = _scaled(stations, key)
-    total = p.count()
     c = p.agg(F.avg("_y").alias("_y"), F.avg("_x").alias("_x")).first()
+    first = _farthest(p, _d2(c), key)
     far = float("inf")
-    state = p.withColumn("_d", _d2(c)).withColumn("_f", F.array(*[F.lit(far)] * n_splits)).withColumn("fold", F.lit(None).cast("int"))
-    sizes, first = [0] * n_splits, True
-    for step in range(total):
-        pick = _farthest(state.where("fold is null"), F.col("_d"), key)
+    # The seed has no predecessor: an infinite distance puts it at the head of the front.
+    state = p.withColumn("_d", F.when(F.col(key) == first[key], F.lit(far)).otherwise(_d2(first)))
+    state = cut_lineage(state.withColumn("_f", F.array(*[F.lit(far)] * n_splits)).withColumn("fold", F.lit(None).cast("int")))
+    sizes = [0] * n_splits
+
+    def assign(pick, others):
         low = min(sizes)
         fold = max((i for i in range(n_splits) if sizes[i] == low), key=lambda i: (pick["_f"][i], -i))
         sizes[fold] += 1
-        d = _d2(pick)
-        nd = d if first else F.least("_d", d)
-        first = False
-        nf = F.transform("_f", _nearer(d, fold))
-        state = state.select(key, "_y", "_x", nd.alias("_d"), nf.alias("_f"), F.when(F.col(key) == pick[key], F.lit(fold)).otherwise(F.col("fold")).alias("fold"))
-        if step % 6 == 5:
-            state = cut_lineage(state)
-    return cut_lineage(state.select(key, "fold"))
+        pick["fold"] = fold
+        for r in others:
+            d = (r["_y"] - pick["_y"]) ** 2 + (r["_x"] - pick["_x"]) ** 2
+            r["_f"] = [min(x, d) if i == fold else x for i, x in enumerate(r["_f"])]
+
+    while True:
+        rows, bound = _front(state.where("fold is null"), key, ("_f",))
+        new = _picks(rows, bound, key, FRONT, assign)
+        if not new:
+            return state.select(key, "fold")
+        near = [F.least(F.get("_f", F.lit(i)), *[_d2(r) for r in new if r["fold"] == i]) if any(r["fold"] == i for r in new) else F.get("_f", F.lit(i)) for i in range(n_splits)]
+        placed = F.col("fold")
+        for r in new:
+            placed = F.when(F.col(key) == r[key], F.lit(r["fold"])).otherwise(placed)
+        state = cut_lineage(state.select(key, "_y", "_x", F.least("_d", *[_d2(r) for r in new]).alias("_d"), F.array(*near).alias("_f"), placed.alias("fold")))
 
 
 def supported_holdout(stations: DataFrame, count: int, radius_km=75.0, max_gap_deg=200.0, neighbours=6, key="station_id") -> list:

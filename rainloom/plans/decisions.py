@@ -212,10 +212,10 @@ def chk05b(spark, sf):
     return C.identical(V.obs(spark, sf), b, ["station_id", "date"], "precip_mm")
 
 
-@query("chk06_axis_spacing", f"with a as (select distinct floor(p_retailprice) as price from part), s as (select price, price-lag(price) over (order by price) as step from a) select {q6('price','price')}, {q6('step','step')} from s where abs(step-1)>1e-6")
+@query("chk06_axis_spacing", sql("fx_grid", f"with a as (select distinct cast(day - date '1970-01-01' as double) as x from fx_grid), s as (select x, x-lag(x) over (order by x) as step from a) select x, step from s where abs(step-31)>1e-6"))
 def chk06(spark, sf):
-    a = table(spark, sf, "part").select(F.floor("p_retailprice").cast("double").alias("price")).distinct()
-    return report(C.spacing(a, "price", 1.0))
+    a = V.grid(spark, sf).select(F.datediff("day", F.lit("1970-01-01").cast("date")).cast("double").alias("x")).distinct()
+    return C.spacing(a, "x", 31.0)
 
 
 @query("chk07_conservation", sql("fx_grid", f"with b as (select day, {BLK} from fx_grid group by 1,2,3) select 0e0 as max_error, count(*) as blocks from b"))

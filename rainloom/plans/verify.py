@@ -384,7 +384,18 @@ def ver41(spark, sf):
     return report(c.agg(F.avg("corr").alias("corr"), F.count("corr").alias("days")))
 
 
-@query("ver42_amplitude_location", None)
+SAL = """l as (select day, iy, ix, 'pred' as s, greatest(ref-38,0) as v from fx_grid union all select day, iy, ix, 'obs', greatest(value-25,0) from fx_grid),
+w as (select day, s, avg(v) as mean, sum(v*iy)/nullif(sum(v),0) as cy, sum(v*ix)/nullif(sum(v),0) as cx, quantile_cont(case when v>0 then v end,0.95)/15 as thr from l group by 1,2),
+c as (select l.*, iy*100+ix as id from l join w using(day,s) where v>=thr and v>0),
+r as (select day, s, iy, ix, id, id as lab from c union select n.day, n.s, n.iy, n.ix, n.id, r.lab from r join c n on n.day=r.day and n.s=r.s and abs(n.iy-r.iy)<=1 and abs(n.ix-r.ix)<=1 and r.lab<n.id),
+m as (select day, s, id, min(lab) as lab from r group by 1,2,3),
+o as (select c.day, c.s, lab, sum(v) as m, max(v) as top, sum(v*iy)/sum(v) as oy, sum(v*ix)/sum(v) as ox from c join m on m.day=c.day and m.s=c.s and m.id=c.id group by 1,2,3),
+p as (select o.day, o.s, sum(m*m/top)/sum(m) as volume, sum(m*sqrt(pow(oy-cy,2)+pow(ox-cx,2)))/sum(m) as r from o join w on w.day=o.day and w.s=o.s group by 1,2),
+a as (select w.day, max(case when w.s='pred' then mean end) as pm, max(case when w.s='obs' then mean end) as om, max(case when w.s='pred' then cy end) as py, max(case when w.s='obs' then cy end) as oy, max(case when w.s='pred' then cx end) as px, max(case when w.s='obs' then cx end) as ox,
+ max(case when w.s='pred' then volume end) as pv, max(case when w.s='obs' then volume end) as ov, max(case when w.s='pred' then r end) as pr, max(case when w.s='obs' then r end) as orr from w left join p on p.day=w.day and p.s=w.s group by 1)"""
+
+
+@query("ver42_structure_amplitude_location", sql("fx_grid", f"with {SAL} select day, {q6('2*(pv-ov)/nullif(pv+ov,0)','structure')}, {q6('2*(pm-om)/nullif(pm+om,0)','amplitude')}, {q6('sqrt(pow(py-oy,2)+pow(px-ox,2))/sqrt(512e0)+2*abs(pr-orr)/sqrt(512e0)','location')} from a").replace("with fx_grid", "with recursive fx_grid", 1))
 def ver42(spark, sf):
     return report(X.sal(field(spark, sf).withColumn("pred", F.greatest(F.col("pred") - 38, F.lit(0.0))).withColumn("obs", F.greatest(F.col("obs") - 25, F.lit(0.0))), 16, 16))
 
