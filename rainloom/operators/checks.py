@@ -13,13 +13,16 @@ def duplicates(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def guard(broken: Column, message: Column) -> Column:
+    """Filter condition that stops the job on a broken row; filters survive column pruning."""
+    return F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
 def require_unique(df: DataFrame, keys) -> DataFrame:
     """Pass rows through; a key seen twice stops the job when it runs."""
-    n = F.count("*").over(W.partitionBy(*keys))
-    label = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
-    first = df.columns[0]
-    ok = F.when(n > 1, F.raise_error(F.concat(F.lit(f"duplicate {','.join(keys)}: "), label)).cast(dict(df.dtypes)[first])).otherwise(F.col(first))
-    return df.withColumn(first, ok)
+    label = F.concat(F.lit(f"duplicate {','.join(keys)}: "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
+    d = df.withColumn("_copies", F.count("*").over(W.partitionBy(*keys)))
+    return d.where(guard(F.col("_copies") > 1, label)).drop("_copies")
 
 
 def missing_steps(df: DataFrame, axis: str, start: Column, end: Column, step: str = "interval 1 day", keys=()) -> DataFrame:

@@ -55,7 +55,10 @@ def terrain_ascent(wind: DataFrame, elevation: DataFrame) -> DataFrame:
 
 def overlap_weights(source: DataFrame, target: DataFrame, source_id: str, target_id: str, coord: str,
                     latitude: bool = False, width: float = 1.0) -> DataFrame:
-    """Conservative 1-D weights: overlap over the covered width of the target cell."""
+    """Conservative 1-D weights: overlap over the covered width of the target cell.
+
+    A target cell without any source keeps one row with coverage zero.
+    """
     def edges(df, i, p):
         e = axis_edges(df.select(F.col(i), F.col(coord)), coord)
         lo, hi = F.col("edge_low"), F.col("edge_high")
@@ -69,9 +72,10 @@ def overlap_weights(source: DataFrame, target: DataFrame, source_id: str, target
     full = measure(F.col("thi")) - measure(F.col("tlo"))
     j = j.select(target_id, source_id, ov.alias("overlap"), full.alias("full"))
     w = W.partitionBy(target_id)
-    return j.withColumn("_c", F.sum("overlap").over(w)).select(
+    out = j.withColumn("_c", F.sum("overlap").over(w)).select(
         target_id, source_id, (F.col("overlap") / F.col("_c")).alias("weight"),
         (F.col("_c") / F.col("full")).alias("coverage"))
+    return target.select(target_id).join(out, target_id, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
 
 
 def require_covered(weights: DataFrame) -> DataFrame:

@@ -256,12 +256,16 @@ def power_spectrum(df: DataFrame, nlat: int, nlon: int, value="value", keys=("da
     cols = cols.select(*k, "kx", F.posexplode(_fft_rows(F.transform("c", lambda x: x["re"]), F.transform("c", lambda x: x["im"]))).alias("ky", "z"))
 
     def freq(c, n):
-        return F.when(F.col(c) * 2 < n, F.col(c)).otherwise(F.col(c) - n) / float(n)
+        return F.when(F.col(c) * 2 < n, F.col(c)).otherwise(F.col(c) - n) * (1.0 / n)
 
     bins = min(nlat, nlon) // 2
     lo, step = 1.0 / max(nlat, nlon), (0.5 - 1.0 / max(nlat, nlon)) / bins
     r = F.sqrt(freq("ky", nlat) * freq("ky", nlat) + freq("kx", nlon) * freq("kx", nlon))
-    p = cols.select(*k, F.floor((r - lo) / step).cast("int").alias("bin"), (F.col("z.re") * F.col("z.re") + F.col("z.im") * F.col("z.im")).alias("p"))
+    # The floor can miss an edge by one ulp; comparing with the edges settles it.
+    near = F.floor((r - lo) / step).cast("int")
+    b = near + F.when(r >= (near + 1) * step + lo, 1).when(r < near * step + lo, -1).otherwise(0)
+    b = F.when(r < 0.5, b).otherwise(F.lit(bins))
+    p = cols.select(*k, b.alias("bin"), (F.col("z.re") * F.col("z.re") + F.col("z.im") * F.col("z.im")).alias("p"))
     p = p.where(F.col("bin").between(0, bins - 1)).groupBy(*k, "bin").agg(F.avg("p").alias("power")).where("power > 0")
     return p.withColumn("wavelength_km", F.lit(res_deg * 111.0) / ((F.col("bin") + 0.5) * step + lo))
 

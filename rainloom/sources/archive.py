@@ -71,9 +71,8 @@ def union_seasons(frames: list[DataFrame], day="day", method="method") -> DataFr
     for i, f in enumerate(frames):
         f = f.withColumn("_season", F.lit(i))
         out = f if out is None else out.unionByName(f)
-    n = F.size(F.collect_set("_season").over(W.partitionBy(method, day)))
-    ok = F.when(n > 1, F.raise_error(F.concat(F.lit("overlapping day "), F.col(day).cast("string"))).cast("date")).otherwise(F.col(day))
-    return out.withColumn(day, ok).drop("_season")
+    out = out.withColumn("_seasons", F.size(F.collect_set("_season").over(W.partitionBy(method, day))))
+    return out.where(C.guard(F.col("_seasons") > 1, F.concat(F.lit("overlapping day "), F.col(day).cast("string")))).drop("_season", "_seasons")
 
 
 def union_dumps(frames: dict, labels=("period", "fold"), keys=("date", "station_id", "method")) -> DataFrame:
@@ -139,4 +138,4 @@ def markdown_lines(df: DataFrame, columns, digits=3) -> DataFrame:
 def latex_lines(df: DataFrame, columns, digits=3) -> DataFrame:
     m = markdown_lines(df, columns, digits)
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^\| ", ""), r" \|$", ""), r" \| ", " & ")
-    return m.select(F.concat(F.regexp_replace(body, "_", r"\\\\_"), F.lit(r" \\")).alias("line"))
+    return m.select(F.concat(F.regexp_replace(body, "_", r"\\_"), F.lit(r" \\")).alias("line"))

@@ -68,8 +68,8 @@ def read_month_matrix(spark: SparkSession, path: str) -> DataFrame:
     d = raw.select(*names, F.col("_metadata.file_path").alias("_file"), pos.alias("_pos"))
     is_head = (F.lower(F.trim("Stati")) == "stati") & (F.lower(F.trim("Year")) == "year") & (F.lower(F.trim("Month")) == "month")
     heads = d.groupBy("_file").agg(F.min(F.when(is_head, F.col("_pos"))).alias("_head"))
-    heads = heads.withColumn("_file", F.when(F.col("_head").isNotNull(), F.col("_file")).otherwise(F.raise_error(F.concat(F.lit("no header row in "), F.col("_file"))).cast("string")))
-    return d.join(heads, "_file").where(F.col("_pos") > F.col("_head")).select(*names)
+    below = F.when(F.col("_head").isNull(), F.raise_error(F.concat(F.lit("no header row in "), F.col("_file"))).cast("boolean")).otherwise(F.col("_pos") > F.col("_head"))
+    return d.join(heads, "_file").where(below).select(*names)
 
 
 def month_matrix_long(matrix: DataFrame, max_mm: float = 1000.0) -> DataFrame:
