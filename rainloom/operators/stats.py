@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from rainloom.functions import ensemble as EN, order as O, scalar as S
 from rainloom.operators import joins as J
@@ -123,26 +125,32 @@ def physical_summary(df: DataFrame, value: str, keys=()) -> DataFrame:
 
 # ---- variograms -----------------------------------------------------------
 
+@F.pandas_udf(T.StructType([T.StructField("ss", T.DoubleType()), T.StructField("n", T.LongType())]))
+def _pair_sums(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Sum of squared differences and shared days of two aligned months, a batch at a time."""
+    d = np.stack(a.to_numpy()).astype(float) - np.stack(b.to_numpy()).astype(float)
+    return pd.DataFrame({"ss": np.nansum(d * d, axis=1), "n": np.count_nonzero(~np.isnan(d), axis=1)})
+
+
 def empirical_variogram(obs: DataFrame, stations: DataFrame, edges, min_pairs=30, value="precip_mm", date="date",
                         key="station_id") -> DataFrame:
     """Pair variogram pooled over days.
 
-    A station-year is one row with its values by day of year, so a station pair
-    costs one row per year instead of one per day, and only pairs closer than the
-    last edge are formed.
+    A station-month is one row with its values by day of month, so a station pair
+    costs one row per shared month instead of one per day, and only pairs closer than
+    the last edge are formed.
     """
-    s = obs.where(F.col(value).isNotNull()).groupBy(key, F.year(date).alias("year")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.dayofyear(date), F.col(value)))).alias("m"))
-    s = s.select(key, "year", F.transform(F.sequence(F.lit(1), F.lit(366)), lambda d: F.try_element_at("m", d)).alias("y"))
+    s = obs.where(F.col(value).isNotNull()).groupBy(key, F.trunc(date, "month").alias("month")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.dayofmonth(date), F.col(value)))).alias("m"))
+    s = s.select(key, "month", F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.try_element_at("m", d)).alias("y"))
     p = J.pairs_within(stations, float(edges[-1]), key).select("a", "b", "km")
     bins = F.lit(None).cast("int")
     for i in reversed(range(len(edges) - 1)):
         bins = F.when((F.col("km") >= float(edges[i])) & (F.col("km") < float(edges[i + 1])), F.lit(i)).otherwise(bins)
     p = p.withColumn("bin", bins).where(F.col("bin").isNotNull())
-    j = p.join(s.select(F.col(key).alias("a"), "year", F.col("y").alias("ya")), "a").join(
-        s.select(F.col(key).alias("b"), "year", F.col("y").alias("yb")), ["b", "year"])
-    d = F.filter(F.zip_with("ya", "yb", lambda x, z: (x - z) * (x - z)), lambda x: x.isNotNull())
-    j = j.select("bin", "km", EN.total(d).alias("ss"), F.size(d).alias("n"))
+    j = p.join(s.select(F.col(key).alias("a"), "month", F.col("y").alias("ya")), "a").join(
+        s.select(F.col(key).alias("b"), "month", F.col("y").alias("yb")), ["b", "month"])
+    j = j.select("bin", "km", _pair_sums("ya", "yb").alias("d")).select("bin", "km", "d.ss", "d.n")
     g = j.groupBy("bin").agg(F.sum("ss").alias("ss"), F.sum("n").alias("n_pairs"), F.sum(F.col("km") * F.col("n")).alias("sk"))
     mids = F.array(*[F.lit((a + b) / 2.0) for a, b in zip(edges[:-1], edges[1:])])
     full = F.col("n_pairs") >= min_pairs

@@ -179,11 +179,11 @@ def shifted(df: DataFrame, value: str, lag: int, along: str, keys=("day",)) -> C
 
 def semivariance(df: DataFrame, value="value", lags=(1, 2, 4, 8), keys=("day",)) -> DataFrame:
     """Mean over (day, direction) of half the mean squared increment at each lag."""
+    # One select per axis: all lags of an axis share its shuffle and sort.
     d = df
-    for lag in lags:
-        for a in ("iy", "ix"):
-            x = F.col(value) - shifted(df, value, lag, a, keys)
-            d = d.withColumn(f"_{a}{lag}", x * x)
+    for a in ("iy", "ix"):
+        steps = {lag: F.col(value) - shifted(df, value, lag, a, keys) for lag in lags}
+        d = d.select("*", *[(x * x).alias(f"_{a}{lag}") for lag, x in steps.items()])
     g = d.groupBy(*keys).agg(*[(F.avg(f"_{a}{lag}") * 0.5).alias(f"_{a}{lag}") for lag in lags for a in ("iy", "ix")])
     rows = F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(f"_{a}{lag}").alias("g")) for lag in lags for a in ("iy", "ix")])
     return g.select(F.inline(rows)).groupBy("lag").agg(F.avg("g").alias("semivariance"), F.count("g").alias("terms"))
@@ -221,19 +221,23 @@ def seam_index(df: DataFrame, factor: int, value="value", keys=("day",), group=(
 
 # ---- spectra --------------------------------------------------------------
 
-COMPLEX = T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]))
-
-
-@F.pandas_udf(COMPLEX)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _fft_rows(re: pd.Series, im: pd.Series) -> pd.Series:
-    """FFT of one lattice row or column per array; Spark supplies the grouping."""
+    """FFT of one lattice row or column per array, real parts before imaginary parts."""
     out = []
     for a, b in zip(re, im):
         z = np.fft.fft(np.asarray(a, float) + 1j * np.asarray(b, float))
-        out.append([{"re": float(x.real), "im": float(x.imag)} for x in z])
+        out.append(np.concatenate([z.real, z.imag]))
     return pd.Series(out)
 
 
+def _parts(z: Column) -> Column:
+    """Array of (re, im) pairs from the packed transform."""
+    n = F.size(z) / 2
+    half = n.cast("int")
+    return F.arrays_zip(F.slice(z, F.lit(1), half).alias("re"), F.slice(z, half + 1, half).alias("im"))
+
+
 def power_spectrum(df: DataFrame, nlat: int, nlon: int, value="value", keys=("day",), res_deg=0.05, min_cells=16, taper=True) -> DataFrame:
     """Radially averaged power per key by a separable transform.
 
@@ -242,7 +246,8 @@ def power_spectrum(df: DataFrame, nlat: int, nlon: int, value="value", keys=("da
     """
     k = list(keys)
     m = df.groupBy(*k).agg(F.avg(value).alias("_mu"), F.count(value).alias("_n")).where(F.col("_n") >= min_cells)
-    d = GR.densify(df.select(*k, "iy", "ix", value), nlat, nlon, k).join(m, k)
+    spine = m.withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(nlat - 1)))).withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(nlon - 1))))
+    d = spine.join(df.select(*k, "iy", "ix", value), [*k, "iy", "ix"], "left")
 
     def hann(c, n):
         return F.lit(0.5) - F.cos(F.col(c) * (2.0 * math.pi / (n - 1))) * 0.5 if taper else F.lit(1.0)
@@ -251,9 +256,10 @@ def power_spectrum(df: DataFrame, nlat: int, nlon: int, value="value", keys=("da
     rows = d.select(*k, "iy", "ix", work.alias("v")).groupBy(*k, "iy").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ix", "v"))), lambda x: x["v"]).alias("re"))
     rows = rows.withColumn("im", F.transform("re", lambda x: F.lit(0.0)))
-    rows = rows.select(*k, "iy", F.posexplode(_fft_rows("re", "im")).alias("kx", "z"))
+    rows = rows.select(*k, "iy", _fft_rows("re", "im").alias("z")).select(*k, "iy", F.posexplode(_parts(F.col("z"))).alias("kx", "z"))
     cols = rows.groupBy(*k, "kx").agg(F.array_sort(F.collect_list(F.struct("iy", F.col("z.re").alias("re"), F.col("z.im").alias("im")))).alias("c"))
-    cols = cols.select(*k, "kx", F.posexplode(_fft_rows(F.transform("c", lambda x: x["re"]), F.transform("c", lambda x: x["im"]))).alias("ky", "z"))
+    cols = cols.select(*k, "kx", _fft_rows(F.transform("c", lambda x: x["re"]), F.transform("c", lambda x: x["im"])).alias("z"))
+    cols = cols.select(*k, "kx", F.posexplode(_parts(F.col("z"))).alias("ky", "z"))
 
     def freq(c, n):
         return F.when(F.col(c) * 2 < n, F.col(c)).otherwise(F.col(c) - n) * (1.0 / n)
