@@ -144,14 +144,16 @@ def empirical_variogram(obs: DataFrame, stations: DataFrame, edges, min_pairs=30
         F.map_from_entries(F.collect_list(F.struct(F.dayofmonth(date), F.col(value)))).alias("m"))
     s = s.select(key, "month", F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.try_element_at("m", d)).alias("y"))
     p = J.pairs_within(stations, float(edges[-1]), key).select("a", "b", "km")
+    # No filter on the bin: it would be pushed into the join and recompute the distance per candidate.
     bins = F.lit(None).cast("int")
     for i in reversed(range(len(edges) - 1)):
         bins = F.when((F.col("km") >= float(edges[i])) & (F.col("km") < float(edges[i + 1])), F.lit(i)).otherwise(bins)
-    p = p.withColumn("bin", bins).where(F.col("bin").isNotNull())
+    p = p.withColumn("bin", bins)
     j = p.join(s.select(F.col(key).alias("a"), "month", F.col("y").alias("ya")), "a").join(
         s.select(F.col(key).alias("b"), "month", F.col("y").alias("yb")), ["b", "month"])
     j = j.select("bin", "km", _pair_sums("ya", "yb").alias("d")).select("bin", "km", "d.ss", "d.n")
-    g = j.groupBy("bin").agg(F.sum("ss").alias("ss"), F.sum("n").alias("n_pairs"), F.sum(F.col("km") * F.col("n")).alias("sk"))
+    used = F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(F.lit(0))
+    g = j.groupBy("bin").agg(F.sum("ss").alias("ss"), F.sum(used).alias("n_pairs"), F.sum(F.col("km") * F.col("n")).alias("sk"))
     mids = F.array(*[F.lit((a + b) / 2.0) for a, b in zip(edges[:-1], edges[1:])])
     full = F.col("n_pairs") >= min_pairs
     return g.where("n_pairs > 0").select(
