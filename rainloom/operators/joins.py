@@ -148,7 +148,12 @@ def _band_keys(max_km: float):
 
 
 def pairs_within(points: DataFrame, max_km: float, key: str = "station_id") -> DataFrame:
-    """Unordered point pairs no farther than max_km, by an equi join on grid buckets.
+    """Unordered point pairs no farther than max_km."""
+    return neighbours_within(points, points, max_km, key).where(F.col("a") < F.col("b"))
+
+
+def neighbours_within(left: DataFrame, points: DataFrame, max_km: float, key: str = "station_id") -> DataFrame:
+    """Ordered pairs (a of left, b of points) no farther than max_km, by an equi join on grid buckets.
 
     Buckets are one search radius wide in latitude and, at the highest latitude in a
     band, at least one radius wide in longitude, so only adjacent buckets can pair.
@@ -166,7 +171,7 @@ def pairs_within(points: DataFrame, max_km: float, key: str = "station_id") -> D
         n = F.greatest(F.floor(F.cos(F.radians(top)) * 360.0 / step), F.lit(1))
         return F.floor(F.pmod(lon, F.lit(360.0)) / 360.0 * n).cast("bigint"), n.cast("bigint")
 
-    a = with_keys(points.select(F.col(key).alias("a"), F.col("lat").alias("lat"), F.col("lon").alias("lon")))
+    a = with_keys(left.select(F.col(key).alias("a"), F.col("lat").alias("lat"), F.col("lon").alias("lon")))
     # The left point looks from its own band; the right point is filed under each band that may look at it.
     bucket, _ = lon_bucket(F.col("_band"), F.col("lon"))
     left = a.withColumn("_bucket", bucket).select(
@@ -177,7 +182,7 @@ def pairs_within(points: DataFrame, max_km: float, key: str = "station_id") -> D
     r = r.withColumn("_bucket", F.explode(F.array_distinct(F.transform(
         F.sequence(bucket - 1, bucket + 1), lambda k: F.pmod(k, n)))))
     right = r.select("b", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "_band", "_bucket")
-    j = left.join(right, ["_band", "_bucket"]).where(F.col("a") < F.col("b"))
+    j = left.join(right, ["_band", "_bucket"]).where(F.col("a") != F.col("b"))
     km = S.haversine_km("lat_a", "lon_a", "lat_b", "lon_b")
     return j.withColumn("km", km).where(F.col("km") <= max_km).drop("_band", "_bucket")
 
@@ -236,22 +241,41 @@ def nearest_point(targets: DataFrame, points: DataFrame, target_key, point_key:
     return done
 
 
-def k_nearest(points: DataFrame, k: int = 6, key: str = "station_id", max_km: float = 500.0) -> DataFrame:
-    """k nearest neighbours in the plane scaled by the cosine of the mean latitude."""
-    mean_lat = points.agg(F.avg("lat")).scalar()
-    half = pairs_within(points, max_km, key).withColumn("_c", F.cos(F.radians(mean_lat)))
-    both = half.select("a", "b", (F.col("lat_b") - F.col("lat_a")).alias("dy"),
-                       ((F.col("lon_b") - F.col("lon_a")) * F.col("_c")).alias("dx")).unionByName(
-        half.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("lat_a") - F.col("lat_b")).alias("dy"),
-                    ((F.col("lon_a") - F.col("lon_b")) * F.col("_c")).alias("dx")))
-    d2 = F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-    best = both.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct(d2.alias("d2"), "b", "dy", "dx"))), 1, k).alias("n"))
-    return best.select(F.col("a").alias(key), F.posexplode("n").alias("rank", "n")).select(key, "rank", "n.*")
+def k_nearest(points: DataFrame, k: int = 6, key: str = "station_id", first_km: float = 100.0) -> DataFrame:
+    """k nearest neighbours in the plane scaled by the cosine of the mean latitude.
+
+    A station is settled once its k-th planar distance lies inside what the search
+    radius guarantees; the rest goes on with four times the radius, up to the globe,
+    so no neighbour is missed and dense networks never collect more than they need.
+    """
+    scale = F.cos(F.radians(points.agg(F.avg("lat")).scalar()))
+    open_, done, radius = points.select(key, "lat", "lon"), None, first_km
+    while True:
+        last = radius >= 20100.0
+        p = neighbours_within(open_, points, radius, key).withColumn("_c", scale)
+        p = p.select("a", "b", (F.col("lat_b") - F.col("lat_a")).alias("dy"), ((F.col("lon_b") - F.col("lon_a")) * F.col("_c")).alias("dx"), "_c")
+        d2 = F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
+        g = p.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct(d2.alias("d2"), "b", "dy", "dx"))), 1, k).alias("n"), F.first("_c").alias("_c"))
+        # Beyond the radius a planar distance in degrees is at least radius * cos(mean lat) / km per degree.
+        sure = (F.size("n") >= k) & (F.sqrt(F.get("n", F.lit(k - 1))["d2"]) <= F.col("_c") * (radius / 111.2))
+        g = g.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+        if last:
+            settled = g
+        else:
+            g = cut_lineage(g)
+            settled = g.where("_sure")
+            open_ = open_.join(settled.select(F.col("a").alias(key)), key, "left_anti")
+        settled = settled.select("a", "n")
+        done = settled if done is None else done.unionByName(settled)
+        if last or open_.isEmpty():
+            break
+        radius *= 4.0
+    return done.select(F.col("a").alias(key), F.posexplode("n").alias("rank", "n")).select(key, "rank", "n.*")
 
 
-def bearing_gap(points: DataFrame, k: int = 6, key: str = "station_id", max_km: float = 500.0) -> DataFrame:
+def bearing_gap(points: DataFrame, k: int = 6, key: str = "station_id") -> DataFrame:
     """Largest circular gap between the bearings to the k nearest; 360 without neighbours."""
-    n = k_nearest(points, k, key, max_km)
+    n = k_nearest(points, k, key)
     b = F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(360.0))
     s = n.groupBy(key).agg(F.sort_array(F.collect_list(b)).alias("b"))
     inner = F.zip_with(F.slice("b", 1, F.size("b") - 1), F.slice("b", F.lit(2), F.size("b") - 1), lambda x, y: y - x)

@@ -102,7 +102,7 @@ def joi07b(spark, sf):
 
 
 KNN = """m as (select cos(radians(avg(lat))) as c from fx_station),
-n as (select a.station_id as s, b.station_id as t, b.lat-a.lat as dy, b.lon*1e0*0+(b.lon-a.lon)*c as dx from fx_station a join fx_station b on a.station_id<>b.station_id, m where """ + KM + """<=500),
+n as (select a.station_id as s, b.station_id as t, b.lat-a.lat as dy, (b.lon-a.lon)*c as dx from fx_station a join fx_station b on a.station_id<>b.station_id, m),
 k as (select *, row_number() over (partition by s order by dy*dy+dx*dx, t) as r from n)"""
 
 

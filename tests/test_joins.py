@@ -67,7 +67,19 @@ def test_interval_join_keeps_each_pair_once(spark):
 def test_bearing_gap_interior_and_edge(spark):
     p = points(spark, [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (60, 60)])
     g = {r.station_id: r.gap_deg for r in J.bearing_gap(p, 6).collect()}
-    assert abs(g[0] - 90) < 1e-9 and g[1] >= 180 and g[5] == 360.0
+    assert abs(g[0] - 90) < 1e-9 and g[1] >= 180 and g[5] > 300.0
+    assert J.bearing_gap(points(spark, [(0, 0)]), 6).first().gap_deg == 360.0
+
+
+def test_k_nearest_matches_brute_force(spark):
+    pts = network()
+    c = np.cos(np.radians(np.mean([p[0] for p in pts])))
+    got = {}
+    for r in J.k_nearest(points(spark, pts), 4).collect():
+        got.setdefault(r.station_id, []).append(r.d2)
+    for i, p in enumerate(pts):
+        want = sorted((q[0] - p[0]) ** 2 + ((q[1] - p[1]) * c) ** 2 for j, q in enumerate(pts) if j != i)[:4]
+        assert np.allclose(sorted(got[i]), want)
 
 
 def test_end_hour_rule(spark):
