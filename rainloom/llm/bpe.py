@@ -21,7 +21,7 @@ NO_RANK = np.int32(2**31 - 1)
 #: Piece lengths up to which a row shares a matrix; longer pieces take the heap.
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 #: Rows of a matrix at most.
-ROWS = 1 << 16
+ROWS = 1 << 14
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -192,7 +192,7 @@ class ChunkCoder:
     cache is emptied when it holds `most` chunks, so memory stays bounded whatever the vocabulary.
     """
 
-    most = 1 << 19
+    most = 1 << 18
 
     def clear(self):
         self.fresh: list = [0]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict = {}
@@ -35,19 +37,23 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply fn to each Arrow batch; empty batches never reach it."""
+def slices(batches: Iterator[pa.RecordBatch], by: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most `most` bytes of column `by`, or of one row: what a task holds does not follow the rows of a batch."""
+    for b in batches:
+        if b.num_rows:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(by)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+                yield b.slice(at, end - at)
+                at = end
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, by: str | None = "text") -> DataFrame:
+    """Apply fn to Arrow batches, sliced by the bytes of a column; empty batches never reach it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, by) if by else batches:
             if b.num_rows:
                 yield fn(b)
 
     return df.mapInArrow(run, schema)
-
-
-def spread(x: int) -> int:
-    """Mix the bits of a 64-bit number (the finaliser of the splitmix generator)."""
-    x = (x + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-    return x ^ (x >> 31)

@@ -145,7 +145,7 @@ def assign(ranked: DataFrame, plan: list) -> DataFrame:
             slot[at] = (rank[at] - first[j]) % per[j]
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(slot)], [*b.schema.names, "sequence_id", "place"])
 
-    return map_batches(ranked, run, PIECES + ", class int, rank long, sequence_id long, place long")
+    return map_batches(ranked, run, PIECES + ", class int, rank long, sequence_id long, place long", by=None)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:

@@ -38,7 +38,7 @@ def decode(codes: DataFrame, ranks: str | None = None, pattern: str = public_tok
         back = pa.array([c.decode(np.frombuffer(x, "<u4")) for x in b.column("ids").to_pylist()], pa.binary())
         return pa.RecordBatch.from_arrays([*b.columns, back], [*b.schema.names, "decoded"])
 
-    return map_batches(codes.select("doc_id", "n_tokens", "ids"), run, CODES + ", decoded binary")
+    return map_batches(codes.select("doc_id", "n_tokens", "ids"), run, CODES + ", decoded binary", by="ids")
 
 
 @query("op5_byte_bpe")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rainloom.llm.common import map_batches, query, table, text_or_empty
+from rainloom.llm.common import query, slices, table, text_or_empty
 
 SPACE, SELECTED, FACTORS = 1 << 18, 1024, 8
 #: Labelled rows that selection and fitting read at most, the first by a hash of the id.
@@ -32,7 +32,7 @@ def terms(word: str) -> set[int]:
 class TermCounter:
     """Distinct terms of texts; `keep` narrows them to selected ones. Holds at most `most` words."""
 
-    most = 1 << 19
+    most = 1 << 18
 
     def __init__(self, keep: np.ndarray | None = None):
         self.keep = None if keep is None else {int(t): k for k, t in enumerate(keep)}
@@ -62,7 +62,7 @@ def select_terms(sample: DataFrame, selected: int, min_rows: int = 5) -> list[in
     """The terms with the largest likelihood-ratio statistic of term against label. Counts leave a task once, at most SPACE rows."""
     def count(batches):
         held, pos, neg, rows = TermCounter(), np.zeros(SPACE, np.int64), np.zeros(SPACE, np.int64), [0, 0]
-        for b in batches:
+        for b in slices(batches):
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
                 (pos if label else neg)[held.of(text)] += 1
                 rows[bool(label)] += 1
@@ -86,7 +86,7 @@ def select_terms(sample: DataFrame, selected: int, min_rows: int = 5) -> list[in
 def term_rows(sample: DataFrame, keep: np.ndarray) -> DataFrame:
     def run(batches):
         held = TermCounter(keep)
-        for b in batches:
+        for b in slices(batches):
             got = [held.of(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([x.tolist() for x in got], pa.list_(pa.int32()))], ["label", "terms"])
 
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         held = TermCounter(keep)
-        for b in batches:
+        for b in slices(batches):
             out = np.zeros(b.num_rows)
             for k, text in enumerate(b.column("text").to_pylist()):
                 t = held.of(text or "")
