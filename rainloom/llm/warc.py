@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rainloom.functions.order import quantiles
 from rainloom.llm.common import query, table
-from rainloom.session import checkpoint_dir
+from rainloom.session import checkpoint_dir, cut_lineage
 
 MANIFEST = "shard int, roll int, path string, records long, compressed_bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 #: Copies of a payload are joined to their response in so many salted groups.
 SALTS = 32
+#: Digests, of about 200 bytes each with the response's url, that are broadcast at most.
+BROADCAST_DIGESTS = 100_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -47,15 +49,20 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 
     Of pages with equal payloads of at least min_revisit_bytes the one with the largest id (then url) is the
     response; rows that repeat it wholly are responses too. A null html is an empty payload. Only the digests
-    held more than once are joined back, each in SALTS groups, so a payload shared by a third of all pages is split.
+    held more than once are joined back. Up to BROADCAST_DIGESTS of them are broadcast, which spares the payloads
+    a shuffle; more are joined by shuffle, each in SALTS groups, so a payload shared by a third of all pages is split.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("_payload"))
     p = p.withColumn("_sha", F.sha1("_payload")).withColumn("_len", F.octet_length("_payload"))
     same = p.where(F.col("_len") >= min_revisit_bytes).groupBy("_sha", "_len").agg(
         F.count("*").alias("_n"), F.max(F.struct(F.coalesce("page_id", F.lit(-2**63)).alias("rank"), "page_id", "url")).alias("_first"))
-    same = same.where("_n > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("_n")
-    p = p.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    j = p.join(same, ["_sha", "_len", "_salt"], "left")
+    same = cut_lineage(same.where("_n > 1").drop("_n"))
+    if same.count() <= BROADCAST_DIGESTS:
+        j = p.join(F.broadcast(same), ["_sha", "_len"], "left")
+    else:
+        same = same.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        p = p.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        j = p.join(same, ["_sha", "_len", "_salt"], "left")
     own = F.col("_first").isNull() | (F.col("_first.page_id").eqNullSafe(F.col("page_id")) & F.col("_first.url").eqNullSafe(F.col("url")))
     return j.select("page_id", "url", F.col("_payload").alias("payload"), F.when(~own, F.col("_first")).alias("first"))
 
