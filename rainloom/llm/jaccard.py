@@ -298,6 +298,17 @@ def large_links(large: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFram
     return near.unionByName(compare(cells.join(sets, "id").select("cell", "id", "probe", "elements")))
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """classes() of docs with the group of each row (null without words) and component_id, the group's smallest doc_id."""
+    rows = cut_lineage(classes(docs))
+    own = rows.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
+    label = components(links(docs, rows)).select(F.col("v").alias("f1"), "label")
+    tagged = cut_lineage(own.join(label, "f1", "left"))
+    least = tagged.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
+    named = tagged.join(least, "label", "left").select("f1", "f2", F.coalesce("label", "f1").alias("group"), F.coalesce("least", "first").alias("component_id"))
+    return rows.join(cut_lineage(named), ["f1", "f2"], "left")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
@@ -305,14 +316,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own doc_id. Rows with a null doc_id link as others do but never name a component unless it has no other id
     (then null). Repeated rows give a row each; an empty table gives none.
     """
-    rows = cut_lineage(classes(docs))
-    own = rows.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
-    label = components(links(docs, rows)).select(F.col("v").alias("f1"), "label")
-    tagged = cut_lineage(own.join(label, "f1", "left"))
-    least = tagged.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
-    named = cut_lineage(tagged.join(least, "label", "left").select("f1", "f2", F.coalesce("least", "first").alias("component_id")))
-    out = rows.join(named, ["f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("f1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return grouped(docs).select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group, that with the smallest doc_id (null last), with all its columns; rows without words stay.
+
+    Rows that go are found by id and text hash, so texts are not shuffled while the ids that stay number
+    BROADCAST_IDS at most. Of rows that repeat a whole id and text one stays.
+    """
+    g = cut_lineage(grouped(docs).select("doc_id", "_text_hash", "group"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text_hash")
+    first = cut_lineage(g.where("group is not null").groupBy("group").agg(F.min(order).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("_id"), F.col("k._text_hash").alias("_hash")))
+    d = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("_text_hash"), F.regexp_like(text_or_empty(), F.lit("[^ \\t-\\r]")).alias("_some"), F.struct("*").alias("_row"))
+    few = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
+    kept = d.where("_some").join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    again = g.groupBy("doc_id", "_text_hash").agg(F.count("*").alias("n")).where("n > 1").join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    again = cut_lineage(again.select("_text_hash").distinct())
+    if again.limit(1).count():
+        twice = kept.join(again, "_text_hash", "left_semi").groupBy("doc_id", "_text_hash").agg(F.first("_row").alias("_row"))
+        kept = kept.join(again, "_text_hash", "left_anti").select("_row").unionByName(twice.select("_row"))
+    return kept.select("_row.*").unionByName(d.where("not _some").select("_row.*"))
 
 
 @query("op6_partenum_components")

@@ -29,7 +29,7 @@ PATTERNS = {
 IDENTIFIER = r"(?<![A-Za-z0-9@._%+#/-])[A-Za-z._%+#/-]*+[0-9@][A-Za-z0-9@._%+#/-]*[A-Za-z0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SPAN = "struct<start:int,end:int,left:string,m:string>"
-MIN_SEEDS, MIN_CONFIDENCE, ROUNDS, SALTS = 5, 0.5, 3, 16
+MIN_SEEDS, MIN_CONFIDENCE, ROUNDS, SALTS, BROADCAST_ROWS = 5, 0.5, 3, 16, 100_000
 
 
 def digits(m: Column) -> Column:
@@ -196,20 +196,26 @@ def bootstrapped_pii(spark, sf):
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """Documents with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """Documents with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    Other columns stay. Up to BROADCAST_ROWS texts with spans are marked by a broadcast, more by a shuffled join.
+    """
     s = spans(docs)
-    extra = F.coalesce(F.transform("extra", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))), F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    extra = F.coalesce(F.transform("extra", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))), none)
     every = F.concat(*(named(k, F.lit(k)) for k in KINDS), extra)
-    marks = s.select("_k1", "_k2", F.array_sort(every).alias("_marks")).where(F.size("_marks") > 0).dropDuplicates(["_k1", "_k2"])
-    keyed = docs.withColumn("_text", F.col("text")).withColumn("text", text_or_empty()).select("*", *key()).withColumn("text", F.col("_text")).drop("_text")
+    marks = cut_lineage(s.select("_k1", "_k2", F.array_sort(every).alias("_marks")).where(F.size("_marks") > 0).dropDuplicates(["_k1", "_k2"]))
+    keyed = docs.select("doc_id", text_or_empty().alias("text"), F.struct("*").alias("_row")).select("text", "_row", *key())
     text = F.col("text")
 
     def step(a, x):
         fresh = x["start"] >= a["at"]
         gap = F.substring(text, a["at"] + 1, x["start"] - a["at"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(F.concat(gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))))).otherwise(a["out"]).alias("out"))
+        mark = F.concat(gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(mark))).otherwise(a["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     redacted = F.aggregate("_marks", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    out = keyed.join(marks, ["_k1", "_k2"], "left").withColumn("text", F.when(F.col("_marks").isNull(), text).otherwise(redacted))
-    return out.select(*docs.columns)
+    few = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    out = keyed.join(few, ["_k1", "_k2"], "left").withColumn("_text", F.when(F.col("_marks").isNull(), F.col("_row.text")).otherwise(redacted))
+    return out.select(*(F.col("_text").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from rainloom.llm.common import query, slices, table, text_or_empty
 
@@ -136,8 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, selected
     return {"keep": keep} | fit(x[order], y[order])
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Documents with a column toxicity in 0..1; a null or empty text scores by the bias alone."""
+def score(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:
+    """Documents with a column of that name in 0..1, which replaces one they had; a null or empty text scores by the bias alone."""
     keep, bias, w, v = model["keep"], float(model["bias"][0]), model["w"], model["v"]
     square = (v ** 2).sum(1)
 
@@ -149,11 +150,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 t = held.of(text or "")
                 sums = v[t].sum(0)
                 out[k] = bias + w[t].sum() + 0.5 * ((sums ** 2).sum() - square[t].sum())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], [*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], [*b.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(run, StructType([f for f in docs.schema if f.name != "toxicity"]).add("toxicity", DoubleType()))
+    docs = docs.drop(name)
+    return docs.mapInArrow(run, StructType(list(docs.schema)).add(name, DoubleType()))
 
 
 def held_out():
