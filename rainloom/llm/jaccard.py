@@ -6,8 +6,10 @@ so two such sets agree on some part wholly: the part's content is a signature of
 that a set nearly always has more than k parts with elements in them, and then an agreement on a part with
 elements is certain; the other sets repeat the step with other cuts and at last sign their empty parts too.
 
-Sets are compared exactly afterwards. Equal sets are one class from the start. Classes that share signatures
-form clusters; a cluster of usual size is compared inside one task through an inverted index. A large cluster is
+Sets are compared exactly afterwards. Equal sets are one class from the start. More parts than k + 1 mean that a
+linked pair shares several signatures; pairs that share too few are dropped, counted where a signature is rare
+and bounded by the number of a set's common signatures where it is not. What is left forms clusters; a cluster
+of usual size is compared inside one task through an inverted index. A large cluster is
 thinned first by comparing each class with the leader of its signatures; what is not in the largest component
 then is compared with the whole cluster in cells of bounded size. No pair is ever a row, and none is left out.
 """
@@ -24,6 +26,8 @@ from rainloom.llm.graph import components
 from rainloom.session import cut_lineage
 
 WIDTH, PERCENT, SEEDS = 5, 80, 4
+#: Sets that share a rare signature at most; their pairs are counted. Common signatures are followed by stars.
+RARE = 8
 #: Classes of a cluster that are compared in one task, members and probes of a cell, and ids that may be broadcast.
 SMALL, MEMBERS, PROBES, BROADCAST_IDS = 256, 256, 1024, 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -155,9 +159,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def shared(docs: DataFrame) -> DataFrame:
-    """sig, id, need for the signatures that at least two different sets have.
+    """What sets share: rows a, b, n, need for pairs under rare signatures (n of them in this task), and rows
+    sig, id, 0, need for the members of common ones.
 
-    A task sends each (signature, set) once, however many copies of the set it reads.
+    A task sends each (signature, set) once, however many copies of the set it reads. A rare signature has RARE
+    sets at most, so pairs grow with the rows.
     """
     def sign(batches):
         for b in slices(batches):
@@ -167,23 +173,59 @@ def shared(docs: DataFrame) -> DataFrame:
 
     def meet(batches):
         got = [b for b in batches if b.num_rows]
-        if got:
-            sig, who, need = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in ("sig", "id", "need"))
-            del got
-            order = np.lexsort((who, sig))
-            sig, who, need = sig[order], who[order], need[order]
-            new_sig = np.diff(sig, prepend=sig[0] ^ 1) != 0
-            keep = new_sig | (np.diff(who, prepend=who[0]) != 0)
-            sig, who, need, new_sig = sig[keep], who[keep], need[keep], new_sig[keep]
-            group = np.cumsum(new_sig) - 1
-            some = np.bincount(group)[group] > 1
-            for k in range(0, int(some.sum()), 1 << 18):
-                at = np.flatnonzero(some)[k:k + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(who[at]), pa.array(need[at])], ["sig", "id", "need"])
+        if not got:
+            return
+        sig, who, need = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in ("sig", "id", "need"))
+        del got
+        order = np.lexsort((who, sig))
+        sig, who, need = sig[order], who[order], need[order]
+        new = np.append(True, sig[1:] != sig[:-1])
+        keep = new | np.append(True, who[1:] != who[:-1])
+        sig, who, need, new = sig[keep], who[keep], need[keep], new[keep]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(sig)))
+        a, b, least = [], [], []
+        for c in range(2, RARE + 1):
+            at = start[size == c][:, None] + np.arange(c)
+            for x in range(c):
+                for y in range(x + 1, c):
+                    a.append(who[at[:, x]])
+                    b.append(who[at[:, y]])
+                    least.append(np.maximum(need[at[:, x]], need[at[:, y]]))
+        a, b, least = map(np.concatenate, (a, b, least))
+        order = np.lexsort((b, a))
+        a, b, least = a[order], b[order], least[order]
+        if len(a):
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            yield from rows_of(a[first], b[first], np.diff(np.append(first, len(a))), np.minimum.reduceat(least, first))
+        many = np.repeat(size > RARE, size)
+        yield from rows_of(sig[many], who[many], np.zeros(int(many.sum()), np.int64), need[many])
 
     d = docs.select(text_or_empty().alias("text"))
-    rows = "sig long, id long, need int"
-    return d.mapInArrow(sign, rows).repartition(parts(docs.sparkSession), "sig").mapInArrow(meet, rows)
+    return d.mapInArrow(sign, "sig long, id long, need int").repartition(parts(docs.sparkSession), "sig").mapInArrow(meet, "a long, b long, n int, need int")
+
+
+def rows_of(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, most: int = 1 << 18):
+    for k in range(0, len(a), most):
+        s = slice(k, k + most)
+        yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(n[s].astype(np.int32)), pa.array(need[s].astype(np.int32))], ["a", "b", "n", "need"])
+
+
+def candidates(s: DataFrame) -> DataFrame:
+    """Edges a, b over shared(): within their clusters lies every linked pair.
+
+    A linked pair shares `need` signatures at least. What it can share under common ones is bounded by the
+    number of these that either set has; a pair that meets under common ones alone needs that many of them.
+    """
+    common = s.where("n = 0")
+    held = cut_lineage(common.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("h"), F.min("need").alias("least")))
+    rare = s.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    of = lambda c: held.select(F.col("id").alias(c), F.col("h").alias("h_" + c))
+    rare = rare.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("n") + F.least(F.coalesce("h_a", F.lit(0)), F.coalesce("h_b", F.lit(0))) >= F.col("need"))
+    often = common.join(held.where("h >= least").select(F.col("id").alias("b")), "b").select(F.col("a").alias("sig"), F.col("b").alias("a"))
+    lead = often.groupBy("sig").agg(F.min("a").alias("b"))
+    stars = often.join(lead, "sig").select("a", "b").where("a <> b")
+    return rare.select("a", "b").unionByName(stars).distinct()
 
 
 def links_in(keys: np.ndarray, sets: list[np.ndarray], probe: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -259,12 +301,7 @@ def fetch_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Enough links a, b between different sets (by f1) to give every component of the similarity join."""
-    s = cut_lineage(shared(docs))
-    # An id needs as many shared signatures as its cut guarantees with any partner; counts by `need` tell its two bands apart well enough to stay on the safe side.
-    live = s.groupBy("id").agg(F.count("*").alias("n"), F.min("need").alias("least")).where("n >= least").select("id")
-    s = s.join(live, "id").select("sig", "id")
-    lead = s.groupBy("sig").agg(F.min("id").alias("b"))
-    stars = cut_lineage(s.join(lead, "sig").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
+    stars = cut_lineage(candidates(cut_lineage(shared(docs))))
     cluster = components(stars)
     held = cluster.groupBy("label").agg(F.count("*").alias("n"))
     sets = cut_lineage(fetch_sets(docs, rows, cluster.select(F.col("v").alias("id"))))

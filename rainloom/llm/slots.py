@@ -50,10 +50,12 @@ def rebalance(old: dict[int, int], sizes: dict[int, tuple[int, int]], shards: in
         else:
             loose.append(slot)
     mean = sum(map(size, old)) / shards
+    if not loose and max(load) <= mean * (1 + slack) and min(load) >= mean * (1 - slack):
+        return out
     for shard in range(shards):
-        for slot in sorted((s for s, k in old.items() if k == shard), key=lambda s: (size(s), s)):
-            if load[shard] <= mean * (1 + slack) or load[shard] - size(slot) < mean * (1 - slack):
-                break
+        for slot in sorted((s for s, k in old.items() if k == shard and size(s)), key=lambda s: (-size(s), s)):
+            if load[shard] - size(slot) < mean:
+                continue
             load[shard] -= size(slot)
             loose.append(slot)
     heap = [(used, k) for k, used in enumerate(load)]
