@@ -9,13 +9,17 @@ over a matrix would need n * n.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import json
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
 import regex
+import tiktoken
 
 NO_RANK = np.int32(2**31 - 1)
 #: Piece lengths up to which a row shares a matrix; longer pieces take the heap.
@@ -235,15 +239,36 @@ def rank_file(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@functools.cache
+def category(kind: str) -> str:
+    """Ranges of the characters whose general category begins so, for a character class."""
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)).startswith(kind)
+        if inside and first is None:
+            first = c
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(out)
+
+
 class RankCoder(ChunkCoder):
-    """Byte-level coder of a rank file: each match of the pattern is a piece, merged by the rank of the joined bytes."""
+    """Byte-level coder of a rank file: each match of the pattern is a piece, merged by the rank of the joined bytes.
+
+    Letters and numbers are Python's; chunks with characters newer than Python's tables, which the library may
+    know, are left to it.
+    """
 
     def __init__(self, path: str, pattern: str):
         ranks = rank_file(path)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
             self.tokens[r] = token
-        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"(?!\S)", f"(?![^{WHITE}])").replace(r"\s", f"[{WHITE}]"))
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        letter, number, self.new = category("L"), category("N"), re.compile(f"[{category('Cn')}]")
+        own = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{WHITE}{letter}{number}]").replace(r"(?!\S)", f"(?![^{WHITE}])").replace(r"\s", f"[{WHITE}]")
+        self.pattern = re.compile(own.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]"))
         rows = [(ranks[t[:k]], ranks[t[k:]], r, r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, rank, merged = map(np.asarray, zip(*rows))
         self.pairs = PairTable(left, right, rank, merged)
@@ -264,7 +289,7 @@ class RankCoder(ChunkCoder):
     def encode_chunks(self, fresh: list):
         chunks = [c if source is self.known or c[0] == "\n" else " " + c for source, c in fresh]
         found, word = self.pattern.findall, SPACED_WORD.fullmatch
-        cut = [[c] if word(c) else found(c) for c in chunks]
+        cut = [[c] if word(c) else found(c) if c.isascii() or not self.new.search(c) else [] for c in chunks]
         pieces = [p.encode() for f in cut for p in f]
         whole = np.fromiter((self.whole.get(p, -1) for p in pieces), np.int64, len(pieces))
         rest = np.flatnonzero(whole < 0)
@@ -275,7 +300,7 @@ class RankCoder(ChunkCoder):
         flat = np.zeros(int(n.sum()), np.uint32)
         flat[at[whole >= 0]] = whole[whole >= 0]
         flat[ragged(at[rest], counts)] = ids
-        return flat, per_chunk(n, cut)
+        return by_library(flat, per_chunk(n, cut), {k: self.library.encode_ordinary(chunks[k]) for k, f in enumerate(cut) if not f and chunks[k]})
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -318,15 +343,7 @@ class WordCoder(ChunkCoder):
         found, word = self.pattern.findall, WORD.fullmatch
         cut = [[c.lower()] if word(c) else found(c.lower()) if self.plain(c) else [] for c in chunks]
         ids, n = encode_pieces([p.encode() for f in cut for p in f], self.inner, self.last, self.pairs)
-        counts = per_chunk(n, cut)
-        other = [k for k, f in enumerate(cut) if not f]
-        if not other:
-            return ids, counts
-        rows = np.split(ids, np.cumsum(counts)[:-1])
-        for k in other:
-            rows[k] = np.asarray(self.library.encode(chunks[k], add_special_tokens=False).ids, np.uint32)
-            counts[k] = len(rows[k])
-        return np.concatenate(rows).astype(np.uint32), counts
+        return by_library(ids, per_chunk(n, cut), {k: self.library.encode(chunks[k], add_special_tokens=False).ids for k, f in enumerate(cut) if not f})
 
     def plain(self, chunk: str) -> bool:
         return PLAIN.fullmatch(chunk) is not None and not any(s in chunk for s in self.special)
@@ -339,6 +356,17 @@ def per_chunk(n: np.ndarray, cut: list) -> np.ndarray:
     return ends[upto[1:]] - ends[upto[:-1]]
 
 
+def by_library(ids: np.ndarray, counts: np.ndarray, found: dict[int, list]) -> tuple[np.ndarray, np.ndarray]:
+    """Put the ids of single chunks in place."""
+    if not found:
+        return ids, counts
+    rows = np.split(ids, np.cumsum(counts)[:-1])
+    for k, got in found.items():
+        rows[k] = np.asarray(got, np.uint32)
+        counts[k] = len(got)
+    return np.concatenate(rows).astype(np.uint32), counts
+
+
 def byte_characters() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte: itself where visible, else the next free one from 256 on."""
     visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]

@@ -2,6 +2,7 @@
 
 import random
 import sys
+import unicodedata
 
 import numpy as np
 import public_tokenizers as P
@@ -24,7 +25,7 @@ def noise(n=400, seed=3):
 
 def test_byte_codes_match_library():
     coder, lib = bpe.RankCoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), library()
-    texts = [t or "" for t in ODD] + noise()
+    texts = [t or "" for t in ODD] + noise() + [" \u0558x \u1c89y", "\ua7cb"]
     for got, text in zip(coder.ids(texts), texts):
         assert got.tolist() == lib.encode_ordinary(text)
         assert coder.decode(got) == text.encode()
@@ -33,11 +34,11 @@ def test_byte_codes_match_library():
 def test_classes_of_all_characters_match_library():
     """Letters, numbers and white space as the library has them: c joins a letter, a digit or a space into one piece."""
     coder = bpe.RankCoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-    chars = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
-    ranks = {bytes([b]): b for b in range(256)} | {s.encode(): 256 + k for k, s in enumerate(p + c for p in "a1." for c in chars)}
-    lib = tiktoken.Encoding("classes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
     for p in "a1.":
-        assert [len(lib.encode_ordinary(p + c)) == 1 for c in chars] == [len(coder.pattern.findall(p + c)) == 1 for c in chars]
+        ranks = {bytes([b]): b for b in range(256)} | {(p + c).encode(): 256 + k for k, c in enumerate(chars)}
+        lib = tiktoken.Encoding("classes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        assert [c for c in chars if (len(lib.encode_ordinary(p + c)) == 1) != (len(coder.pattern.findall(p + c)) == 1)] == []
 
 
 def test_cache_is_bounded_and_emptied():
@@ -140,3 +141,13 @@ def test_masked_keeps_rows_and_columns(spark):
     text = {r.doc_id: r.text for r in out.collect()}
     assert text[0] == "mail [EMAIL] now" and text[12] is None and text[5] == "🎉 é [IP] 🎉 [EMAIL]" and "4111 1111" not in text[2] and text[2].endswith("4111-1111-1111-1112")
     assert "Python" not in out._jdf.queryExecution().toString() and sys.version
+
+
+def test_word_coder_matches_library():
+    from tokenizers import Tokenizer
+
+    coder, lib = bpe.WordCoder(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    plain = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x180)]]
+    texts = [t or "" for t in ODD] + noise() + [f"a{c}b 1{c}2 {c} {c}{c}'s" for c in plain] + ["x<|startoftext|>y <|endoftext|>", "<| start"]
+    for got, text in zip(coder.ids(texts), texts):
+        assert got.tolist() == lib.encode(text, add_special_tokens=False).ids, text
