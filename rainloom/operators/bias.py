@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.functions import order as O, scalar as S
+from rainloom.operators.checks import guard
 
 
 def sorted_quantile(s: Column, q) -> Column:
@@ -94,8 +95,8 @@ def apply_quantile_map(df: DataFrame, maps: DataFrame, source: str, keys=("strat
     """Correct each year with the map that left it out; a sample without its map stops the job."""
     m = maps.select(F.col("holdout").alias(year), *keys, "cut", "source_knots", "target_knots")
     j = df.join(m, [year, *keys], "left")
-    guard = F.coalesce(F.col("cut"), F.raise_error(F.lit("no map fitted without this year and stratum")).cast("double"))
-    return j.withColumn(out, map_value(F.col(source), guard, F.col("source_knots"), F.col("target_knots"))).drop(
+    j = j.where(guard(F.col("cut").isNull(), F.lit("no map fitted without this year and stratum")))
+    return j.withColumn(out, map_value(F.col(source), F.col("cut"), F.col("source_knots"), F.col("target_knots"))).drop(
         "cut", "source_knots", "target_knots")
 
 

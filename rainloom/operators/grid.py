@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from rainloom.functions import scalar as S
 from rainloom.functions.lattice import Lattice
 from rainloom.operators import joins as J
+from rainloom.operators.checks import guard
 
 
 def block(c: str, factor: int) -> Column:
@@ -80,9 +81,7 @@ def overlap_weights(source: DataFrame, target: DataFrame, source_id: str, target
 
 def require_covered(weights: DataFrame) -> DataFrame:
     """Stop the job when a target cell is covered by less than 1 - 1e-6."""
-    ok = F.when(F.col("coverage") >= 1 - 1e-6, F.col("weight")).otherwise(
-        F.raise_error(F.lit("source grid does not cover target cell")).cast("double"))
-    return weights.withColumn("weight", ok)
+    return weights.where(guard(F.col("coverage") < 1 - 1e-6, F.lit("source grid does not cover target cell")))
 
 
 def conservative_regrid(field: DataFrame, wy: DataFrame, wx: DataFrame, value="value", keys=("day",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rainloom.functions import scalar as S
 from rainloom.functions.lattice import Lattice
+from rainloom.operators.checks import guard
 from rainloom.session import cut_lineage
 
 
@@ -41,7 +42,7 @@ def many_to_one(facts: DataFrame, dim: DataFrame, key: str, required: str) -> Da
     """Left join to a unique dimension; an unmatched row stops the job."""
     j = facts.join(dim, key, "left")
     bad = F.concat(F.lit(f"no match for {key}="), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
-    return j.withColumn(required, F.coalesce(F.col(required), F.raise_error(bad)))
+    return j.where(guard(F.col(required).isNull(), bad))
 
 
 def pair_by_day(obs: DataFrame, product: DataFrame, offset: int, keys=("station_id",), date="date") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rainloom.functions import draws as D, ensemble as EN, scalar as S
 from rainloom.operators import temporal as T
+from rainloom.operators.checks import guard
 
 
 def day_sums(df: DataFrame, keys, value: str, date="date") -> DataFrame:
@@ -68,8 +69,8 @@ def paired_crps(df: DataFrame, first: str, second: str, keys=("date", "station_i
     def side(name, c):
         return df.where((F.col(method) == name) & EN.usable(members, truth)).select(*keys, *(extra if c == "a" else ()), EN.fair_crps(members, truth).alias(f"_{c}"), F.col(truth).alias(f"_t{c}"))
     j = side(first, "a").join(side(second, "b"), list(keys))
-    ok = F.when(F.abs(F.col("_ta") - F.col("_tb")) <= tolerance, F.col("_a") - F.col("_b")).otherwise(F.raise_error(F.lit("runs were scored against different truth")).cast("double"))
-    return j.select(*keys, *extra, ok.alias("diff"))
+    j = j.where(guard(~(F.abs(F.col("_ta") - F.col("_tb")) <= tolerance), F.lit("runs were scored against different truth")))
+    return j.select(*keys, *extra, (F.col("_a") - F.col("_b")).alias("diff"))
 
 
 def contrasts(df: DataFrame, pairs, **kw) -> DataFrame:

@@ -205,7 +205,9 @@ def supported_holdout(stations: DataFrame, count: int, radius_km=75.0, max_gap_d
     """Spread holdout among stations with a near neighbour and neighbours all around.
 
     Picks that lose their support are swapped for the best-supported unused candidate
-    until every withheld station keeps an assimilated neighbour inside the radius.
+    until every withheld station keeps an assimilated neighbour inside the radius, or
+    as many swaps as candidates were made. A swapped-out station goes back to the pool,
+    behind the others where candidates tie. Runs a few small jobs for each swap.
     """
     near = J.nearest_point(stations, stations, key, key, exclude_self=True).where(F.col("km") <= radius_km)
     gaps = J.bearing_gap(stations, neighbours, key).where(F.col("gap_deg") <= max_gap_deg)
@@ -215,21 +217,22 @@ def supported_holdout(stations: DataFrame, count: int, radius_km=75.0, max_gap_d
         raise ValueError(f"only {n} stations qualify, fewer than the {count} to be withheld")
     mean_lat = stations.agg(F.avg("lat")).first()[0]
     chosen = spread_holdout(eligible, count, key, mean_lat)
-    pairs = cut_lineage(J.pairs_within(stations, radius_km * 4, key).select("a", "b", "km"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "km"))
-    used_up: set = set()
+    back: list = []
+
+    def nearest(of: DataFrame, gone: list) -> DataFrame:
+        left = stations.where(~F.col(key).isin(gone)) if gone else stations
+        return J.nearest_point(of, left, key, key, exclude_self=True).select(key, "km")
+
     for _ in range(n + 1):
-        held = list(chosen)
-        free = both.where(~F.col("b").isin(held))
-        sup = {r["a"]: r["km"] for r in free.where(F.col("a").isin(held)).groupBy("a").agg(F.min("km").alias("km")).collect()}
-        worst = max(held, key=lambda s: (sup.get(s, math.inf), -held.index(s)))
+        sup = {r[key]: r["km"] for r in nearest(stations.where(F.col(key).isin(chosen)), chosen).collect() if r["km"] is not None}
+        worst = max(chosen, key=lambda s: (sup.get(s, math.inf), -chosen.index(s)))
         if sup.get(worst, math.inf) <= radius_km:
-            return sorted(chosen)
-        cand = both.join(eligible.select(F.col(key).alias("a")), "a", "left_semi").where(~F.col("a").isin(held) & ~F.col("a").isin(list(used_up) or [None]))
-        rest = [h for h in held if h != worst]
-        best = cand.where(~F.col("b").isin(rest or [None])).groupBy("a").agg(F.min("km").alias("km")).agg(F.min_by("a", F.struct("km", "a")).alias("a")).first()["a"]
+            break
+        free = eligible.where(~F.col(key).isin(chosen))
+        turn = F.coalesce(F.array_position(F.array(*[F.lit(b) for b in back]), F.col(key)), F.lit(0)) if back else F.lit(0)
+        best = nearest(free, [h for h in chosen if h != worst]).agg(F.min_by(key, F.struct("km", turn, key)).alias("s")).first()["s"]
         if best is None:
             raise ValueError("cannot leave every withheld station an assimilated neighbour")
-        used_up.add(worst)
+        back = [b for b in back if b != best] + [worst]
         chosen[chosen.index(worst)] = best
-    raise ValueError("holdout repair did not settle")
+    return sorted(chosen)

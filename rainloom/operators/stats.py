@@ -301,26 +301,29 @@ def edge_distance(nlat: int, nlon: int) -> Column:
     return F.least(F.col("iy"), F.lit(nlat - 1) - F.col("iy"), F.col("ix"), F.lit(nlon - 1) - F.col("ix"))
 
 
-def distance_to_false(mask: DataFrame, flag: str, levels=(4, 16, 64, 256, 1024, 4096)) -> DataFrame:
-    """Euclidean cell distance of every true cell to the nearest false one.
+def distance_to_false(mask: DataFrame, flag: str, first: int = 4) -> DataFrame:
+    """Euclidean cell distance of every true cell to the nearest false one; NULL only where there is no false cell.
 
-    Only false cells on the rim of the false region can be nearest, and buckets
-    widen until the neighbourhood proves the distance.
+    Only false cells on the rim of the false region can be nearest. Buckets widen fourfold until the neighbourhood
+    proves the distance or spans the mask. Runs a job for each width while the plan is built.
     """
+    ends = mask.agg(F.min("iy"), F.max("iy"), F.min("ix"), F.max("ix")).first()
+    span = max((b - a for a, b in ((ends[0], ends[1]), (ends[2], ends[3])) if a is not None), default=0)
     f = mask.where(~F.col(flag)).select(F.col("iy").alias("fy"), F.col("ix").alias("fx"))
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
     t = mask.where(F.col(flag)).select("iy", "ix")
     touched = t.withColumn("_o", near).select((F.col("iy") + F.col("_o.y")).alias("fy"), (F.col("ix") + F.col("_o.x")).alias("fx")).distinct()
     rim = f.join(touched, ["fy", "fx"], "left_semi")
     open_, done = t, None
-    for i, size in enumerate(levels):
+    size = first
+    while True:
         around = F.array(*[F.struct((F.floor(F.col("iy") / size) + a).alias("_by"), (F.floor(F.col("ix") / size) + b).alias("_bx"))
                            for a in (-1, 0, 1) for b in (-1, 0, 1)])
         look = open_.withColumn("_k", F.explode(around)).select("iy", "ix", "_k.*")
         filed = rim.withColumn("_by", F.floor(F.col("fy") / size)).withColumn("_bx", F.floor(F.col("fx") / size))
         dy, dx = F.col("iy") - F.col("fy"), F.col("ix") - F.col("fx")
         best = look.join(filed, ["_by", "_bx"], "left").groupBy("iy", "ix").agg(F.min(F.sqrt((dy * dy + dx * dx).cast("double"))).alias("distance"))
-        last = i == len(levels) - 1
+        last = size > span
         if not last:
             best = J.cut_lineage(best)
         out = best if last else best.where(F.col("distance") <= size)
@@ -330,6 +333,7 @@ def distance_to_false(mask: DataFrame, flag: str, levels=(4, 16, 64, 256, 1024,
         open_ = best.where(F.col("distance").isNull() | (F.col("distance") > size)).select("iy", "ix")
         if open_.isEmpty():
             break
+        size *= 4
     return done
 
 

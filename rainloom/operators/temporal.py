@@ -110,15 +110,15 @@ def window_pattern_correlation(df: DataFrame, a: str, b: str, days: int, start:
 # ---- climatology ----------------------------------------------------------
 
 def doy_climatology(df: DataFrame, value="value", day="day", smooth: int = 1) -> DataFrame:
-    """Day-of-year mean per cell, missing as zero, circular running mean over 366 days.
+    """Day-of-year mean per cell for all 366 days, missing as zero, then a circular running mean.
 
-    Day counts come from the calendar of the record, not from the cell. Days of the
-    year without support have value zero and are left out of the result.
+    Day counts come from the calendar of the record, not from the cell.
     """
     d = df.withColumn("doy", F.dayofyear(day) - 1)
     n = d.groupBy("doy").agg(F.countDistinct(day).alias("n_days"))
     s = d.groupBy("doy", "iy", "ix").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("s")).join(n, "doy")
-    c = s.select("doy", "iy", "ix", (F.col("s") / F.col("n_days")).alias("climatology"))
+    whole = df.select("iy", "ix").distinct().withColumn("doy", F.explode(F.sequence(F.lit(0), F.lit(365))))
+    c = whole.join(s, ["doy", "iy", "ix"], "left").select("doy", "iy", "ix", F.coalesce(F.col("s") / F.col("n_days"), F.lit(0.0)).alias("climatology"))
     if smooth <= 1:
         return c
     offsets = F.array(*[F.lit(o) for o in range(-((smooth - 1) // 2), smooth // 2 + 1)])

@@ -91,6 +91,8 @@ def base_comparison(df: DataFrame, candidate: str, keys=(), pred="pred", obs="ob
 
 
 def anomaly_metrics(df: DataFrame, keys=(), pred="pred", obs="obs", active=1.0) -> DataFrame:
+    """Scores of anomalies. They are rounded to nine digits first: an anomaly on the threshold must not hang on the order of a sum."""
+    df = df.withColumn(pred, F.round(pred, 9)).withColumn(obs, F.round(obs, 9))
     d, p, o = _d(pred, obs), F.col(pred), F.col(obs)
     agree = F.when(F.abs(o) >= active, (F.signum(p) == F.signum(o)).cast("double"))
     return paired(df, pred, obs).groupBy(*keys).agg(
@@ -348,14 +350,23 @@ def alignment_label(temporal: DataFrame, spatial: DataFrame, gain=0.05) -> DataF
 
 # ---- station baselines and composites -------------------------------------
 
-def idw(assimilated: DataFrame, withheld: DataFrame, stations: DataFrame, value: str, max_km: float, power=2.0, key="station_id", date="date") -> DataFrame:
-    """Inverse-distance prediction at withheld stations from the gauges available each day within max_km."""
-    p = J.pairs_within(stations, max_km, key)
-    both = p.select(F.col("a").alias("_e"), F.col("b").alias("_s"), "km").unionByName(p.select(F.col("b").alias("_e"), F.col("a").alias("_s"), "km"))
-    both = both.join(withheld.select(F.col(key).alias("_e")), "_e", "left_semi")
-    w = F.pow(F.greatest("km", F.lit(1e-6)), F.lit(-power))
-    j = both.join(assimilated.where(F.col(value).isNotNull()).select(F.col(key).alias("_s"), date, value), "_s")
-    return j.groupBy(F.col("_e").alias(key), date).agg((F.sum(F.col(value) * w) / F.sum(w)).alias("idw"), F.count("*").alias("n_gauges"))
+def idw(assimilated: DataFrame, withheld: DataFrame, stations: DataFrame, value: str, power=2.0, key="station_id", date="date", chunks: int = 32) -> DataFrame:
+    """Inverse-distance prediction at every withheld station for every date of the gauges, from all gauges with a value that day.
+
+    Distances are planar degrees, longitudes scaled by the cosine of the mean latitude of `stations`. Weights and
+    weighted values are summed per station and date before the shuffle, over gauges dealt into chunks; a day without
+    a value anywhere has a NULL prediction and no gauges.
+    """
+    here = stations.select(F.col(key).alias("_s"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
+    shrink = stations.agg(F.cos(F.radians(F.avg("lat"))).alias("c")).scalar()
+    gauges = assimilated.select(F.col(key).alias("_s"), date, F.col(value).alias("_v")).join(here, "_s")
+    days = assimilated.select(date).distinct().select(F.lit(None).cast("double").alias("_v"), date, F.lit(None).cast("double").alias("_la"), F.lit(None).cast("double").alias("_lo"))
+    gauges = gauges.select(F.col("_v").cast("double"), date, F.col("_la").cast("double"), F.col("_lo").cast("double")).unionByName(days)
+    gauges = gauges.withColumn("_c", F.pmod(F.xxhash64(date, "_la", "_lo"), F.lit(chunks)).cast("int"))
+    at = withheld.select(F.col(key), F.col("lat").alias("_y"), F.col("lon").alias("_x")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    d = F.sqrt(F.pow((F.col("_lo") - F.col("_x")) * shrink, 2) + F.pow(F.col("_la") - F.col("_y"), 2))
+    w = F.when(F.col("_v").isNotNull(), F.pow(F.greatest(d, F.lit(1e-6)), F.lit(-power)))
+    return gauges.join(at, "_c").groupBy(key, date).agg(S.ratio(F.sum(F.col("_v") * w), F.sum(w)).alias("idw"), F.count("_v").alias("n_gauges"))
 
 
 def scale_ladder(df: DataFrame, factors, area: Column | None = None, pred="pred", obs="obs", keys=("day",), group=()) -> DataFrame:

@@ -106,7 +106,8 @@ def tmp08(spark, sf):
 @query("tmp09_doy_climatology", """
 with g as (select dayofyear(l_shipdate)-1 as doy, cast(l_shipdate as date) as day, cast(l_partkey%4 as int) as iy, cast(l_suppkey%4 as int) as ix, l_quantity as v from lineitem),
 n as (select doy, count(distinct day) as nd from g group by 1),
-c as (select g.doy, iy, ix, sum(v)/any_value(nd) as c from g join n on g.doy=n.doy group by 1,2,3)
+s as (select g.doy, iy, ix, sum(v)/any_value(nd) as c from g join n on g.doy=n.doy group by 1,2,3),
+c as (select w.doy, w.iy, w.ix, coalesce(s.c, 0e0) as c from (select distinct iy, ix, y.doy from g, (select unnest(range(366)) as doy) y) w left join s on s.doy=w.doy and s.iy=w.iy and s.ix=w.ix)
 select cast((doy+o+366)%366 as int) as doy, iy, ix, floor((sum(c)/5)*1e6+0.5e0)/1e6 as climatology from c, (select unnest([-2,-1,0,1,2]) as o) group by 1,2,3""")
 def tmp09(spark, sf):
     li = table(spark, sf, "lineitem").select(

@@ -100,7 +100,7 @@ ANOM = f"""count(*) as n, {q6(corr_sql("pred","obs"),"correlation")}, {q6("sqrt(
  {q6("var_pop(pred)/nullif(var_pop(obs),0)","variance_ratio")}, {q6("avg(case when abs(obs)>=1 then case when sign(pred)=sign(obs) then 1e0 else 0e0 end end)","sign_agreement")}"""
 
 
-@query("ver07_anomaly_metrics", sql("fx_grid", f"""with r as (select year(day) as year, ref-avg(ref) {W3} as pred, value-avg(value) {W3} as obs from fx_grid) select cast(year as int) as year, {ANOM} from r group by 1"""))
+@query("ver07_anomaly_metrics", sql("fx_grid", f"""with r as (select year(day) as year, round(ref-avg(ref) {W3}, 9) as pred, round(value-avg(value) {W3}, 9) as obs from fx_grid) select cast(year as int) as year, {ANOM} from r group by 1"""))
 def ver07(spark, sf):
     d = GR.scale_decompose(V.grid(spark, sf), 3).withColumnRenamed("residual", "obs").drop("coarse")
     d = GR.scale_decompose(d, 3, "ref").withColumnRenamed("residual", "pred")
@@ -354,12 +354,12 @@ def ver38c(spark, sf):
 
 
 @query("ver39_idw_baseline", sql("fx_station fx_obs", f"""
-with p as (select w.station_id as e, s.station_id as s, {hav("w.lat","w.lon","s.lat","s.lon")} as km from fx_station w join fx_station s on w.station_id<>s.station_id where w.station_id%5=0 and s.station_id%5<>0),
-k as (select * from p where km<=120)
-select e as station_id, date, {q6("sum(precip_mm*pow(greatest(km,1e-6),-2))/sum(pow(greatest(km,1e-6),-2))","idw")}, count(*) as n_gauges from k join fx_obs o on o.station_id=k.s group by 1,2"""))
+with k as (select cos(radians(avg(lat))) as c from fx_station),
+p as (select w.station_id as e, s.station_id as s, pow(greatest(sqrt(pow((s.lon-w.lon)*k.c,2)+pow(s.lat-w.lat,2)),1e-6),-2) as w from fx_station w, fx_station s, k where w.station_id%5=0 and s.station_id%5<>0)
+select e as station_id, date, {q6("sum(precip_mm*w)/sum(w)","idw")}, count(*) as n_gauges from p join fx_obs o on o.station_id=p.s group by 1,2"""))
 def ver39(spark, sf):
     o = V.obs(spark, sf)
-    return report(X.idw(o.where("station_id % 5 <> 0"), V.station(spark, sf).where("station_id % 5 = 0"), V.station(spark, sf), "precip_mm", 120.0))
+    return report(X.idw(o.where("station_id % 5 <> 0"), V.station(spark, sf).where("station_id % 5 = 0"), V.station(spark, sf), "precip_mm"))
 
 
 @query("ver40_single_day_comparison", sql("fx_grid fx_station", f"""

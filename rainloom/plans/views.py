@@ -61,18 +61,20 @@ def grid(spark, sf):
     ).agg(F.avg("l_quantity").alias("value"), (F.avg("l_extendedprice") / 1000).alias("ref"))
 
 
-def _ens(spark, sf, first, extra=()):
-    e = table(spark, sf, "embeddings")
-    st = F.floor(F.col("vec_id") / 50).cast("int")
+def _ens(spark, sf):
+    """Four samples of 16 members from each vector of 64 components."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    e = table(spark, sf, "embeddings").withColumn("c", part)
+    st = (F.floor(F.col("vec_id") / 50) * 4 + F.col("c")).cast("int")
     return e.select(
-        F.col("vec_id").alias("sample_id"), (F.col("vec_id") % 50).cast("int").alias("day"),
+        (F.col("vec_id") * 4 + F.col("c")).alias("sample_id"), (F.col("vec_id") % 50).cast("int").alias("day"),
         st.alias("station"), (st % 5).cast("int").alias("fold"),
         (F.col("label") * F.lit(0.05) - F.lit(0.2)).alias("truth"),
-        F.transform(F.slice("embedding", first, 16), lambda x: x.cast("double")).alias("members"), *extra)
+        F.transform(F.slice("embedding", F.col("c") * 16 + 1, 16), lambda x: x.cast("double")).alias("members"))
 
 
 def ens(spark, sf):
-    return _ens(spark, sf, 1)
+    return _ens(spark, sf)
 
 
 def rain_ens(spark, sf):
@@ -85,10 +87,10 @@ def rain_ens(spark, sf):
 
 
 def methods(spark, sf):
-    """Three methods over the same truth, as long rows keyed by method; dates are real."""
+    """Four methods over the same truth, as long rows keyed by method; dates are real."""
     arms = F.explode(F.array(*[
         F.struct(F.lit(name).alias("method"), F.slice("embedding", first, 16).alias("m"))
-        for name, first in (("background", 1), ("gauges", 17), ("combined", 33))]))
+        for name, first in (("background", 1), ("gauges", 17), ("combined", 33), ("satellite", 49))]))
     e = table(spark, sf, "embeddings").withColumn("arm", arms)
     st = F.floor(F.col("vec_id") / 50).cast("int")
     return e.select(
@@ -109,9 +111,9 @@ SQL = {
     "fx_pair": "select o.station_id, o.date, o.precip_mm as obs, p.product_mm as pred from fx_obs o join fx_prod p on o.station_id=p.station_id and o.date=p.date",
     "fx_multipair": "select p.product, p.station_id, p.date, o.precip_mm as obs, p.pred from fx_multi p join fx_obs o on o.station_id=p.station_id and o.date=p.date",
     "fx_grid": "select cast(date_trunc('month', l_shipdate) as date) as day, cast(l_partkey%16 as int) as iy, cast(l_suppkey%16 as int) as ix, avg(l_quantity) as value, avg(l_extendedprice)/1000 as ref from lineitem group by 1,2,3",
-    "fx_ens": "select vec_id as sample_id, cast(vec_id%50 as int) as day, cast(floor(vec_id/50) as int) as station, cast(floor(vec_id/50) as int)%5 as fold, label*0.05e0-0.2e0 as truth, [cast(x as double) for x in embedding[1:16]] as members from embeddings",
+    "fx_ens": "select vec_id*4+c as sample_id, cast(vec_id%50 as int) as day, cast(floor(vec_id/50)*4+c as int) as station, cast(floor(vec_id/50)*4+c as int)%5 as fold, label*0.05e0-0.2e0 as truth, [cast(x as double) for x in embedding[c*16+1:c*16+16]] as members from embeddings, (select unnest(range(4)) as c)",
     "fx_rain_ens": "select sample_id, day, station, fold, greatest(truth,0e0)*100 as truth, [greatest(x,0e0)*100 for x in members] as members from fx_ens",
-    "fx_methods": "select a.method, cast(date '2024-05-01' + cast(vec_id%50 as int) as date) as date, cast(floor(vec_id/50) as int) as station_id, cast(floor(vec_id/50) as int)%5 as fold, greatest(label*0.05e0-0.2e0,0e0)*100 as truth, [greatest(cast(x as double),0e0)*100 for x in embedding[a.f:a.f+15]] as members from embeddings, (values ('background',1),('gauges',17),('combined',33)) a(method,f)",
+    "fx_methods": "select a.method, cast(date '2024-05-01' + cast(vec_id%50 as int) as date) as date, cast(floor(vec_id/50) as int) as station_id, cast(floor(vec_id/50) as int)%5 as fold, greatest(label*0.05e0-0.2e0,0e0)*100 as truth, [greatest(cast(x as double),0e0)*100 for x in embedding[a.f:a.f+15]] as members from embeddings, (values ('background',1),('gauges',17),('combined',33),('satellite',49)) a(method,f)",
 }
 NEEDS = {"fx_pair": ["fx_obs", "fx_prod"], "fx_multipair": ["fx_multi", "fx_obs"], "fx_rain_ens": ["fx_ens"]}
 

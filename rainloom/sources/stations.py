@@ -79,8 +79,8 @@ def month_matrix_long(matrix: DataFrame, max_mm: float = 1000.0) -> DataFrame:
     text = F.concat_ws("-", F.lpad(F.col("_y").cast("string"), 4, "0"), F.lpad(F.col("_m").cast("string"), 2, "0"), F.lpad("_d", 2, "0"))
     d = d.withColumn("date", F.try_to_date(text, "yyyy-MM-dd")).where("date is not null")
     cell = F.coalesce("cell", F.lit(""))
-    good = F.when(S.is_unknown_token(cell), F.raise_error(F.concat(F.lit("unrecognized precipitation token "), cell)).cast("double")).otherwise(S.clean_legacy(cell, max_mm))
-    return d.select("name", "date", good.alias("precip_mm"))
+    d = d.where(C.guard(S.is_unknown_token(cell), F.concat(F.lit("unrecognized precipitation token "), cell)))
+    return d.select("name", "date", S.clean_legacy(cell, max_mm).alias("precip_mm"))
 
 
 def locate(long: DataFrame, catalog: DataFrame, aliases=None) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -285,3 +286,76 @@ def test_running_scores_match_batch(spark, tmp_path):
     got = {r["product"]: (r.n, round(r.corr, 9), round(r.rmse, 9)) for r in WN.latest_scores(spark, str(tmp_path / "out"), ["product"]).collect()}
     b = spark.read.parquet(str(tmp_path / "in")).groupBy("product").agg(F.count("*").alias("n"), F.corr("pred", "obs").alias("c"), F.sqrt(F.avg((F.col("pred") - F.col("obs")) ** 2)).alias("r"))
     assert got == {r["product"]: (r.n, round(r.c, 9), round(r.r, 9)) for r in b.collect()}
+
+
+# ---- guards under pruning -------------------------------------------------
+
+def stops(df, match):
+    for narrow in (lambda d: d.select(d.columns[0]).collect(), lambda d: d.count()):
+        with pytest.raises(Exception, match=match):
+            narrow(df)
+
+
+def test_guards_hold_when_their_columns_are_pruned(spark):
+    from rainloom.operators import bias as B, grid as GR, joins as J, resample as RS
+    from rainloom.sources import stations as ST
+
+    facts, dim = spark.createDataFrame([(1, "a"), (2, "b")], "v int, k string"), spark.createDataFrame([("a", 7)], "k string, id int")
+    stops(J.many_to_one(facts, dim, "k", "id").select("v"), "no match for k=b")
+    assert J.many_to_one(facts.where("v = 1"), dim, "k", "id").count() == 1
+    stops(GR.require_covered(spark.createDataFrame([(1, 0.5, 0.4)], "t int, weight double, coverage double")).select("t"), "does not cover")
+    row = ["x", "2020", "1", *["5"] * 30, "what"]
+    stops(ST.month_matrix_long(spark.createDataFrame([row], ["Stati", "Year", "Month", *map(str, range(1, 32))])).select("name"), "unrecognized precipitation token")
+    runs = spark.createDataFrame([("2020-01-01", 1, "p", [1.0, 2.0], 1.0), ("2020-01-01", 1, "q", [1.0, 2.0], 2.0)], "date string, station_id int, method string, members array<double>, truth double")
+    stops(RS.paired_crps(runs, "p", "q").select("date"), "different truth")
+    maps = spark.createDataFrame([(2020, 1, 0, 0, 0.1, [1.0], [1.0])], "holdout int, stratum int, iy int, ix int, cut double, source_knots array<double>, target_knots array<double>")
+    obs = spark.createDataFrame([(5.0, 2021, 1, 0, 0)], "v double, year int, stratum int, iy int, ix int")
+    stops(B.apply_quantile_map(obs, maps, "v").select("v"), "no map fitted")
+
+
+def test_distance_to_a_far_false_cell(spark):
+    from rainloom.operators import stats as ST
+
+    cells = [(0, k, k > 0) for k in range(9000)]
+    got = {r.ix: r.distance for r in ST.distance_to_false(spark.createDataFrame(cells, "iy int, ix int, ok boolean"), "ok", 4).collect()}
+    assert got == {k: float(k) for k in range(1, 9000)}
+    none = ST.distance_to_false(spark.createDataFrame([(0, 1, True), (3, 3, True)], "iy int, ix int, ok boolean"), "ok").collect()
+    assert [r.distance for r in none] == [None, None]
+
+
+def test_idw_weighs_every_gauge_and_keeps_every_day(spark):
+    from rainloom.operators import verify as X
+
+    at = [(1, 20.0, 88.0), (2, 21.0, 88.0), (3, 60.0, 120.0)]
+    st = spark.createDataFrame(at, "station_id int, lat double, lon double")
+    obs = spark.createDataFrame([(2, "d1", 4.0), (3, "d1", 100.0), (2, "d2", None)], "station_id int, date string, v double")
+    got = {r.date: r for r in X.idw(obs, st.where("station_id = 1"), st, "v").collect()}
+    c = math.cos(math.radians(sum(a[1] for a in at) / 3))
+    w = [1.0, 1 / ((32 * c) ** 2 + 40 ** 2)]
+    assert abs(got["d1"].idw - (4 * w[0] + 100 * w[1]) / sum(w)) < 1e-12 and got["d1"].n_gauges == 2
+    assert got["d2"].idw is None and got["d2"].n_gauges == 0
+
+
+def test_cluster_without_a_shared_folder_stops(monkeypatch):
+    from rainloom import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
+def test_written_tables_are_released(spark):
+    from rainloom import session
+
+    df = session.cut_lineage(spark.range(5))
+    path = session.WRITTEN[-1]
+    assert df.count() == 5 and session.release(spark) > 0 and not os.path.exists(path.removeprefix("file:"))
