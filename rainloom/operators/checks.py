@@ -25,6 +25,13 @@ def require_unique(df: DataFrame, keys) -> DataFrame:
     return d.where(guard(F.col("_copies") > 1, label)).drop("_copies")
 
 
+def require_same(df: DataFrame, source: str, n: int, keys) -> DataFrame:
+    """Pass rows through; a key that not all n sources hold stops the job when it runs."""
+    label = F.concat(F.lit(f"sources differ in {','.join(keys)}: "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
+    held = df.groupBy(*keys).agg(F.countDistinct(source).alias("_sources"))
+    return df.join(held, list(keys)).where(guard(F.col("_sources") != n, label)).drop("_sources")
+
+
 def missing_steps(df: DataFrame, axis: str, start: Column, end: Column, step: str = "interval 1 day", keys=()) -> DataFrame:
     """Expected axis positions (per key) that the data lacks."""
     base = df.select(*keys).distinct() if keys else df.sparkSession.range(1).drop("id")

@@ -11,7 +11,7 @@ from rainloom.functions.lattice import VIEW_LATTICE as G
 from rainloom.operators import checks as C, ensembles as E, grid as GR, resample as B, select as SE, stats as ST, temporal as T, update as U, verify as X
 from rainloom.plans import views as V
 from rainloom.plans.ensembles import FAIR, per_sample, sdraw
-from rainloom.plans.grids import AREA, BLK, CORNERS, W3, area, smooth
+from rainloom.plans.grids import AREA, BLK, CORNERS, SMOOTH, W3, area, smooth
 from rainloom.plans.joins import GM, GS, grid_members
 from rainloom.plans.registry import query
 from rainloom.plans.scalars import q6
@@ -218,7 +218,9 @@ def chk06(spark, sf):
     return C.spacing(a, "x", 31.0)
 
 
-@query("chk07_conservation", sql("fx_grid", f"with b as (select day, {BLK} from fx_grid group by 1,2,3) select 0e0 as max_error, count(*) as blocks from b"))
+@query("chk07_conservation", sql("fx_grid", f"""with {SMOOTH},
+f as (select day, {BLK}, sum(v*{AREA})/sum({AREA}) as v from sm group by 1,2,3), c as (select day, {BLK}, sum(value*{AREA})/sum({AREA}) as v from fx_grid group by 1,2,3)
+select {q6("max(abs(f.v-c.v))","max_error")}, count(*) as blocks from f join c using (day, "by", bx)"""))
 def chk07(spark, sf):
     coarse = GR.area_block_mean(V.grid(spark, sf), 4, area(), 0.0).select("day", "by", "bx", "value")
     c = C.conservation(smooth(spark, sf), coarse, ["day", "by", "bx"], area())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rainloom.functions import ensemble as EN, scalar as S
@@ -13,6 +15,7 @@ from rainloom.plans.registry import query
 from rainloom.plans.scalars import q6
 from rainloom.plans.stats import report
 from rainloom.plans.views import sql, table
+from rainloom.session import checkpoint_dir
 from rainloom.sources import archive as A, granules as GN, stations as ST
 
 R = S.rounded
@@ -115,18 +118,36 @@ with w as (select cast(l_shipdate as date) as day, l_linenumber as shard, l_quan
 select w.day, w.shard, count(*) as n, {q6("sum(l_quantity)","total")} from w join f on f.day=w.day and f.shard=w.shard group by 1,2""")
 def src07(spark, sf):
     li = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"), F.col("l_linenumber").alias("shard"), "l_quantity")
-    return report(GN.subset_shards(li, "1995-03-01", "1995-08-31", [], "shard").groupBy("day", "shard").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total")))
+    return report(GN.subset_shards(li, "1995-03-01", "1995-08-31", "shard", complete=False).groupBy("day", "shard").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total")))
+
+
+@query("src07_complete_window", f"""
+with w as (select cast(ts as date) as day, event_type as shard, value from events where cast(ts as date) between date '2024-01-05' and date '2024-01-20'), f as (select day, min(shard) as shard from w group by 1)
+select w.day, w.shard, count(*) as n, {q6("sum(value)","total")} from w join f on f.day=w.day and f.shard=w.shard group by 1,2""")
+def src07b(spark, sf):
+    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("shard"), "value", F.lit("mm / day").alias("units"), F.lit(3).alias("hour"))
+    return report(GN.subset_shards(e, "2024-01-05", "2024-01-20", "shard", units="units", end_hour="hour").groupBy("day", "shard").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
+@query("src08_checked_concat", sql("fx_grid", f"""
+with b as (select day, floor(iy/8) as iy, floor(ix/8) as ix, avg(value) as v, avg(ref) as r from fx_grid group by 1,2,3),
+u as (select 0 as o, day, iy, ix, v from b where day<date '1996-01-01' union all select 1, day, iy, ix, r from b where day>=date '1996-01-01')
+select o as file_order, day, count(*) as cells, {q6("avg(v)","mean")} from u group by 1,2"""))
+def src08b(spark, sf):
+    g = V.grid(spark, sf).groupBy("day", F.floor(F.col("iy") / 8).alias("iy"), F.floor(F.col("ix") / 8).alias("ix")).agg(F.avg("value").alias("v"), F.avg("ref").alias("r"))
+    d = GN.concat_products([g.where("day < date '1996-01-01'").drop("r"), g.where("day >= date '1996-01-01'").select("day", "iy", "ix", F.col("r").alias("v"))])
+    return report(d.groupBy(F.col("_file_order").alias("file_order"), "day").agg(F.count("*").alias("cells"), F.avg("v").alias("mean")))
 
 
 @query("src08_product_concat", sql("fx_grid", f"""
 with u as (select 0 as o, day, iy, ix, value as v from fx_grid where day<date '1996-01-01' union all select 1, day, iy, ix, case when ref*25 between 0 and 1000 then ref*25 end from fx_grid where day>=date '1995-06-01')
-select o as file_order, day, count(*) as cells, count(v) as valid, {q6("avg(v)","mean")} from u group by 1,2"""))
+select o as file_order, day, count(*) as cells, count(v) as valid, {q6("round(avg(v),9)","mean")} from u group by 1,2"""))
 def src08(spark, sf):
     g = V.grid(spark, sf)
     a = g.where("day < date '1996-01-01'").select("day", "iy", "ix", F.col("value").alias("v"))
     b = g.where("day >= date '1995-06-01'").select("day", "iy", "ix", (F.col("ref") * 25).alias("v")).withColumn("v", GN.bounded("v"))
     d = GN.merge_products([a, b]).withColumnRenamed("_file_order", "file_order")
-    return report(d.groupBy("file_order", "day").agg(F.count("*").alias("cells"), F.count("v").alias("valid"), F.avg("v").alias("mean")))
+    return report(d.groupBy("file_order", "day").agg(F.count("*").alias("cells"), F.count("v").alias("valid"), F.round(F.avg("v"), 9).alias("mean")))
 
 
 @query("src09_pending_years", """
@@ -144,10 +165,19 @@ def src10(spark, sf):
     return report(d.select("method", "date", "station_id", "ensemble_mean", "ensemble_std"))
 
 
+@query("src10_archive_round_trip", sql("fx_methods", f"""
+select method, count(*) as n, count(distinct date) as days, {q6("avg(list_avg(members))","ensemble_mean")}, {q6("avg(list_stddev_samp(members))","ensemble_std")} from fx_methods group by 1"""))
+def src10b(spark, sf):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rainloom-archive-{uuid.uuid4().hex}"
+    A.write_ensemble(V.methods(spark, sf), path, ["background", "gauges", "combined", "satellite"], day="date")
+    back = spark.read.parquet(path).groupBy("method").agg(F.count("*").alias("n"), F.countDistinct("date").alias("days"), F.avg("ensemble_mean").alias("ensemble_mean"), F.avg("ensemble_std").alias("ensemble_std"))
+    return report(back)
+
+
 @query("src11_season_union", sql("fx_methods", f"select method, strftime(date,'%Y-%m') as month, count(distinct date) as days, count(*) as n, {q6('avg(truth)','truth')} from fx_methods group by 1,2"))
 def src11(spark, sf):
     m = V.methods(spark, sf)
-    u = A.union_seasons([m.where("date < date '2024-05-20'"), m.where("date >= date '2024-05-20'")], day="date")
+    u = A.union_seasons([m.where("date < date '2024-05-20'"), m.where("date >= date '2024-05-20'")], day="date", grid=["station_id"])
     return report(u.groupBy("method", F.date_format("date", "yyyy-MM").alias("month")).agg(F.countDistinct("date").alias("days"), F.count("*").alias("n"), F.avg("truth").alias("truth")))
 
 
@@ -188,5 +218,5 @@ def src15(spark, sf):
     a = g.where("day < date '1996-06-01'").select("day", "iy", "ix", "value")
     b = g.where("day >= date '1996-01-01'").select("day", "iy", "ix", F.col("ref").alias("value"))
     one = GN.latest_wins(GN.merge_products([a, b]), ["day", "iy", "ix"])
-    s = J.bilinear_sample(one, V.station(spark, sf), G)
+    s = GN.at_stations(one, V.station(spark, sf), G)
     return report(s.select("station_id", F.date_add("day", 1).alias("date"), F.col("day").alias("product_day"), F.log1p("value").alias("log_value")))

@@ -65,23 +65,29 @@ def write_ensemble(df: DataFrame, path: str, methods, day="day", method="method"
     derived_moments(df, land, members).write.mode("errorifexists").partitionBy(method).parquet(path)
 
 
-def union_seasons(frames: list[DataFrame], day="day", method="method") -> DataFrame:
-    """Seasons of one archive: no day may come from two of them."""
+def union_seasons(frames: list[DataFrame], day="day", method="method", grid=()) -> DataFrame:
+    """Seasons of one archive: no day may come from two of them, and all hold the same methods and grid columns (mask included)."""
     out = None
     for i, f in enumerate(frames):
         f = f.withColumn("_season", F.lit(i))
         out = f if out is None else out.unionByName(f)
+    for same in ([method], list(grid)):
+        out = C.require_same(out, "_season", len(frames), same) if same else out
     out = out.withColumn("_seasons", F.size(F.collect_set("_season").over(W.partitionBy(method, day))))
     return out.where(C.guard(F.col("_seasons") > 1, F.concat(F.lit("overlapping day "), F.col(day).cast("string")))).drop("_season", "_seasons")
 
 
 def union_dumps(frames: dict, labels=("period", "fold"), keys=("date", "station_id", "method")) -> DataFrame:
-    """Fold dumps labelled and united; one row per date, station and method."""
+    """Fold dumps labelled and united; one row per date, station and method, and no station may move between dumps."""
     out = None
     for lab, f in frames.items():
         for n, v in zip(labels, lab):
             f = f.withColumn(n, F.lit(v))
         out = f if out is None else out.unionByName(f)
+    if {"lat", "lon"} <= set(out.columns):
+        w = W.partitionBy("station_id")
+        gap = F.greatest(*(F.max(c).over(w) - F.min(c).over(w) for c in ("lat", "lon")))
+        out = out.withColumn("_gap", gap).where(C.guard(F.col("_gap") > 1e-6, F.concat(F.lit("coordinates differ for station "), F.col("station_id").cast("string")))).drop("_gap")
     return C.require_unique(out, list(keys))
 
 
@@ -91,8 +97,13 @@ def moving_stations(df: DataFrame, key="station_id", tolerance=1e-6) -> DataFram
     return g.where((F.col("dlat") > tolerance) | (F.col("dlon") > tolerance))
 
 
-def merge_chunks(chunks: DataFrame, keys, values, days: str, worst=(), agreed=()) -> DataFrame:
-    """Day-weighted mean of finite values, worst-case diagnostics by maximum, text that must agree."""
+def merge_days(frames: list[DataFrame], keys) -> DataFrame:
+    """Per-day rows of all chunks; a day that two chunks hold stops the job."""
+    return C.require_unique(unite_rows(frames), list(keys))
+
+
+def merge_chunks(chunks: DataFrame, keys, values, days: str, worst=(), agreed=(), expected: int | None = None) -> DataFrame:
+    """Day-weighted mean of finite values, worst-case diagnostics by maximum, text that must agree, and the number of days expected of each key."""
     aggs = [F.sum(days).alias(days)]
     for v in values:
         x = S.finite(v)
@@ -100,7 +111,8 @@ def merge_chunks(chunks: DataFrame, keys, values, days: str, worst=(), agreed=()
     aggs += [F.max(S.finite(v)).alias(v) for v in worst]
     for v in agreed:
         aggs.append(F.when(F.countDistinct(v) <= 1, F.max(v)).otherwise(F.raise_error(F.lit(f"inconsistent {v}")).cast(dict(chunks.dtypes)[v])).alias(v))
-    return chunks.groupBy(*keys).agg(*aggs)
+    out = chunks.groupBy(*keys).agg(*aggs)
+    return out if expected is None else out.where(C.guard(F.col(days) != expected, F.concat(F.lit("unexpected number of days "), F.col(days).cast("string"))))
 
 
 # ---- sinks ----------------------------------------------------------------

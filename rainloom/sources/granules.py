@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from rainloom.functions import scalar as S
-from rainloom.operators import checks as C
+from rainloom.operators import checks as C, joins as J
 
 # Date in a daily name; date, start and end in a half-hourly name.
 DAILY_NAME = r"\.(\d{8})-S\d{6}-E\d{6}\."
+# Spellings of millimetres a day, without spaces.
+MM_PER_DAY = ("mm/day", "mmday-1", "mmd-1", "mmday^-1", "mmd^-1")
+REPORTING_HOUR = 3
 HALF_HOUR_NAME = r"\.(\d{8})-S(\d{6})-E(\d{6})\."
 
 
@@ -60,9 +63,23 @@ def daily_field(df: DataFrame, value="precip_mm", error="error_mm", count="n_val
     return df.select(*others, F.when(ok, v).alias(value), F.when(ok, S.finite(error)).alias(error))
 
 
-def subset_shards(df: DataFrame, start, end, keys, order: str, day="day") -> DataFrame:
-    """Window of overlapping shards: the day filter reaches the scan, then the first shard of a day wins."""
-    d = df.where(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+def subset_shards(df: DataFrame, start, end, order: str, day="day", complete=True, units=None, end_hour=None) -> DataFrame:
+    """Window of overlapping shards: the day filter reaches the scan, then the first shard of a day wins.
+
+    With complete, requested days that no shard holds stop the call (one small job while the plan is built). Rows
+    whose column `units` is not mm/day, or whose column `end_hour` is not the reporting hour, stop the job.
+    """
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    d = df.where(F.col(day).between(first, last))
+    if units:
+        d = d.where(C.guard(~F.coalesce(F.regexp_replace(F.lower(units), " ", "").isin(*MM_PER_DAY), F.lit(False)), F.concat(F.lit("unexpected units "), F.coalesce(units, F.lit("NULL")))))
+    if end_hour:
+        d = d.where(C.guard(~F.col(end_hour).eqNullSafe(F.lit(REPORTING_HOUR)), F.concat(F.lit("accumulation ends at hour "), F.coalesce(F.col(end_hour).cast("string"), F.lit("NULL")))))
+    if complete:
+        wanted = df.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias(day))
+        gone = [str(r[0]) for r in wanted.join(d.select(day).distinct(), day, "left_anti").orderBy(day).limit(10).collect()]
+        if gone:
+            raise ValueError(f"requested days are absent: {', '.join(gone)}")
     first = d.groupBy(day).agg(F.min(order).alias(order))
     return d.join(first, [day, order])
 
@@ -76,6 +93,20 @@ def merge_products(frames: list[DataFrame], order_name="_file_order") -> DataFra
     return out
 
 
+def concat_products(frames: list[DataFrame], cell=("iy", "ix"), day="day") -> DataFrame:
+    """Products that share no cell and day and lie on one lattice; anything else stops the job."""
+    d = C.require_same(merge_products(frames), "_file_order", len(frames), cell)
+    return C.require_unique(d, [day, *cell])
+
+
+def at_stations(product: DataFrame, stations: DataFrame, lattice) -> DataFrame:
+    """Product values at stations; a product that no station can see stops the call (one small job)."""
+    s = J.bilinear_sample(product, stations, lattice)
+    if s.isEmpty():
+        raise ValueError("no station lies on the product's lattice")
+    return s
+
+
 def latest_wins(df: DataFrame, keys, order="_file_order") -> DataFrame:
     """Later file wins on overlapping days."""
     value_cols = [c for c in df.columns if c not in (*keys, order)]

@@ -359,3 +359,43 @@ def test_written_tables_are_released(spark):
     df = session.cut_lineage(spark.range(5))
     path = session.WRITTEN[-1]
     assert df.count() == 5 and session.release(spark) > 0 and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_source_rules_stop(spark):
+    from rainloom.functions.lattice import VIEW_LATTICE as G
+    from rainloom.sources import archive as A, granules as GN
+
+    day = lambda d: dt.date(2024, 3, d)
+    shards = spark.createDataFrame([(day(1), "a", 1.0, "mm/day", 3), (day(1), "b", 2.0, "mm/day", 3), (day(3), "b", 3.0, "inches", 0)], "day date, shard string, v double, units string, hour int")
+    with pytest.raises(ValueError, match="2024-03-02"):
+        GN.subset_shards(shards, "2024-03-01", "2024-03-03", "shard")
+    assert [r.shard for r in GN.subset_shards(shards, "2024-03-01", "2024-03-01", "shard", units="units", end_hour="hour").collect()] == ["a"]
+    stops(GN.subset_shards(shards, "2024-03-03", "2024-03-03", "shard", complete=False, units="units").select("v"), "unexpected units")
+    stops(GN.subset_shards(shards, "2024-03-03", "2024-03-03", "shard", complete=False, end_hour="hour").select("v"), "ends at hour 0")
+
+    def field(rows):
+        return spark.createDataFrame([(day(d), y, 0, 1.0) for d, y in rows], "day date, iy int, ix int, v double")
+
+    assert GN.concat_products([field([(1, 0), (1, 1)]), field([(2, 0), (2, 1)])]).count() == 4
+    stops(GN.concat_products([field([(1, 0)]), field([(1, 0)])]).select("v"), "duplicate")
+    stops(GN.concat_products([field([(1, 0), (1, 1)]), field([(2, 0)])]).select("v"), "sources differ")
+    with pytest.raises(ValueError, match="no station"):
+        GN.at_stations(field([(1, 0)]).withColumnRenamed("v", "value"), spark.createDataFrame([(1, -80.0, 10.0)], "station_id int, lat double, lon double"), G)
+
+    def season(d, methods=("p", "q"), y=0):
+        return spark.createDataFrame([(day(d), m, y) for m in methods], "day date, method string, iy int")
+
+    assert A.union_seasons([season(1), season(2)], grid=["iy"]).count() == 4
+    stops(A.union_seasons([season(1), season(1)]).select("method"), "overlapping day")
+    stops(A.union_seasons([season(1), season(2, ("p",))]).select("day"), "sources differ in method")
+    stops(A.union_seasons([season(1), season(2, y=5)], grid=["iy"]).select("day"), "sources differ in iy")
+
+    def dump(d, lat):
+        return spark.createDataFrame([(day(d), 1, "m", lat, 88.0)], "date date, station_id int, method string, lat double, lon double")
+
+    assert A.union_dumps({("p", 0): dump(1, 20.0), ("p", 1): dump(2, 20.0)}).count() == 2
+    stops(A.union_dumps({("p", 0): dump(1, 20.0), ("p", 1): dump(2, 20.5)}).select("method"), "coordinates differ")
+    chunks = spark.createDataFrame([("a", 2, 1.0), ("a", 3, 2.0)], "arm string, days int, v double")
+    assert A.merge_chunks(chunks, ["arm"], ["v"], "days", expected=5).first().v == 1.6
+    stops(A.merge_chunks(chunks, ["arm"], ["v"], "days", expected=6).select("arm"), "unexpected number of days")
+    stops(A.merge_days([chunks, chunks], ["arm", "days"]).select("v"), "duplicate")
