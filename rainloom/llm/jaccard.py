@@ -10,7 +10,7 @@ Sets are compared exactly afterwards. Equal sets are one class from the start. M
 linked pair shares several signatures; pairs that share too few are dropped, counted where a signature is rare
 and bounded by the number of a set's common signatures where it is not. What is left forms clusters; a cluster
 of usual size is compared inside one task through an inverted index. A large cluster is
-thinned first by comparing each class with the leader of its signatures; what is not in the largest component
+thinned first by comparing each class with a few neighbours that many share; what is not in the largest component
 then is compared with the whole cluster in cells of bounded size. No pair is ever a row, and none is left out.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rainloom.llm.common import parts, query, slices, table, text_or_empty
 from rainloom.llm.graph import components
@@ -29,7 +29,7 @@ WIDTH, PERCENT, SEEDS = 5, 80, 4
 #: Sets that share a rare signature at most; their pairs are counted. Common signatures are followed by stars.
 RARE = 8
 #: Classes of a cluster that are compared in one task, members and probes of a cell, and ids that may be broadcast.
-SMALL, MEMBERS, PROBES, BROADCAST_IDS = 256, 256, 1024, 500_000
+SMALL, MEMBERS, PROBES, BROADCAST_IDS, HUBS = 256, 256, 1024, 500_000, 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -172,37 +172,53 @@ def shared(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(who), pa.array(need.astype(np.int32))], ["sig", "id", "need"])
 
     def meet(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        sig, who, need = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in ("sig", "id", "need"))
-        del got
-        order = np.lexsort((who, sig))
-        sig, who, need = sig[order], who[order], need[order]
-        new = np.append(True, sig[1:] != sig[:-1])
-        keep = new | np.append(True, who[1:] != who[:-1])
-        sig, who, need, new = sig[keep], who[keep], need[keep], new[keep]
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(sig)))
-        a, b, least = [], [], []
-        for c in range(2, RARE + 1):
-            at = start[size == c][:, None] + np.arange(c)
-            for x in range(c):
-                for y in range(x + 1, c):
-                    a.append(who[at[:, x]])
-                    b.append(who[at[:, y]])
-                    least.append(np.maximum(need[at[:, x]], need[at[:, y]]))
+        # Rows come sorted by signature. What is held over to the next batch is a signature with RARE sets at most;
+        # of a common one only its name is kept, and its further members go out as they come.
+        kept, common, last = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig, who, need = (np.concatenate([k, b.column(c).to_numpy(zero_copy_only=False)]) for k, c in zip(kept, ("sig", "id", "need")))
+            fresh = np.append(sig[0] != common or who[0] != last, (sig[1:] != sig[:-1]) | (who[1:] != who[:-1]))
+            rows = [x[fresh] for x in (sig, who, need)]
+            cut = int(np.searchsorted(rows[0], sig[-1]))
+            if sig[-1] == common or len(rows[0]) - cut > RARE:
+                yield from met(*rows, common)
+                kept, common, last = [x[:0] for x in rows], sig[-1], who[-1]
+            else:
+                yield from met(*(x[:cut] for x in rows), common)
+                kept, common, last = [x[cut:] for x in rows], None, None
+        yield from met(*kept, None)
+
+    d = docs.select(text_or_empty().alias("text"))
+    signed_rows = d.mapInArrow(sign, "sig long, id long, need int").repartition(parts(docs.sparkSession), "sig").sortWithinPartitions("sig", "id")
+    return signed_rows.mapInArrow(meet, "a long, b long, n int, need int")
+
+
+def met(sig: np.ndarray, who: np.ndarray, need: np.ndarray, common):
+    """Rows of shared() for whole groups of sorted signatures; `common` names one that is known to be common."""
+    if not len(sig):
+        return
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    size = np.diff(np.append(start, len(sig)))
+    many = (size > RARE) | (sig[start] == common)
+    a, b, least = [], [], []
+    for c in range(2, RARE + 1):
+        at = start[(size == c) & ~many][:, None] + np.arange(c)
+        for x in range(c if len(at) else 0):
+            for y in range(x + 1, c):
+                a.append(who[at[:, x]])
+                b.append(who[at[:, y]])
+                least.append(np.maximum(need[at[:, x]], need[at[:, y]]))
+    if a:
         a, b, least = map(np.concatenate, (a, b, least))
         order = np.lexsort((b, a))
         a, b, least = a[order], b[order], least[order]
-        if len(a):
-            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            yield from rows_of(a[first], b[first], np.diff(np.append(first, len(a))), np.minimum.reduceat(least, first))
-        many = np.repeat(size > RARE, size)
-        yield from rows_of(sig[many], who[many], np.zeros(int(many.sum()), np.int64), need[many])
-
-    d = docs.select(text_or_empty().alias("text"))
-    return d.mapInArrow(sign, "sig long, id long, need int").repartition(parts(docs.sparkSession), "sig").mapInArrow(meet, "a long, b long, n int, need int")
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        yield from rows_of(a[first], b[first], np.diff(np.append(first, len(a))), np.minimum.reduceat(least, first))
+    member = np.repeat(many, size)
+    if member.any():
+        yield from rows_of(sig[member], who[member], np.zeros(int(member.sum()), np.int64), need[member])
 
 
 def rows_of(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, most: int = 1 << 18):
@@ -281,11 +297,11 @@ def compare(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cell").applyInArrow(run, "a long, b long")
 
 
-def fetch_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, elements of the wanted ids. rows: classes(). One row of each class is read again; up to BROADCAST_IDS ids are
-    broadcast, which spares the texts a shuffle, more are joined by shuffle."""
+def fetch_sets(docs: DataFrame, rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """sized (id, label, n) with the elements of each id. rows: classes(). One row of each class is read again; up to
+    BROADCAST_IDS ids are broadcast, which spares the texts a shuffle, more are joined by shuffle."""
     first = rows.where("f1 is not null").groupBy(F.col("f1").alias("id")).agg(F.min("_text_hash").alias("_text_hash"))
-    want = cut_lineage(first.join(ids, "id"))
+    want = cut_lineage(first.join(sized.select("id"), "id"))
     hashes = want.select("_text_hash").distinct()
     if want.count() <= BROADCAST_IDS:
         hashes = F.broadcast(hashes)
@@ -296,33 +312,43 @@ def fetch_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
             got = {set_id(s): s for s in map(shingles, b.column("text").to_pylist()) if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([signed(s).tolist() for s in got.values()], pa.list_(pa.int64()))], ["id", "elements"])
 
-    return d.mapInArrow(run, "id long, elements array<long>").groupBy("id").agg(F.first("elements").alias("elements"))
+    return d.mapInArrow(run, "id long, elements array<long>").groupBy("id").agg(F.first("elements").alias("elements")).join(sized, "id")
 
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Enough links a, b between different sets (by f1) to give every component of the similarity join."""
-    stars = cut_lineage(candidates(cut_lineage(shared(docs))))
-    cluster = components(stars)
-    held = cluster.groupBy("label").agg(F.count("*").alias("n"))
-    sets = cut_lineage(fetch_sets(docs, rows, cluster.select(F.col("v").alias("id"))))
-    sized = cut_lineage(cluster.join(held, "label").select(F.col("v").alias("id"), "label", "n"))
-    small = sized.where(F.col("n") <= SMALL).join(sets, "id").select(F.col("label").cast("string").alias("cell"), "id", F.lit(True).alias("probe"), "elements")
-    found = compare(small)
-    large = sized.where(F.col("n") > SMALL)
+    near = cut_lineage(candidates(cut_lineage(shared(docs))))
+    cluster = components(near)
+    sized = cut_lineage(cluster.join(cluster.groupBy("label").agg(F.count("*").alias("n")), "label").select(F.col("v").alias("id"), "label", "n"))
+    sets = cut_lineage(fetch_sets(docs, rows, sized))
+    found = compare(sets.where(F.col("n") <= SMALL).select(F.col("label").cast("string").alias("cell"), "id", F.lit(True).alias("probe"), "elements"))
+    large = sets.where(F.col("n") > SMALL)
     if large.limit(1).count():
-        found = found.unionByName(large_links(cut_lineage(large), stars, sets))
+        found = found.unionByName(large_links(large, near))
     return found
 
 
-def large_links(large: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of clusters too large for a task: stars first, then the rest against the whole cluster in cells."""
-    pairs = stars.join(large.select(F.col("id").alias("a")), "a", "left_semi")
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("_y")), "b")
-    both = F.size(F.array_intersect("_x", "_y"))
-    near = cut_lineage(x.where(100 * both >= PERCENT * (F.size("_x") + F.size("_y") - both)).select("a", "b"))
-    part = components(near)
+def large_links(large: DataFrame, near: DataFrame) -> DataFrame:
+    """Links of clusters too large for a task.
+
+    Each class is compared with its HUBS neighbours of most neighbours first. What then is not in the largest
+    component of its cluster is compared with the whole cluster, in cells of MEMBERS by PROBES classes.
+    """
+    both = near.join(large.select(F.col("id").alias("a")), "a", "left_semi")
+    both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    degree = both.groupBy("b").agg(F.count("*").alias("d"))
+    turn = F.row_number().over(W.partitionBy("a").orderBy(F.desc("d"), "b"))
+    hub = cut_lineage(both.join(degree, "b").withColumn("_t", turn).where(F.col("_t") <= HUBS).select("a", "b"))
+    block = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / PROBES)).cast("int").alias("k")
+    asked = cut_lineage(hub.join(hub.groupBy("b").agg(F.count("*").alias("n")), "b").select("a", "b", block))
+    cell = F.concat_ws(":", "b", "k").alias("cell")
+    members = asked.select(cell, F.col("b").alias("id"), F.lit(False).alias("probe")).distinct()
+    cells = members.unionByName(asked.select(cell, F.col("a").alias("id"), F.lit(True).alias("probe")))
+    sets = large.select("id", "elements")
+    first = cut_lineage(compare(cells.join(sets, "id").select("cell", "id", "probe", "elements")))
+    part = components(first)
     sized = part.groupBy(F.col("label").alias("part")).agg(F.count("*").alias("m"))
-    whole = large.join(part.select(F.col("v").alias("id"), F.col("label").alias("part")), "id", "left").join(sized, "part", "left")
+    whole = large.select("id", "label", "n").join(part.select(F.col("v").alias("id"), F.col("label").alias("part")), "id", "left").join(sized, "part", "left")
     whole = whole.withColumn("part", F.coalesce("part", "id")).withColumn("m", F.coalesce("m", F.lit(1)))
     best = whole.groupBy("label").agg(F.max(F.struct("m", F.col("part").alias("p"))).alias("best"))
     whole = cut_lineage(whole.join(best, "label").select("id", "label", "n", (F.col("part") != F.col("best.p")).alias("loose")))
@@ -332,7 +358,7 @@ def large_links(large: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFram
     members = todo.select("id", "label", F.pmod(spot, F.col("rows")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(False).alias("probe"))
     probes = todo.where("loose").select("id", "label", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod(spot, F.col("cols")).cast("int").alias("c"), F.lit(True).alias("probe"))
     cells = members.unionByName(probes).select(F.concat_ws(":", "label", "r", "c").alias("cell"), "id", "probe")
-    return near.unionByName(compare(cells.join(sets, "id").select("cell", "id", "probe", "elements")))
+    return first.unionByName(compare(cells.join(sets, "id").select("cell", "id", "probe", "elements")))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
