@@ -87,32 +87,32 @@ def station_key(c: str | Column) -> Column:
 
 # ---- transforms -----------------------------------------------------------
 
+#: Each transform and its inverse; scale is the amount that log1p treats as one unit.
+TRANSFORMS = {
+    "none": (lambda p, scale: p, lambda z, scale: z),
+    "sqrt": (lambda p, scale: F.sqrt(p), lambda z, scale: F.pow(clip(z, 0), F.lit(2.0))),
+    "cbrt": (lambda p, scale: F.pow(p, F.lit(1.0 / 3.0)), lambda z, scale: F.pow(z, F.lit(3.0))),
+    "log1p": (lambda p, scale: F.log1p(p / scale), lambda z, scale: F.expm1(clip(z, high=LARGEST_LOG)) * scale),
+}
+#: Fixed value: logarithms beyond it are cut before the exponential.
+LARGEST_LOG = 30.0
+
+
+def transform_pair(kind: str):
+    try:
+        return TRANSFORMS[kind]
+    except KeyError:
+        raise ValueError(f"no transform is called {kind!r}; there are {', '.join(TRANSFORMS)}") from None
+
+
 def stretch(p: Column, kind: str, eps: float = 0.1) -> Column:
     """Variance-stabilising function of a non-negative amount."""
-    p = clip(p, 0)
-    if kind == "log1p":
-        return F.log1p(p / eps)
-    if kind == "sqrt":
-        return F.sqrt(p)
-    if kind == "cbrt":
-        return F.pow(p, F.lit(1.0 / 3.0))
-    if kind == "none":
-        return p
-    raise ValueError(f"unknown transform {kind!r}")
+    return transform_pair(kind)[0](clip(p, 0), eps)
 
 
 def unstretch(z: Column, kind: str, eps: float = 0.1) -> Column:
-    if kind == "log1p":
-        p = F.expm1(F.when(z > 30, F.lit(30.0)).otherwise(z)) * eps
-    elif kind == "sqrt":
-        p = F.pow(F.when(z < 0, F.lit(0.0)).otherwise(z), F.lit(2.0))
-    elif kind == "cbrt":
-        p = z * z * z
-    elif kind == "none":
-        p = z
-    else:
-        raise ValueError(f"unknown transform {kind!r}")
-    return F.when(p < 0, F.lit(0.0)).otherwise(p)
+    """The amount again, never negative."""
+    return clip(transform_pair(kind)[1](z, eps), 0)
 
 
 def rain_forward(p, kind="log1p", eps=0.1, mu=0.0, sd=1.0) -> Column:

@@ -38,9 +38,13 @@ def block_bootstrap(daily: DataFrame, keys, block: int, replicates: int, seed: i
     return out.withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
-def indexed(df: DataFrame, keys, id_col: str, out="_pos", buckets=256) -> DataFrame:
-    """Dense positions per key without sorting a whole key in one task: offset of the id bucket plus rank inside it."""
+def indexed(df: DataFrame, keys, id_col: str, out="_pos", buckets: int | None = None) -> DataFrame:
+    """Dense positions per key without sorting a whole key in one task: offset of the id bucket plus rank inside it.
+
+    Buckets follow the session's shuffle partitions, which a cluster sizes to its data, unless given.
+    """
     k = list(keys)
+    buckets = buckets or max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = df.withColumn("_bk", F.pmod(F.col(id_col), F.lit(buckets)))
     c = d.groupBy(*k, "_bk").agg(F.count("*").alias("_c"))
     c = c.withColumn("_o", F.coalesce(F.sum("_c").over(W.partitionBy(*(k or [F.lit(0)])).orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

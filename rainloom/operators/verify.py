@@ -343,6 +343,7 @@ def alignment_label(temporal: DataFrame, spatial: DataFrame, gain=0.05) -> DataF
     s = spatial.agg(F.max_by(F.struct("variant", "corr"), "corr").alias("b"), F.max(F.when(F.col("variant") == "identity", F.col("corr"))).alias("base"))
     s = s.select(F.col("b.variant").alias("best_variant"), ((F.col("b.variant") != "identity") & (F.col("b.corr") - F.col("base") >= gain)).alias("space"))
     s = s.withColumn("timing", t.scalar())
+    # The names of the diagnoses.
     label = (F.when(F.col("timing") & F.col("space"), "mixed_timing_and_spatial_signal").when(F.col("timing"), "possible_timing_signal")
              .when(F.col("space"), "possible_spatial_displacement").otherwise("no_clear_fixed_lag_or_shift"))
     return s.select("best_variant", label.alias("diagnosis"))
@@ -370,18 +371,24 @@ def idw(assimilated: DataFrame, withheld: DataFrame, stations: DataFrame, value:
 
 
 def scale_ladder(df: DataFrame, factors, area: Column | None = None, pred="pred", obs="obs", keys=("day",), group=()) -> DataFrame:
-    """Scores of the block mean and of the residual at every factor; factors ride along as rows."""
+    """Scores of the block mean and of the residual at every factor.
+
+    A row meets each factor once, and blocks keep only their sums: what is left of a cell below the block mean has
+    the squares of the cell less those of the mean, so no row is shuffled with its block.
+    """
+    p, o = F.col(pred), F.col(obs)
     d = paired(df, pred, obs).withColumn("factor", F.explode(F.array(*[F.lit(int(f)) for f in factors])))
-    d = d.withColumn("by", F.floor(F.col("iy") / F.col("factor"))).withColumn("bx", F.floor(F.col("ix") / F.col("factor")))
-    w = W.partitionBy(*group, *keys, "factor", "by", "bx")
-    d = d.withColumn("_pc", F.avg(pred).over(w)).withColumn("_oc", F.avg(obs).over(w))
-    d = d.withColumn("_pr", F.col(pred) - F.col("_pc")).withColumn("_or", F.col(obs) - F.col("_oc"))
-
-    def s(p, o, name):
-        e = F.col(p) - F.col(o)
-        return [F.sqrt(F.avg(e * e)).alias(f"{name}_rmse"), F.avg(e).alias(f"{name}_bias"), S.ratio(F.avg(F.col(p) * F.col(p)), F.avg(F.col(o) * F.col(o))).alias(f"{name}_energy_ratio"),
-                (1 - S.ratio(F.avg(e * e), F.avg(F.col(o) * F.col(o)))).alias(f"{name}_skill")]
-    return d.groupBy(*group, "factor").agg(F.count("*").alias("n"), *s("_pc", "_oc", "block"), *s("_pr", "_or", "residual"))
+    block = [F.floor(F.col(c) / F.col("factor")).alias(n) for c, n in (("iy", "by"), ("ix", "bx"))]
+    b = d.groupBy(*group, *keys, "factor", *block).agg(F.count("*").alias("n"), F.avg(p).alias("_p"), F.avg(o).alias("_o"), F.sum(p * p).alias("_pp"), F.sum(o * o).alias("_oo"), F.sum((p - o) * (p - o)).alias("_dd"))
+    n, e = F.col("n"), F.col("_p") - F.col("_o")
+    whole = {"_pp": n * F.col("_p") * F.col("_p"), "_oo": n * F.col("_o") * F.col("_o"), "_dd": n * e * e}
+
+    def s(name, bias, of):
+        mean = {k: F.sum(of(k)) / F.sum("n") for k in whole}
+        return [F.sqrt(mean["_dd"]).alias(f"{name}_rmse"), bias.alias(f"{name}_bias"), S.ratio(mean["_pp"], mean["_oo"]).alias(f"{name}_energy_ratio"), (1 - S.ratio(mean["_dd"], mean["_oo"])).alias(f"{name}_skill")]
+
+    return b.groupBy(*group, "factor").agg(F.sum("n").alias("n"), *s("block", F.sum(n * e) / F.sum("n"), lambda k: whole[k]),
+                                           *s("residual", F.lit(0.0), lambda k: F.greatest(F.col(k) - whole[k], F.lit(0.0))))
 
 
 def daily_residual_skill(df: DataFrame, factor: int, pred="pred", obs="obs", day="day") -> DataFrame:

@@ -28,22 +28,22 @@ def pending_years(df: DataFrame, done: DataFrame, day="day") -> DataFrame:
 
 
 def pack(df: DataFrame, path: str, day="day", require_complete=True) -> list[int]:
-    """Write the years not yet recorded, one partition each, and record every year after it is written.
+    """Write the years not yet recorded in one job, a partition each, and record them after they are written.
 
     A rerun after a failure rewrites only unrecorded years: partitions are overwritten
-    dynamically and the manifest row comes last.
+    dynamically and the manifest rows come last.
     """
     spark = df.sparkSession
-    written = []
     todo = sorted(pending_years(df, manifest(spark, path), day).collect(), key=lambda r: r["year"])
     for r in todo:
         if require_complete and not r["complete"]:
             raise ValueError(f"year {r['year']} has {r['days']} days")
-        part = df.where(F.year(day) == r["year"]).withColumn("year", F.year(day))
+    years = [r["year"] for r in todo]
+    if years:
+        part = df.where(F.year(day).isin(years)).withColumn("year", F.year(day))
         part.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{path}/data")
-        spark.createDataFrame([(r["year"], r["rows"], r["days"])], MANIFEST).write.mode("append").parquet(f"{path}/_manifest")
-        written.append(r["year"])
-    return written
+        spark.createDataFrame([(r["year"], r["rows"], r["days"]) for r in todo], MANIFEST).write.mode("append").parquet(f"{path}/_manifest")
+    return years
 
 
 def derived_moments(df: DataFrame, land: Column | None = None, members="members") -> DataFrame:

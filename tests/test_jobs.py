@@ -16,29 +16,30 @@ from rainloom.streaming import windows as WN
 
 # ---- windows and inventories ----------------------------------------------
 
-def steps(spark, n=48, rate=2.0):
-    t0 = dt.datetime(2018, 4, 30, 3)
-    return spark.createDataFrame([(1, t0 + dt.timedelta(minutes=30 * i), rate, 1.0) for i in range(n)], "cell int, ts timestamp_ntz, rate double, err double")
+def steps(spark, n=48, rate=0.5):
+    """Half hours of one reporting day, two of them at three times the rate."""
+    t0 = dt.datetime(2021, 8, 14, 3)
+    return spark.createDataFrame([(1, t0 + dt.timedelta(minutes=30 * i), rate * (3 if i in (7, 20) else 1), 0.2) for i in range(n)], "cell int, ts timestamp_ntz, rate double, err double")
 
 
 def test_reporting_day(spark):
     r = T.accumulate_windows(steps(spark), ["cell"], 48, error="err").first()
-    assert r.date == dt.date(2018, 5, 1) and r.precip_mm == 48.0 and r.error_mm == pytest.approx(math.sqrt(12)) and r.n_valid == 48
-    short = T.accumulate_windows(steps(spark, 47), ["cell"], 48, error="err").first()
-    assert short.precip_mm is None and short.error_mm is None and short.n_valid == 47
+    assert r.date == dt.date(2021, 8, 15) and r.precip_mm == 0.25 * 52 and r.error_mm == pytest.approx(0.1 * math.sqrt(48)) and r.n_valid == 48
+    short = T.accumulate_windows(steps(spark, 31), ["cell"], 48, error="err").first()
+    assert short.precip_mm is None and short.error_mm is None and short.n_valid == 31
 
 
 def test_half_hour_inventory(spark):
     names = []
-    t0 = dt.datetime(2018, 4, 30, 3)
+    t0 = dt.datetime(2021, 2, 27, 3)
     for i in range(48):
         t = t0 + dt.timedelta(minutes=30 * i)
         e = t + dt.timedelta(minutes=29, seconds=59)
         names.append((f"sat.{t:%Y%m%d}-S{t:%H%M%S}-E{e:%H%M%S}.bin",))
-    day = F.lit("2018-05-01").cast("date")
+    day = F.lit("2021-02-28").cast("date")
     one = GN.window_status(GN.half_hour_inventory(spark.createDataFrame(names, "file string"), day, day)).first()
     assert (one.missing, one.duplicated) == (0, 0)
-    bad = names[:-1] + [(names[0][0].replace("-E032959", "-E032958"),), (names[1][0].replace(".bin", ".b2"),)]
+    bad = names[:12] + names[13:] + [(names[0][0].replace("-E032959", "-E032958"),), (names[30][0].replace(".bin", ".b2"),)]
     two = GN.window_status(GN.half_hour_inventory(spark.createDataFrame(bad, "file string"), day, day)).first()
     assert (two.missing, two.duplicated) == (1, 1)
 
