@@ -1,13 +1,13 @@
-"""Localized ensemble update by one gauge, and its fold over an ordered gauge list."""
+"""Localized ensemble update by one gauge, and its fold over gauges in order."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.functions import ensemble as EN, scalar as S
 from rainloom.functions.lattice import Lattice
 from rainloom.operators import joins as J
-from rainloom.session import cut_lineage
 
 
 def predicted_members(field: DataFrame, gauge: DataFrame, lattice: Lattice, kind="log1p", eps=0.1, keys=("day",), key="station_id") -> DataFrame:
@@ -51,11 +51,79 @@ def innovation_rmse(field: DataFrame, gauges: DataFrame, obs: DataFrame, lattice
     return j.groupBy(*keys).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count("*").alias("n_gauges"))
 
 
-def update_serial(field: DataFrame, gauges: DataFrame, obs: DataFrame, order: list, lattice: Lattice, obs_var: float, support_km: float,
-                  kind="log1p", eps=0.1, key="station_id", **kw) -> DataFrame:
-    """Gauges in the given order; each step is cut through the shared folder, days stay independent."""
-    state = field
-    for g in order:
-        one = gauges.where(F.col(key) == g)
-        state = cut_lineage(update_once(state, one, obs.where(F.col(key) == g), lattice, obs_var, support_km, kind, eps, key=key, **kw))
+#: The transforms of scalar.TRANSFORMS and their inverses on arrays; both get and give amounts that are not negative.
+ARRAYS = {
+    "none": (lambda p, scale: p, lambda z, scale: z),
+    "sqrt": (lambda p, scale: np.sqrt(p), lambda z, scale: np.maximum(z, 0) ** 2),
+    "cbrt": (lambda p, scale: p ** (1.0 / 3.0), lambda z, scale: z ** 3),
+    "log1p": (lambda p, scale: np.log1p(p / scale), lambda z, scale: np.expm1(np.minimum(z, S.LARGEST_LOG)) * scale),
+}
+
+
+def _taper(km, support: float):
+    """scalar.gaspari_cohn on an array."""
+    r = km * 2.0 / support
+    near = np.polyval([-1 / 4, 1 / 2, 5 / 8, -5 / 3, 0, 1], r)
+    far = np.polyval([1 / 12, -1 / 2, 5 / 8, 5 / 3, -5, 4], r) - 2.0 / (np.maximum(r, 1.0) * 3.0)
+    return np.clip(np.where(r <= 1, near, np.where(r < 2, far, 0.0)), 0, 1)
+
+
+def _assimilate(state, iy, ix, gauges, lattice: Lattice, obs_var: float, support_km: float, kind: str, eps: float):
+    """One day: update_once by each (lat, lon, transformed observation) of gauges in turn. state: a row of members for each cell."""
+    forward, inverse = ARRAYS[kind]
+    n, at = state.shape[1], {k: i for i, k in enumerate(zip(iy.tolist(), ix.tolist()))}
+    if n < 2:
+        return state
+    first, res = (lattice.lat_min + 0.5 * lattice.res, lattice.lon_min + 0.5 * lattice.res), lattice.res
+    lat, lon = iy * res + first[0], ix * res + first[1]
+    for la, lo, y in gauges:
+        row, column = (la - first[0]) / res, (lo - first[1]) / res
+        y0, x0 = int(np.floor(row)), int(np.floor(column))
+        wy, wx = row - y0, column - x0
+        four = [(at[y0 + dy, x0 + dx], (wy if dy else 1 - wy) * (wx if dx else 1 - wx)) for dy in (0, 1) for dx in (0, 1) if (y0 + dy, x0 + dx) in at]
+        if not four:
+            continue
+        mm = np.maximum(inverse(state[[i for i, _ in four]], eps), 0)
+        mm = np.where(np.isnan(mm).all(0), np.nan, np.nansum(mm * np.array([[w] for _, w in four]), 0))
+        hx = forward(np.maximum(mm, 0), eps)
+        hm = hx.mean()
+        ha = hx - hm
+        den = ha @ ha / (n - 1) + obs_var
+        if not den > 1e-8:
+            continue
+        w = _taper(111.0 * np.sqrt((lat - la) ** 2 + (np.cos(np.radians(la)) * (lon - lo)) ** 2), support_km)
+        near = np.flatnonzero(w)
+        s = state[near]
+        gain = w[near] * ((s - s.mean(1, keepdims=True)) @ ha) / (n - 1) / den
+        state[near] = s + gain[:, None] * ((y - hm) - ha / (np.sqrt(obs_var / den) + 1.0))
     return state
+
+
+def update_serial(field: DataFrame, gauges: DataFrame, obs: DataFrame, order: list | str | Column, lattice: Lattice, obs_var: float, support_km: float,
+                  kind="log1p", eps=0.1, keys=("day",), key="station_id", value="obs_mm") -> DataFrame:
+    """update_once by every gauge in turn. order: ids in their order (others are left out), or a column of the gauges, ties by id.
+
+    Each update needs the field that the one before it left, but days are independent: one
+    task takes the field and the gauges of one day, and any number of gauges is one shuffle.
+    """
+    S.transform_pair(kind)
+    if isinstance(order, list):
+        turns = F.array(*[F.lit(g) for g in order]) if order else F.array().cast("array<bigint>")
+        o = field.sparkSession.range(1).select(F.posexplode(turns).alias("_o", key))
+        g = gauges.join(o, key)
+    else:
+        g = gauges.withColumn("_o", S.col(order))
+    g = g.select(key, "_o", F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
+    y = S.rain_forward(F.col(value), kind, eps).alias("_y")
+    g = obs.where(F.col(value).isNotNull()).select(key, *keys, y).join(g, key).select(*keys, F.col(key).alias("_id"), "_o", "_la", "_lo", "_y")
+    f = field.select(*keys, "iy", "ix", "members")
+
+    def day(cells, seen):
+        if len(cells) and len(seen):
+            seen = seen.sort_values(["_o", "_id"])
+            new = _assimilate(np.array(cells["members"].tolist(), float), cells["iy"].to_numpy(), cells["ix"].to_numpy(),
+                              seen[["_la", "_lo", "_y"]].to_numpy(float).tolist(), lattice, obs_var, support_km, kind, eps)
+            cells["members"] = [[None if x != x else x for x in m] for m in new.tolist()]
+        return cells
+
+    return f.groupBy(*keys).cogroup(g.groupBy(*keys)).applyInPandas(day, f.schema)

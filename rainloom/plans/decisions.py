@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rainloom.functions import ensemble as EN, scalar as S
+from rainloom.functions import draws as D, ensemble as EN, scalar as S
 from rainloom.functions.lattice import VIEW_LATTICE as G
 from rainloom.operators import checks as C, ensembles as E, grid as GR, resample as B, select as SE, stats as ST, temporal as T, update as U, verify as X
 from rainloom.plans import views as V
@@ -331,12 +331,12 @@ def boo08(spark, sf):
 
 # ---- ensemble update ------------------------------------------------------
 
-def update_inputs(spark, sf, lead):
-    """State in transformed units, the first `lead` gauges by id, and one daily observation each."""
+def update_inputs(spark, sf, gauges):
+    """State in transformed units, and one observation of every gauge for each day."""
     f = grid_members(spark, sf).withColumn("members", F.transform("members", lambda x: S.rain_forward(x)))
-    g = V.station(spark, sf).where(F.col("station_id") <= lead)
-    o = V.grid(spark, sf).groupBy("day").agg(F.avg("value").alias("m")).withColumn("station_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(1, lead + 1)])))
-    return f, g, o.select("station_id", "day", (F.col("m") * 1.3 + F.col("station_id")).alias("obs_mm"))
+    days = V.grid(spark, sf).groupBy("day").agg(F.avg("value").alias("m")).agg(F.collect_list(F.struct("day", "m"))).scalar()
+    o = gauges.select("station_id", F.inline(days))
+    return f, o.select("station_id", "day", (F.col("m") * 1.3 + F.col("station_id")).alias("obs_mm"))
 
 
 ENSU = f"""{CORNERS.replace("fx_station", "(select * from fx_station where station_id=1)")}, {GM}, {GS},
@@ -351,16 +351,19 @@ up as (select day, iy, ix, case when w>0 then [s[i]+w*cov/den*(y-hm)-1/(1+sqrt(0
 
 @query("ens01_single_gauge_update", sql("fx_grid fx_station", f"with {ENSU} select day, iy, ix, {q6('list_avg(u)','mean')}, {q6('list_var_samp(u)','variance')} from up"))
 def ens01(spark, sf):
-    f, g, o = update_inputs(spark, sf, 1)
+    g = V.station(spark, sf).where("station_id = 1")
+    f, o = update_inputs(spark, sf, g)
     u = U.update_once(f, g, o, G, 0.3, 300.0)
     return report(u.select("day", "iy", "ix", EN.mean("members").alias("mean"), EN.variance("members").alias("variance")))
 
 
 @query("ens02_serial_update")
 def ens02(spark, sf):
-    f, g, o = update_inputs(spark, sf, 3)
+    """Every gauge, in hash order."""
+    g = V.station(spark, sf)
+    f, o = update_inputs(spark, sf, g)
     before = U.innovation_rmse(f, g, o, G).select("day", F.col("rmse").alias("before"), "n_gauges")
-    after = U.innovation_rmse(U.update_serial(f, g, o, [2, 1, 3], G, 0.3, 300.0), g, o, G).select("day", F.col("rmse").alias("after"))
+    after = U.innovation_rmse(U.update_serial(f, g, o, D.draw(2, "station_id"), G, 0.3, 300.0), g, o, G).select("day", F.col("rmse").alias("after"))
     return report(before.join(after, "day"))
 
 
