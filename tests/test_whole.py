@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rainloom.functions.lattice import Lattice
-from rainloom.operators import verify as X
+from rainloom.operators import resample as B, verify as X
 from tests.test_oracles import SF, TABLES, norm
 
 duckdb = pytest.importorskip("duckdb")
@@ -49,3 +49,21 @@ def test_bullseye_of_few_gauges(spark):
     reach = np.array([[min(max(abs(i - y), abs(j - x)) for y, x in gauges) for j in range(16)] for i in range(16)])
     assert ratio(gauges) == pytest.approx(inc[reach <= 1].mean() / inc[reach > 5].mean(), rel=1e-12)
     assert ratio([(i, j) for i in (4, 12) for j in (4, 12)]) is None
+
+
+@here
+def test_segmented_bootstrap_takes_every_day(spark):
+    whole(spark, "boo03_segmented_bootstrap", " where day(date) not in (9,10,21)")
+
+
+@pytest.fixture
+def gaps(spark):
+    """Four runs of days; all days of a run have one value."""
+    days = [d for d in range(1, 31) if d not in (9, 10, 21, 26)]
+    return spark.createDataFrame([("s", dt.date(2024, 1, d), float(sum(d > g for g in (9, 21, 26))), 1) for d in days], "k string, date date, num double, den int")
+
+
+def test_segmented_blocks_stay_between_gaps(gaps):
+    one = B.block_bootstrap(gaps, ["k"], 4, 100, 3, segmented=True).first()
+    assert (one.n_days, one.n_segments) == (26, 4) and one.ci_low == one.ci_high == one["mean"]
+    assert B.block_bootstrap(gaps, ["k"], 4, 100, 3).first().ci_high > one["mean"]
