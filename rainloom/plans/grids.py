@@ -43,8 +43,8 @@ def _weights(spark, sf):
     g = V.grid(spark, sf)
     ay = g.select("iy").distinct().withColumn("lat", G.lat())
     ax = g.select("ix").distinct().withColumn("lon", G.lon())
-    ty = g.select(F.floor(F.col("iy") / 2).cast("int").alias("ty")).where("ty < 7").distinct().withColumn("lat", F.col("ty") + 20.75)
-    tx = g.select(F.floor(F.col("ix") / 2).cast("int").alias("tx")).where("tx < 7").distinct().withColumn("lon", F.col("tx") + 86.75)
+    ty = g.select(F.floor(F.col("iy") / 2).cast("int").alias("ty")).distinct().withColumn("lat", F.col("ty") + 20.75)
+    tx = g.select(F.floor(F.col("ix") / 2).cast("int").alias("tx")).distinct().withColumn("lon", F.col("tx") + 86.75)
     return (GR.overlap_weights(ay, ty, "iy", "ty", "lat", latitude=True), GR.overlap_weights(ax, tx, "ix", "tx", "lon"))
 
 

@@ -67,3 +67,11 @@ def test_segmented_blocks_stay_between_gaps(gaps):
     one = B.block_bootstrap(gaps, ["k"], 4, 100, 3, segmented=True).first()
     assert (one.n_days, one.n_segments) == (26, 4) and one.ci_low == one.ci_high == one["mean"]
     assert B.block_bootstrap(gaps, ["k"], 4, 100, 3).first().ci_high > one["mean"]
+
+
+@here
+def test_overlap_weights_reach_the_border_targets(spark):
+    rows = whole(spark, "grd01_overlap_weights", " where floor(iy/2)<7", " where floor(ix/2)<7")
+    last = {a: max(r.target for r in rows if r.axis == a) for a in ("lat", "lon")}
+    assert last["lat"] == 7 and {(r.axis, r.target) for r in rows if r.coverage < 1} == set(last.items())
+    whole(spark, "grd02_conservative_regrid")
