@@ -428,3 +428,17 @@ def test_source_rules_stop(spark):
     assert A.merge_chunks(chunks, ["arm"], ["v"], "days", expected=5).first().v == 1.6
     stops(A.merge_chunks(chunks, ["arm"], ["v"], "days", expected=6).select("arm"), "unexpected number of days")
     stops(A.merge_days([chunks, chunks], ["arm", "days"]).select("v"), "duplicate")
+
+
+def test_random_folds_are_those_of_ntile_without_its_window(spark, capsys):
+    from pyspark.sql import Window as W
+
+    from rainloom.functions import draws as D
+
+    for n, folds in ((23, 5), (3, 5), (10, 5)):
+        ids = spark.range(n).withColumnRenamed("id", "station_id")
+        want = ids.select("station_id", (F.ntile(folds).over(W.orderBy(D.draw(9, "station_id"), "station_id")) - 1).alias("fold"))
+        got = SE.random_folds(ids, folds, 9)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got.explain()
+    assert "ntile" not in capsys.readouterr().out
