@@ -87,8 +87,7 @@ def corners(points: DataFrame, lattice: Lattice, clamp: bool = False) -> DataFra
     """Four weighted cell keys per point."""
     row, column = lattice.row("lat"), lattice.column("lon")
     if clamp:
-        row = F.greatest(F.lit(0.0), F.least(row, F.lit(lattice.nlat - 1.000001)))
-        column = F.greatest(F.lit(0.0), F.least(column, F.lit(lattice.nlon - 1.000001)))
+        row, column = S.clip(row, 0.0, lattice.nlat - 1.000001), S.clip(column, 0.0, lattice.nlon - 1.000001)
     p = points.withColumn("_y", row).withColumn("_x", column)
     fy, fx = F.floor("_y").cast("int"), F.floor("_x").cast("int")
     wy, wx = F.col("_y") - fy, F.col("_x") - fx

@@ -269,7 +269,7 @@ def boo02(spark, sf):
     return report(B.block_bootstrap(d, ["product"], 3, 200, 2))
 
 
-@query("boo03_segmented_bootstrap", sql("fx_multipair", f"""with d as (select product, date, sum(pred-obs) as num, count(*) as den from fx_multipair where day(date) not in (9,10,21) group by 1,2), {boot_sql("d", 3, 4, 200, "product", True)}
+@query("boo03_segmented_bootstrap", sql("fx_multipair", f"""with d as (select product, date, sum(pred-obs) as num, count(*) as den from fx_multipair group by 1,2), {boot_sql("d", 3, 4, 200, "product", True)}
 select ba.product, {BOOT_OUT} from ba join ci on ci.product=ba.product"""))
 def boo03(spark, sf):
     m = V.multipair(spark, sf).withColumn("diff", F.col("pred") - F.col("obs"))

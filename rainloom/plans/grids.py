@@ -30,8 +30,8 @@ def edges_sql(name, src, i, c):
 
 
 WEIGHTS = f"""ay as (select distinct iy, {LAT} as lat from fx_grid), ax as (select distinct ix, 86e0+(ix+0.5e0)*0.5e0 as lon from fx_grid),
-by_ as (select distinct cast(floor(iy/2) as int) as ty, 20.75e0+floor(iy/2) as lat from fx_grid where floor(iy/2)<7),
-bx_ as (select distinct cast(floor(ix/2) as int) as tx, 86.75e0+floor(ix/2) as lon from fx_grid where floor(ix/2)<7),
+by_ as (select distinct cast(floor(iy/2) as int) as ty, 20.75e0+floor(iy/2) as lat from fx_grid),
+bx_ as (select distinct cast(floor(ix/2) as int) as tx, 86.75e0+floor(ix/2) as lon from fx_grid),
 {edges_sql("eay","ay","iy","lat")}, {edges_sql("eax","ax","ix","lon")}, {edges_sql("eby","by_","ty","lat")}, {edges_sql("ebx","bx_","tx","lon")},
 oy as (select ty, iy, sin(radians(least(t.hi,s.hi)))-sin(radians(greatest(t.lo,s.lo))) as o, sin(radians(t.hi))-sin(radians(t.lo)) as f from eby t join eay s on t.lo<s.hi and s.lo<t.hi),
 ox as (select tx, ix, least(t.hi,s.hi)-greatest(t.lo,s.lo) as o, t.hi-t.lo as f from ebx t join eax s on t.lo<s.hi and s.lo<t.hi),

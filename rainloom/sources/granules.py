@@ -99,12 +99,37 @@ def concat_products(frames: list[DataFrame], cell=("iy", "ix"), day="day") -> Da
     return C.require_unique(d, [day, *cell])
 
 
-def at_stations(product: DataFrame, stations: DataFrame, lattice) -> DataFrame:
-    """Product values at stations; a product that no station can see stops the call (one small job)."""
-    s = J.bilinear_sample(product, stations, lattice)
-    if s.isEmpty():
-        raise ValueError("no station lies on the product's lattice")
-    return s
+def at_stations(product: DataFrame, stations: DataFrame, lattice, requested: DataFrame | None = None, offset_days: int = 0,
+                factor: int = 1, value: str = "value", far: str = "stop") -> DataFrame:
+    """Product values at stations for the requested days (a frame with `date`; the product's own days without one).
+
+    A product day is the requested date plus offset_days. Coarse footprints (factor > 1) are not interpolated: the four
+    cells of `lattice` around a station read the footprints that hold them, and only footprints are joined. Stations on
+    the border read the outermost cells. Those beyond half a cell stop the call, or are read the same way with
+    far="clamp". No matched day at all stops the call too (small jobs): it is an error of dates, not of coverage.
+    """
+    if far not in ("stop", "clamp"):
+        raise ValueError(f"unknown rule for far stations {far!r}")
+    if far == "stop":
+        off = [r["station_id"] for r in stations.where(~lattice.contains("lat", "lon", -1e-9)).select("station_id").orderBy("station_id").limit(5).collect()]
+        if off:
+            raise ValueError(f"no station may lie off the product's lattice; off it, first of all: {off}")
+    p = product
+    if requested is not None:
+        days = requested.select(F.date_add("date", offset_days).alias("day")).distinct()
+        p = product.join(days, "day", "left_semi")
+    if p.isEmpty():
+        have = product.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+        asked = days.agg(F.min("day").alias("a"), F.max("day").alias("b"), F.count("*").alias("n")).first() if requested is not None else None
+        want = f"{asked['n']} requested days {asked['a']}..{asked['b']} (shifted by {offset_days})" if asked else "all days"
+        raise ValueError(f"matched no day of {want}; the product covers {have['a']}..{have['b']}")
+    c = J.corners(stations.select("station_id", "lat", "lon"), lattice, clamp=True)
+    cell = lambda k: F.floor(F.col(k) / factor).cast("int").alias(k)
+    c = c.groupBy("station_id", cell("iy"), cell("ix")).agg(F.sum("w").alias("w"))
+    v = F.col(value)
+    g = p.select("day", "iy", "ix", value).join(c, ["iy", "ix"]).groupBy("station_id", "day").agg(
+        F.sum(F.when(v.isNotNull(), v * F.col("w"))).alias("_s"), F.sum(F.when(v.isNotNull(), F.col("w"))).alias("_w"))
+    return g.select("station_id", "day", S.ratio(F.col("_s"), F.col("_w")).alias(value), F.coalesce(F.col("_w"), F.lit(0.0)).alias("coverage"))
 
 
 def latest_wins(df: DataFrame, keys, order="_file_order") -> DataFrame:

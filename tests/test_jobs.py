@@ -408,8 +408,43 @@ def test_source_rules_stop(spark):
     assert GN.concat_products([field([(1, 0), (1, 1)]), field([(2, 0), (2, 1)])]).count() == 4
     stops(GN.concat_products([field([(1, 0)]), field([(1, 0)])]).select("v"), "duplicate")
     stops(GN.concat_products([field([(1, 0), (1, 1)]), field([(2, 0)])]).select("v"), "sources differ")
+    one, point = field([(1, 0)]).withColumnRenamed("v", "value"), "station_id int, lat double, lon double"
     with pytest.raises(ValueError, match="no station"):
-        GN.at_stations(field([(1, 0)]).withColumnRenamed("v", "value"), spark.createDataFrame([(1, -80.0, 10.0)], "station_id int, lat double, lon double"), G)
+        GN.at_stations(one, spark.createDataFrame([(1, -80.0, 10.0)], point), G)
+    border = spark.createDataFrame([(1, 20.01, 86.01), (2, None, 86.01)], point)
+    assert [tuple(r) for r in GN.at_stations(one, border, G).collect()] == [(1, day(1), 1.0, 1.0)]
+    asked = spark.createDataFrame([(day(2),), (day(3),)], "date date")
+    assert GN.at_stations(one, border, G, requested=asked, offset_days=-1).count() == 1
+    with pytest.raises(ValueError, match="matched no day of 2 requested days 2024-03-02..2024-03-03.*covers 2024-03-01..2024-03-01"):
+        GN.at_stations(one, border, G, requested=asked)
+    with pytest.raises(ValueError, match="matched no day"):
+        GN.at_stations(one.where("false"), border, G)
+
+
+def test_footprints_are_repeated_not_interpolated(spark):
+    from rainloom.functions.lattice import VIEW_LATTICE as G
+    from rainloom.sources import granules as GN
+
+    rng = np.random.default_rng(5)
+    coarse = rng.random((4, 4))
+    product = spark.createDataFrame([(dt.date(2024, 3, 1), i, j, float(coarse[i, j])) for i in range(4) for j in range(4) if (i, j) != (2, 2)], "day date, iy int, ix int, value double")
+    at = [(20.0 + 8 * float(rng.random()), 86.0 + 8 * float(rng.random())) for _ in range(60)]
+    stations = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "station_id int, lat double, lon double")
+    got = {r.station_id: r.value for r in GN.at_stations(product, stations, G, factor=4).collect()}
+    fine = np.repeat(np.repeat(np.where(np.arange(16).reshape(4, 4) == 10, np.nan, coarse), 4, 0), 4, 1)
+    for k, (lat, lon) in enumerate(at):
+        y, x = (min(max((v - a) / 0.5, 0), 14.999999) for v, a in ((lat, 20.25), (lon, 86.25)))
+        i, j = int(y), int(x)
+        w = np.array([[(1 - y + i) * (1 - x + j), (1 - y + i) * (x - j)], [(y - i) * (1 - x + j), (y - i) * (x - j)]])
+        cells = fine[i:i + 2, j:j + 2]
+        w = np.where(np.isnan(cells), 0, w)
+        assert (k in got) == (w.sum() > 0) and (k not in got or got[k] == pytest.approx(np.nansum(w * cells) / w.sum(), rel=1e-9))
+
+
+def test_more_source_rules_stop(spark):
+    from rainloom.sources import archive as A
+
+    day = lambda d: dt.date(2024, 3, d)
 
     def season(d, methods=("p", "q"), y=0):
         return spark.createDataFrame([(day(d), m, y) for m in methods], "day date, method string, iy int")
