@@ -73,25 +73,25 @@ def corpus_counts(docs: DataFrame, vocabulary: set[bytes]) -> tuple[int, int, di
 class Batch:
     """Queries of one batch: terms with multiplicities and weights, and the weights by sketch coordinate."""
 
-    def __init__(self, queries: list[Counter], docs: int, total: int, df: dict[bytes, int]):
-        self.docs, self.total = docs, total
+    def __init__(self, queries: list[Counter], docs: int, total: int, df: dict[bytes, int], width: int = WIDTH):
+        self.docs, self.total, self.width = docs, total, width
         self.weighted = [{t: k * weight(docs, df[t]) for t, k in q.items() if t in df} for q in queries]
-        used = sorted({zlib.crc32(t) % WIDTH for q in self.weighted for t in q})
+        used = sorted({zlib.crc32(t) % width for q in self.weighted for t in q})
         place = {c: k for k, c in enumerate(used)}
         self.used, self.by_coordinate = np.asarray(used, np.int64), np.zeros((len(used), len(queries)))
         for k, q in enumerate(self.weighted):
             for t, w in q.items():
-                self.by_coordinate[place[zlib.crc32(t) % WIDTH], k] += w
+                self.by_coordinate[place[zlib.crc32(t) % width], k] += w
 
     def sketches(self, counts: list[Counter], m: np.ndarray) -> np.ndarray:
         """One row a document: the largest impact on each coordinate, over all of its terms."""
-        out = np.zeros(len(counts) * WIDTH, np.int64)
+        out = np.zeros(len(counts) * self.width, np.int64)
         size = [len(c) for c in counts]
         row = np.repeat(np.arange(len(counts)), size)
-        at = np.fromiter((zlib.crc32(t) for c in counts for t in c), np.int64, sum(size)) % WIDTH + row * WIDTH
+        at = np.fromiter((zlib.crc32(t) for c in counts for t in c), np.int64, sum(size)) % self.width + row * self.width
         tf = np.fromiter((n for c in counts for n in c.values()), np.int64, sum(size))
         np.maximum.at(out, at, impact(tf, m[row]))
-        return out.reshape(len(counts), WIDTH)
+        return out.reshape(len(counts), self.width)
 
     def bounds(self, sketches: np.ndarray) -> np.ndarray:
         """Documents by queries: never below the exact score. All sums are integers below 2**53, so doubles hold them exactly."""
@@ -158,7 +158,7 @@ def batches_of(items: DataFrame, most: int, most_bytes: int) -> Iterator[list[Ro
         yield held
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 20, batch: int = BATCH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 20, batch: int = BATCH, batch_bytes: int = BATCH_BYTES, width: int = WIDTH) -> DataFrame:
     """item_id, rank, doc_id, score: the k documents of highest score above 0 for each item (all, if fewer), ties to the smaller doc_id.
 
     A null text has no terms: such documents count nowhere and such items have no rows. Rows of documents are
@@ -171,7 +171,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, batch: int = BATCH, b
     for b, rows in enumerate(batches_of(items, batch, batch_bytes)):
         asked = [Counter(terms(r["text"])) for r in rows]
         counts = corpus_counts(docs, set().union(*asked))
-        ready, item_ids = Batch(asked, *counts), [r["item_id"] for r in rows]
+        ready, item_ids = Batch(asked, *counts, width), [r["item_id"] for r in rows]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Best(len(item_ids), k)
