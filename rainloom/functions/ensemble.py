@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.functions.scalar import col
 
@@ -15,6 +17,28 @@ def members_count(m) -> Column:
     return F.size(col(m))
 
 
+def largest(df: DataFrame, members: str = "members") -> int:
+    """Members of the largest ensemble; a job that reads no more than the arrays."""
+    return df.agg(F.max(F.size(members)).alias("n")).first()["n"] or 0
+
+
+def each(agg: Callable[[Column], Column], n: int, members="members") -> Column:
+    """An aggregate of every member over the rows of a group, as one array: partial sums stay one row, whatever the ensemble's size."""
+    return F.array(*[agg(F.get(col(members), F.lit(i))) for i in range(n)]) if n else F.array().cast("array<double>")
+
+
+def added(parts) -> Column:
+    """Sum of arrays by position; a missing entry adds nothing and the sum of none is missing."""
+    p = col(parts)
+    return F.aggregate(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), F.get(p, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x + y, x, y)))
+
+
+def mean_of_known(a: Column) -> Column:
+    """Mean of the entries that are not missing; NULL without any."""
+    known = F.filter(a, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, total(known) / F.nullif(F.size(known), F.lit(0)))
+
+
 def mean(m) -> Column:
     return total(col(m)) / F.size(col(m))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rainloom.session import cut_lineage
+
 STEPS_PER_OCTAVE = 2 ** 17
 COARSE = 1024
 
@@ -50,10 +52,68 @@ def quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
     h3 = _running(h3, [*k, "_f"], "_v")
     t3 = t2.join(h3, [*k, "_f"]).where((F.col("_r") < F.col("_cum")) & (F.col("_r") >= F.col("_cum") - F.col("n")))
 
+    out = _between(t3, k)
+    return out if keys else out.drop("_all")
+
+
+def _between(t: DataFrame, k) -> DataFrame:
+    """Interpolate between the values _v at both ends of each wanted position."""
     lo, hi = F.min_by("_v", "_end"), F.max_by("_v", "_end")
     frac = F.first("_pos") - F.floor(F.first("_pos"))
-    out = t3.groupBy(*k, "idx", "prob").agg((lo + (hi - lo) * frac).alias("value"), F.first("_total").alias("n"))
-    return out if keys else out.drop("_all")
+    return t.groupBy(*k, "idx", "prob").agg((lo + (hi - lo) * frac).alias("value"), F.first("_total").alias("n"))
+
+
+def _within(t: DataFrame, hist: DataFrame, part, by: str) -> DataFrame:
+    """The entry of a histogram that holds rank _r of its part; _r becomes the rank inside the entry."""
+    j = t.join(_running(hist, part, by), list(part)).where((F.col("_r") < F.col("_cum")) & (F.col("_r") >= F.col("_cum") - F.col("n")))
+    return j.withColumn("_r", F.col("_r") - (F.col("_cum") - F.col("n"))).drop("n", "_cum")
+
+
+def shared_quantiles(df: DataFrame, wanted: dict, keys=(), sums: dict | None = None, groups: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quantiles of several columns, with sums by bucket and by group, in two scans of the source.
+
+    wanted: column -> probabilities; sums: name -> Column, added up beside every bucket; groups: name -> (grouping
+    Column, value Column), a table of its own counted in the first scan.
+
+    Returns (hist, detail, quantiles), each written or computed from written tables:
+    hist: keys, column, c, g, rows, n (values), total, low, high and the sums, by coarse bucket c of a column or by label g of a group;
+    detail: keys, column, c, f, v, n and the sums, by distinct value of the buckets that hold a wanted rank;
+    quantiles: keys, column, idx, prob, value, n. A bucket without a wanted rank lies on one side of every quantile of its column.
+    """
+    k, sums, empty = [*keys, "column"], sums or {}, F.lit(None).cast("string")
+    some = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"), empty.alias("g")) for c in wanted]
+    some += [F.struct(F.lit(name).alias("column"), v.cast("double").alias("v"), F.coalesce(by.cast("string"), F.lit("")).alias("g")) for name, (by, v) in (groups or {}).items()]
+    d = df.select(*keys, *(c.alias(name) for name, c in sums.items()), F.explode(F.array(*some)).alias("_e")).select(*keys, *sums, "_e.*")
+    bucket = F.when(F.col("g").isNull(), order_bucket(F.col("v")))
+    d = d.where("v is not null or g is not null").withColumn("f", bucket).withColumn("c", F.floor(F.col("f") / COARSE))
+    added = [F.sum(name).alias(name) for name in sums]
+
+    hist = cut_lineage(d.groupBy(*k, "c", "g").agg(F.count("*").alias("rows"), F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"), *added))
+    h = _running(hist.where("g is null").select(*k, "c", "n"), k, "c").withColumn("_total", F.sum("n").over(W.partitionBy(*k)))
+    probs = F.lit(None).cast("array<struct<idx:int,prob:double>>")
+    for c, p in wanted.items():
+        probs = F.when(F.col("column") == c, F.array(*(F.struct(F.lit(i).alias("idx"), F.lit(float(x)).alias("prob")) for i, x in enumerate(p)))).otherwise(probs)
+    t = h.withColumn("_p", F.explode(probs)).withColumn("_pos", F.col("_p.prob") * (F.col("_total") - 1)).withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1))))
+    t = t.withColumn("_rank", F.when(F.col("_end") == 0, F.floor("_pos")).otherwise(F.ceil("_pos"))).where("_rank < _cum and _rank >= _cum - n")
+    t = t.select(*k, "c", "_p.idx", "_p.prob", "_end", "_pos", "_total", (F.col("_rank") - (F.col("_cum") - F.col("n"))).alias("_r"))
+
+    held = d.where("g is null").join(t.select(*k, "c").distinct(), [*k, "c"], "left_semi")
+    detail = cut_lineage(held.groupBy(*k, "c", "f", "v").agg(F.count("*").alias("n"), *added))
+    t = _within(t, detail.groupBy(*k, "c", "f").agg(F.sum("n").alias("n")), [*k, "c"], "f")
+    t = _within(t, detail.select(*k, "c", "f", F.col("v").alias("_v"), "n"), [*k, "c", "f"], "_v")
+    return hist, detail, _between(t, k)
+
+
+def edges_of(q: DataFrame) -> DataFrame:
+    """The distinct quantiles of one column, ascending, as one array in one row (empty without values)."""
+    return q.agg(F.array_sort(F.collect_set("value")).alias("edges"))
+
+
+def pieces(hist: DataFrame, detail: DataFrame, keys=(), sums=()) -> DataFrame:
+    """All values of the columns of shared_quantiles in pieces that no quantile cuts: keys, column, low, high, n, total and the sums."""
+    k = [*keys, "column"]
+    whole = hist.where("g is null").join(detail.select(*k, "c").distinct(), [*k, "c"], "left_anti").select(*k, "low", "high", "n", "total", *sums)
+    return whole.unionByName(detail.select(*k, F.col("v").alias("low"), F.col("v").alias("high"), "n", (F.col("v") * F.col("n")).alias("total"), *sums))
 
 
 def quantile_array(df: DataFrame, value: str, probs, keys=()) -> DataFrame:

@@ -42,8 +42,9 @@ def fit_quantile_map(df: DataFrame, source: str, target: str, keys=("stratum", "
                      wet_mm=0.1, min_samples=300, leave_out=True, mode="full") -> DataFrame:
     """Maps per holdout year x stratum x cell from the jointly finite samples of the other years.
 
-    A group holds the days of one stratum in one (pooled) cell, so its sorted samples
-    fit one row. Thin groups get identity knots; mode 'frequency_only' keeps the cut
+    A group holds the days of one stratum in one (pooled) cell, so its samples fit one
+    row. They are shuffled and sorted once, with their years; leaving a year out of the
+    sorted samples leaves them sorted, so neither shuffle nor sort grows with the years. Thin groups get identity knots; mode 'frequency_only' keeps the cut
     and sets target knots to source knots; mode 'all_values' maps every value, zeros
     included, without a cut.
     """
@@ -51,9 +52,13 @@ def fit_quantile_map(df: DataFrame, source: str, target: str, keys=("stratum", "
     by = list(keys)
     if leave_out:
         years = df.agg(F.sort_array(F.collect_set(year)).alias("y")).scalar()
-        d = d.withColumn("holdout", F.explode(years)).where(F.col("holdout") != F.col(year))
+        dated = lambda c: F.array_sort(F.collect_list(F.struct(F.col(c).alias("v"), F.col(year).alias("y"))))
+        without = lambda c: F.transform(F.filter(c, lambda x: x["y"] != F.col("holdout")), lambda x: x["v"]).alias(c)
+        g = d.groupBy(*by).agg(dated(source).alias("s"), dated(target).alias("t")).withColumn("holdout", F.explode(years))
         by = ["holdout", *by]
-    g = d.groupBy(*by).agg(F.array_sort(F.collect_list(source)).alias("s"), F.array_sort(F.collect_list(target)).alias("t"))
+        g = g.select(*by, without("s"), without("t")).where(F.size("s") > 0)
+    else:
+        g = d.groupBy(*by).agg(F.array_sort(F.collect_list(source)).alias("s"), F.array_sort(F.collect_list(target)).alias("t"))
     n = F.size("s")
     wet_t = F.filter("t", lambda x: x >= wet_mm) if mode != "all_values" else F.col("t")
     g = g.withColumn("n", n).withColumn("_wt", wet_t)

@@ -215,14 +215,13 @@ def innovation_statistics(df: DataFrame, background: str, analysis: str, truth="
 
 
 def spread_error_bins(df: DataFrame, n_bins=5, members="members", truth="truth") -> DataFrame:
-    """RMSE of the mean by spread quantile; bins are closed at both ends, so an edge value counts twice."""
-    d = samples(df, members, truth).select(F.sqrt("_var").alias("spread"), "_err")
-    q = O.quantile_array(d, "spread", [i / n_bins for i in range(n_bins + 1)])
-    edges = q.where("n > 8").select(F.array_distinct("q")).scalar()
-    d = d.withColumn("_q", edges)
-    d = d.select("spread", "_err", F.posexplode(F.arrays_zip(F.slice("_q", F.lit(1), F.size("_q") - 1).alias("lo"), F.slice("_q", F.lit(2), F.size("_q") - 1).alias("hi"))).alias("bin", "b"))
-    d = d.where((F.col("spread") >= F.col("b.lo")) & (F.col("spread") <= F.col("b.hi")))
-    return d.groupBy("bin").agg(F.count("*").alias("n"), F.avg("spread").alias("spread"), _rmse().alias("rmse")).where("n >= 2")
+    """RMSE of the mean by spread quantile; bins are closed at both ends, so an edge value counts twice. Two scans: squared errors travel with the buckets that find the edges."""
+    d = samples(df, members, truth).select(F.sqrt("_var").alias("spread"), (F.col("_err") * F.col("_err")).alias("ee"))
+    hist, detail, q = O.shared_quantiles(d, {"spread": [i / n_bins for i in range(n_bins + 1)]}, sums={"ee": F.col("ee")})
+    p = O.pieces(hist, detail, sums=["ee"]).withColumn("_q", O.edges_of(q.where("n > 8")).scalar())
+    p = p.select("low", "n", "total", "ee", F.posexplode(F.arrays_zip(F.slice("_q", F.lit(1), F.greatest(F.size("_q") - 1, F.lit(0))).alias("lo"), F.slice("_q", F.lit(2), F.greatest(F.size("_q") - 1, F.lit(0))).alias("hi"))).alias("bin", "b"))
+    p = p.where("low >= b.lo and low <= b.hi")
+    return p.groupBy("bin").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("spread"), F.sqrt(F.sum("ee") / F.sum("n")).alias("rmse")).where("n >= 2")
 
 
 def centre_scores(df: DataFrame, keys=(), members="members", truth="truth") -> DataFrame:

@@ -85,7 +85,12 @@ def require_covered(weights: DataFrame) -> DataFrame:
 
 
 def conservative_regrid(field: DataFrame, wy: DataFrame, wx: DataFrame, value="value", keys=("day",)) -> DataFrame:
-    """Area remap of rain: weight tables are axis-sized, so one aggregation shuffles."""
+    """Area remap of rain: weight tables are axis-sized, so one aggregation shuffles.
+
+    A source value that is missing or not finite stops the job: the sum of the rest would lose its rain unseen.
+    """
+    raw = F.col(value).cast("double")
+    field = field.where(guard(raw.isNull() | F.isnan(raw) | (F.abs(raw) == float("inf")), F.lit("source field has non-finite values")))
     v = S.clip(value, 0)
     j = field.join(wy.select("iy", "ty", F.col("weight").alias("_wy")), "iy").join(
         wx.select("ix", "tx", F.col("weight").alias("_wx")), "ix")

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rainloom.functions import scalar as S
+from rainloom.functions import ensemble as EN, scalar as S
 from rainloom.functions.lattice import Lattice
 from rainloom.operators.checks import guard
 from rainloom.session import cut_lineage
@@ -87,7 +87,7 @@ def corners(points: DataFrame, lattice: Lattice, clamp: bool = False) -> DataFra
     """Four weighted cell keys per point."""
     row, column = lattice.row("lat"), lattice.column("lon")
     if clamp:
-        row, column = S.clip(row, 0.0, lattice.nlat - 1.000001), S.clip(column, 0.0, lattice.nlon - 1.000001)
+        row, column = S.clip(row, 0.0, lattice.nlat - 1.0), S.clip(column, 0.0, lattice.nlon - 1.0)
     p = points.withColumn("_y", row).withColumn("_x", column)
     fy, fx = F.floor("_y").cast("int"), F.floor("_x").cast("int")
     wy, wx = F.col("_y") - fy, F.col("_x") - fx
@@ -122,14 +122,15 @@ def bilinear_sample(field: DataFrame, points: DataFrame, lattice: Lattice, value
 
 
 def bilinear_members(field: DataFrame, points: DataFrame, lattice: Lattice, members: str = "members",
-                     keys=("day",), point_key: str = "station_id") -> DataFrame:
-    """Sample every member: members travel by position so one aggregation serves all."""
-    c = corners(points.select(point_key, "lat", "lon"), lattice)
-    j = field.select(*keys, "iy", "ix", members).join(c, ["iy", "ix"])
-    e = j.select(point_key, *keys, "w", F.posexplode(members).alias("member", "v"))
-    s = e.groupBy(point_key, *keys, "member").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    return s.groupBy(point_key, *keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("member", "v"))), lambda x: x["v"]).alias(members))
+                     keys=("day",), point_key: str = "station_id", clamp: bool = False) -> DataFrame:
+    """Sample every member; a group has at most four weighted arrays, added by position, so rows do not follow the ensemble's size.
+
+    clamp: a point beyond the outermost centres reads the border, else the corners it lacks count as zero.
+    """
+    c = corners(points.select(point_key, "lat", "lon"), lattice, clamp)
+    j = field.select(*keys, "iy", "ix", members).join(c.where("w > 0") if clamp else c, ["iy", "ix"])
+    parts = F.collect_list(F.transform(members, lambda v: v * F.col("w")))
+    return j.groupBy(point_key, *keys).agg(parts.alias("_parts")).select(point_key, *keys, EN.added("_parts").alias(members))
 
 
 def nearest_cell(points: DataFrame, lattice: Lattice) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rainloom.functions import draws as D, ensemble as EN, scalar as S
@@ -38,34 +40,26 @@ def block_bootstrap(daily: DataFrame, keys, block: int, replicates: int, seed: i
     return out.withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
-def indexed(df: DataFrame, keys, id_col: str, out="_pos", buckets: int | None = None) -> DataFrame:
-    """Dense positions per key without sorting a whole key in one task: offset of the id bucket plus rank inside it.
-
-    Buckets follow the session's shuffle partitions, which a cluster sizes to its data, unless given.
-    """
-    k = list(keys)
-    buckets = buckets or max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    d = df.withColumn("_bk", F.pmod(F.col(id_col), F.lit(buckets)))
-    c = d.groupBy(*k, "_bk").agg(F.count("*").alias("_c"))
-    c = c.withColumn("_o", F.coalesce(F.sum("_c").over(W.partitionBy(*(k or [F.lit(0)])).orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    d = d.join(c.select(*k, "_bk", "_o"), [*k, "_bk"])
-    return d.withColumn(out, F.col("_o") + F.row_number().over(W.partitionBy(*k, "_bk").orderBy(id_col)) - 1).drop("_bk", "_o")
+#: P(at most k) of a Poisson law of mean one, for k from 0: a draw's weight is the number of these it reaches.
+POISSON = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(14)]
 
 
 def sample_bootstrap(df: DataFrame, keys, value: str, id_col: str, replicates: int, seed: int, levels=(2.5, 97.5)) -> DataFrame:
-    """Paired i.i.d. bootstrap of a mean: every replicate draws n positions with replacement.
+    """Paired bootstrap of a mean in its mergeable form: in each replicate a sample weighs Poisson(1), drawn by a hash of its id.
 
-    Draws are generated from the sample rows themselves, so the work is spread like
-    the samples, and equal draws collapse to counts before the join.
+    For many samples that is the law of drawing n positions with replacement. Weighted sums are added up before the
+    shuffle, so a task sends one row for each key and replicate, whatever its samples; nothing is joined or numbered.
+    Rows that share an id share their weights. A replicate in which all weights are zero has no mean and does not count.
     """
-    k = list(keys)
-    d = indexed(df.where(F.col(value).isNotNull()), k, id_col)
-    n = d.groupBy(*k).agg(F.count("*").alias("_n"), F.avg(value).alias("mean"))
-    r = d.select(*k, F.col("_pos").alias("_i")).join(n.select(*k, "_n"), k).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    r = r.withColumn("_pos", D.draw_below(F.col("_n"), seed, *k, "rep", "_i")).groupBy(*k, "rep", "_pos").agg(F.count("*").alias("_m"))
-    est = r.join(d.select(*k, "_pos", value), [*k, "_pos"]).groupBy(*k, "rep").agg((F.sum(F.col(value) * F.col("_m")) / F.sum("_m")).alias("e"))
-    ci = est.groupBy(*k).agg(F.percentile("e", levels[0] / 100).alias("ci_low"), F.percentile("e", levels[1] / 100).alias("ci_high"))
-    return n.join(ci, k).withColumnRenamed("_n", "n").withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
+    k, v, w = list(keys), F.col(value), F.col("_w")
+    d = df.where(v.isNotNull()).select(*k, F.col(id_col).alias("_i"), v.cast("double").alias(value)).withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    u = D.draw(seed, *k, "rep", "_i") / D.SPAN
+    weight = F.when(F.col("rep") < 0, F.lit(1)).otherwise(F.size(F.filter(F.array(*[F.lit(p) for p in POISSON]), lambda p: p <= u)))
+    s = d.withColumn("_w", weight).groupBy(*k, "rep").agg(F.sum(w).alias("_n"), S.ratio(F.sum(v * w), F.sum(w).cast("double")).alias("e"))
+    own, e = F.col("rep") < 0, F.when(F.col("rep") >= 0, F.col("e"))
+    out = s.groupBy(*k).agg(F.max(F.when(own, F.col("_n"))).alias("n"), F.max(F.when(own, F.col("e"))).alias("mean"),
+                            F.percentile(e, levels[0] / 100).alias("ci_low"), F.percentile(e, levels[1] / 100).alias("ci_high"))
+    return out.withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
 def paired_crps(df: DataFrame, first: str, second: str, keys=("date", "station_id"), method="method", members="members", truth="truth", tolerance=1e-5, extra=()) -> DataFrame:

@@ -38,28 +38,55 @@ def station_summary(df: DataFrame, n_days: int, key="station_id", value="precip_
         F.max(v).alias("max_mm"), F.sum(v).alias("total_mm"))
 
 
-def ingest_report(cells: DataFrame, text: str, max_mm=1000.0) -> DataFrame:
-    """Counts of what cleaning removed, over the raw text cells."""
-    v = S.token_value(text)
-    good = S.clean_legacy(text, max_mm)
+def _ingest_counts(text: str, max_mm: float, ok: Column) -> list[Column]:
+    """Counts of cleaning over the cells that meet a condition."""
+    v, good = F.when(ok, S.token_value(text)), F.when(ok, S.clean_legacy(text, max_mm))
     sent = S.is_sentinel(v)
-    return cells.agg(
-        F.count("*").alias("cells"), F.count(good).alias("valid"), F.count_if(sent).alias("sentinels"),
+    n = F.count_if(ok)
+    return [
+        n.alias("cells"), F.count(good).alias("valid"), F.count_if(sent).alias("sentinels"),
         F.count_if(v < 0).alias("negatives"), F.count_if(v > max_mm).alias("over_max"),
-        F.count_if(S.is_unknown_token(text)).alias("unknown_tokens"), (F.count(good) / F.count("*")).alias("coverage"),
-        share(good > 0).alias("wet_fraction"), F.avg(good).alias("mean_mm"), F.max(good).alias("max_mm"))
+        F.count_if(ok & S.is_unknown_token(text)).alias("unknown_tokens"), S.ratio(F.count(good), n.cast("double")).alias("coverage"),
+        share(good > 0).alias("wet_fraction"), F.avg(good).alias("mean_mm"), F.max(good).alias("max_mm")]
+
+
+def ingest_report(cells: DataFrame, text: str, max_mm=1000.0) -> DataFrame:
+    """Counts of what cleaning removed, over the raw text cells."""
+    return cells.agg(*_ingest_counts(text, max_mm, F.lit(True)))
+
+
+def archive_report(cells: DataFrame, text: str, date: Column, source: str, catalogued: str, max_mm=1000.0) -> DataFrame:
+    """The ingest report of a station archive: cells without a calendar date are counted and left out of the rest.
+
+    date: NULL where year, month and day name no day; source and catalogued: a station's name in the archive and in the
+    catalogue, whose keys differ where an alias was used. One scan, one row.
+    """
+    d = cells.withColumn("_date", date)
+    ok = F.col("_date").isNotNull()
+    alias = ok & (S.station_key(source) != S.station_key(catalogued))
+    return d.agg(
+        F.count_if(~ok).alias("invalid_calendar_cells"), F.min("_date").alias("date_start"), F.max("_date").alias("date_end"),
+        F.countDistinct(F.when(ok, F.col(catalogued))).alias("stations"), F.countDistinct(F.when(alias, F.struct(source, catalogued))).alias("aliases"),
+        F.lit(float(max_mm)).alias("max_mm_threshold"), *_ingest_counts(text, max_mm, ok))
+
+
+def aliases_used(cells: DataFrame, date: Column, source: str, catalogued: str) -> DataFrame:
+    """The pairs of names that an alias joined, once each."""
+    return cells.where(date.isNotNull() & (S.station_key(source) != S.station_key(catalogued))).select(source, catalogued).distinct()
 
 
 def satellite_report(df: DataFrame, value="value", error="error", day="day") -> DataFrame:
-    """Valid share, daily valid range and whole-table distribution of a prepared product."""
-    daily = df.groupBy(day).agg(share(F.col(value).isNotNull()).alias("v"))
-    a = daily.agg(F.min("v").alias("daily_valid_min"), F.median("v").alias("daily_valid_median"), F.max("v").alias("daily_valid_max"))
-    b = df.agg(share(F.col(value).isNotNull()).alias("valid_fraction"), F.avg(value).alias("mean_mm"), F.max(value).alias("max_mm"))
-    p = O.quantile_array(df, value, [0.99]).select("q").scalar()
-    e = O.quantile_array(df, error, [0.5, 0.9]).select("q").scalar()
-    one = b.withColumn("_d", a.select(F.struct("*")).scalar())
-    return one.select("valid_fraction", "_d.*", "mean_mm", F.get(p, F.lit(0)).alias("p99_mm"), "max_mm",
-                      F.get(e, F.lit(0)).alias("error_median"), F.get(e, F.lit(1)).alias("error_p90"))
+    """Valid share, daily valid range and whole-table distribution of a prepared product: two scans for all of them."""
+    hist, _, q = O.shared_quantiles(df, {value: [0.99], error: [0.5, 0.9]}, groups={"_day": (F.col(day), F.col(value))})
+    daily, own = F.col("column") == "_day", F.col("column") == value
+    share_of_day = F.when(daily, F.col("n") / F.col("rows"))
+    one = hist.agg(
+        S.ratio(F.sum(F.when(daily, F.col("n"))).cast("double"), F.sum(F.when(daily, F.col("rows"))).cast("double")).alias("valid_fraction"),
+        F.min(share_of_day).alias("daily_valid_min"), F.median(share_of_day).alias("daily_valid_median"), F.max(share_of_day).alias("daily_valid_max"),
+        S.ratio(F.sum(F.when(own, F.col("total"))), F.sum(F.when(own, F.col("n"))).cast("double")).alias("mean_mm"), F.max(F.when(own, F.col("high"))).alias("max_mm"))
+    at = lambda c, i, name: F.max(F.when((F.col("column") == c) & (F.col("idx") == i), F.col("value"))).alias(name)
+    ranks = q.agg(F.struct(at(value, 0, "p99_mm"), at(error, 0, "error_median"), at(error, 1, "error_p90")).alias("_q"))
+    return one.withColumn("_q", ranks.scalar()).select("valid_fraction", "daily_valid_min", "daily_valid_median", "daily_valid_max", "mean_mm", "_q.p99_mm", "max_mm", "_q.error_median", "_q.error_p90")
 
 
 def fit_transform(df: DataFrame, value: str, kind="log1p", eps=0.1, keys=()) -> DataFrame:
@@ -116,11 +143,13 @@ def daily_spatial(df: DataFrame, value: str, keys=("day",), wet=WET_MM) -> DataF
 
 
 def physical_summary(df: DataFrame, value: str, keys=()) -> DataFrame:
-    """n, mean, p99, p99.9 and max of whole columns."""
-    q = O.quantile_array(df, value, [0.99, 0.999], keys).select(*keys, "q")
-    a = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    a = a.join(q, list(keys)) if keys else a.withColumn("q", q.scalar())
-    return a.select(*keys, "n", "mean", F.get("q", F.lit(0)).alias("p99"), F.get("q", F.lit(1)).alias("p999"), "max")
+    """n, mean, p99, p99.9 and max of whole columns, all from one histogram and its refinement."""
+    hist, _, q = O.shared_quantiles(df, {value: [0.99, 0.999]}, keys)
+    at = lambda i, name: F.max(F.when(F.col("idx") == i, F.col("value"))).alias(name)
+    a = hist.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), S.ratio(F.sum("total"), F.sum("n").cast("double")).alias("mean"), F.max("high").alias("max"))
+    b = q.groupBy(*keys).agg(at(0, "p99"), at(1, "p999"))
+    a = a.join(b, list(keys)) if keys else a.withColumn("_q", b.select(F.struct("*")).scalar()).select("*", "_q.*")
+    return a.select(*keys, "n", "mean", "p99", "p999", "max")
 
 
 # ---- variograms -----------------------------------------------------------
@@ -241,12 +270,16 @@ def observation_error(df: DataFrame, product: Column, gauge: Column, sigma_rep:
 
 
 def intensity_bins(df: DataFrame, gauge: str, difference: Column, eps=0.1, n_bins=12) -> DataFrame:
-    """SD of the difference per quantile bin of log1p(gauge/eps); bins are half open, so the top value is out."""
+    """SD of the difference per quantile bin of log1p(gauge/eps); bins are half open, so the top value is out.
+
+    Edges and bins take two scans: sums travel with the buckets that find the edges."""
     d = df.select(F.log1p(F.col(gauge) / eps).alias("x"), difference.alias("d")).where("x is not null and d is not null")
-    edges = O.quantile_array(d, "x", [i / n_bins for i in range(n_bins + 1)]).select(F.array_distinct("q")).scalar()
-    d = d.withColumn("_e", edges)
-    d = d.withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col("x"))) - 1).where(F.col("bin") < F.size("_e") - 1)
-    return d.groupBy("bin").agg(F.avg("x").alias("centre"), F.stddev_samp("d").alias("sigma"), F.count("*").alias("n"))
+    hist, detail, q = O.shared_quantiles(d, {"x": [i / n_bins for i in range(n_bins + 1)]}, sums={"d": F.col("d"), "dd": F.col("d") * F.col("d")})
+    p = O.pieces(hist, detail, sums=["d", "dd"]).withColumn("_e", O.edges_of(q).scalar())
+    p = p.withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col("low"))) - 1).where(F.col("bin") < F.size("_e") - 1)
+    n, sd = F.sum("n"), F.sum("d")
+    var = F.greatest(F.sum("dd") - sd * sd / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))
+    return p.groupBy("bin").agg((F.sum("total") / n).alias("centre"), F.sqrt(var).alias("sigma"), n.alias("n"))
 
 
 def fit_intensity_error(bins: DataFrame, min_per_bin=50) -> DataFrame:
@@ -346,11 +379,12 @@ def station_sd_metrics(df: DataFrame, key="station_id", pred="pred", obs="obs",
                                 S.ratio(F.avg("p"), F.avg("o")).alias("amplitude_ratio"))
 
 
-def member_summaries(df: DataFrame, keys=(), members="members", wet=WET_MM) -> DataFrame:
-    """Field summaries per member averaged over members, beside the summary of the mean."""
-    p = df.select(*keys, EN.mean(members).alias("_m"), F.posexplode(members).alias("member", "v"))
-    s = p.groupBy(*keys, "member").agg(F.avg("v").alias("mean"), share(F.col("v") >= wet).alias("wet"), F.max("v").alias("mx"),
-                                       F.percentile("v", 0.99).alias("p99"), F.percentile("_m", 0.99).alias("ep"), F.stddev_pop("v").alias("sd"), F.avg("_m").alias("em"), share(F.col("_m") >= wet).alias("ew"), F.max("_m").alias("ex"))
-    return s.groupBy(*keys).agg(F.avg("mean").alias("member_mean"), F.avg("wet").alias("member_wet"), F.avg("mx").alias("member_max"),
-                                F.avg("p99").alias("member_p99"), F.first("ep").alias("mean_p99"),
-                                F.count_if(F.col("sd") == 0).alias("constant_members"), F.first("em").alias("mean_mean"), F.first("ew").alias("mean_wet"), F.first("ex").alias("mean_max"))
+def member_summaries(df: DataFrame, keys=(), members="members", wet=WET_MM, n_members: int | None = None) -> DataFrame:
+    """Field summaries per member averaged over members, beside the summary of the mean. Rows do not follow the ensemble's size, which is looked up unless given."""
+    n, m = n_members or EN.largest(df, members), F.col("_m")
+    each = lambda agg, name: EN.each(agg, n, members).alias(name)
+    s = df.withColumn("_m", EN.mean(members)).groupBy(*keys).agg(
+        each(F.avg, "mean"), each(lambda v: share(v >= wet), "wet"), each(F.max, "mx"), each(lambda v: F.percentile(v, 0.99), "p99"), each(F.stddev_pop, "sd"),
+        F.percentile(m, 0.99).alias("mean_p99"), F.avg(m).alias("mean_mean"), share(m >= wet).alias("mean_wet"), F.max(m).alias("mean_max"))
+    return s.select(*keys, EN.mean_of_known(F.col("mean")).alias("member_mean"), EN.mean_of_known(F.col("wet")).alias("member_wet"), EN.mean_of_known(F.col("mx")).alias("member_max"),
+                    EN.mean_of_known(F.col("p99")).alias("member_p99"), "mean_p99", F.size(F.filter("sd", lambda x: x == 0)).cast("long").alias("constant_members"), "mean_mean", "mean_wet", "mean_max")

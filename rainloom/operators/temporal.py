@@ -72,23 +72,19 @@ def required_days(df: DataFrame, period: str, date="date", fraction=0.8) -> Data
     return df.groupBy(period).agg(F.ceil(F.countDistinct(date) * fraction - 1e-9).alias("required"))
 
 
-def period_ensembles(df: DataFrame, period: str, fraction=0.8, method="method", station="station_id", date="date") -> DataFrame:
+def period_ensembles(df: DataFrame, period: str, fraction=0.8, method="method", station="station_id", date="date", n_members: int | None = None) -> DataFrame:
     """Period means per station of truth and of every member, plus SDs of the daily values.
 
-    A station-day counts only when truth and all members of all methods are finite.
+    A station-day counts only when truth and all members of all methods are finite. Every member is a partial sum of
+    one row; their number is looked up (a small job) unless n_members says it.
     """
     need = required_days(df, period, date, fraction)
     w = W.partitionBy(station, date)
     ok = EN.usable("members", "truth")
     d = df.withColumn("_bad", F.max(F.when(ok, 0).otherwise(1)).over(w)).where("_bad = 0")
-    p = d.select(period, station, date, method, "truth", EN.mean("members").alias("_m"), F.posexplode("members").alias("member", "v"))
-    per_member = p.groupBy(period, station, method, "member").agg(
-        F.avg("v").alias("v"), F.avg("truth").alias("truth"), F.stddev_pop("truth").alias("truth_sd"),
-        F.stddev_pop("_m").alias("predicted_sd"), F.countDistinct(date).alias("n_days"))
-    g = per_member.groupBy(period, station, method).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("member", "v"))), lambda x: x["v"]).alias("members"),
-        F.first("truth").alias("truth"), F.first("truth_sd").alias("truth_sd"), F.first("predicted_sd").alias("predicted_sd"),
-        F.first("n_days").alias("n_days"))
+    g = d.groupBy(period, station, method).agg(
+        F.filter(EN.each(F.avg, n_members or EN.largest(df)), lambda x: x.isNotNull()).alias("members"), F.avg("truth").alias("truth"),
+        F.stddev_pop("truth").alias("truth_sd"), F.stddev_pop(EN.mean("members")).alias("predicted_sd"), F.countDistinct(date).alias("n_days"))
     return g.join(need, period).where(F.col("n_days") >= F.col("required")).drop("required")
 
 

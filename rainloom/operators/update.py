@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rainloom.functions import ensemble as EN, scalar as S
 from rainloom.functions.lattice import Lattice
 from rainloom.operators import joins as J
+from rainloom.operators.checks import guard
+
+LEAST_MEMBERS, TOO_FEW = 3, "an update needs at least three members"
 
 
 def predicted_members(field: DataFrame, gauge: DataFrame, lattice: Lattice, kind="log1p", eps=0.1, keys=("day",), key="station_id") -> DataFrame:
     """Gauge prediction of every member: interpolated in mm, returned in transformed units.
 
-    The lattice is clamped, so border gauges read their nearest cells.
+    A gauge beyond the outermost centres reads the border cells with their whole weight.
+    Cells that the field lacks count as dry; a gauge with none of its cells has no prediction.
     """
     mm = field.select(*keys, "iy", "ix", F.transform("members", lambda x: S.rain_inverse(x, kind, eps)).alias("members"))
-    s = J.bilinear_members(mm, gauge, lattice, "members", keys, key)
+    s = J.bilinear_members(mm, gauge, lattice, "members", keys, key, clamp=True)
     return s.select(key, *keys, F.transform("members", lambda x: S.rain_forward(x, kind, eps)).alias("hx"))
 
 
@@ -25,8 +29,9 @@ def update_once(field: DataFrame, gauge: DataFrame, obs: DataFrame, lattice: Lat
     """Square-root update of members (transformed units) by one gauge per day.
 
     The gauge side has one row per day, so it meets the cells on the day key; cells
-    beyond the support keep their members untouched.
+    beyond the support keep their members untouched. Fewer than three members stop the job.
     """
+    field = field.where(guard(F.size("members") < LEAST_MEMBERS, F.lit(TOO_FEW)))
     h = predicted_members(field, gauge, lattice, kind, eps, keys, key).join(gauge.select(key, F.col("lat").alias("_la"), F.col("lon").alias("_lo")), key)
     h = h.join(obs.where(F.col(value).isNotNull()).select(key, *keys, S.rain_forward(value, kind, eps).alias("_y")), [key, *keys])
     h = h.withColumn("_hm", EN.mean("hx")).withColumn("_hv", EN.variance("hx"))
@@ -72,15 +77,16 @@ def _assimilate(state, iy, ix, gauges, lattice: Lattice, obs_var: float, support
     """One day: update_once by each (lat, lon, transformed observation) of gauges in turn. state: a row of members for each cell."""
     forward, inverse = ARRAYS[kind]
     n, at = state.shape[1], {k: i for i, k in enumerate(zip(iy.tolist(), ix.tolist()))}
-    if n < 2:
-        return state
+    if n < LEAST_MEMBERS:
+        raise ValueError(TOO_FEW)
     first, res = (lattice.lat_min + 0.5 * lattice.res, lattice.lon_min + 0.5 * lattice.res), lattice.res
     lat, lon = iy * res + first[0], ix * res + first[1]
     for la, lo, y in gauges:
-        row, column = (la - first[0]) / res, (lo - first[1]) / res
+        row, column = (min(max((v - a) / res, 0.0), size - 1.0) for v, a, size in ((la, first[0], lattice.nlat), (lo, first[1], lattice.nlon)))
         y0, x0 = int(np.floor(row)), int(np.floor(column))
         wy, wx = row - y0, column - x0
         four = [(at[y0 + dy, x0 + dx], (wy if dy else 1 - wy) * (wx if dx else 1 - wx)) for dy in (0, 1) for dx in (0, 1) if (y0 + dy, x0 + dx) in at]
+        four = [(i, w) for i, w in four if w > 0]
         if not four:
             continue
         mm = np.maximum(inverse(state[[i for i, _ in four]], eps), 0)

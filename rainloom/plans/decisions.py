@@ -281,9 +281,12 @@ dd as (select 'combined-background' as contrast, a.date, a.station_id, a.fold, a
  union all select 'combined-gauges', a.date, a.station_id, a.fold, a.c-b.c from cr a join cr b on a.date=b.date and a.station_id=b.station_id and a.method='combined' and b.method='gauges')"""
 
 
+POISSON_SQL = "[" + ",".join(f"{p!r}e0" for p in B.POISSON) + "]"
+
+
 @query("boo04_sample_bootstrap", sql("fx_methods", f"""with {PAIRC}, s as (select contrast, d, (datediff('day', date '2024-05-01', date)+station_id*50) as id from dd),
-ix as (select *, row_number() over (partition by contrast order by id%256, id)-1 as pos, count(*) over (partition by contrast) as n from s),
-r as (select contrast, rep, {sdraw("'4'", "contrast", "rep", "pos")}%n as p from ix, (select unnest(range(50)) as rep)), e as (select r.contrast, rep, avg(d) as e from r join ix on ix.contrast=r.contrast and ix.pos=r.p group by 1,2),
+w as (select contrast, rep, d, len([p for p in {POISSON_SQL} if p <= {sdraw("'4'", "contrast", "rep", "id")}/281474976710656e0]) as w from s, (select unnest(range(50)) as rep)),
+e as (select contrast, rep, sum(d*w)/nullif(sum(w),0) as e from w group by 1,2),
 c as (select contrast, quantile_cont(e,0.025) as lo, quantile_cont(e,0.975) as hi from e group by 1), m as (select contrast, count(*) as n, avg(d) as mean from s group by 1)
 select m.contrast, n, {q6("mean","mean")}, {q6("lo","ci_low")}, {q6("hi","ci_high")}, (lo>0 or hi<0) as significant from m join c on c.contrast=m.contrast"""))
 def boo04(spark, sf):
@@ -357,7 +360,26 @@ def ens01(spark, sf):
     return report(u.select("day", "iy", "ix", EN.mean("members").alias("mean"), EN.variance("members").alias("variance")))
 
 
-@query("ens02_serial_update")
+HAT = "greatest(0e0,1-abs(r-iy))*greatest(0e0,1-abs(c-ix))"
+SEEN = ", ".join(f"ln(1+(sum(u*greatest(exp(s[{i}])-1,0)*0.1e0) over (partition by day))/0.1e0)" for i in range(1, 7))
+SEEN_BY = ", ".join(f"ln(1+sum(u*greatest(exp(s[{i}])-1,0)*0.1e0)/0.1e0)" for i in range(1, 7))
+SERIAL = f"""gm0 as ({GM.removeprefix("gm as (")},
+g as (select *, row_number() over (order by {sdraw("'2'", "station_id")}, station_id) as k, least(greatest((lat-20.25e0)/0.5e0,0),15) as r, least(greatest((lon-86.25e0)/0.5e0,0),15) as c from fx_station),
+ob as (select day, avg(value)*1.3e0 as m from fx_grid group by 1),
+st as (select cast(0 as bigint) as k, day, iy, ix, [ln(1+x/0.1e0) for x in members] as s from gm0 union all
+ select k, day, iy, ix, case when n>0 and den>1e-8 and w>0 then [s[i]+w*cov/den*(y-hm)-1/(1+sqrt(0.3e0/den))*w*cov/den*(h[i]-hm) for i in range(1,7)] else s end from (
+ select *, case when q<=1 then 1-5e0/3*pow(q,2)+5e0/8*pow(q,3)+0.5e0*pow(q,4)-0.25e0*pow(q,5) when q<2 then greatest(0e0,4-5*q+5e0/3*pow(q,2)+5e0/8*pow(q,3)-0.5e0*pow(q,4)+pow(q,5)/12-2/(3*q)) else 0e0 end as w,
+  list_sum([(s[i]-list_avg(s))*(h[i]-hm) for i in range(1,7)])/5 as cov from (
+ select *, list_avg(h) as hm, list_var_samp(h)+0.3e0 as den from (
+ select *, [{SEEN}] as h, sum(case when u>0 then 1 else 0 end) over (partition by day) as n from (
+ select g.k, st.day, iy, ix, s, {HAT} as u, ln(1+(m+station_id)/0.1e0) as y, 2*111e0*sqrt(pow(20e0+(iy+0.5e0)*0.5e0-lat,2)+pow(cos(radians(lat))*(86e0+(ix+0.5e0)*0.5e0-lon),2))/300e0 as q
+ from st join g on g.k=st.k+1 join ob on ob.day=st.day))))),
+hx as (select st.k, st.day, station_id, [{SEEN_BY}] as h from (select st.k, day, station_id, s, {HAT} as u from st, g where st.k in (0, (select max(k) from g))) st where u>0 group by 1,2,3),
+e as (select hx.k, hx.day, sqrt(avg(pow(ln(1+(m+station_id)/0.1e0)-list_avg(h),2))) as rmse, count(*) as n from hx join ob on ob.day=hx.day group by 1,2)"""
+
+
+@query("ens02_serial_update", sql("fx_grid fx_station", f"""with {SERIAL}
+select a.day, {q6("a.rmse","before")}, a.n as n_gauges, {q6("b.rmse","after")} from e a join e b on b.day=a.day and a.k=0 and b.k>0""").replace("with fx_grid", "with recursive fx_grid", 1))
 def ens02(spark, sf):
     """Every gauge, in hash order."""
     g = V.station(spark, sf)

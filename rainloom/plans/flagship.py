@@ -9,6 +9,7 @@ from rainloom.plans.scalars import q6
 from rainloom.plans.stats import report
 from rainloom.plans.temporal import CAL, record
 from rainloom.plans.views import sql
+from rainloom.session import cut_lineage
 
 
 @query("flagship_error_averaging", sql("fx_obs fx_pair", f"""with {CAL.replace("from fx_pair, w", "from fx_pair, w where station_id in (select station_id from fx_obs group by 1 having count(distinct date)/30e0>=0.5e0)")},
@@ -22,8 +23,8 @@ def flagship(spark, sf):
     m = T.calendar_blocks(V.pair(spark, sf).join(kept, "station_id", "left_semi"), ["station_id"], ["obs", "pred"], [1, 5, 10, 30], start, end)
     d = F.col("pred") - F.col("obs")
     s = m.groupBy("window").agg(F.count("*").alias("n"), F.avg(d * d).alias("mse"), F.avg(d).alias("bias"), ST.safe_corr("pred", "obs").alias("correlation"))
+    s = cut_lineage(s)
     fit = ST.aggregation_decomposition(s.where("n > 10")).select(F.struct("systematic_mse", "random_mse").alias("f")).scalar()
-    s = s.withColumn("_f", fit)
-    out = report(s.select(F.col("window").alias("window_days"), "n", "mse", "bias", "correlation"))
-    r = s.select(F.col("window").alias("window_days"), (F.floor(F.col("_f.systematic_mse") * 1e3 + 0.5) / 1e3).alias("systematic_mse"), (F.floor(F.col("_f.random_mse") * 1e3 + 0.5) / 1e3).alias("random_mse"))
-    return out.join(r, "window_days")
+    s = report(s).withColumn("_f", fit)
+    split = [(F.floor(F.col(f"_f.{k}") * 1e3 + 0.5) / 1e3).alias(k) for k in ("systematic_mse", "random_mse")]
+    return s.select(F.col("window").alias("window_days"), "n", "mse", "bias", "correlation", *split)

@@ -125,8 +125,9 @@ def src07(spark, sf):
 with w as (select cast(ts as date) as day, event_type as shard, value from events where cast(ts as date) between date '2024-01-05' and date '2024-01-20'), f as (select day, min(shard) as shard from w group by 1)
 select w.day, w.shard, count(*) as n, {q6("sum(value)","total")} from w join f on f.day=w.day and f.shard=w.shard group by 1,2""")
 def src07b(spark, sf):
-    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("shard"), "value", F.lit("mm / day").alias("units"), F.lit(3).alias("hour"))
-    return report(GN.subset_shards(e, "2024-01-05", "2024-01-20", "shard", units="units", end_hour="hour").groupBy("day", "shard").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("shard"), "value", F.lit("mm / day").alias("units"), F.lit(3).alias("hour"),
+                                       F.lit("half-hourly").alias("frequency"))
+    return report(GN.subset_shards(e, "2024-01-05", "2024-01-20", "shard", units="units", end_hour="hour", frequency="frequency").groupBy("day", "shard").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 
 
 @query("src08_checked_concat", sql("fx_grid", f"""

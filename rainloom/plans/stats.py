@@ -47,6 +47,36 @@ def agg03(spark, sf):
     return report(ST.ingest_report(text_cells(spark, sf), "cell"))
 
 
+ARCHIVE = f"""ar as (select *, upper(trim(cell)) in ('','***','NA','N/A','NULL','NONE') as miss, try_cast(trim(cell) as double) as raw from (select {TEXT_CELL_SQL} as cell, 'Station '||(user_id%7) as catalogued,
+ case when user_id%3=0 then 'Old station-'||(user_id%7) else 'station_'||(user_id%7) end as source, try_cast(strftime(ts,'%Y-%m-')||lpad(cast(1+event_id%31 as varchar),2,'0') as date) as date from events)),
+av as (select *, case when miss then null else raw end as v from ar where date is not null), ag as (select *, case when v in (-999,-9999,-99.9,999,9999) or v<0 or v>1000 then null else v end as good from av)"""
+
+
+def archive_cells(spark, sf):
+    """Text cells with archive and catalogue names and a day of the month that need not exist."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    k = (F.col("user_id") % 7).cast("string")
+    d = text_cells(spark, sf).join(e, "event_id").withColumn("catalogued", F.concat(F.lit("Station "), k))
+    d = d.withColumn("source", F.concat(F.when(F.col("user_id") % 3 == 0, F.lit("Old station-")).otherwise(F.lit("station_")), k))
+    return d, F.try_to_date(F.concat(F.date_format("ts", "yyyy-MM-"), F.lpad((F.col("event_id") % 31 + 1).cast("string"), 2, "0")), "yyyy-MM-dd")
+
+
+@query("agg03_archive_report", f"""with {ARCHIVE}
+select (select count(*) from ar where date is null) as invalid_calendar_cells, min(date) as date_start, max(date) as date_end, count(distinct catalogued) as stations, (select count(distinct source||catalogued) from ag where source like 'Old%') as aliases,
+ 1000e0 as max_mm_threshold, count(*) as cells, count(good) as valid, count(*) filter (where v in (-999,-9999,-99.9,999,9999)) as sentinels, count(*) filter (where v<0) as negatives,
+ count(*) filter (where v>1000) as over_max, count(*) filter (where not miss and raw is null) as unknown_tokens, {q6("count(good)/count(*)","coverage")},
+ {q6("avg(case when good>0 then 1e0 when good is not null then 0e0 end)","wet_fraction")}, {q6("avg(good)","mean_mm")}, {q6("max(good)","max_mm")} from ag""")
+def agg03_archive(spark, sf):
+    d, date = archive_cells(spark, sf)
+    return report(ST.archive_report(d, "cell", date, "source", "catalogued"))
+
+
+@query("agg03_aliases_used", f"with {ARCHIVE} select distinct source, catalogued from ag where source like 'Old%'")
+def agg03_aliases(spark, sf):
+    d, date = archive_cells(spark, sf)
+    return ST.aliases_used(d, date, "source", "catalogued")
+
+
 @query("agg04_satellite_report", sql("fx_grid", f"""
 with g as (select *, case when value>8 then value end as v from fx_grid), d as (select day, avg(case when v is not null then 1e0 else 0e0 end) as f from g group by 1)
 select {q6("(select avg(case when v is not null then 1e0 else 0e0 end) from g)","valid_fraction")}, {q6("(select min(f) from d)","daily_valid_min")},

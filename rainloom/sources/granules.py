@@ -63,11 +63,13 @@ def daily_field(df: DataFrame, value="precip_mm", error="error_mm", count="n_val
     return df.select(*others, F.when(ok, v).alias(value), F.when(ok, S.finite(error)).alias(error))
 
 
-def subset_shards(df: DataFrame, start, end, order: str, day="day", complete=True, units=None, end_hour=None) -> DataFrame:
+def subset_shards(df: DataFrame, start, end, order: str, day="day", complete=True, units=None, end_hour=None,
+                  frequency=None, alignment=None, allow_day_shift=False) -> DataFrame:
     """Window of overlapping shards: the day filter reaches the scan, then the first shard of a day wins.
 
     With complete, requested days that no shard holds stop the call (one small job while the plan is built). Rows
-    whose column `units` is not mm/day, or whose column `end_hour` is not the reporting hour, stop the job.
+    whose column `units` is not mm/day, or whose column `end_hour` is not the reporting hour, stop the job. So do rows
+    whose column `frequency` is not half-hourly, unless column `alignment` says day-shift and such days are allowed.
     """
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     d = df.where(F.col(day).between(first, last))
@@ -75,6 +77,12 @@ def subset_shards(df: DataFrame, start, end, order: str, day="day", complete=Tru
         d = d.where(C.guard(~F.coalesce(F.regexp_replace(F.lower(units), " ", "").isin(*MM_PER_DAY), F.lit(False)), F.concat(F.lit("unexpected units "), F.coalesce(units, F.lit("NULL")))))
     if end_hour:
         d = d.where(C.guard(~F.col(end_hour).eqNullSafe(F.lit(REPORTING_HOUR)), F.concat(F.lit("accumulation ends at hour "), F.coalesce(F.col(end_hour).cast("string"), F.lit("NULL")))))
+    if frequency:
+        shifted = F.coalesce(F.col(alignment) == "day-shift", F.lit(False)) if alignment else F.lit(False)
+        other = ~F.coalesce(F.col(frequency) == "half-hourly", F.lit(False))
+        d = d.where(C.guard(other & ~shifted, F.lit("not prepared from half-hourly fields and not declared day-shift")))
+        if not allow_day_shift:
+            d = d.where(C.guard(other & shifted, F.lit("day-shifted product is not allowed")))
     if complete:
         wanted = df.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias(day))
         gone = [str(r[0]) for r in wanted.join(d.select(day).distinct(), day, "left_anti").orderBy(day).limit(10).collect()]

@@ -402,6 +402,13 @@ def test_source_rules_stop(spark):
     stops(GN.subset_shards(shards, "2024-03-03", "2024-03-03", "shard", complete=False, units="units").select("v"), "unexpected units")
     stops(GN.subset_shards(shards, "2024-03-03", "2024-03-03", "shard", complete=False, end_hour="hour").select("v"), "ends at hour 0")
 
+    made = shards.where("day < '2024-03-02'").withColumn("made", F.lit("daily")).withColumn("how", F.when(F.col("shard") == "a", "day-shift"))
+    window = ("2024-03-01", "2024-03-01", "shard")
+    stops(GN.subset_shards(made.where("shard = 'b'"), *window, frequency="made", alignment="how").select("v"), "not prepared from half-hourly")
+    stops(GN.subset_shards(made.where("shard = 'a'"), *window, frequency="made", alignment="how").select("v"), "not allowed")
+    assert GN.subset_shards(made.where("shard = 'a'"), *window, frequency="made", alignment="how", allow_day_shift=True).count() == 1
+    assert GN.subset_shards(made.withColumn("made", F.lit("half-hourly")), *window, frequency="made").count() == 1
+
     def field(rows):
         return spark.createDataFrame([(day(d), y, 0, 1.0) for d, y in rows], "day date, iy int, ix int, v double")
 
