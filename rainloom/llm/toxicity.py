@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from rainloom.llm.common import query, slices, table, text_or_empty
+from rainloom.session import cut_lineage
 
 SPACE, SELECTED, FACTORS = 1 << 18, 1024, 8
 #: Labelled rows that selection and fitting read at most, the first by a hash of the id.
@@ -50,13 +51,17 @@ class TermCounter:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """Text and label of at most max_rows labelled ids. Contradicting labels count as toxic; null ids and labels are left out.
+    """name, text and label of at most max_rows rows. Contradicting labels count as toxic; null ids and labels are left out.
 
-    Only ids and labels are sorted; their number is bounded, so they are broadcast and no text is shuffled.
+    Only ids and labels are sorted; their number is bounded, so they are broadcast. Rows that repeat an id and a text
+    count once, and the first max_rows by `name`, a hash of both, are taken: an id may have any number of rows.
+    Within a task repeats go before the shuffle, so one id with a third of all rows sends one row a task.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "label", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "text"), 256).alias("name"))
+    kept = rows.select("name").distinct().orderBy("name").limit(max_rows)
+    return rows.join(F.broadcast(kept), "name", "left_semi").groupBy("name").agg(F.any_value("text").alias("text"), F.any_value("label").alias("label"))
 
 
 def select_terms(sample: DataFrame, selected: int, min_rows: int = 5) -> list[int]:
@@ -89,9 +94,9 @@ def term_rows(sample: DataFrame, keep: np.ndarray) -> DataFrame:
         held = TermCounter(keep)
         for b in slices(batches):
             got = [held.of(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([x.tolist() for x in got], pa.list_(pa.int32()))], ["label", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column("name"), b.column("label"), pa.array([x.tolist() for x in got], pa.list_(pa.int32()))], ["name", "label", "terms"])
 
-    return sample.mapInArrow(run, "label int, terms array<int>")
+    return sample.mapInArrow(run, "name string, label int, terms array<int>")
 
 
 def fit(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = 40, batch: int = 256, rate: float = 0.02, ridge: float = 1e-4, seed: int = 7) -> dict:
@@ -122,19 +127,18 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = 40,
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, selected: int = SELECTED) -> dict:
     """Model from at most max_rows labelled rows: the selected terms, weights and vectors.
 
-    Without rows of both classes the model is a constant: the share of toxic labels, 0 if there are none.
+    Rows are fitted in the order of their names, so the file layout does not matter. Without rows of both classes the model is a constant: the share of toxic labels, 0 if there are none.
     """
-    sample = labelled(docs, labels, max_rows)
+    sample = cut_lineage(labelled(docs, labels, max_rows))
     keep = np.asarray(select_terms(sample, selected), np.int64)
-    rows = term_rows(sample, keep).collect()
+    rows = sorted(term_rows(sample, keep).collect(), key=lambda r: r["name"])
     y = np.asarray([r["label"] for r in rows], np.float64)
     if not len(keep):
         return {"keep": keep, "bias": np.full(1, 30.0 if len(y) and y.mean() >= 0.5 else -30.0), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
     x = np.zeros((len(rows), len(keep)), np.uint8)
     for k, r in enumerate(rows):
         x[k, r["terms"]] = 1
-    order = np.lexsort((y, *x.T[:8]))
-    return {"keep": keep} | fit(x[order], y[order])
+    return {"keep": keep} | fit(x, y)
 
 
 def score(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:

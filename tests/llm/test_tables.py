@@ -277,3 +277,16 @@ def test_slices_hold_few_bytes_or_one_row():
     b = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (5, 5, 1, 50, 0, 3)] + [None], "k": list(range(7))})
     got = [x.column("k").to_pylist() for x in slices([b, b.slice(0, 0)], most=10)]
     assert got == [[0, 1], [2], [3], [4, 5, 6]]
+
+
+def test_toxicity_does_not_follow_the_layout_and_bounds_rows(spark):
+    """Equal scores under two layouts where a third of the table is one row, and a sample bounded in rows."""
+    rows = toxic_rows(300)
+    same = [rows[3][:2]] * 150
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + same + [(3, f"another text of one id {k}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    a, b = (toxicity.train(d, labels, selected=64) for d in (docs.coalesce(1), docs.repartition(9)))
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+    assert toxicity.labelled(docs, labels, 1000).count() == 350 and toxicity.labelled(docs, labels, 40).count() == 40
+    got = toxicity.score(docs, a)
+    assert got.count() == docs.count() and got.where("doc_id = 3").select("text", "toxicity").distinct().count() == 51
