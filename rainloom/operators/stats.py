@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.functions import ensemble as EN, order as O, scalar as S
 from rainloom.operators import joins as J
+from rainloom.session import cut_lineage
 
 WET_MM = 1.0
 
@@ -154,35 +155,62 @@ def physical_summary(df: DataFrame, value: str, keys=()) -> DataFrame:
 
 # ---- variograms -----------------------------------------------------------
 
-@F.pandas_udf(T.StructType([T.StructField("ss", T.DoubleType()), T.StructField("n", T.LongType())]))
-def _pair_sums(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Sum of squared differences and shared days of two aligned months, a batch at a time."""
-    d = np.stack(a.to_numpy()).astype(float) - np.stack(b.to_numpy()).astype(float)
-    return pd.DataFrame({"ss": np.nansum(d * d, axis=1), "n": np.count_nonzero(~np.isnan(d), axis=1)})
+#: Stations of a block: two blocks of months meet in one task.
+BLOCK = 256
+
+
+def _block_sums(edges):
+    """Sums over all station pairs of two blocks in one month, by distance bin: squared differences, shared days, distances."""
+    def km(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        la, lb, oa, ob = (np.radians(x.to_numpy(float)) for x in (a["lat"], b["lat"], a["lon"], b["lon"]))
+        h = np.sin((lb[None] - la[:, None]) / 2) ** 2 + np.cos(la)[:, None] * np.cos(lb)[None] * np.sin((ob[None] - oa[:, None]) / 2) ** 2
+        return 2 * S.EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        same = bool((t["p"] == t["q"]).iloc[0])
+        a, b = (t, t) if same else (t[t["p"] == t["block"]], t[t["q"] == t["block"]])
+        if not len(a) or not len(b):
+            return pd.DataFrame({"bin": pd.Series(dtype="int32"), "ss": pd.Series(dtype=float), "n": pd.Series(dtype="int64"), "sk": pd.Series(dtype=float)})
+        x, y = (np.stack(z["y"].to_numpy()).astype(float) for z in (a, b))
+        mx, my = (~np.isnan(z) * 1.0 for z in (x, y))
+        centre = np.nansum(x) / max(mx.sum(), 1.0)
+        x, y = (np.nan_to_num(z - centre) for z in (x, y))
+        n, ss, d = mx @ my.T, (x * x) @ my.T + mx @ (y * y).T - 2 * x @ y.T, km(a, b)
+        bins = np.where(d < edges[-1], np.searchsorted(edges, d, side="right") - 1, -1)
+        if same:
+            bins[np.tril_indices(len(a))] = -1
+        at = bins >= 0
+        add = lambda w: np.bincount(bins[at], w[at], len(edges) - 1)
+        return pd.DataFrame({"bin": np.arange(len(edges) - 1, dtype=np.int32), "ss": add(np.maximum(ss, 0)), "n": np.rint(add(n)).astype(np.int64), "sk": add(n * d)})
+
+    return run
 
 
 def empirical_variogram(obs: DataFrame, stations: DataFrame, edges, min_pairs=30, value="precip_mm", date="date",
-                        key="station_id") -> DataFrame:
+                        key="station_id", block: int = BLOCK) -> DataFrame:
     """Pair variogram pooled over days.
 
-    A station-month is one row with its values by day of month, so a station pair
-    costs one row per shared month instead of one per day, and only pairs closer than
-    the last edge are formed.
+    Stations are dealt into blocks: tiles as wide as the last edge, dense ones cut by hash into blocks of about
+    `block` stations. Blocks that hold a pair closer than the last edge meet once a month, where a matrix product
+    forms the sums of all their pairs. A station-month (its values by day of month) is shipped once for each such
+    block, and a task returns one row a bin.
     """
+    edges = [float(e) for e in edges]
+    tile = edges[-1] / 111.0
+    b = stations.select(key, "lat", "lon", F.concat_ws(":", F.floor(F.col("lat") / tile), F.floor(F.col("lon") / tile)).alias("_t"))
+    n = b.groupBy("_t").agg(F.ceil(F.count("*") / block).alias("_n"))
+    b = cut_lineage(b.join(n, "_t").select(key, "lat", "lon", F.concat_ws(":", "_t", F.pmod(F.xxhash64(key), "_n")).alias("block")))
+    name = lambda k, out: b.select(F.col(key).alias(k), F.col("block").alias(out))
+    near = J.pairs_within(stations, edges[-1], key).select("a", "b").join(name("a", "p"), "a").join(name("b", "q"), "b")
+    near = cut_lineage(near.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct())
+    visits = near.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+
     s = obs.where(F.col(value).isNotNull()).groupBy(key, F.trunc(date, "month").alias("month")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.dayofmonth(date), F.col(value)))).alias("m"))
     s = s.select(key, "month", F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.try_element_at("m", d)).alias("y"))
-    p = J.pairs_within(stations, float(edges[-1]), key).select("a", "b", "km")
-    # No filter on the bin: it would be pushed into the join and recompute the distance per candidate.
-    bins = F.lit(None).cast("int")
-    for i in reversed(range(len(edges) - 1)):
-        bins = F.when((F.col("km") >= float(edges[i])) & (F.col("km") < float(edges[i + 1])), F.lit(i)).otherwise(bins)
-    p = p.withColumn("bin", bins)
-    j = p.join(s.select(F.col(key).alias("a"), "month", F.col("y").alias("ya")), "a").join(
-        s.select(F.col(key).alias("b"), "month", F.col("y").alias("yb")), ["b", "month"])
-    j = j.select("bin", "km", _pair_sums("ya", "yb").alias("d")).select("bin", "km", "d.ss", "d.n")
-    used = F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(F.lit(0))
-    g = j.groupBy("bin").agg(F.sum("ss").alias("ss"), F.sum(used).alias("n_pairs"), F.sum(F.col("km") * F.col("n")).alias("sk"))
+    j = s.join(b, key).join(visits, "block").select("p", "q", "block", "month", "lat", "lon", "y")
+    j = j.groupBy("p", "q", "month").applyInPandas(_block_sums(edges), "bin int, ss double, n long, sk double")
+    g = j.groupBy("bin").agg(F.sum("ss").alias("ss"), F.sum("n").alias("n_pairs"), F.sum("sk").alias("sk"))
     mids = F.array(*[F.lit((a + b) / 2.0) for a, b in zip(edges[:-1], edges[1:])])
     full = F.col("n_pairs") >= min_pairs
     return g.where("n_pairs > 0").select(

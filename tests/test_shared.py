@@ -137,3 +137,26 @@ def test_regrid_and_archive_report_stop_or_count(spark):
     assert (r.invalid_calendar_cells, r.date_start, r.date_end, r.stations, r.aliases, r.cells, r.valid, r.sentinels, r.unknown_tokens, r.mean_mm) == (1, dt.date(2020, 2, 28), dt.date(2020, 3, 2), 2, 1, 4, 2, 1, 1, 1.75)
     assert [tuple(x) for x in ST.aliases_used(d, date, "source", "catalogued").collect()] == [("Old A", "A b")]
     assert ST.archive_report(d.where("false"), "cell", date, "source", "catalogued").first().cells == 0
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_blocked_variogram_equals_all_pairs(spark, block):
+    r = np.random.default_rng(9)
+    at = [(float(22 + 0.3 * r.random()), float(89 + 0.3 * r.random())) for _ in range(14)] + [(float(20 + 4 * r.random()), float(88 + 4 * r.random())) for _ in range(10)]
+    s = stations(spark, at)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(45)]
+    obs = {(k, d): float(r.gamma(0.5, 9)) for k in range(24) for d in days if r.random() < 0.7}
+    o = spark.createDataFrame([(k, d, v) for (k, d), v in obs.items()] + [(0, dt.date(2020, 5, 1), None)], "station_id int, date date, precip_mm double")
+    edges = [5.0, 40.0, 150.0]
+    got = {x.bin: (x.distance_km, x.gamma, x.n_pairs) for x in ST.empirical_variogram(o, s, edges, block=block).collect()}
+    sums = np.zeros((2, 3))
+    for a in range(24):
+        for b in range(a):
+            p, q = np.radians(at[a]), np.radians(at[b])
+            km = 2 * 6371.0088 * math.asin(math.sqrt(math.sin((q[0] - p[0]) / 2) ** 2 + math.cos(p[0]) * math.cos(q[0]) * math.sin((q[1] - p[1]) / 2) ** 2))
+            d = np.asarray([obs[a, t] - obs[b, t] for t in days if (a, t) in obs and (b, t) in obs])
+            if edges[0] <= km < edges[-1]:
+                sums[int(km >= edges[1])] += (d @ d, len(d), km * len(d))
+    assert set(got) == {0, 1}
+    for k in (0, 1):
+        assert got[k] == (pytest.approx(sums[k, 2] / sums[k, 1], rel=1e-9), pytest.approx(sums[k, 0] / 2 / sums[k, 1], rel=1e-9), sums[k, 1])
