@@ -3,8 +3,9 @@
 The vocabulary is that of a public piece model and never changes. Each language has a probability for every piece. A
 forward pass gives the probability of a word under a language as the sum over all ways to cut the word into pieces; a
 text is the product of its words. Probabilities start equal for all pieces and languages and become expected piece
-counts (forward and backward passes, all segmentations weighted) over all labelled documents in a fixed number of
-rounds, each one aggregation: a task sends at most one row for each piece of a language.
+counts (forward and backward passes, all segmentations weighted) over a bounded number of labelled texts of each
+language in a fixed number of rounds, each one aggregation: a task sends at most one row for each piece of a language.
+The shares of the languages count all labelled rows.
 
 Words run between white space and begin with the vocabulary's word mark, so no piece crosses them and each distinct
 word is computed once while a task's cache holds it.
@@ -13,23 +14,26 @@ word is computed once while a task's cache holds it.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from rainloom.llm.bpe import coder
 from rainloom.llm.common import query, slices, table, text_or_empty
 from rainloom.llm.toxicity import held_out
+from rainloom.session import cut_lineage
 
 #: Rounds of expected counts; what each piece has in every language beside its count; steps of a unit count; languages at most (more stop the job).
 ROUNDS, SMOOTHING, UNIT, LANGUAGES = 2, 0.05, 1 << 12, 256
+#: Distinct texts of a language that the fit reads at most, the first by a hash of the text.
+MAX_TEXTS = 5000
 #: Characters of the words in one matrix, over the number of languages; words that a cache holds, likewise.
-CHARS, CACHED = 1 << 20, 1 << 20
+CHARS, CACHED = 1 << 20, 1 << 21
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -53,6 +57,8 @@ class Vocabulary:
         names = [np.uint64(self.name(p)) for p in pieces]
         order = np.argsort(names)
         self.names, self.ids = np.asarray(names, np.uint64)[order], np.asarray(list(pieces.values()), np.int64)[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.names >> np.uint64(44)] = True
 
     def name(self, piece: str) -> int:
         h = 0
@@ -65,8 +71,12 @@ class Vocabulary:
         h, out = np.zeros_like(codes), []
         for k in range(min(self.longest, codes.shape[1])):
             h = h[:, :codes.shape[1] - k] * self.base + codes[:, k:] + np.uint64(1)
-            at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-            out.append(np.where(self.names[at] == h, self.ids[at], -1))
+            ids = np.full(h.shape, -1, np.int32)
+            some = np.nonzero(self.seen[h >> np.uint64(44)])
+            asked = h[some]
+            at = np.minimum(np.searchsorted(self.names, asked), len(self.names) - 1)
+            ids[some] = np.where(self.names[at] == asked, self.ids[at], -1)
+            out.append(ids)
         return out
 
     def spelled(self, code: int) -> np.ndarray:
@@ -74,11 +84,12 @@ class Vocabulary:
 
 
 class Forward:
-    """Sums over the segmentations of words of one length under each language; logp: pieces by languages."""
+    """Sums over the segmentations of words of one length, each behind the word mark, under each language; logp: pieces by languages."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary, logp: np.ndarray):
-        self.v, self.logp, n = vocabulary, logp, len(words[0])
-        self.codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64)
+        self.v, self.logp, n = vocabulary, logp, len(words[0]) + 1
+        self.codes = np.full((len(words), n), ord("▁"), np.uint64)
+        self.codes[:, 1:] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n - 1)
         self.found = vocabulary.matches(self.codes)
         self.new = {int(c): vocabulary.spelled(int(c)) for c in np.unique(self.codes[self.found[0] < 0])}
         self.spelling = {c: logp[s].sum(0) for c, s in self.new.items()}
@@ -120,7 +131,7 @@ class Forward:
         return out
 
 
-def in_matrices(words: list[str], languages: int) -> Iterator[list[str]]:
+def in_matrices(words: Iterable[str], languages: int) -> Iterator[list[str]]:
     """Words by length, a bounded number of characters or one word at a time."""
     by: dict[int, list] = {}
     for w in words:
@@ -131,11 +142,6 @@ def in_matrices(words: list[str], languages: int) -> Iterator[list[str]]:
             yield by[n][k:k + step]
 
 
-def words_of(text: str) -> list[str]:
-    """Words between white space, each behind the word mark; what has no word has no piece."""
-    return ["▁" + w for w in text.split()]
-
-
 def learn_round(rows: DataFrame, languages: list[str], logp: np.ndarray, model: str) -> np.ndarray:
     """Expected counts of all pieces in each language over all rows (lang, text), in steps of 1 / UNIT."""
     place = {x: k for k, x in enumerate(languages)}
@@ -145,7 +151,7 @@ def learn_round(rows: DataFrame, languages: list[str], logp: np.ndarray, model:
         held: list[Counter] = [Counter() for _ in languages]
 
         def settle():
-            for some in in_matrices(sorted(set().union(*held)), len(held)):
+            for some in in_matrices(set().union(*held), len(held)):
                 times = np.asarray([[h[w] for h in held] for w in some], np.int64)
                 np.add(total, Forward(some, v, logp).expected(times), out=total)
             for h in held:
@@ -153,8 +159,8 @@ def learn_round(rows: DataFrame, languages: list[str], logp: np.ndarray, model:
 
         for b in slices(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                held[place[lang]].update(words_of(text))
-            if sum(map(len, held)) > CACHED // 4:
+                held[place[lang]].update(text.split())
+            if sum(map(len, held)) > CACHED // 8:
                 settle()
         settle()
         at = np.nonzero(total)
@@ -166,10 +172,26 @@ def learn_round(rows: DataFrame, languages: list[str], logp: np.ndarray, model:
     return out
 
 
-def train(docs: DataFrame, model: str | None = None, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> dict:
-    """Model from all rows whose lang and text are not null: languages, their log shares, log probabilities of pieces.
+def sample(rows: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
+    """At most `most` distinct texts of each language (lang, text), the first by hash.
+
+    Hashes are thinned by the language's rows before they meet, and repeats before the shuffle, so copies that are a
+    third of all rows send one hash a task; the hashes that stay are bounded and broadcast. No text is sorted.
+    """
+    fate = F.lit(0.0)
+    for lang, n in counts.items():
+        fate = F.when(F.col("lang") == lang, F.lit(min(1.0, 4.0 * most / n))).otherwise(fate)
+    named = rows.select("lang", "text", F.xxhash64("text").alias("name"))
+    first = named.where(F.pmod(F.col("name"), F.lit(1 << 32)) < fate * float(1 << 32)).select("lang", "name").distinct()
+    first = first.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("name"))).where(F.col("_n") <= most).drop("_n")
+    return named.join(F.broadcast(first), ["lang", "name"], "left_semi").groupBy("lang", "name").agg(F.any_value("text").alias("text"))
+
+
+def train(docs: DataFrame, model: str | None = None, rounds: int = ROUNDS, smoothing: float = SMOOTHING, max_texts: int = MAX_TEXTS) -> dict:
+    """Model from rows whose lang and text are not null: languages, their log shares, log probabilities of pieces.
 
-    It has one number for each piece and language, whatever the rows; more than LANGUAGES languages stop the call.
+    Shares count all rows, pieces those of at most max_texts distinct texts of each language. The model has one number
+    for each piece and language; more than LANGUAGES languages stop the call.
     """
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
@@ -180,6 +202,8 @@ def train(docs: DataFrame, model: str | None = None, rounds: int = ROUNDS, smoot
     logp = np.full((v.size, len(seen)), -np.inf)
     logp[v.used] = -np.log(len(v.used))
     languages = [r["lang"] for r in seen]
+    if seen:
+        rows = cut_lineage(sample(rows, {r["lang"]: r["n"] for r in seen}, max_texts))
     for _ in range(rounds if seen else 0):
         n = learn_round(rows, languages, logp, path)[v.used] / UNIT + smoothing
         logp[v.used] = np.log(n) - np.log(n.sum(0))
@@ -197,10 +221,10 @@ class Scorer:
         self.table = np.zeros((0, len(model["languages"])))
 
     def of(self, texts: list[str]) -> np.ndarray:
-        words = [words_of(t) for t in texts]
-        new = sorted(set().union(*words).difference(self.known))
+        words = [t.split() for t in texts]
+        new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > self.most:
-            self.known, self.table, new = {}, self.table[:0], sorted(set().union(*words))
+            self.known, self.table, new = {}, self.table[:0], set().union(*words)
         found = [self.table]
         for some in in_matrices(new, self.table.shape[1]):
             self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
