@@ -28,7 +28,10 @@ def _running(hist: DataFrame, part, by: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
-    """Linear-interpolation quantiles per key as rows: keys, idx, prob, value, n."""
+    """Linear-interpolation quantiles per key as rows: keys, idx, prob, value, n.
+
+    probs: numbers, or for very many an array Column of structs (idx, prob), so that the plan does not hold each of them.
+    """
     k = list(keys) or ["_all"]
     d = df if keys else df.withColumn("_all", F.lit(0))
     d = d.where(F.col(value).isNotNull()).select(*k, F.col(value).alias("_v"), order_bucket(F.col(value)).alias("_f"))
@@ -36,7 +39,7 @@ def quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
 
     h = _running(d.groupBy(*k, "_c").agg(F.count("*").alias("n")), k, "_c")
     h = h.withColumn("_total", F.sum("n").over(W.partitionBy(*k)))
-    wanted = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
+    wanted = probs if isinstance(probs, Column) else F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
     t = h.withColumn("_p", F.explode(wanted)).withColumn("_pos", F.col("_p.prob") * (F.col("_total") - 1))
     t = t.withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "_rank", F.when(F.col("_end") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")))
