@@ -33,6 +33,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_repeats(df: DataFrame, most: int = 64) -> DataFrame:
+    """The same rows with a column `part`: rows repeated wholly are counted before they are shuffled and come back in parts of at most `most`.
+
+    A hash of all columns and the part then spreads a row that a third of the table repeats.
+    """
+    cols = df.columns
+    g = df.groupBy(*cols).agg(F.count("*").alias("_n")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {most}"))))
+    return g.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(most).cast("long"), F.col("_n") - F.col("part") * most)))).select(*cols, "part")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rainloom.llm.bpe import WordCoder, coder
-from rainloom.llm.common import map_batches, parts, query, table, text_or_empty
+from rainloom.llm.common import map_batches, parts, query, split_repeats, table, text_or_empty
 from rainloom.session import cut_lineage
 
 CAPACITY, UNIT, END = 4096, 16, 2
@@ -153,11 +153,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     A null text is an empty document of one end id. Repeated rows and null ids are pieces like others. Ranks in
     a class are made of salted groups, as many as the session has shuffle partitions, so a length that a third
-    of all pieces share is spread. No sequence has more than capacity / unit pieces.
+    of all pieces share is spread; rows repeated wholly are counted and salted in parts. No sequence has more than capacity / unit pieces.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    p = cut_lineage(pieces_of(docs, path, capacity).withColumn("class", F.ceil(F.col("length") / unit).cast("int")))
-    p = p.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(16, parts(docs.sparkSession)))))
+    p = (pieces_of(docs, path, capacity).withColumn("class", F.ceil(F.col("length") / unit).cast("int")))
+    p = cut_lineage(split_repeats(p).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "part"), F.lit(max(16, parts(docs.sparkSession))))))
     held = p.groupBy("class", "_salt").agg(F.count("*").alias("_n"))
     counts = {r["class"]: r["n"] for r in held.groupBy("class").agg(F.sum("_n").alias("n")).collect()}
     before = W.partitionBy("class").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)

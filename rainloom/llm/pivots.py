@@ -106,7 +106,14 @@ def empty(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.lit(False)).select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
 
 
-@query("op4_pivot_distance")
+SQL = """with e as (select distinct vec_id, list_transform(embedding, lambda c: floor(256 * c::double)) as v from embeddings
+ where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),
+s as (select distinct q.vec_id as query_id, m.vec_id, list_sum(list_transform(list_zip(q.v, m.v), lambda z: z[1] * z[2]))::bigint as score from e q join e m on m.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select * from r where rank <= 5"""
+
+
+@query("op4_pivot_distance", SQL)
 def pivot_distance(spark, sf, k: int = 5):
     """The five largest integer inner products for every vec_id divisible by 50, against every other row."""
     e = table(spark, sf, "embeddings").where(finite() & F.col("vec_id").isNotNull())

@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from rainloom.llm.common import query, table, text_or_empty
+from rainloom.llm.common import query, split_repeats, table, text_or_empty
 from rainloom.session import checkpoint_dir, cut_lineage
 
 SLOTS = 4096
@@ -93,12 +93,20 @@ def place(records: DataFrame, shard_map: DataFrame, *order: str) -> DataFrame:
 
 @query("op2_virtual_slots")
 def virtual_slots(spark, sf, shards: int = 8):
-    """All documents into shards of near equal bytes through the stored map."""
+    """All documents into shards of near equal bytes through a map that was edited for their sizes.
+
+    Version 1 of the map deals the slots out evenly, before any size is known; version 2 rebalances it. A document's
+    slot follows doc_id and text digest, so equal texts under other ids may lie in other shards; rows repeated wholly
+    are counted and go to slots in parts. Null ids and texts are rows like others, an empty table gives none; other
+    columns are not looked at. Positions follow the slot, then doc_id (null first), text digest and size.
+    """
     text = text_or_empty()
     docs = table(spark, sf, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    docs = cut_lineage(with_slot(docs, "doc_id", "text_crc32"))
+    docs = cut_lineage(with_slot(split_repeats(docs), "doc_id", "text_crc32", "part"))
     sizes = slot_sizes(docs)
     folder = f"{checkpoint_dir(spark).rstrip('/')}/slots-{uuid.uuid4().hex}"
-    shard_map = store_map(spark, folder, 1, deal(sizes, shards), sizes)
+    even = {s: s % shards for s in range(SLOTS)}
+    store_map(spark, folder, 1, even, {})
+    shard_map = store_map(spark, folder, 2, rebalance(even, sizes, shards, slack=0.0), sizes)
     out = place(docs, shard_map, "doc_id", "text_crc32", "size")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

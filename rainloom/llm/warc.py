@@ -19,18 +19,22 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rainloom.functions.order import quantiles
-from rainloom.llm.common import query, table
+from rainloom.llm.common import parts, query, table
 from rainloom.session import checkpoint_dir, cut_lineage
 
 MANIFEST = "shard int, roll int, path string, records long, compressed_bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 #: Copies of a payload are joined to their response in so many salted groups.
 SALTS = 32
+#: Rows repeated wholly that travel as one at most.
+REPEATS = 1024
 #: Digests, of about 200 bytes each with the response's url, that are broadcast at most.
 BROADCAST_DIGESTS = 100_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -52,7 +56,7 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     held more than once are joined back. Up to BROADCAST_DIGESTS of them are broadcast, which spares the payloads
     a shuffle; more are joined by shuffle, each in SALTS groups, so a payload shared by a third of all pages is split.
     """
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("_payload"))
+    p = pages.select("page_id", "url", "copies", "part", F.coalesce("html", F.lit("")).cast("binary").alias("_payload"))
     p = p.withColumn("_sha", F.sha1("_payload")).withColumn("_len", F.octet_length("_payload"))
     same = p.where(F.col("_len") >= min_revisit_bytes).groupBy("_sha", "_len").agg(
         F.count("*").alias("_n"), F.max(F.struct(F.coalesce("page_id", F.lit(-2**63)).alias("rank"), "page_id", "url")).alias("_first"))
@@ -61,19 +65,50 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         j = p.join(F.broadcast(same), ["_sha", "_len"], "left")
     else:
         same = same.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        p = p.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        p = p.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url", "part"), F.lit(SALTS)).cast("int"))
         j = p.join(same, ["_sha", "_len", "_salt"], "left")
     own = F.col("_first").isNull() | (F.col("_first.page_id").eqNullSafe(F.col("page_id")) & F.col("_first.url").eqNullSafe(F.col("url")))
-    return j.select("page_id", "url", F.col("_payload").alias("payload"), F.when(~own, F.col("_first")).alias("first"))
+    return j.select("page_id", "url", "copies", "part", F.col("_payload").alias("payload"), F.when(~own, F.col("_first")).alias("first"))
+
+
+def with_copies(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, copies, part: rows repeated wholly more than REPEATS times become parts that stand for at most REPEATS rows each.
+
+    Which rows do is found from digests, added up before the shuffle; only where there are such rows is their payload taken out once.
+    """
+    p = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("_sha"))
+    one = p.select("page_id", "url", "html", F.lit(1).alias("copies"), F.lit(0).cast("long").alias("part"))
+    many = cut_lineage(p.groupBy("page_id", "url", "_sha").agg(F.count("*").alias("_n")).where(F.col("_n") > REPEATS))
+    if many.isEmpty():
+        return one
+    k = many.select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("_sha").alias("_s"), "_n")
+    same = F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")) & (F.col("_sha") == F.col("_s"))
+    rest = p.join(k, same, "left_anti").select("page_id", "url", "html", F.lit(1).alias("copies"), F.lit(0).cast("long").alias("part"))
+    held = p.join(k, same).groupBy("page_id", "url", "_sha").agg(F.any_value("html").alias("html"), F.any_value("_n").alias("_n"))
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {REPEATS}"))))
+    return rest.unionByName(held.select("page_id", "url", "html", F.least(F.lit(REPEATS), F.col("_n") - F.col("part") * REPEATS).cast("int").alias("copies"), "part"))
 
 
 def with_shard(records: DataFrame, pages: DataFrame, shards: int) -> DataFrame:
-    """Shard by exact quantiles of page_id; null ids go to the first shard."""
+    """Shard by exact quantiles of page_id; null ids go to the first shard.
+
+    The cuts, one a shard, are asked for and looked up as arrays, so the plan has the same size for any number of
+    shards. An id that fills several shards lies on several equal cuts: its records are dealt over those shards by url,
+    payload and part.
+    """
     if shards < 2:
         return records.withColumn("shard", F.lit(0))
-    cuts = [r["value"] for r in quantiles(pages, "page_id", [k / shards for k in range(1, shards)]).collect()]
-    at = F.array(*[F.lit(float(c)) for c in sorted(cuts)]) if cuts else F.array().cast("array<double>")
-    return records.withColumn("shard", F.coalesce(F.size(F.filter(at, lambda c: c <= F.col("page_id"))), F.lit(0)))
+    wanted = F.transform(F.sequence(F.lit(1), F.lit(shards - 1)), lambda k: F.struct(k.alias("idx"), (k / float(shards)).alias("prob")))
+    cuts = np.sort(np.asarray([r["value"] for r in quantiles(pages, "page_id", wanted).select("value").toLocalIterator()], np.float64))
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series, spread: pd.Series) -> pd.Series:
+        x = page_id.to_numpy(np.float64)
+        low, high = np.searchsorted(cuts, x, "left"), np.searchsorted(cuts, x, "right")
+        low = np.where(high > low + 1, low, high)
+        return pd.Series(np.where(np.isnan(x), 0, low + spread.to_numpy(np.int64) % (high - low + 1)).astype(np.int32))
+
+    return records.withColumn("shard", shard_of(F.col("page_id").cast("double"), F.pmod(F.xxhash64("url", "payload", "part"), F.lit(1 << 31))))
 
 
 def header(fields: list[tuple[str, object]]) -> bytes:
@@ -123,7 +158,12 @@ class ShardFile:
 
 
 def write_warc(pages: DataFrame, folder: str, shards: int, roll_bytes: int = 64 << 20, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write page_id, url, html as WARC files below folder; returns the manifest, which is stored beside them."""
+    """Write page_id, url, html as WARC files below folder; returns the manifest, which is stored beside them.
+
+    A null url has no header line, a null html an empty payload, a null page_id no id and the first shard. Repeated
+    ids and rows are records of their own; an empty table writes no file; other columns are not looked at. A task that
+    is run again writes the same bytes under another temporary name and renames them over the same file.
+    """
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
 
@@ -131,19 +171,21 @@ def write_warc(pages: DataFrame, folder: str, shards: int, roll_bytes: int = 64
         file = None
         for b in batches:
             done = []
-            for shard, page_id, url, payload, first in zip(*(b.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "first"))):
-                if file and (file.shard != shard or file.size >= roll_bytes):
-                    done.append(file.close())
-                    file = ShardFile(folder, shard, file.roll + 1 if file.shard == shard else 0)
-                file = file or ShardFile(folder, shard, 0)
-                file.add(record(page_id, url, payload, first, date))
+            for shard, page_id, url, payload, first, copies in zip(*(b.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "first", "copies"))):
+                raw = record(page_id, url, payload, first, date)
+                for _ in range(copies):
+                    if file and (file.shard != shard or file.size >= roll_bytes):
+                        done.append(file.close())
+                        file = ShardFile(folder, shard, file.roll + 1 if file.shard == shard else 0)
+                    file = file or ShardFile(folder, shard, 0)
+                    file.add(raw)
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=MANIFEST_ARROW)
         if file:
             yield pa.RecordBatch.from_pylist([file.close()], schema=MANIFEST_ARROW)
 
-    rows = with_shard(plan_records(pages, min_revisit_bytes), pages, shards)
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "url", F.xxhash64("payload"))
+    rows = with_shard(plan_records(with_copies(pages), min_revisit_bytes), pages, shards)
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "url", F.xxhash64("payload"))
     manifest = rows.mapInArrow(run, MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -210,12 +252,12 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
 
 @query("op1_warc_round_trip")
 def warc_round_trip(spark, sf):
-    """Every page written as a WARC record and read back: about 8 MB of html to a shard, at least one shard."""
+    """Every page written as a WARC record and read back: about 8 MB of html to a shard, at most one shard for each shuffle partition of the session."""
     pages = table(spark, sf, "pages")
     size = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
     root = checkpoint_dir(spark)
     root = root if re.match(r"\w+:", root) else f"file://{os.path.abspath(root)}"
     folder = f"{root.rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_warc(pages, folder, shards=1 + size // (8 << 20), roll_bytes=4 << 20)
+    write_warc(pages, folder, shards=min(1 + size // (8 << 20), parts(spark)), roll_bytes=4 << 20)
     back = read_warc(spark, folder, payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
