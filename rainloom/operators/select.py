@@ -114,8 +114,15 @@ def _scaled(stations: DataFrame, key: str, mean_lat=None) -> DataFrame:
 
 
 def _d2(row) -> Column:
+    """Squared distance to nine digits: on a regular network many distances are equal, and rounding noise must not choose among them."""
     dy, dx = F.col("_y") - row["_y"], F.col("_x") - row["_x"]
-    return dy * dy + dx * dx
+    return F.floor((dy * dy + dx * dx) * 1e9 + 0.5) / 1e9
+
+
+def _between(a, b) -> float:
+    """_d2 of two rows on the driver."""
+    dy, dx = a["_y"] - b["_y"], a["_x"] - b["_x"]
+    return math.floor((dy * dy + dx * dx) * 1e9 + 0.5) / 1e9
 
 
 def _farthest(points: DataFrame, score: Column, key: str):
@@ -150,7 +157,7 @@ def _picks(rows: list, bound: float, key: str, limit: int, taken=None):
         if taken:
             taken(best, rows)
         for r in rows:
-            r["_d"] = min(r["_d"], (r["_y"] - best["_y"]) ** 2 + (r["_x"] - best["_x"]) ** 2)
+            r["_d"] = min(r["_d"], _between(r, best))
     return out
 
 
@@ -191,7 +198,7 @@ def spread_folds(stations: DataFrame, n_splits: int, key="station_id") -> DataFr
         sizes[fold] += 1
         pick["fold"] = fold
         for r in others:
-            d = (r["_y"] - pick["_y"]) ** 2 + (r["_x"] - pick["_x"]) ** 2
+            d = _between(r, pick)
             r["_f"] = [min(x, d) if i == fold else x for i, x in enumerate(r["_f"])]
 
     while True:

@@ -92,9 +92,12 @@ def as_rows(spark, ids, name="station_id"):
     return spark.createDataFrame([(int(i),) for i in ids], f"{name} bigint")
 
 
+D2 = "floor((({a}y-{y})*({a}y-{y})+({a}x-{x})*({a}x-{x}))*1e9+0.5e0)/1e9"
+
+
 def far_sql(n):
     """Farthest-point selection of n stations, one CTE per step."""
-    d = lambda t: f"pow(p.y-{t}.y,2)+pow(p.x-{t}.x,2)"
+    d = lambda t: D2.format(a="p.", y=f"{t}.y", x=f"{t}.x")
     out = ["m as (select cos(radians(avg(lat))) as c from fx_station)", "p as (select station_id, lat as y, lon*c as x from fx_station, m)", "c0 as (select avg(y) as y, avg(x) as x from p)",
            f"s1 as (select p.* from p, c0 order by {d('c0')} desc, station_id limit 1)"]
     for k in range(2, n + 1):
@@ -114,7 +117,17 @@ def win08(spark, sf):
     return as_rows(spark, SE.supported_holdout(V.station(spark, sf), 4, radius_km=150.0, max_gap_deg=300.0))
 
 
-@query("win09_spread_folds")
+FOLDS = f"""m as (select cos(radians(avg(lat))) as c from fx_station), p as (select station_id, lat as y, lon*c as x from fx_station, m), c0 as (select avg(y) as y, avg(x) as x from p),
+s1 as (select p.* from p, c0 order by {D2.format(a='p.', y='c0.y', x='c0.x')} desc, station_id limit 1),
+st as (select cast(0 as bigint) as k, p.station_id, p.y, p.x, case when p.station_id=s1.station_id then 1e300 else {D2.format(a='p.', y='s1.y', x='s1.x')} end as d, [1e300,1e300,1e300,1e300,1e300] as f, cast(null as int) as fold, [0,0,0,0,0] as sizes from p, s1
+ union all select k+1, station_id, y, x, least(d,dp), [case when i=g then least(f[i],dp) else f[i] end for i in range(1,6)], case when station_id=pid then cast(g-1 as int) else fold end, [sizes[i]+case when i=g then 1 else 0 end for i in range(1,6)] from (
+ select *, {D2.format(a='', y='py', x='px')} as dp, list_position(r, list_max(r)) as g from (
+ select *, [case when sizes[i]=list_min(sizes) then pf[i] else -1e0 end for i in range(1,6)] as r from (
+ select *, first_value(station_id) over w as pid, first_value(y) over w as py, first_value(x) over w as px, first_value(f) over w as pf, first_value(fold) over w as pfold from st
+ window w as (order by case when fold is null then 0 else 1 end, d desc, station_id)) where pfold is null)))"""
+
+
+@query("win09_spread_folds", sql("fx_station", f"with {FOLDS} select station_id, fold from st where k=(select max(k) from st)").replace("with fx_station", "with recursive fx_station", 1))
 def win09(spark, sf):
     return SE.spread_folds(V.station(spark, sf), 5)
 
