@@ -194,13 +194,15 @@ def nearest_point(targets: DataFrame, points: DataFrame, target_key, point_key:
 
     Each level joins the still-open targets with the points of the 3 x 3 buckets
     around them and settles those whose best distance is inside the radius the
-    neighbourhood guarantees; only the rest goes on to buckets twice as wide. The
-    last level spans the globe. Open targets are checkpointed between levels, so
+    neighbourhood guarantees; only the rest goes on to wider buckets. The last level
+    spans the globe: points are dealt by hash and each share meets every target still
+    open. Open targets are checkpointed between levels, so
     the plan stays short and a lost executor costs one level.
     """
     keys = [target_key] if isinstance(target_key, str) else list(target_key)
     pts = points.select(F.col(point_key).alias("near_id"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     open_ = targets.select(*keys, "lat", "lon")
+    shares = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done, step = None, first_deg
     for level in range(levels):
         last = step >= 180.0 or level == levels - 1
@@ -213,11 +215,12 @@ def nearest_point(targets: DataFrame, points: DataFrame, target_key, point_key:
         def kx(lon):
             return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) / width).cast("bigint"), F.lit(nlon))
 
-        filed = pts.withColumn("_by", ky(F.col("_plat"))).withColumn("_bx", kx(F.col("_plon")))
+        filed = pts.withColumn("_by", ky(F.col("_plat"))).withColumn("_bx", kx(F.col("_plon")) if not last else F.pmod(F.xxhash64("near_id"), F.lit(shares)))
         look = open_.withColumn("_ty", ky(F.col("lat"))).withColumn("_tx", kx(F.col("lon")))
         span = (-1, 0, 1) if nlon > 2 else range(nlon)
         around = F.array(*[F.struct((F.col("_ty") + dy).alias("_by"), F.pmod(F.col("_tx") + dx, F.lit(nlon)).alias("_bx"))
-                           for dy in ((-1, 0, 1) if not last else (0,)) for dx in span])
+                           for dy in (-1, 0, 1) for dx in span]) if not last else F.transform(
+            F.sequence(F.lit(0), F.lit(shares - 1)), lambda k: F.struct(F.lit(0).cast("bigint").alias("_by"), k.cast("bigint").alias("_bx")))
         look = look.withColumn("_k", F.explode(around)).select(*keys, "lat", "lon", "_k.*")
         j = look.join(filed, ["_by", "_bx"], "left")
         if exclude_self:
@@ -256,7 +259,9 @@ def k_nearest(points: DataFrame, k: int = 6, key: str = "station_id", first_km:
         p = neighbours_within(open_, points, radius, key).withColumn("_c", scale)
         p = p.select("a", "b", (F.col("lat_b") - F.col("lat_a")).alias("dy"), ((F.col("lon_b") - F.col("lon_a")) * F.col("_c")).alias("dx"), "_c")
         d2 = F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-        g = p.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct(d2.alias("d2"), "b", "dy", "dx"))), 1, k).alias("n"), F.first("_c").alias("_c"))
+        # The k best of each task go on, so no list holds a dense neighbourhood.
+        p = p.withColumn("d2", d2).withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy("d2", "b"))).where(F.col("_r") <= k)
+        g = p.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d2", "b", "dy", "dx"))).alias("n"), F.first("_c").alias("_c"))
         # Beyond the radius a planar distance in degrees is at least radius * cos(mean lat) / km per degree.
         sure = (F.size("n") >= k) & (F.sqrt(F.get("n", F.lit(k - 1))["d2"]) <= F.col("_c") * (radius / 111.2))
         g = g.withColumn("_sure", F.coalesce(sure, F.lit(False)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from rainloom.plans.scalars import q6
 from rainloom.plans.stats import report
 from rainloom.plans.verify import FIELD, corr_sql, field
 from rainloom.plans.views import sql, table
-from rainloom.session import checkpoint_dir
+from rainloom.session import new_folder
 from rainloom.streaming import windows as ST_W
 
 R = S.rounded
@@ -405,7 +404,7 @@ def ens02(spark, sf):
 # ---- streaming ------------------------------------------------------------
 
 def _folder(spark):
-    return f"{checkpoint_dir(spark).rstrip('/')}/rainloom-stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 @query("str01_reporting_windows", """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from rainloom.plans.registry import query
 from rainloom.plans.scalars import q6
 from rainloom.plans.stats import report
 from rainloom.plans.views import sql, table
-from rainloom.session import checkpoint_dir
+from rainloom.session import new_folder
 from rainloom.sources import archive as A, granules as GN, stations as ST
 
 R = S.rounded
@@ -169,7 +168,7 @@ def src10(spark, sf):
 @query("src10_archive_round_trip", sql("fx_methods", f"""
 select method, count(*) as n, count(distinct date) as days, {q6("avg(list_avg(members))","ensemble_mean")}, {q6("avg(list_stddev_samp(members))","ensemble_std")} from fx_methods group by 1"""))
 def src10b(spark, sf):
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rainloom-archive-{uuid.uuid4().hex}"
+    path = new_folder(spark, "archive")
     A.write_ensemble(V.methods(spark, sf), path, ["background", "gauges", "combined", "satellite"], day="date")
     back = spark.read.parquet(path).groupBy("method").agg(F.count("*").alias("n"), F.countDistinct("date").alias("days"), F.avg("ensemble_mean").alias("ensemble_mean"), F.avg("ensemble_std").alias("ensemble_std"))
     return report(back)

@@ -47,6 +47,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder of its own below the shared folder; release deletes it with the tables of cut_lineage."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rainloom-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back.
 
@@ -61,7 +68,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that cut_lineage wrote in this process; call it when results that read them are stored."""
+    """Delete the tables of cut_lineage and the folders of new_folder that this process wrote; call it when results that read them are stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     n = len(WRITTEN)
     while WRITTEN:
