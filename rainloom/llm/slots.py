@@ -8,12 +8,11 @@ few slots as bring the shards near the mean, and stores it as the next version.
 from __future__ import annotations
 
 import heapq
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from rainloom.llm.common import query, split_repeats, table, text_or_empty
-from rainloom.session import checkpoint_dir, cut_lineage
+from rainloom.session import cut_lineage, new_folder
 
 SLOTS = 4096
 MAP = "version int, virtual_slot int, shard int, bytes long, rows long"
@@ -104,7 +103,7 @@ def virtual_slots(spark, sf, shards: int = 8):
     docs = table(spark, sf, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     docs = cut_lineage(with_slot(split_repeats(docs), "doc_id", "text_crc32", "part"))
     sizes = slot_sizes(docs)
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/slots-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "slots")
     even = {s: s % shards for s in range(SLOTS)}
     store_map(spark, folder, 1, even, {})
     shard_map = store_map(spark, folder, 2, rebalance(even, sizes, shards, slack=0.0), sizes)

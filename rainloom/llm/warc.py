@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rainloom.functions.order import quantiles
 from rainloom.llm.common import parts, query, table
-from rainloom.session import checkpoint_dir, cut_lineage
+from rainloom.session import cut_lineage, new_folder
 
 MANIFEST = "shard int, roll int, path string, records long, compressed_bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -255,9 +255,8 @@ def warc_round_trip(spark, sf):
     """Every page written as a WARC record and read back: about 8 MB of html to a shard, at most one shard for each shuffle partition of the session."""
     pages = table(spark, sf, "pages")
     size = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
-    root = checkpoint_dir(spark)
-    root = root if re.match(r"\w+:", root) else f"file://{os.path.abspath(root)}"
-    folder = f"{root.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
+    folder = folder if re.match(r"\w+:", folder) else f"file://{os.path.abspath(folder)}"
     write_warc(pages, folder, shards=min(1 + size // (8 << 20), parts(spark)), roll_bytes=4 << 20)
     back = read_warc(spark, folder, payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
