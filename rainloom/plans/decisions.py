@@ -11,7 +11,7 @@ from rainloom.operators import checks as C, ensembles as E, grid as GR, resample
 from rainloom.plans import views as V
 from rainloom.plans.ensembles import FAIR, per_sample, sdraw
 from rainloom.plans.grids import AREA, BLK, CORNERS, SMOOTH, W3, area, smooth
-from rainloom.plans.joins import GM, GS, grid_members
+from rainloom.plans.joins import GM, GS, KM, KNN, grid_members
 from rainloom.plans.registry import query
 from rainloom.plans.scalars import q6
 from rainloom.plans.stats import report
@@ -111,7 +111,30 @@ def win07(spark, sf):
     return as_rows(spark, SE.spread_holdout(V.station(spark, sf), 6))
 
 
-@query("win08_supported_holdout")
+def supported_sql(count, radius, gap):
+    """The supported holdout: eligible stations, farthest-point picks, and one swap a step until every pick has support."""
+    d = lambda t: D2.format(a="p.", y=f"{t}.y", x=f"{t}.x")
+    picks = [f"s1 as (select p.* from p, c0 order by {d('c0')} desc, station_id limit 1)"]
+    for k in range(2, count + 1):
+        ids, srcs = ",".join(f"s{j}.station_id" for j in range(1, k)), ",".join(f"s{j}" for j in range(1, k))
+        picks.append(f"s{k} as (select p.* from p, {srcs} where p.station_id not in ({ids}) order by least({','.join(d(f's{j}') for j in range(1, k))}) desc, p.station_id limit 1)")
+    chosen = " union all ".join(f"select station_id, {k} as pos from s{k}" for k in range(1, count + 1))
+    return f"""with {KNN}, kb as (select s, (degrees(atan2(dy,dx))+360e0)%360e0 as b from k where r<=6), kg as (select s, b - lag(b) over (partition by s order by b) as g from kb),
+gp as (select kb.s, greatest(coalesce(any_value(kx.g),0), 360-(max(b)-min(b))) as gap from kb left join (select s, max(g) as g from kg group by 1) kx on kx.s=kb.s group by 1),
+km as (select a.station_id as a, b.station_id as b, {KM} as km from fx_station a join fx_station b on a.station_id<>b.station_id),
+el as (select f.* from fx_station f join gp on gp.s=f.station_id where gap<={gap} and exists (select 1 from km where a=f.station_id and km<={radius})),
+p as (select station_id, lat as y, lon*c as x from el, m), c0 as (select avg(y) as y, avg(x) as x from p), {", ".join(picks)}, ch as ({chosen}),
+st as (select cast(0 as bigint) as k, f.station_id as id, e.station_id is not null as ok, cast(ch.pos as int) as pos, cast(0 as bigint) as turn from fx_station f left join el e on e.station_id=f.station_id left join ch on ch.station_id=f.station_id
+ union all select k+1, id, ok, case when id=best then wpos when id=worst then null else pos end, case when id=worst then k+1 else turn end from (
+ select *, first_value(id) over (order by case when ok and pos is null then 0 else 1 end, least(u, coalesce(kw, 1e9)), turn, id) as best from (
+ select w.*, km.km as kw from (
+ select *, first_value(id) over o as worst, first_value(pos) over o as wpos, first_value(u) over o as wu from (
+ select s.k, s.id, s.ok, s.pos, s.turn, coalesce(min(case when o.pos is null then km.km end), 1e9) as u from st s join km on km.a=s.id join st o on o.id=km.b group by 1,2,3,4,5)
+ window o as (order by case when pos is null then 1 else 0 end, u desc, pos)) w left join km on km.a=w.id and km.b=w.worst) where wu>{radius}))
+select id as station_id from st where pos is not null and k=(select max(k) from st)"""
+
+
+@query("win08_supported_holdout", sql("fx_station", supported_sql(4, "150e0", "300e0")).replace("with fx_station", "with recursive fx_station", 1))
 def win08(spark, sf):
     return as_rows(spark, SE.supported_holdout(V.station(spark, sf), 4, radius_km=150.0, max_gap_deg=300.0))
 
