@@ -292,18 +292,37 @@ def bearing_gap(points: DataFrame, k: int = 6, key: str = "station_id") -> DataF
 
 # ---- polygons -------------------------------------------------------------
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, key, band_deg: float = 0.5) -> DataFrame:
+def blocked_join(left: DataFrame, right: DataFrame, on: str, left_id, right_id, block: int = 4096) -> DataFrame:
+    """Every left row with every right row of the same `on`, where one value may hold a large part of either side.
+
+    The rows of a value are dealt by hash into chunks of about `block`, as many as its own rows ask for; a chunk of one
+    side meets a chunk of the other on (on, chunk, chunk), so no task holds more than about block times block pairs.
+    """
+    many = lambda name: F.ceil(F.count("*") / block).cast("int").alias(name)
+    n = left.groupBy(on).agg(many("_nl")).join(right.groupBy(on).agg(many("_nr")), on)
+    chunk = lambda ids, k: F.pmod(F.xxhash64(*ids), F.col(k)).cast("int")
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    a = left.join(n, on).withColumn("_cl", chunk(left_id, "_nl")).withColumn("_cr", all_of("_nr")).drop("_nl", "_nr")
+    b = right.join(n, on).withColumn("_cr", chunk(right_id, "_nr")).withColumn("_cl", all_of("_nl")).drop("_nl", "_nr")
+    return a.join(b, [on, "_cl", "_cr"]).drop("_cl", "_cr")
+
+
+EDGE = ("poly_id", "ring_id", "x1", "y1", "x2", "y2")
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, key, band_deg: float = 0.5, block: int = 4096) -> DataFrame:
     """Even-odd membership: inside a shell and inside no hole of the same polygon.
 
     Points meet edges on latitude bands, so a point is tested only against edges
-    that cross its band; the crossing counts aggregate per ring.
+    that cross its band; crossings are counted by chunk of a band and added up per ring,
+    so a polygon of any number of edges, or a band of any number of points, splits over tasks.
     """
     keys = [key] if isinstance(key, str) else list(key)
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     e = edges.withColumn("_band", F.explode(F.sequence(
         F.floor(lo / band_deg).cast("bigint"), F.floor(hi / band_deg).cast("bigint"))))
     p = points.withColumn("_band", F.floor(F.col("lat") / band_deg).cast("bigint"))
-    j = p.join(e, "_band")
+    j = blocked_join(p, e, "_band", keys, EDGE, block)
     straddles = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     x_at = F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
     hits = j.where(straddles & (F.col("lon") < x_at))
@@ -314,13 +333,13 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, key, band_deg: float
     return points.join(inside, keys, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def near_polygon_edge(points: DataFrame, edges: DataFrame, key, tolerance: float) -> DataFrame:
-    """Points within a tolerance in degrees of any edge, by the same latitude bands."""
+def near_polygon_edge(points: DataFrame, edges: DataFrame, key, tolerance: float, block: int = 4096) -> DataFrame:
+    """Points within a tolerance in degrees of any edge, by the same latitude bands and chunks."""
     keys = [key] if isinstance(key, str) else list(key)
     band = max(tolerance * 4, 0.25)
     lo, hi = F.least("y1", "y2") - tolerance, F.greatest("y1", "y2") + tolerance
     e = edges.withColumn("_band", F.explode(F.sequence(F.floor(lo / band).cast("bigint"), F.floor(hi / band).cast("bigint"))))
-    j = points.withColumn("_band", F.floor(F.col("lat") / band).cast("bigint")).join(e, "_band")
+    j = blocked_join(points.withColumn("_band", F.floor(F.col("lat") / band).cast("bigint")), e, "_band", keys, EDGE, block)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = ((F.col("lon") - F.col("x1")) * dx + (F.col("lat") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
     t = F.least(F.greatest(F.coalesce(t, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))

@@ -160,3 +160,34 @@ def test_blocked_variogram_equals_all_pairs(spark, block):
     assert set(got) == {0, 1}
     for k in (0, 1):
         assert got[k] == (pytest.approx(sums[k, 2] / sums[k, 1], rel=1e-9), pytest.approx(sums[k, 0] / 2 / sums[k, 1], rel=1e-9), sums[k, 1])
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_polygon_of_many_edges_splits(spark, block):
+    """A star of 1,200 edges with a hole, all in few bands, against the even-odd rule."""
+    r = np.random.default_rng(6)
+
+    def ring(k, n, low, high, hole):
+        t = np.linspace(0, 2 * np.pi, n, endpoint=False)
+        rad = np.where(np.arange(n) % 2, low, high)
+        x, y = 88 + rad * np.cos(t), 22 + rad * np.sin(t)
+        return [(1, k, hole, float(x[i]), float(y[i]), float(x[(i + 1) % n]), float(y[(i + 1) % n])) for i in range(n)]
+
+    edges = ring(0, 1200, 0.2, 0.24, False) + ring(1, 300, 0.05, 0.08, True)
+    at = [(float(22 + 0.5 * (r.random() - 0.5)), float(88 + 0.5 * (r.random() - 0.5))) for _ in range(300)]
+    p = stations(spark, at)
+    e = spark.createDataFrame(edges, "poly_id int, ring_id int, is_hole boolean, x1 double, y1 double, x2 double, y2 double")
+
+    def odd(k, lat, lon):
+        return sum((y1 > lat) != (y2 > lat) and lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) for _, q, _, x1, y1, x2, y2 in edges if q == k) % 2
+
+    got = {x.station_id: x.inside for x in J.points_in_polygons(p, e, "station_id", block=block).collect()}
+    assert got == {k: bool(odd(0, *v) and not odd(1, *v)) for k, v in enumerate(at)}
+    near = {x.station_id for x in J.near_polygon_edge(p, e, "station_id", 0.02, block=block).collect()}
+
+    def gap(lat, lon):
+        x1, y1, x2, y2 = np.asarray([q[3:] for q in edges]).T
+        t = np.clip(((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0, 1)
+        return np.hypot(lon - x1 - t * (x2 - x1), lat - y1 - t * (y2 - y1)).min()
+
+    assert near == {k for k, v in enumerate(at) if gap(*v) <= 0.02}
