@@ -143,6 +143,21 @@ def nearest_cell(points: DataFrame, lattice: Lattice) -> DataFrame:
 
 # ---- neighbours -----------------------------------------------------------
 
+def blocked_join(left: DataFrame, right: DataFrame, on: str, left_id, right_id, block: int = 4096) -> DataFrame:
+    """Every left row with every right row of the same `on`, where one value may hold a large part of either side.
+
+    The rows of a value are dealt by hash into chunks of about `block`, as many as its own rows ask for; a chunk of one
+    side meets a chunk of the other on (on, chunk, chunk), so no task holds more than about block times block pairs.
+    """
+    many = lambda name: F.ceil(F.count("*") / block).cast("int").alias(name)
+    n = left.groupBy(on).agg(many("_nl")).join(right.groupBy(on).agg(many("_nr")), on)
+    chunk = lambda ids, k: F.pmod(F.xxhash64(*ids), F.col(k)).cast("int")
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    a = left.join(n, on).withColumn("_cl", chunk(left_id, "_nl")).withColumn("_cr", all_of("_nr")).drop("_nl", "_nr")
+    b = right.join(n, on).withColumn("_cr", chunk(right_id, "_nr")).withColumn("_cl", all_of("_nl")).drop("_nl", "_nr")
+    return a.join(b, [on, "_cl", "_cr"]).drop("_cl", "_cr")
+
+
 def _band_keys(max_km: float):
     """Latitude bands are max_km tall, so a partner sits in the same or an adjacent band."""
     return max_km / 111.0 if max_km < 111.0 * 90 else 90.0
@@ -157,7 +172,8 @@ def neighbours_within(left: DataFrame, points: DataFrame, max_km: float, key: st
     """Ordered pairs (a of left, b of points) no farther than max_km, by an equi join on grid buckets.
 
     Buckets are one search radius wide in latitude and, at the highest latitude in a
-    band, at least one radius wide in longitude, so only adjacent buckets can pair.
+    band, at least one radius wide in longitude, so only adjacent buckets can pair. Dense
+    buckets are cut into chunks, so no task grows with a cluster of points.
     """
     step = _band_keys(max_km)
 
@@ -183,9 +199,10 @@ def neighbours_within(left: DataFrame, points: DataFrame, max_km: float, key: st
     r = r.withColumn("_bucket", F.explode(F.array_distinct(F.transform(
         F.sequence(bucket - 1, bucket + 1), lambda k: F.pmod(k, n)))))
     right = r.select("b", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "_band", "_bucket")
-    j = left.join(right, ["_band", "_bucket"]).where(F.col("a") != F.col("b"))
+    cell = F.concat_ws(":", "_band", "_bucket")
+    j = blocked_join(left.withColumn("_cell", cell).drop("_band", "_bucket"), right.withColumn("_cell", cell).drop("_band", "_bucket"), "_cell", ["a"], ["b"]).where(F.col("a") != F.col("b"))
     km = S.haversine_km("lat_a", "lon_a", "lat_b", "lon_b")
-    return j.withColumn("km", km).where(F.col("km") <= max_km).drop("_band", "_bucket")
+    return j.withColumn("km", km).where(F.col("km") <= max_km).drop("_cell")
 
 
 def nearest_point(targets: DataFrame, points: DataFrame, target_key, point_key: str = "station_id",
@@ -222,7 +239,10 @@ def nearest_point(targets: DataFrame, points: DataFrame, target_key, point_key:
                            for dy in (-1, 0, 1) for dx in span]) if not last else F.transform(
             F.sequence(F.lit(0), F.lit(shares - 1)), lambda k: F.struct(F.lit(0).cast("bigint").alias("_by"), k.cast("bigint").alias("_bx")))
         look = look.withColumn("_k", F.explode(around)).select(*keys, "lat", "lon", "_k.*")
-        j = look.join(filed, ["_by", "_bx"], "left")
+        cell = F.concat_ws(":", "_by", "_bx")
+        j = blocked_join(look.withColumn("_cell", cell).drop("_by", "_bx"), filed.withColumn("_cell", cell).drop("_by", "_bx"), "_cell", keys, ["near_id"]).drop("_cell")
+        none = open_.withColumns({c: F.lit(None).cast(t) for c, t in pts.dtypes})
+        j = j.unionByName(none)
         if exclude_self:
             j = j.withColumn("near_id", F.when(F.col("near_id") != F.col(keys[0]), F.col("near_id")))
         km = F.when(F.col("near_id").isNotNull(), S.haversine_km("lat", "lon", "_plat", "_plon"))
@@ -292,21 +312,6 @@ def bearing_gap(points: DataFrame, k: int = 6, key: str = "station_id") -> DataF
 
 # ---- polygons -------------------------------------------------------------
 
-def blocked_join(left: DataFrame, right: DataFrame, on: str, left_id, right_id, block: int = 4096) -> DataFrame:
-    """Every left row with every right row of the same `on`, where one value may hold a large part of either side.
-
-    The rows of a value are dealt by hash into chunks of about `block`, as many as its own rows ask for; a chunk of one
-    side meets a chunk of the other on (on, chunk, chunk), so no task holds more than about block times block pairs.
-    """
-    many = lambda name: F.ceil(F.count("*") / block).cast("int").alias(name)
-    n = left.groupBy(on).agg(many("_nl")).join(right.groupBy(on).agg(many("_nr")), on)
-    chunk = lambda ids, k: F.pmod(F.xxhash64(*ids), F.col(k)).cast("int")
-    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    a = left.join(n, on).withColumn("_cl", chunk(left_id, "_nl")).withColumn("_cr", all_of("_nr")).drop("_nl", "_nr")
-    b = right.join(n, on).withColumn("_cr", chunk(right_id, "_nr")).withColumn("_cl", all_of("_nl")).drop("_nl", "_nr")
-    return a.join(b, [on, "_cl", "_cr"]).drop("_cl", "_cr")
-
-
 EDGE = ("poly_id", "ring_id", "x1", "y1", "x2", "y2")
 
 

@@ -191,3 +191,27 @@ def test_polygon_of_many_edges_splits(spark, block):
         return np.hypot(lon - x1 - t * (x2 - x1), lat - y1 - t * (y2 - y1)).min()
 
     assert near == {k for k, v in enumerate(at) if gap(*v) <= 0.02}
+
+
+def test_neighbours_of_a_cluster_split(spark, monkeypatch):
+    """Most points in one bucket, a few far away: chunks of a few rows give the pairs and neighbours of all pairs."""
+    monkeypatch.setattr(J.blocked_join, "__defaults__", (7,))
+    r = np.random.default_rng(12)
+    at = [(float(22 + 0.05 * r.random()), float(89 + 0.05 * r.random())) for _ in range(40)] + [(-60.0, 10.0), (70.0, -170.0), (22.5, 89.0)]
+    s = stations(spark, at)
+
+    def km(a, b):
+        p, q = np.radians(at[a]), np.radians(at[b])
+        return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((q[0] - p[0]) / 2) ** 2 + math.cos(p[0]) * math.cos(q[0]) * math.sin((q[1] - p[1]) / 2) ** 2))
+
+    n = len(at)
+    assert {(x.a, x.b) for x in J.pairs_within(s, 3.0).collect()} == {(a, b) for a in range(n) for b in range(n) if a < b and km(a, b) <= 3.0}
+    got = {x.station_id: x.km for x in J.nearest_point(s, s, "station_id", exclude_self=True).collect()}
+    assert len(got) == n and all(got[a] == pytest.approx(min(km(a, b) for b in range(n) if b != a), rel=1e-9) for a in range(n))
+    c = math.cos(math.radians(np.mean([p[0] for p in at])))
+    near = {}
+    for x in J.k_nearest(s, 3).collect():
+        near.setdefault(x.station_id, []).append(x.b)
+    for a in range(n):
+        d = sorted((((at[b][0] - at[a][0]) ** 2 + ((at[b][1] - at[a][1]) * c) ** 2), b) for b in range(n) if b != a)
+        assert near[a] == [b for _, b in d[:3]]
