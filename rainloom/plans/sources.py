@@ -225,10 +225,10 @@ def src15(spark, sf):
 @query("src15_footprints_at_stations", sql("fx_grid fx_station", f"""with {CORNERS},
 b as (select day, cast(floor(iy/2) as int) as by_, cast(floor(ix/2) as int) as bx_, avg(value) as v from fx_grid group by 1,2,3),
 s as (select station_id, day, sum(w*v)/sum(w) as v, sum(w) as c from b join k on floor(k.iy/2)=b.by_ and floor(k.ix/2)=b.bx_ where k.iy between 0 and 15 and k.ix between 0 and 15 and day<date '1997-01-01' group by 1,2)
-select station_id, cast(day + 1 as date) as date, {q6("v","value")} from s"""))
+select station_id, cast(day + 1 as date) as date, {q6("ln(1+v)","log_value")} from s"""))
 def src15_footprints(spark, sf):
     g = V.grid(spark, sf)
     coarse = g.groupBy("day", F.floor(F.col("iy") / 2).cast("int").alias("iy"), F.floor(F.col("ix") / 2).cast("int").alias("ix")).agg(F.avg("value").alias("value"))
     asked = g.where("day < date '1997-01-01'").select(F.date_add("day", 1).alias("date"))
     s = GN.at_stations(coarse, V.station(spark, sf), G, requested=asked, offset_days=-1, factor=2)
-    return report(s.select("station_id", F.date_add("day", 1).alias("date"), "value"))
+    return report(s.select("station_id", F.date_add("day", 1).alias("date"), F.log1p("value").alias("log_value")))
