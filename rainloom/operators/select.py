@@ -161,19 +161,75 @@ def _picks(rows: list, bound: float, key: str, limit: int, taken=None):
     return out
 
 
-def spread_holdout(stations: DataFrame, count: int, key="station_id", mean_lat=None) -> list:
-    """Farthest-point selection: few small jobs, each keeping only a distance column."""
+TURNS = 16
+
+
+def _settled(open_rows: DataFrame, key: str, side: float, reach: int) -> DataFrame:
+    """The best row of each cell that no better row can precede within its own distance: key, _y, _x, _d, _cy, _cx.
+
+    The diagonal of a cell is shorter than any distance in question, so of a cell only its best row can be next. A
+    better row elsewhere lies in a cell whose best row is better too; if no such cell touches the circle around a
+    row, its distance is final.
+    """
+    best = open_rows.groupBy("_cy", "_cx").agg(F.max_by(F.struct(key, "_y", "_x", "_d"), F.struct(F.col("_d"), -F.col(key))).alias("r")).select("_cy", "_cx", "r.*")
+    offset = F.sequence(F.lit(-reach), F.lit(reach))
+    asks = best.withColumn("_oy", F.explode(offset)).withColumn("_ox", F.explode(offset)).select(
+        F.col(key).alias("_k"), F.col("_y").alias("_py"), F.col("_x").alias("_px"), F.col("_d").alias("_pd"), (F.col("_cy") + F.col("_oy")).alias("_cy"), (F.col("_cx") + F.col("_ox")).alias("_cx"))
+
+    def gap(at, cell):
+        return F.greatest(F.abs(F.col(at) - (F.col(cell) + 0.5) * side) - side / 2, F.lit(0.0))
+
+    better = (F.col("_d") > F.col("_pd")) | ((F.col("_d") == F.col("_pd")) & (F.col(key) < F.col("_k")))
+    touches = gap("_py", "_cy") * gap("_py", "_cy") + gap("_px", "_cx") * gap("_px", "_cx") <= F.col("_pd") + 1e-9
+    blocked = asks.join(best, ["_cy", "_cx"]).where(better & touches).select(F.col("_k").alias(key))
+    return best.join(blocked, key, "left_anti")
+
+
+def farthest_order(stations: DataFrame, count: int | None = None, key="station_id", mean_lat=None) -> DataFrame:
+    """Farthest-point order of all stations, or of the first `count`: key, rank from 1. Lower keys go first on ties.
+
+    A row's distance to the rows before it only shrinks, so picks come in falling order of it, and a pick changes
+    only rows nearer to it than its own distance. All rows without a better row within their distance are therefore
+    settled in one pass: a pass writes them with their distances and applies them by a join on cells. Only the
+    largest distance left and a count reach the driver; a pass settles at least one row, and as a rule a fixed share
+    of what the halved distance holds. Rows at the place of an earlier pick come last. Keys must be numbers, each once.
+    """
     p = _scaled(stations, key, mean_lat)
     c = p.agg(F.avg("_y").alias("_y"), F.avg("_x").alias("_x")).first()
-    pick = _farthest(p, _d2(c), key)
-    chosen, state = [pick[key]], p.withColumn("_d", _d2(pick))
-    while len(chosen) < count:
-        rows, bound = _front(state.where(~F.col(key).isin(chosen)), key)
-        new = _picks(rows, bound, key, count - len(chosen))
-        if not new:
-            raise ValueError(f"only {len(chosen)} stations to choose from")
-        chosen += [r[key] for r in new]
-        state = cut_lineage(state.select(key, "_y", "_x", F.least("_d", *[_d2(r) for r in new]).alias("_d")))
+    first = _farthest(p, _d2(c), key)
+    if first is None:
+        return p.select(key, F.lit(0).alias("rank")).limit(0)
+    state = p.withColumn("_d", _d2(first)).withColumn("_v", F.when(F.col(key) == first[key], F.lit(1e300)))
+    while True:
+        left, n = state.agg(F.max(F.when(F.col("_v").isNull(), F.col("_d"))), F.count("_v")).first()
+        # Nothing that is still open can come before a pick at a larger distance.
+        if not left or (count is not None and n >= count and state.where(F.col("_v") > left).limit(count).count() >= count):
+            break
+        low = math.floor(left * 1e9 / 4) / 1e9
+        side = 0.999 * math.sqrt(max(low, 5e-10) / 2)
+        reach = math.ceil(math.sqrt(left + 1e-9) / side)
+        celled = state.withColumn("_cy", F.floor(F.col("_y") / side)).withColumn("_cx", F.floor(F.col("_x") / side))
+        new = _settled(celled.where(F.col("_v").isNull() & (F.col("_d") > low)), key, side, reach)
+        offset = F.sequence(F.lit(-reach), F.lit(reach))
+        near = new.withColumn("_cy", F.explode(F.transform(offset, lambda o: F.col("_cy") + o))).withColumn("_cx", F.explode(F.transform(offset, lambda o: F.col("_cx") + o)))
+        # Picks lie apart, so a cell meets few of them; a cell that a third of all stations share is dealt over turns.
+        near = near.groupBy("_cy", "_cx").agg(F.collect_list(F.struct(F.col(key).alias("k"), "_y", "_x", F.col("_d").alias("v"))).alias("_near"))
+        near = near.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))))
+        j = celled.withColumn("_turn", F.pmod(F.xxhash64(key), F.lit(TURNS)).cast("int")).join(near, ["_cy", "_cx", "_turn"], "left")
+        closer = F.array_min(F.filter(F.transform("_near", lambda n: F.when(_d2(n) < n["v"], _d2(n))), lambda x: x.isNotNull()))
+        own = F.exists("_near", lambda n: n["k"] == F.col(key))
+        state = cut_lineage(j.select(key, "_y", "_x", F.when(own, F.col("_d")).otherwise(F.least("_d", closer)).alias("_d"), F.when(own, F.col("_d")).otherwise(F.col("_v")).alias("_v")))
+    done = state.where(F.col("_v") > left) if left else state
+    done = done.withColumn("_fall", -F.coalesce("_v", F.lit(0.0)))
+    ranked = O.ordinal_rank(done, "_fall", key, key, "rank")
+    return (ranked if count is None else ranked.where(F.col("rank") <= count)).select(key, F.col("rank").cast("int"))
+
+
+def spread_holdout(stations: DataFrame, count: int, key="station_id", mean_lat=None) -> list:
+    """The first `count` stations of the farthest-point order, as a list."""
+    chosen = [r[key] for r in farthest_order(stations, count, key, mean_lat).orderBy("rank").collect()]
+    if len(chosen) < count:
+        raise ValueError(f"only {len(chosen)} stations to choose from")
     return chosen
 
 

@@ -108,7 +108,7 @@ def far_sql(n):
 
 @query("win07_spread_holdout", sql("fx_station", far_sql(6)))
 def win07(spark, sf):
-    return as_rows(spark, SE.spread_holdout(V.station(spark, sf), 6))
+    return SE.farthest_order(V.station(spark, sf), 6).select("station_id")
 
 
 def supported_sql(count, radius, gap):

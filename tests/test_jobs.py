@@ -153,6 +153,19 @@ def test_spread_holdout_matches_brute_force(spark):
     assert 4 not in SE.spread_holdout(stations(spark, corners), 4)
 
 
+def test_farthest_order_matches_brute_force(spark):
+    """Clusters, a regular network with ties, and a third of all rows at one place; the first rows agree with the whole order."""
+    rng = np.random.default_rng(6)
+    pts = [*(rng.normal(0, .02, (40, 2)) + [22, 90]).tolist(), *rng.uniform([20, 88], [27, 93], (40, 2)).tolist(), *[(20 + .5 * i, 88 + .5 * j) for i in range(6) for j in range(6)], *[(24.1, 91.3)] * 55]
+    order, x = greedy(pts, 130)
+    got = [r.station_id for r in SE.farthest_order(stations(spark, pts)).orderBy("rank").collect()]
+    assert got[:100] == order[:100] and sorted(got) == list(range(len(pts)))
+    assert [r.station_id for r in SE.farthest_order(stations(spark, pts), 30).orderBy("rank").collect()] == order[:30]
+    same = SE.farthest_order(stations(spark, [(24.1, 91.3)] * 5), 4).orderBy("rank").collect()
+    assert [(r.station_id, r["rank"]) for r in same] == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert SE.farthest_order(stations(spark, pts).where("false")).count() == 0
+
+
 def test_spread_folds_match_brute_force(spark):
     pts = [(20 + i, 88 + j + 0.01 * i * j) for i in range(5) for j in range(16)]
     order, x = greedy(pts, len(pts))
