@@ -13,9 +13,12 @@ def duplicates(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def guard(broken: Column, message: Column) -> Column:
-    """Filter condition that stops the job on a broken row; filters survive column pruning."""
-    return F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+def guard(broken: Column, message: Column, keep: Column | None = None) -> Column:
+    """Filter condition that stops the job on a broken row; filters survive column pruning.
+
+    keep: which of the sound rows stay. A filter of its own could be moved in front of the guard and hide broken rows from it.
+    """
+    return F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.lit(True) if keep is None else keep)
 
 
 def require_unique(df: DataFrame, keys) -> DataFrame:

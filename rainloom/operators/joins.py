@@ -38,11 +38,11 @@ def spread_over(df: DataFrame, values: DataFrame, name: str) -> DataFrame:
 
 # ---- lookups and pairing --------------------------------------------------
 
-def many_to_one(facts: DataFrame, dim: DataFrame, key: str, required: str) -> DataFrame:
-    """Left join to a unique dimension; an unmatched row stops the job."""
+def many_to_one(facts: DataFrame, dim: DataFrame, key: str, required: str, keep: Column | None = None) -> DataFrame:
+    """Left join to a unique dimension; an unmatched row stops the job, whether `keep` holds for it or not."""
     j = facts.join(dim, key, "left")
     bad = F.concat(F.lit(f"no match for {key}="), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
-    return j.where(guard(F.col(required).isNull(), bad))
+    return j.where(guard(F.col(required).isNull(), bad, keep))
 
 
 def pair_by_day(obs: DataFrame, product: DataFrame, offset: int, keys=("station_id",), date="date") -> DataFrame:

@@ -54,8 +54,7 @@ lg as (select sp.s as station_id, 'GAUGE '||sp.s||' east' as name, lat, lon, sp.
 
 @query("src02_legacy_matrix", f"with {LEGACY} select station_id, name, {q6('lat','lat')}, {q6('lon','lon')}, date, precip_mm from lg where date>=date '1995-01-01' and date<=date '1995-06-30'")
 def src02(spark, sf):
-    long = ST.month_matrix_long(month_matrix(spark, sf))
-    d = ST.station_days(ST.locate(long, ST.parse_catalog(raw_catalog(spark, sf))), "1995-01-01", "1995-06-30")
+    d = ST.legacy_days(month_matrix(spark, sf), ST.parse_catalog(raw_catalog(spark, sf)), "1995-01-01", "1995-06-30")
     return d.select("station_id", "name", R("lat").alias("lat"), R("lon").alias("lon"), "date", "precip_mm")
 
 

@@ -72,36 +72,62 @@ def read_month_matrix(spark: SparkSession, path: str) -> DataFrame:
     return d.join(heads, "_file").where(below).select(*names)
 
 
+def checked_months(matrix: DataFrame) -> DataFrame:
+    """name, date (first of the month), cells (one text for each day it has) of every row; an unknown token stops the job.
+
+    Rows whose year and month name no month drop out with their cells.
+    """
+    text = F.concat_ws("-", F.lpad(_number("Year", "int").cast("string"), 4, "0"), F.lpad(_number("Month", "int").cast("string"), 2, "0"), F.lit("01"))
+    # A generated column: no filter on it can be moved to rows above the header, which hold other text.
+    month = F.struct(F.try_to_date(text, "yyyy-MM-dd").alias("date"), F.array(*[F.coalesce(F.col(k), F.lit("")) for k in DAYS]).alias("cells"))
+    d = matrix.select(F.trim("Stati").alias("name"), F.explode(F.array(month)).alias("_m")).where("_m.date is not null")
+    d = d.select("name", "_m.date", F.slice("_m.cells", F.lit(1), F.dayofmonth(F.last_day("_m.date"))).alias("cells"))
+    unknown = F.get(F.filter("cells", S.is_unknown_token), F.lit(0))
+    return d.where(C.guard(unknown.isNotNull(), F.concat(F.lit("unrecognized precipitation token "), unknown)))
+
+
+def month_days(months: DataFrame, max_mm: float = 1000.0) -> DataFrame:
+    """One row a day from rows a month: date moves to the day, cells becomes precip_mm, other columns stay."""
+    rest = [c for c in months.columns if c not in ("date", "cells")]
+    d = months.select(*rest, "date", F.posexplode("cells").alias("_d", "cell"))
+    return d.select(*rest, F.date_add("date", F.col("_d")).alias("date"), S.clean_legacy("cell", max_mm).alias("precip_mm"))
+
+
 def month_matrix_long(matrix: DataFrame, max_mm: float = 1000.0) -> DataFrame:
-    """Unpivot days 1-31; impossible dates drop out, unknown tokens stop the job."""
-    d = matrix.select(F.trim("Stati").alias("name"), _number("Year", "int").alias("_y"), _number("Month", "int").alias("_m"), *DAYS)
-    d = d.unpivot(["name", "_y", "_m"], DAYS, "_d", "cell")
-    text = F.concat_ws("-", F.lpad(F.col("_y").cast("string"), 4, "0"), F.lpad(F.col("_m").cast("string"), 2, "0"), F.lpad("_d", 2, "0"))
-    d = d.withColumn("date", F.try_to_date(text, "yyyy-MM-dd")).where("date is not null")
-    cell = F.coalesce("cell", F.lit(""))
-    d = d.where(C.guard(S.is_unknown_token(cell), F.concat(F.lit("unrecognized precipitation token "), cell)))
-    return d.select("name", "date", S.clean_legacy(cell, max_mm).alias("precip_mm"))
-
-
-def locate(long: DataFrame, catalog: DataFrame, aliases=None) -> DataFrame:
-    """Many-to-one join to the catalogue by normalised name; an unmatched station stops the job."""
+    """Days 1-31 as rows; impossible dates drop out, unknown tokens stop the job."""
+    return month_days(checked_months(matrix), max_mm)
+
+
+def locate(long: DataFrame, catalog: DataFrame, aliases=None, keep: Column | None = None) -> DataFrame:
+    """Many-to-one join to the catalogue by normalised name; an unmatched station stops the job, in rows that `keep` cuts too."""
     d = long.withColumn("station_key", aliased(S.station_key("name"), aliases))
-    j = J.many_to_one(d, catalog.select("station_key", "station_id", "lat", "lon"), "station_key", "station_id")
-    return j.select("station_id", "name", "lat", "lon", "date", "precip_mm")
+    j = J.many_to_one(d, catalog.select("station_key", "station_id", "lat", "lon"), "station_key", "station_id", keep)
+    return j.select("station_id", "name", "lat", "lon", *[c for c in long.columns if c != "name"])
+
+
+def period(start=None, end=None, last: str = "date") -> Column:
+    """date <= end and `last` >= start."""
+    first = F.lit(True) if start is None else F.expr(last) >= F.lit(start).cast("date")
+    return first if end is None else first & (F.col("date") <= F.lit(end).cast("date"))
 
 
 def station_days(long: DataFrame, start=None, end=None) -> DataFrame:
     """Requested period with one row per station and day; a duplicate stops the job."""
-    if start is not None:
-        long = long.where(F.col("date") >= F.lit(start).cast("date"))
-    if end is not None:
-        long = long.where(F.col("date") <= F.lit(end).cast("date"))
-    return C.require_unique(long, ["station_id", "date"])
+    return C.require_unique(long.where(period(start, end)), ["station_id", "date"])
+
+
+def legacy_days(matrix: DataFrame, catalog: DataFrame, start=None, end=None, max_mm: float = 1000.0) -> DataFrame:
+    """Station days of a station-month matrix in the requested period.
+
+    Tokens, names and repeated station months are checked, and the period is cut, on rows of a month; only what is
+    left becomes days. Tokens and names are checked in every row, repeats inside the period.
+    """
+    months = locate(checked_months(matrix), catalog, keep=period(start, end, "last_day(date)"))
+    return month_days(C.require_unique(months, ["station_id", "date"]), max_mm).where(period(start, end))
 
 
 def read_legacy(spark: SparkSession, rainfall: str, catalog: str, start=None, end=None, max_mm=1000.0) -> DataFrame:
-    long = month_matrix_long(read_month_matrix(spark, rainfall), max_mm)
-    return station_days(locate(long, read_catalog(spark, catalog)), start, end)
+    return legacy_days(read_month_matrix(spark, rainfall), read_catalog(spark, catalog), start, end, max_mm)
 
 
 def match_files(files: DataFrame, catalog: DataFrame, file_col="file", order_col="station_id") -> DataFrame:

@@ -59,6 +59,19 @@ def test_unmatched_and_duplicate_stop(spark, files):
         ST.read_legacy(spark, str(files / "rain.csv"), str(files / "Stations.csv")).collect()
 
 
+def test_checks_reach_rows_outside_the_period(spark, files):
+    """Unknown tokens and names stop the job wherever they are; a period that begins and ends inside a month keeps its days."""
+    rain, stations = files / "rain.csv", str(files / "Stations.csv")
+    far = "{},2011,7," + ",".join(["{}"] + ["0"] * 30) + "\n"
+    for name, cell, message in [("Syedpur", "wet", "unrecognized precipitation token wet"), ("Nowhere", "0", "no match")]:
+        matrix(rain, [month_row("Syedpur", ["1"] * 28), far.format(name, cell)])
+        with pytest.raises(Exception, match=message):
+            ST.read_legacy(spark, str(rain), stations, start="2018-02-03", end="2018-02-05").select("date").collect()
+    matrix(rain, [month_row("Syedpur", ["1"] * 28 + ["wet", "wet"]), "Syedpur,2018,13," + ",".join(["wet"] * 31) + "\n"] + [far.format("Syedpur", "2")] * 2)
+    d = ST.read_legacy(spark, str(rain), stations, start="2018-02-27", end="2018-03-05")
+    assert [(r.date.isoformat(), r.precip_mm) for r in d.orderBy("date").collect()] == [("2018-02-27", 1.0), ("2018-02-28", 1.0)]
+
+
 def test_missing_header_stops(spark, files):
     (files / "rain.csv").write_text("a,b\n1,2\n")
     with pytest.raises(Exception, match="no header row"):
