@@ -1,10 +1,11 @@
 """Personal data by patterns and by bootstrapped contexts, in DataFrame operations only.
 
-Base patterns find e-mail, internet, card and phone numbers in every text. Their occurrences are the seeds:
-the word before a seed is a lexical pattern, and patterns and instances (the strings they introduce) form a
-bipartite graph. Rounds over that graph give a pattern the share of its word's occurrences that introduce
-known instances, and an instance the chance that at least one of its patterns is right. Patterns above a
-threshold then mark further identifiers that no base pattern matches.
+Base patterns find e-mail, internet, card and phone numbers in every text. Their occurrences are the seeds: the
+word and the two words before an identifier are lexical patterns, and patterns and instances (the strings they
+introduce) form a bipartite graph. A round gives a pattern the share of its uses that introduce known instances,
+and an instance the chance that at least one of its sure patterns is right. An instance found in one round is known
+in the next, where it can make patterns sure that introduce no seed; rounds end when no pattern becomes sure.
+Sure patterns mark the identifiers they introduce, which no base pattern matches.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ PATTERNS = {
 #: A run of identifier characters with a digit or an at sign in it.
 IDENTIFIER = r"(?<![A-Za-z0-9@._%+#/-])[A-Za-z._%+#/-]*+[0-9@][A-Za-z0-9@._%+#/-]*[A-Za-z0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-SPAN = "struct<start:int,end:int,left:string,m:string>"
-MIN_SEEDS, MIN_CONFIDENCE, ROUNDS, SALTS, BROADCAST_ROWS = 5, 0.5, 3, 16, 100_000
+SPAN = "struct<start:int,end:int,left:array<string>,m:string>"
+#: Distinct known instances and share of uses that make a pattern sure, turns of a hot pattern, rows of a broadcast, code points of a context.
+MIN_KNOWN, MIN_CONFIDENCE, SALTS, BROADCAST_ROWS, CONTEXT = 5, 0.5, 16, 100_000, 64
 
 
 def digits(m: Column) -> Column:
@@ -54,9 +56,11 @@ def plausible(m: Column) -> Column:
         F.when(m.rlike("^[0-9-]+$") & n.between(12, 19), "card"), F.when(m.rlike("^[0-9+.-]+$") & n.between(7, 15), "phone")))
 
 
-def left_word(before: Column) -> Column:
-    """The word before a span, in lower case with digits alike; '' at the start of a text."""
-    return shape(F.regexp_extract(F.substring(before, -48, 48), r"(\S+)\s*$", 1))
+def contexts(before: Column, first: Column) -> Column:
+    """The word and the two words that end `before`, in lower case with digits alike, each only where it begins inside: `first` tells that the text does."""
+    tail = F.substring(F.when(first, F.concat(F.lit(" "), before)).otherwise(before), -CONTEXT, CONTEXT)
+    each = [F.regexp_extract(tail, rf"\s({words})\s*$", 1) for words in (r"\S+", r"\S+\s+\S+")]
+    return F.transform(F.filter(F.array(*each), lambda w: w != ""), lambda w: F.regexp_replace(shape(w), r"\s+", " "))
 
 
 def shape(word: Column) -> Column:
@@ -71,7 +75,7 @@ def found(text: Column, pattern: str, keep) -> Column:
     def step(s, x):
         start = s["at"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), left_word(x["p"]).alias("left"), x["m"].alias("m"))
+        span = F.struct(start.alias("start"), end.alias("end"), contexts(x["p"], s["at"] == 0).alias("left"), x["m"].alias("m"))
         return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & keep(x["m"]), F.concat(s["got"], F.array(span))).otherwise(s["got"]).alias("got"))
 
     zero = F.struct(F.lit(0).alias("at"), none.alias("got"))
@@ -121,39 +125,53 @@ def tag(kind: str, seed: bool) -> Column:
     return F.transform(kind, row)
 
 
-def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """How often each word of `words` stands in the texts that can hold an identifier."""
-    text = text_or_empty()
-    each = docs.where(text.rlike("[0-9@]")).select(F.explode(F.split(shape(text), r"\s+")).alias("left"))
-    return each.join(words, "left").groupBy("left").agg(F.count("*").alias("n_word"))
+def use_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How often each word or pair of words in `patterns` stands in the texts that can hold an identifier."""
+    words = F.col("_words")
+    each = docs.where(text_or_empty().rlike("[0-9@]")).select(F.split(shape(text_or_empty()), r"\s+").alias("_words"))
+    pairs = F.transform(words, lambda w, i: F.array(w, F.concat(F.get(words, i - 1), F.lit(" "), w)))
+    each = each.select(F.explode(pairs).alias("_p")).select(F.explode("_p").alias("left"))
+    return each.join(patterns, "left").groupBy("left").agg(F.count("*").alias("n_use"))
+
+
+def salted(patterns: DataFrame) -> DataFrame:
+    return patterns.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def graph(docs: DataFrame, occ: DataFrame) -> DataFrame:
-    """Patterns (kind, left) with their confidence after the rounds."""
-    edges = occ.where("left != ''").groupBy("kind", "left", "m").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    known = F.sum(F.when(F.col("seed") == 1, F.col("n")).otherwise(0))
-    patterns = cut_lineage(edges.groupBy("kind", "left").agg(F.sum("seed").alias("seeds"), F.sum("n").alias("n_edge"), known.alias("n_seed")).where(F.col("seeds") >= MIN_SEEDS))
-    counted = word_counts(docs, patterns.select("left").distinct())
-    patterns = patterns.join(counted, "left", "left").withColumn("total", F.greatest(F.coalesce("n_word", F.lit(0)), F.col("n_edge")) + 1)
+    """The sure patterns: kind, left, confidence.
+
+    A pattern is sure when it introduces at least MIN_KNOWN distinct known instances and its confidence, the sum of
+    their scores by use over all uses of its words and one more, reaches MIN_CONFIDENCE. Seeds score 1, others the
+    chance that one of their sure patterns is right. Scores only grow, so sure patterns stay sure and the rounds end.
+    """
+    uses = occ.select("kind", F.explode("left").alias("left"), "m", "seed")
+    edges = cut_lineage(uses.groupBy("kind", "left", "m").agg(F.count("*").alias("n"), F.max("seed").cast("double").alias("score")))
+    patterns = cut_lineage(edges.groupBy("kind", "left").agg(F.count("*").alias("instances"), F.sum("n").alias("n_edge")).where(F.col("instances") >= MIN_KNOWN))
+    counted = use_counts(docs, patterns.select("left").distinct())
+    patterns = patterns.join(counted, "left", "left").withColumn("total", F.greatest(F.coalesce("n_use", F.lit(0)), F.col("n_edge")) + 1)
     # What cannot reach the threshold even if all its instances were right leaves the graph, and with it the common words.
     patterns = cut_lineage(patterns.where(F.col("n_edge") >= MIN_CONFIDENCE * F.col("total")).select("kind", "left", "total"))
     salt = F.pmod(F.xxhash64("m"), F.lit(SALTS)).cast("int")
-    salted = patterns.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    live = cut_lineage(edges.withColumn("_salt", salt).join(salted, ["kind", "left", "_salt"]).drop("_salt").withColumn("score", F.col("seed").cast("double")))
-    for _ in range(ROUNDS):
-        conf = live.groupBy("kind", "left").agg(F.least(F.sum(F.col("n") * F.col("score")) / F.max("total"), F.lit(0.999)).alias("confidence"))
-        salted = conf.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        seen = live.withColumn("_salt", salt).join(salted, ["kind", "left", "_salt"])
-        inst = seen.groupBy("kind", "m").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("belief"))
-        live = cut_lineage(live.join(inst, ["kind", "m"]).withColumn("score", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("belief"))).drop("belief"))
-    return live.groupBy("kind", "left").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"))
+    live = cut_lineage(edges.withColumn("_salt", salt).join(salted(patterns), ["kind", "left", "_salt"]))
+    n_sure = 0
+    while True:
+        share = F.round(F.sum(F.col("n") * F.col("score")) / F.max("total"), 9)
+        scored = live.groupBy("kind", "left").agg(share.alias("confidence"), F.count_if(F.col("score") > 0).alias("known"))
+        sure = cut_lineage(scored.where((F.col("known") >= MIN_KNOWN) & (F.col("confidence") >= MIN_CONFIDENCE)).select("kind", "left", "confidence"))
+        n = sure.count()
+        if n == n_sure:
+            return sure
+        n_sure = n
+        seen = live.where("score < 1").join(salted(sure), ["kind", "left", "_salt"])
+        belief = seen.groupBy("kind", "m").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("belief"))
+        live = cut_lineage(live.join(belief, ["kind", "m"], "left").withColumn("score", F.greatest("score", "belief")).drop("belief"))
 
 
 def discovered(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Spans that only their context gives away, as one array to a key: kind, start, end, m. A span with several kinds keeps the surest."""
     occ = cut_lineage(occurrences(scanned))
-    sure = graph(docs, occ).where(F.col("confidence") >= MIN_CONFIDENCE)
-    hit = occ.where("seed = 0").join(sure, ["kind", "left"])
+    hit = occ.where("seed = 0").withColumn("left", F.explode("left")).join(graph(docs, occ), ["kind", "left"])
     best = hit.groupBy("_k1", "_k2", "start", "end").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "kind", "m")).alias("b"))
     return best.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct(F.col("b.kind").alias("kind"), "start", "end", F.col("b.m").alias("m")))).alias("extra"))
 

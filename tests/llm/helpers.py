@@ -79,3 +79,68 @@ def crc(ids):
 
 def sha(data):
     return hashlib.sha256(data).hexdigest()
+
+
+def brute_context_pii(texts):
+    """{position: sorted (kind, start, end, string)} found by context only, with plain loops over all patterns and instances."""
+    identifier = r"(?<![A-Za-z0-9@._%+#/-])[A-Za-z._%+#/-]*+[0-9@][A-Za-z0-9@._%+#/-]*[A-Za-z0-9]"
+
+    def form(w):
+        return re.sub("[0-9]", "0", w.lower())
+
+    def kinds(m):
+        n = len(re.sub("[^0-9]", "", m))
+        return [k for k, ok in (("email", "@" in m), ("ip", re.search(r"^[0-9]+(?:\.[0-9]+){3}$", m)), ("card", re.search("^[0-9-]+$", m) and 12 <= n <= 19), ("phone", re.search("^[0-9+.-]+$", m) and 7 <= n <= 15)) if ok]
+
+    def matches(pattern, t):
+        at = 0
+        for m in re.finditer(pattern, t, re.A):
+            tail = ((" " if at == 0 else "") + t[at:m.start()])[-64:]
+            words = [re.search(rf"\s({w})\s*$", tail, re.A) for w in (r"\S+", r"\S+\s+\S+")]
+            yield m.start(), m.end(), m[0], [re.sub(r"\s+", " ", form(w[1])) for w in words if w]
+            at = m.end()
+
+    occ, words = [], {}
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = {tuple(x.split(":")) for x in brute_pii(t)}
+        spans = [(int(a), int(b)) for _, a, b in base]
+        for k, pattern in PII.items():
+            occ += [(i, k, a, b, m, left, 1) for a, b, m, left in matches(pattern, t) if (k, str(a), str(b)) in base]
+        for a, b, m, left in matches(identifier, t):
+            if not any(x < b and a < y for x, y in spans):
+                occ += [(i, k, a, b, m, left, 0) for k in kinds(m)]
+        if re.search("[0-9@]", t):
+            w = form(t).split()
+            for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]:
+                words[x] = words.get(x, 0) + 1
+    uses, score = {}, {}
+    for _, k, _, _, m, left, seed in occ:
+        for w in left:
+            n = uses.setdefault((k, w), {})
+            n[m] = n.get(m, 0) + 1
+            score[k, w, m] = max(score.get((k, w, m), 0.0), float(seed))
+    total = {p: max(words.get(p[1], 0), sum(n.values())) + 1 for p, n in uses.items()}
+    sure = {}
+    while True:
+        conf = {p: round(sum(c * score[*p, m] for m, c in n.items()) / total[p], 9) for p, n in uses.items()}
+        new = {p: conf[p] for p, n in uses.items() if conf[p] >= 0.5 and sum(score[*p, m] > 0 for m in n) >= 5}
+        if len(new) == len(sure):
+            break
+        sure, miss = new, {}
+        for (k, w), c in sure.items():
+            for m in uses[k, w]:
+                if score[k, w, m] < 1:
+                    miss[k, m] = miss.get((k, m), 1.0) * (1 - c)
+        for k, w, m in score:
+            if (k, m) in miss:
+                score[k, w, m] = max(score[k, w, m], 1 - miss[k, m])
+    best = {}
+    for i, k, a, b, m, left, seed in occ:
+        for w in left:
+            if not seed and (k, w) in sure:
+                best[i, a, b] = min(best.get((i, a, b), (0.0, "", "")), (-sure[k, w], k, m))
+    out = {}
+    for (i, a, b), (_, k, m) in best.items():
+        out.setdefault(i, []).append((k, a, b, m))
+    return {i: sorted(x) for i, x in out.items()}

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 
 from rainloom.llm import bpe, packing, pii, tokens
-from tests.llm.helpers import ODD, brute_pii, crc, documents, empty, sha, word_ids
+from tests.llm.helpers import ODD, brute_context_pii, brute_pii, crc, documents, empty, sha, word_ids
 
 
 def library():
@@ -134,6 +134,39 @@ def test_context_finds_what_no_base_pattern_matches(spark):
         {k: [(s.kind, s.m) for s in v] for k, v in got.items()} == {28: [("email", "hidden.user@intranet")]}
 
 
+def told(seed=7):
+    """Three generations: seeds stand behind `mailbox`, strings found there behind `reply to`, strings found there behind `desk`; `to` alone is common."""
+    r = random.Random(seed)
+    texts = [f"note {k} mailbox user{k}x@mail{k}.example.com" for k in range(40)]
+    texts += [f"note {k} mailbox staff{k}@intranet" for k in range(8)]
+    texts += [f"please Reply  to staff{k}@intranet soon" for k in range(8)] + [f"1 goes to town {k} and to bed" for k in range(30)]
+    texts += [f"reply to clerk{k}@floor" for k in range(4)] + [f"desk clerk{k}@floor" for k in range(4)] + ["desk staff1@intranet", "desk staff2@intranet", "desk last@room", "sofa last@room", "table other@room"]
+    texts += [f"server 10.0.0.{k}{' or server 10.0.0.999' if k < 3 else ''}" for k in range(9)] + ["", None, "w" * 200 + " a@b", "mailbox mailbox mailbox"] + [" ".join(r.choice(["desk0", "1", "to", "x@y", "12345678", "word"]) for _ in range(12)) for _ in range(40)]
+    return texts
+
+
+def test_found_instances_induce_patterns(spark):
+    texts = told()
+    got = {x.doc_id: sorted((s.kind, s.start, s.end, s.m) for s in x.extra) for x in pii.spans(documents(spark, texts)).collect() if x.extra}
+    assert got == brute_context_pii(texts)
+    found = {m for x in got.values() for *_, m in x}
+    assert {"staff3@intranet", "clerk3@floor", "last@room", "10.0.0.999"} <= found and not {"other@room", "x@y", "12345678"} & found
+    assert all(texts.index("sofa last@room") != k for k in got)
+
+
+def test_query_lists_spans_found_by_context(spark, tmp_path):
+    texts = told()
+    docs = documents(spark, texts)
+    docs.unionByName(docs.where("doc_id is null")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_context_pii(texts)
+    for r in pii.bootstrapped_pii(spark, str(tmp_path)).where("doc_id is not null").collect():
+        order = {k: n for n, k in enumerate(pii.KINDS)}
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_pii(texts[r.doc_id]))]
+        every = sorted(base + [x[:3] for x in want.get(r.doc_id, [])], key=lambda x: (order[x[0]], *x[1:]))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in every) and r.n_by_context == len(want.get(r.doc_id, []))
+        assert (r.n_email, r.n_ip) == (sum(x[0] == "email" for x in base), sum(x[0] == "ip" for x in base))
+
+
 def test_masked_keeps_rows_and_columns(spark):
     docs = documents(spark, PRIVATE)
     out = pii.masked(docs)
