@@ -163,9 +163,39 @@ def _band_keys(max_km: float):
     return max_km / 111.0 if max_km < 111.0 * 90 else 90.0
 
 
+def places(points: DataFrame, key, keep: int) -> DataFrame:
+    """Points of equal coordinates as one row: lat, lon, _ids with the `keep` smallest keys. Points without coordinates are left out."""
+    d = points.select(F.col(key).alias("_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null").distinct()
+    r = F.row_number().over(W.partitionBy("lat", "lon").orderBy("_id"))
+    return d.withColumn("_r", r).where(F.col("_r") <= keep).groupBy("lat", "lon").agg(F.sort_array(F.collect_list("_id")).alias("_ids"))
+
+
+CROWD, FINEST = 64, 6
+
+
+def uncrowded(places: DataFrame, widest: float) -> float:
+    """The widest of `widest`, a quarter of it, and so on, whose square cells hold at most CROWD places each; the finest of FINEST steps if none is."""
+    steps = [widest / 4.0 ** j for j in range(FINEST + 1)]
+    at = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.floor(F.col("lat") / s).alias("y"), F.floor(F.col("lon") / s).alias("x")) for j, s in enumerate(steps)]))
+    n = places.select(at.alias("c")).groupBy("c").agg(F.count("*").alias("n")).groupBy("c.j").agg(F.max("n").alias("n"))
+    return steps[n.agg(F.coalesce(F.min(F.when(F.col("n") <= CROWD, F.col("j"))), F.lit(FINEST))).first()[0]]
+
+
 def pairs_within(points: DataFrame, max_km: float, key: str = "station_id") -> DataFrame:
-    """Unordered point pairs no farther than max_km."""
-    return neighbours_within(points, points, max_km, key).where(F.col("a") < F.col("b"))
+    """Unordered point pairs no farther than max_km: a < b, km.
+
+    Places meet on grid buckets, so a distance is worked out once for a pair of places; pairs of points
+    follow by joining the points of either place, in chunks.
+    """
+    d = points.select(F.col(key).alias("_k"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
+    at = cut_lineage(places(points, key, 1).select(F.get("_ids", F.lit(0)).alias("_p"), "lat", "lon"))
+    of = cut_lineage(d.join(at, ["lat", "lon"]).select("_p", "_k"))
+    met = neighbours_within(at, at, max_km, "_p").where(F.col("a") < F.col("b")).select(F.col("a").alias("_p"), F.col("b").alias("_q"), "km")
+    met = cut_lineage(met.unionByName(at.where(F.lit(max_km >= 0)).select("_p", F.col("_p").alias("_q"), F.lit(0.0).alias("km"))))
+    half = blocked_join(met, of.withColumnRenamed("_k", "_a"), "_p", ["_q"], ["_a"])
+    both = blocked_join(half, of.select(F.col("_p").alias("_q"), F.col("_k").alias("_b")), "_q", ["_p", "_a"], ["_b"])
+    both = both.where((F.col("_p") != F.col("_q")) | (F.col("_a") < F.col("_b")))
+    return both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "km")
 
 
 def neighbours_within(left: DataFrame, points: DataFrame, max_km: float, key: str = "station_id") -> DataFrame:
@@ -206,21 +236,25 @@ def neighbours_within(left: DataFrame, points: DataFrame, max_km: float, key: st
 
 
 def nearest_point(targets: DataFrame, points: DataFrame, target_key, point_key: str = "station_id",
-                  first_deg: float = 1.0, exclude_self: bool = False, levels: int = 10) -> DataFrame:
+                  first_deg: float = 1.0, exclude_self: bool = False, levels: int = 16) -> DataFrame:
     """Exact nearest point for every target by widening buckets.
 
-    Each level joins the still-open targets with the points of the 3 x 3 buckets
-    around them and settles those whose best distance is inside the radius the
-    neighbourhood guarantees; only the rest goes on to wider buckets. The last level
-    spans the globe: points are dealt by hash and each share meets every target still
-    open. Open targets are checkpointed between levels, so
-    the plan stays short and a lost executor costs one level.
+    Targets and points of equal coordinates travel as one place, points with their smallest
+    ids: one, or two where a target must not find itself. Each level joins the still-open
+    places with the points of the 3 x 3 buckets around them and settles those whose best
+    distances are inside the radius the neighbourhood guarantees; only the rest goes on to
+    wider buckets. The first buckets are at most `first_deg` wide and so narrow that none is
+    crowded. The last level spans the globe: points are dealt by hash and each share meets
+    every place still open. Open places are checkpointed between levels, so the plan stays
+    short and a lost executor costs one level.
     """
     keys = [target_key] if isinstance(target_key, str) else list(target_key)
-    pts = points.select(F.col(point_key).alias("near_id"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
-    open_ = targets.select(*keys, "lat", "lon")
+    m = 2 if exclude_self else 1
+    pts = cut_lineage(places(points, point_key, m).select("_ids", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")))
+    targets = targets.select(*keys, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).distinct()
+    open_ = targets.select("lat", "lon").where("lat is not null and lon is not null").distinct()
     shares = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done, step = None, first_deg
+    done, step = None, uncrowded(pts.select(F.col("_plat").alias("lat"), F.col("_plon").alias("lon")), first_deg)
     for level in range(levels):
         last = step >= 180.0 or level == levels - 1
         nlon = max(1, int(360.0 // step)) if not last else 1
@@ -232,71 +266,76 @@ def nearest_point(targets: DataFrame, points: DataFrame, target_key, point_key:
         def kx(lon):
             return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) / width).cast("bigint"), F.lit(nlon))
 
-        filed = pts.withColumn("_by", ky(F.col("_plat"))).withColumn("_bx", kx(F.col("_plon")) if not last else F.pmod(F.xxhash64("near_id"), F.lit(shares)))
+        filed = pts.withColumn("_by", ky(F.col("_plat"))).withColumn("_bx", kx(F.col("_plon")) if not last else F.pmod(F.xxhash64("_ids"), F.lit(shares)))
         look = open_.withColumn("_ty", ky(F.col("lat"))).withColumn("_tx", kx(F.col("lon")))
         span = (-1, 0, 1) if nlon > 2 else range(nlon)
         around = F.array(*[F.struct((F.col("_ty") + dy).alias("_by"), F.pmod(F.col("_tx") + dx, F.lit(nlon)).alias("_bx"))
                            for dy in (-1, 0, 1) for dx in span]) if not last else F.transform(
             F.sequence(F.lit(0), F.lit(shares - 1)), lambda k: F.struct(F.lit(0).cast("bigint").alias("_by"), k.cast("bigint").alias("_bx")))
-        look = look.withColumn("_k", F.explode(around)).select(*keys, "lat", "lon", "_k.*")
+        look = look.withColumn("_k", F.explode(around)).select("lat", "lon", "_k.*")
         cell = F.concat_ws(":", "_by", "_bx")
-        j = blocked_join(look.withColumn("_cell", cell).drop("_by", "_bx"), filed.withColumn("_cell", cell).drop("_by", "_bx"), "_cell", keys, ["near_id"]).drop("_cell")
-        none = open_.withColumns({c: F.lit(None).cast(t) for c, t in pts.dtypes})
-        j = j.unionByName(none)
-        if exclude_self:
-            j = j.withColumn("near_id", F.when(F.col("near_id") != F.col(keys[0]), F.col("near_id")))
-        km = F.when(F.col("near_id").isNotNull(), S.haversine_km("lat", "lon", "_plat", "_plon"))
-        best = j.groupBy(*keys, "lat", "lon").agg(F.min(F.struct(F.coalesce(km, F.lit(math.inf)).alias("km"), "near_id")).alias("_b"))
-        best = best.select(*keys, "lat", "lon", "_b.km", "_b.near_id")
+        j = blocked_join(look.withColumn("_cell", cell).drop("_by", "_bx"), filed.withColumn("_cell", cell).drop("_by", "_bx"), "_cell", ["lat", "lon"], ["_plat", "_plon"])
+        j = j.select("lat", "lon", S.haversine_km("lat", "lon", "_plat", "_plon").alias("km"), F.explode("_ids").alias("near_id"))
+        # The best of each task go on, so no list holds a dense neighbourhood.
+        j = j.withColumn("_r", F.row_number().over(W.partitionBy("lat", "lon").orderBy("km", "near_id"))).where(F.col("_r") <= m)
+        best = j.groupBy("lat", "lon").agg(F.sort_array(F.collect_list(F.struct("km", "near_id"))).alias("_b"))
         # Nothing outside the 3 x 3 buckets is nearer than one bucket in either direction.
         cross = F.asin(F.cos(F.radians(F.col("lat"))) * math.sin(math.radians(min(width, 90.0)))) * S.EARTH_KM
         reach = F.least(F.lit(S.EARTH_KM * math.radians(step)), cross if nlon > 2 else F.lit(1e9))
         if last:
             settled = best
         else:
-            best = cut_lineage(best)
-            settled = best.where(F.col("km") <= reach)
-            open_ = best.where(F.col("km") > reach).select(*keys, "lat", "lon")
-        out = settled.select(*keys, "near_id", F.when(F.col("km") < math.inf, F.col("km")).alias("km"))
-        done = out if done is None else done.unionByName(out)
+            best = cut_lineage(best.withColumn("_sure", (F.size("_b") >= m) & (F.element_at("_b", -1)["km"] <= reach)))
+            settled = best.where("_sure").drop("_sure")
+            open_ = cut_lineage(open_.join(settled.select("lat", "lon"), ["lat", "lon"], "left_anti"))
+        done = settled if done is None else done.unionByName(settled)
         if last or open_.isEmpty():
             break
         step *= 4.0
-    return done
+    other = F.filter("_b", lambda x: x["near_id"] != F.col(keys[0])) if exclude_self else F.col("_b")
+    return targets.join(done, ["lat", "lon"], "left").select(*keys, F.get(other, F.lit(0)).alias("_n")).select(*keys, "_n.near_id", "_n.km")
 
 
 def k_nearest(points: DataFrame, k: int = 6, key: str = "station_id", first_km: float = 100.0) -> DataFrame:
     """k nearest neighbours in the plane scaled by the cosine of the mean latitude.
 
-    A station is settled once its k-th planar distance lies inside what the search
-    radius guarantees; the rest goes on with four times the radius, up to the globe,
-    so no neighbour is missed and dense networks never collect more than they need.
+    Points of equal coordinates travel as one place with its k + 1 smallest keys, of which a
+    point passes over itself. A place is settled once its last planar distance lies inside
+    what the search radius guarantees; the rest goes on with four times the radius, up to the
+    globe, so no neighbour is missed. The first radius is at most `first_km` and so short
+    that no bucket is crowded, so dense networks never collect more than they need.
     """
     scale = F.cos(F.radians(points.agg(F.avg("lat")).scalar()))
-    open_, done, radius = points.select(key, "lat", "lon"), None, first_km
+    at = cut_lineage(places(points, key, k + 1).withColumn("_p", F.get("_ids", F.lit(0))))
+    open_, done, radius = at.select("_p", "lat", "lon"), None, 111.0 * uncrowded(at, first_km / 111.0)
     while True:
         last = radius >= 20100.0
-        p = neighbours_within(open_, points, radius, key).withColumn("_c", scale)
-        p = p.select("a", "b", (F.col("lat_b") - F.col("lat_a")).alias("dy"), ((F.col("lon_b") - F.col("lon_a")) * F.col("_c")).alias("dx"), "_c")
-        d2 = F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-        # The k best of each task go on, so no list holds a dense neighbourhood.
-        p = p.withColumn("d2", d2).withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy("d2", "b"))).where(F.col("_r") <= k)
-        g = p.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d2", "b", "dy", "dx"))).alias("n"), F.first("_c").alias("_c"))
+        p = neighbours_within(open_, at, radius, "_p").withColumn("_c", scale)
+        p = p.select("a", "b", (F.col("lat_b") - F.col("lat_a")).alias("dy"), ((F.col("lon_b") - F.col("lon_a")) * F.col("_c")).alias("dx"))
+        p = p.unionByName(open_.select(F.col("_p").alias("a"), F.col("_p").alias("b"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx")))
+        # The best of each task go on, so no list holds a dense neighbourhood; the places kept hold the points wanted.
+        ahead = F.row_number().over(W.partitionBy("a").orderBy("d2", "b"))
+        p = p.withColumn("d2", F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).withColumn("_r", ahead).where(F.col("_r") <= k + 1)
+        p = p.join(at.select(F.col("_p").alias("b"), "_ids"), "b").select("a", "d2", F.explode("_ids").alias("b"), "dy", "dx")
+        g = p.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "b", "dy", "dx"))), 1, k + 1).alias("n"))
         # Beyond the radius a planar distance in degrees is at least radius * cos(mean lat) / km per degree.
-        sure = (F.size("n") >= k) & (F.sqrt(F.get("n", F.lit(k - 1))["d2"]) <= F.col("_c") * (radius / 111.2))
+        sure = (F.size("n") > k) & (F.sqrt(F.get("n", F.lit(k))["d2"]) <= scale * (radius / 111.2))
         g = g.withColumn("_sure", F.coalesce(sure, F.lit(False)))
         if last:
             settled = g
         else:
             g = cut_lineage(g)
             settled = g.where("_sure")
-            open_ = open_.join(settled.select(F.col("a").alias(key)), key, "left_anti")
-        settled = settled.select("a", "n")
+            open_ = cut_lineage(open_.join(settled.select(F.col("a").alias("_p")), "_p", "left_anti"))
+        settled = settled.select(F.col("a").alias("_p"), "n")
         done = settled if done is None else done.unionByName(settled)
         if last or open_.isEmpty():
             break
         radius *= 4.0
-    return done.select(F.col("a").alias(key), F.posexplode("n").alias("rank", "n")).select(key, "rank", "n.*")
+    done = done.join(at.select("_p", "lat", "lon"), "_p")
+    own = points.select(key, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).join(done, ["lat", "lon"])
+    others = F.slice(F.filter("n", lambda x: x["b"] != F.col(key)), 1, k)
+    return own.select(key, F.posexplode(others).alias("rank", "n")).select(key, "rank", "n.*")
 
 
 def bearing_gap(points: DataFrame, k: int = 6, key: str = "station_id") -> DataFrame:

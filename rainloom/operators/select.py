@@ -269,18 +269,22 @@ def spread_folds(stations: DataFrame, n_splits: int, key="station_id") -> DataFr
         state = cut_lineage(state.select(key, "_y", "_x", F.least("_d", *[_d2(r) for r in new]).alias("_d"), F.array(*near).alias("_f"), placed.alias("fold")))
 
 
-def supported_holdout(stations: DataFrame, count: int, radius_km=75.0, max_gap_deg=200.0, neighbours=6, key="station_id") -> list:
+def supported_holdout(stations: DataFrame, count: int, radius_km=75.0, max_gap_deg=200.0, neighbours=6, key="station_id", fewer=False) -> list:
     """Spread holdout among stations with a near neighbour and neighbours all around.
 
     Picks that lose their support are swapped for the best-supported unused candidate
     until every withheld station keeps an assimilated neighbour inside the radius, or
     as many swaps as candidates were made. A swapped-out station goes back to the pool,
-    behind the others where candidates tie. Runs a few small jobs for each swap.
+    behind the others where candidates tie. Runs a few small jobs for each swap. Fewer
+    candidates than asked for are an error, or with `fewer` all of them are withheld.
     """
     near = J.nearest_point(stations, stations, key, key, exclude_self=True).where(F.col("km") <= radius_km)
     gaps = J.bearing_gap(stations, neighbours, key).where(F.col("gap_deg") <= max_gap_deg)
     eligible = cut_lineage(stations.join(near.select(key), key, "left_semi").join(gaps.select(key), key, "left_semi"))
     n = eligible.count()
+    count = min(count, n) if fewer else count
+    if not count:
+        return []
     if n < count:
         raise ValueError(f"only {n} stations qualify, fewer than the {count} to be withheld")
     mean_lat = stations.agg(F.avg("lat")).first()[0]

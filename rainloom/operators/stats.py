@@ -21,11 +21,15 @@ def share(cond: Column) -> Column:
 
 
 def safe_corr(a, b) -> Column:
-    """Correlation, NULL when either side has no spread."""
+    """Correlation, NULL when either side has no spread.
+
+    From the covariance and the spreads that are tested: corr rounds its own sums, which can be zero where a spread of
+    one unit in the last place is not, and then stops the job by a division by zero.
+    """
     a, b = S.col(a), S.col(b)
     both = a.isNotNull() & b.isNotNull()
-    ok = (F.stddev_pop(F.when(both, a)) > 0) & (F.stddev_pop(F.when(both, b)) > 0)
-    return F.when(ok, F.corr(a, b))
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return S.clip(F.when(spread > 0, F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))), -1.0, 1.0)
 
 
 # ---- station and product summaries ----------------------------------------

@@ -23,18 +23,19 @@ def halfhour(spark, sf):
         F.col("user_id").alias("station_id"), "ts", F.col("value").alias("rate"))
 
 
-def _daily(spark, sf, kinds, name, extra=()):
+def _daily(spark, sf, kinds, name, extra=(), exact=False):
+    """Day sums. exact: as decimals, so that a sum on a limit falls on the same side whatever the order of its rows."""
     e = table(spark, sf, "events").where(F.col("event_type").isin(kinds))
     return e.groupBy(F.col("user_id").alias("station_id"), F.to_date("ts").alias("date"), *extra).agg(
-        F.sum("value").alias(name))
+        F.sum(F.col("value").cast("decimal(28,10)") if exact else "value").alias(name))
 
 
-def obs(spark, sf):
-    return _daily(spark, sf, ["view", "click", "purchase"], "precip_mm")
+def obs(spark, sf, exact=False):
+    return _daily(spark, sf, ["view", "click", "purchase"], "precip_mm", exact=exact)
 
 
-def prod(spark, sf):
-    return _daily(spark, sf, ["signup", "error"], "product_mm")
+def prod(spark, sf, exact=False):
+    return _daily(spark, sf, ["signup", "error"], "product_mm", exact=exact)
 
 
 def multi(spark, sf):
