@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rainloom.functions import draws as D, order as O, scalar as S
@@ -119,46 +120,44 @@ def _d2(row) -> Column:
     return F.floor((dy * dy + dx * dx) * 1e9 + 0.5) / 1e9
 
 
-def _between(a, b) -> float:
-    """_d2 of two rows on the driver."""
-    dy, dx = a["_y"] - b["_y"], a["_x"] - b["_x"]
-    return math.floor((dy * dy + dx * dx) * 1e9 + 0.5) / 1e9
-
-
 def _farthest(points: DataFrame, score: Column, key: str):
     """The row with the largest score, lowest key on ties: one aggregation, one row on the driver."""
     return points.agg(F.max_by(F.struct("*"), F.struct(score, -F.col(key))).alias("r")).first()["r"]
 
 
-FRONT = 64
+FRONT = 4096
 
 
-def _front(state: DataFrame, key: str, extra=()) -> tuple[list, float]:
-    """The FRONT most distant rows and the distance every other row stays below."""
-    rows = state.select(key, "_y", "_x", "_d", *extra).orderBy(F.desc("_d"), key).limit(FRONT).collect()
-    rows = [r.asDict() for r in rows]
-    return rows, (rows[-1]["_d"] if len(rows) == FRONT else -1.0)
+def _front(state: DataFrame, key: str) -> tuple[dict, tuple | None]:
+    """The FRONT most distant rows as arrays in the order of their keys, and distance and key of the last of them, which comes before every other row."""
+    rows = state.orderBy(F.desc("_d"), key).limit(FRONT).collect()
+    last = (rows[-1]["_d"], rows[-1][key]) if len(rows) == FRONT else None
+    rows = sorted(rows, key=lambda r: r[key])
+    return {c: np.array([r[c] for r in rows]) for c in (key, "_y", "_x", "_d", "_f")}, last
 
 
-def _picks(rows: list, bound: float, key: str, limit: int, taken=None):
-    """Farthest points that the front alone decides.
+def _apart(at: dict, i: int):
+    """_d2 of a row to all rows on the driver."""
+    dy, dx = at["_y"] - at["_y"][i], at["_x"] - at["_x"][i]
+    return np.floor((dy * dy + dx * dx) * 1e9 + 0.5) / 1e9
 
-    Distances only shrink, so a row of the front that still exceeds the bound beats
-    every row outside it. One job therefore settles many picks, and the driver never
-    holds more than the front.
-    """
-    out: list = []
-    while rows and len(out) < limit:
-        best = min(rows, key=lambda r: (-r["_d"], r[key]))
-        if out and best["_d"] <= bound:
-            break
-        rows.remove(best)
-        out.append(best)
-        if taken:
-            taken(best, rows)
-        for r in rows:
-            r["_d"] = min(r["_d"], _between(r, best))
-    return out
+
+def _smallest(sizes: list, distances) -> int:
+    """The smallest fold that is farthest away, the first of them on ties."""
+    low = min(sizes)
+    fold = max((i for i, n in enumerate(sizes) if n == low), key=lambda i: (distances[i], -i))
+    sizes[fold] += 1
+    return fold
+
+
+def _nearer(state: DataFrame, picks: list, n_splits: int) -> DataFrame:
+    """Distances of all rows to the ordered set and to every fold after picks (_y, _x, fold)."""
+    p = state.sparkSession.createDataFrame(picks, "_y double, _x double, fold int")
+    for i in range(n_splits):
+        state = state.withColumn(f"_p{i}", p.where(F.col("fold") == i).agg(F.collect_list(F.struct("_y", "_x"))).scalar())
+    to = [F.array_min(F.transform(f"_p{i}", _d2)) for i in range(n_splits)]
+    f = F.array(*[F.least(F.get("_f", F.lit(i)), to[i]) for i in range(n_splits)])
+    return state.withColumn("_f", f).withColumn("_d", F.least("_d", *to)).drop(*[f"_p{i}" for i in range(n_splits)])
 
 
 TURNS = 16
@@ -234,39 +233,70 @@ def spread_holdout(stations: DataFrame, count: int, key="station_id", mean_lat=N
 
 
 def spread_folds(stations: DataFrame, n_splits: int, key="station_id") -> DataFrame:
-    """Farthest-point order; each station joins the smallest fold it is farthest from.
-
-    The distances to the ordered set and to every fold are columns of the station
-    table. The driver keeps the fold sizes and the current front.
+    """Farthest-point order; each station joins the smallest fold it is farthest from. Keys must be numbers, each once.
+
+    Stations of equal coordinates share their distances to the ordered set and to every fold, which are columns of a
+    table of places. Distances only shrink, so a row of a front that still comes before the front's last row comes
+    before every row outside it: one job settles many places. Once no place has a distance left, the other stations
+    follow by key, a front a job, and only the first of a place in a fold changes a distance. When no place has a
+    distance to any fold, the rest take the folds in turn by rank, without the driver, which never holds more than
+    the fold sizes and a front.
     """
     p = _scaled(stations, key)
+    at = p.groupBy("_y", "_x").agg(F.min(key).alias(key))
     c = p.agg(F.avg("_y").alias("_y"), F.avg("_x").alias("_x")).first()
     first = _farthest(p, _d2(c), key)
-    far = float("inf")
+    if first is None:
+        return p.select(key, F.lit(0).alias("fold")).limit(0)
+    far, spark = float("inf"), stations.sparkSession
     # The seed has no predecessor: an infinite distance puts it at the head of the front.
-    state = p.withColumn("_d", F.when(F.col(key) == first[key], F.lit(far)).otherwise(_d2(first)))
-    state = cut_lineage(state.withColumn("_f", F.array(*[F.lit(far)] * n_splits)).withColumn("fold", F.lit(None).cast("int")))
-    sizes = [0] * n_splits
-
-    def assign(pick, others):
-        low = min(sizes)
-        fold = max((i for i in range(n_splits) if sizes[i] == low), key=lambda i: (pick["_f"][i], -i))
-        sizes[fold] += 1
-        pick["fold"] = fold
-        for r in others:
-            d = _between(r, pick)
-            r["_f"] = [min(x, d) if i == fold else x for i, x in enumerate(r["_f"])]
-
+    state = at.withColumn("_d", F.when(F.col(key) == first[key], F.lit(far)).otherwise(_d2(first)))
+    state = cut_lineage(state.withColumn("_f", F.array(*[F.lit(far)] * n_splits)))
+    sizes, parts, out = [0] * n_splits, [], f"{key} {dict(p.dtypes)[key]}, fold int"
+    rest = p
     while True:
-        rows, bound = _front(state.where("fold is null"), key, ("_f",))
-        new = _picks(rows, bound, key, FRONT, assign)
-        if not new:
-            return state.select(key, "fold")
-        near = [F.least(F.get("_f", F.lit(i)), *[_d2(r) for r in new if r["fold"] == i]) if any(r["fold"] == i for r in new) else F.get("_f", F.lit(i)) for i in range(n_splits)]
-        placed = F.col("fold")
-        for r in new:
-            placed = F.when(F.col(key) == r[key], F.lit(r["fold"])).otherwise(placed)
-        state = cut_lineage(state.select(key, "_y", "_x", F.least("_d", *[_d2(r) for r in new]).alias("_d"), F.array(*near).alias("_f"), placed.alias("fold")))
+        front, last = _front(state.where("_d > 0"), key)
+        open_, picks, d = np.ones(len(front[key]), bool), [], front["_d"]
+        while open_.any():
+            i = int(np.argmax(np.where(open_, d, -1.0)))
+            if d[i] <= 0 or (picks and last and (-d[i], front[key][i]) > (-last[0], last[1])):
+                break
+            fold = _smallest(sizes, front["_f"][i])
+            near, open_[i] = _apart(front, i), False
+            d = np.minimum(d, near)
+            front["_f"][:, fold] = np.minimum(front["_f"][:, fold], near)
+            picks.append((front[key][i].item(), fold, front["_y"][i].item(), front["_x"][i].item()))
+        if not picks:
+            break
+        parts.append(cut_lineage(spark.createDataFrame([x[:2] for x in picks], out)))
+        # A picked place is at distance zero from itself and leaves the front.
+        state = cut_lineage(_nearer(state, [(y, x, fold) for _, fold, y, x in picks], n_splits))
+    placed = parts[0]
+    for x in parts[1:]:
+        placed = placed.unionByName(x)
+    rest = cut_lineage(rest.join(placed, key, "left_anti"))
+    while True:
+        if state.where(F.array_max("_f") > 0).join(rest, ["_y", "_x"], "left_semi").isEmpty():
+            break
+        rows = rest.join(state.select("_y", "_x", "_f"), ["_y", "_x"]).orderBy(key).limit(FRONT).collect()
+        spots = sorted({(r["_y"], r["_x"], *r["_f"]) for r in rows})
+        front = {"_y": np.array([s[0] for s in spots]), "_x": np.array([s[1] for s in spots]), "_f": np.array([s[2:] for s in spots])}
+        where, picks, folds = {s[:2]: i for i, s in enumerate(spots)}, [], []
+        for r in rows:
+            i = where[r["_y"], r["_x"]]
+            fold = _smallest(sizes, front["_f"][i])
+            folds.append((r[key], fold))
+            if front["_f"][i, fold] > 0:
+                front["_f"][:, fold] = np.minimum(front["_f"][:, fold], _apart(front, i))
+                picks.append((r["_y"], r["_x"], fold))
+        placed = placed.unionByName(cut_lineage(spark.createDataFrame(folds, out)))
+        rest = rest.where(F.col(key) > rows[-1][key])
+        state = cut_lineage(_nearer(state, picks, n_splits)) if picks else state
+    low = [i for i in range(n_splits) if sizes[i] == min(sizes)]
+    turn = F.col("_r") - 1 - len(low)
+    fold = F.when(turn < 0, F.get(F.array(*[F.lit(i) for i in low]), (F.col("_r") - 1).cast("int"))).otherwise(F.pmod(turn, F.lit(n_splits))).cast("int")
+    r = O.ordinal_rank(rest.select(key, F.lit(0.0).alias("_v"), F.floor(F.col(key) / FRONT).alias("_t")), "_v", "_t", key, "_r")
+    return placed.unionByName(r.select(key, fold.alias("fold")))
 
 
 def supported_holdout(stations: DataFrame, count: int, radius_km=75.0, max_gap_deg=200.0, neighbours=6, key="station_id", fewer=False) -> list:

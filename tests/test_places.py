@@ -56,3 +56,31 @@ def test_totals_on_a_step(spark, tmp_path):
     many = [(u, day + 1, "view", v) for u in range(3) for day, v in enumerate(orders[u])] + [(u, day + 1, "click", v) for u in range(3, 6) for day, v in enumerate((0.1, 0.2, 39.7) if u % 2 else (39.7, 0.2, 0.1))]
     sf = events(spark, tmp_path, many)
     assert [(r.runs, r.n) for r in decisions.win12b(spark, sf).collect()] == [("0=1=2=3=4=5", 6)]
+
+
+def test_folds_of_a_crowded_network_take_few_passes(spark, monkeypatch):
+    """Stations of one place tie at distance zero: they must not cost a pass each."""
+    ids = [3 * (k * 7919 % 400) + 1 for k in range(400)]
+    at = {s: (20 + s % 5, 88 + s % 3 * 1.5) for s in ids}
+    order, folds, sizes = [], {}, [0] * 4
+    y, x = np.array([at[s][0] for s in sorted(ids)], float), np.array([at[s][1] for s in sorted(ids)]) * np.cos(np.radians(np.mean([at[s][0] for s in ids])))
+    apart = lambda a, b: np.floor(((y - a) ** 2 + (x - b) ** 2) * 1e9 + 0.5) / 1e9
+    i = int(np.argmax(apart(y.mean(), x.mean())))
+    d, f = apart(y[i], x[i]), np.full((400, 4), np.inf)
+    d[i] = np.inf
+    for _ in ids:
+        i = int(np.argmax(d))
+        g = max((j for j in range(4) if sizes[j] == min(sizes)), key=lambda j: (f[i, j], -j))
+        sizes[g], folds[sorted(ids)[i]], here = sizes[g] + 1, g, apart(y[i], x[i])
+        order.append(i)
+        d, f[:, g] = np.minimum(d, here), np.minimum(f[:, g], here)
+        d[order] = -1
+    passes = []
+    cut = SE.cut_lineage
+    monkeypatch.setattr(SE, "cut_lineage", lambda df: passes.append(1) or cut(df))
+    for front in (SE.FRONT, 64):
+        passes.clear()
+        monkeypatch.setattr(SE, "FRONT", front)
+        got = SE.spread_folds(spark.createDataFrame([(s, *map(float, at[s])) for s in ids], "station_id bigint, lat double, lon double"), 4)
+        assert {r.station_id: r.fold for r in got.collect()} == folds
+        assert len(passes) <= 20
