@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rainloom.functions import draws as D, ensemble as EN, scalar as S
+from rainloom.functions import draws as D, ensemble as EN, order as O, scalar as S
 from rainloom.operators import temporal as T
 from rainloom.operators.checks import guard
 
@@ -62,6 +62,27 @@ def sample_bootstrap(df: DataFrame, keys, value: str, id_col: str, replicates: i
     return out.withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
+STRIDE = 256
+
+
+def position_bootstrap(df: DataFrame, keys, value: str, id_col: str, replicates: int, seed: int, levels=(2.5, 97.5)) -> DataFrame:
+    """Paired i.i.d. bootstrap of a mean: every replicate draws n positions with replacement.
+
+    Positions follow (id modulo STRIDE, id). Draws are made from the sample rows themselves, so the work is spread
+    like the samples, and equal draws collapse to counts before the join.
+    """
+    k = list(keys)
+    d = df.where(F.col(value).isNotNull()).select(*k, F.col(id_col).alias("_i"), F.col(value).cast("double").alias("_y"))
+    d = d.withColumn("_s", (F.col("_i") % STRIDE).cast("double")).withColumn("_t", F.floor(F.col("_i") / STRIDE ** 2))
+    d = O.ordinal_rank(d, "_s", "_t", "_i", "_pos", k).select(*k, (F.col("_pos") - 1).alias("_pos"), "_y")
+    n = d.groupBy(*k).agg(F.count("*").alias("n"), F.avg("_y").alias("mean"))
+    r = d.select(*k, F.col("_pos").alias("_i")).join(n.select(*k, "n"), k).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    r = r.withColumn("_pos", D.draw_below(F.col("n"), seed, *k, "rep", "_i")).groupBy(*k, "rep", "_pos").agg(F.count("*").alias("_m"))
+    est = r.join(d, [*k, "_pos"]).groupBy(*k, "rep").agg((F.sum(F.col("_y") * F.col("_m")) / F.sum("_m")).alias("e"))
+    ci = est.groupBy(*k).agg(F.percentile("e", levels[0] / 100).alias("ci_low"), F.percentile("e", levels[1] / 100).alias("ci_high"))
+    return n.join(ci, k).withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
+
+
 def paired_crps(df: DataFrame, first: str, second: str, keys=("date", "station_id"), method="method", members="members", truth="truth", tolerance=1e-5, extra=()) -> DataFrame:
     """Per-sample CRPS difference of two methods; a different truth stops the job."""
     def side(name, c):

@@ -317,12 +317,9 @@ dd as (select 'combined-background' as contrast, a.date, a.station_id, a.fold, a
  union all select 'combined-gauges', a.date, a.station_id, a.fold, a.c-b.c from cr a join cr b on a.date=b.date and a.station_id=b.station_id and a.method='combined' and b.method='gauges')"""
 
 
-POISSON_SQL = "[" + ",".join(f"{p!r}e0" for p in B.POISSON) + "]"
-
-
 @query("boo04_sample_bootstrap", sql("fx_methods", f"""with {PAIRC}, s as (select contrast, d, (datediff('day', date '2024-05-01', date)+station_id*50) as id from dd),
-w as (select contrast, rep, d, len([p for p in {POISSON_SQL} if p <= {sdraw("'4'", "contrast", "rep", "id")}/281474976710656e0]) as w from s, (select unnest(range(50)) as rep)),
-e as (select contrast, rep, sum(d*w)/nullif(sum(w),0) as e from w group by 1,2),
+ix as (select *, row_number() over (partition by contrast order by id%256, id)-1 as pos, count(*) over (partition by contrast) as n from s),
+r as (select contrast, rep, {sdraw("'4'", "contrast", "rep", "pos")}%n as p from ix, (select unnest(range(50)) as rep)), e as (select r.contrast, rep, avg(d) as e from r join ix on ix.contrast=r.contrast and ix.pos=r.p group by 1,2),
 c as (select contrast, quantile_cont(e,0.025) as lo, quantile_cont(e,0.975) as hi from e group by 1), m as (select contrast, count(*) as n, avg(d) as mean from s group by 1)
 select m.contrast, n, {q6("mean","mean")}, {q6("lo","ci_low")}, {q6("hi","ci_high")}, (lo>0 or hi<0) as significant from m join c on c.contrast=m.contrast"""))
 def boo04(spark, sf):
@@ -332,7 +329,7 @@ def boo04(spark, sf):
         x = B.paired_crps(m, "combined", other).withColumn("contrast", F.lit(f"combined-{other}"))
         d = x if d is None else d.unionByName(x)
     d = d.withColumn("id", F.datediff("date", F.lit("2024-05-01").cast("date")) + F.col("station_id") * 50)
-    return report(B.sample_bootstrap(d, ["contrast"], "diff", "id", 50, 4))
+    return report(B.position_bootstrap(d, ["contrast"], "diff", "id", 50, 4))
 
 
 @query("boo05_daily_contrasts", sql("fx_methods", f"with {PAIRC} select contrast, date, {q6('sum(d)','num')}, count(d) as den from dd group by 1,2"))

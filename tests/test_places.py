@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rainloom.operators import checks as C, joins as J, select as SE, stats as ST
+from rainloom.operators import checks as C, joins as J, resample as B, select as SE, stats as ST
 from rainloom.plans import decisions, views as V
 
 
@@ -84,3 +84,16 @@ def test_folds_of_a_crowded_network_take_few_passes(spark, monkeypatch):
         got = SE.spread_folds(spark.createDataFrame([(s, *map(float, at[s])) for s in ids], "station_id bigint, lat double, lon double"), 4)
         assert {r.station_id: r.fold for r in got.collect()} == folds
         assert len(passes) <= 20
+
+
+def test_positions_are_drawn_with_replacement(spark):
+    """Every replicate draws as many positions as there are samples, in the order of (id modulo 256, id)."""
+    import hashlib
+    ids = [k * 37 % 1009 for k in range(600)]
+    d = spark.createDataFrame([("c", k, float(k % 7)) for k in ids] + [("e", 1, None)], "k string, id bigint, v double")
+    r = B.position_bootstrap(d.repartition(5), ["k"], "v", "id", 40, 3).collect()
+    v = np.array([k % 7 for k in sorted(ids, key=lambda k: (k % 256, k))], float)
+    e = [np.mean([v[int(hashlib.md5(f"3:c:{rep}:{i}".encode()).hexdigest()[:12], 16) % 600] for i in range(600)]) for rep in range(40)]
+    assert [x.k for x in r] == ["c"] and r[0].n == 600 and r[0]["mean"] == pytest.approx(v.mean())
+    assert (r[0].ci_low, r[0].ci_high) == pytest.approx((np.quantile(e, .025), np.quantile(e, .975)), rel=1e-12)
+    assert "ix.pos=r.p" in decisions.query.__globals__["ORACLES"]["boo04_sample_bootstrap"]
