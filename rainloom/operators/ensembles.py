@@ -141,13 +141,16 @@ def fit_recalibration(df: DataFrame, n_q=21, keys=(), members="members", truth="
 
 def recalibrate(members, empirical: Column, nominal: Column) -> Column:
     """Remap member levels and pick the sorted member at the half-even rounded index."""
-    m = F.array_sort(S.col(members))
-    n = F.size(m)
-
-    def pick(_x, k):
-        new = B.interpolate((k + 0.5) / n, empirical, nominal)
-        return F.get(m, F.least(F.greatest(F.bround(new * n - 0.5).cast("int"), F.lit(0)), n - 1))
-    return F.transform(m, pick)
+    def once(value: Column, use) -> Column:
+        # An argument of a lambda is worked out once, an expression at each of its uses.
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def picked(m):
+        n = F.size(m)
+        def place(_x, k):
+            return F.bround(B.interpolate((k + 0.5) / n, empirical, nominal) * n - 0.5).cast("int")
+        return once(F.transform(m, place), lambda at: F.transform(at, lambda i: F.get(m, F.least(F.greatest(i, F.lit(0)), n - 1))))
+    return once(F.array_sort(S.col(members)), picked)
 
 
 def threshold_probability(df: DataFrame, thresholds, keys=(), members="members", truth="truth") -> DataFrame:

@@ -158,7 +158,8 @@ select sample_id, {q6("list_avg([list_sort(members)[i] for i in ii])","mean")},
 def ver19b(spark, sf):
     f = E.fit_recalibration(V.ens(spark, sf), 11).select(F.struct("empirical", "nominal").alias("c")).scalar()
     d = V.ens(spark, sf).withColumn("_c", f)
-    d = d.withColumn("m", E.recalibrate("members", F.col("_c.empirical"), F.col("_c.nominal")))
+    # Exploded, so that the members are remapped once and not at each use of them.
+    d = d.select("sample_id", F.explode(F.array(E.recalibrate("members", F.col("_c.empirical"), F.col("_c.nominal")))).alias("m"))
     return d.select("sample_id", R(EN.mean("m")).alias("mean"), R(F.array_max("m")).alias("top"))
 
 

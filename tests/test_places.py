@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rainloom.operators import checks as C, joins as J, resample as B, select as SE, stats as ST
+from rainloom.operators import checks as C, ensembles as E, joins as J, resample as B, select as SE, stats as ST, verify as X
 from rainloom.plans import decisions, views as V
 
 
@@ -97,3 +97,16 @@ def test_positions_are_drawn_with_replacement(spark):
     assert [x.k for x in r] == ["c"] and r[0].n == 600 and r[0]["mean"] == pytest.approx(v.mean())
     assert (r[0].ci_low, r[0].ci_high) == pytest.approx((np.quantile(e, .025), np.quantile(e, .975)), rel=1e-12)
     assert "ix.pos=r.p" in decisions.query.__globals__["ORACLES"]["boo04_sample_bootstrap"]
+
+
+def test_members_are_sorted_once_for_all_their_levels(spark):
+    """Ensembles of different sizes are remapped by level; the sorted members are not worked out anew for each."""
+    rows = [(0, [4.0, 1.0, 3.0, 2.0]), (1, [9.0, 7.0]), (2, [5.0]), (3, None)]
+    knots = [F.array(*[F.lit(v) for v in x]) for x in ([0.0, 0.5, 1.0], [0.0, 0.25, 1.0])]
+    d = spark.createDataFrame(rows, "k int, members array<double>").select("k", E.recalibrate("members", *knots).alias("m"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("array_sort") <= 1
+
+    def plain(m):
+        at = [round(float(np.interp((k + .5) / len(m), [0, .5, 1], [0, .25, 1])) * len(m) - .5) for k in range(len(m))]
+        return [sorted(m)[min(max(i, 0), len(m) - 1)] for i in at]
+    assert {r.k: r.m for r in d.collect()} == {k: m and plain(m) for k, m in rows}
