@@ -354,25 +354,34 @@ def alignment_label(temporal: DataFrame, spatial: DataFrame, gain=0.05) -> DataF
 def idw(assimilated: DataFrame, withheld: DataFrame, stations: DataFrame, value: str, power=2.0, key="station_id", date="date", block: int = 1024) -> DataFrame:
     """Inverse-distance prediction at every withheld station for every date of the gauges, from all gauges with a value that day.
 
-    Distances are planar degrees, longitudes scaled by the cosine of the mean latitude of `stations`. The gauges of a
-    day are dealt into chunks and the withheld stations into blocks of about `block` rows, as many as the tables ask
-    for; a chunk and a block meet on (date, chunk, block), so tasks grow with days and stations and no key with the
-    table. Weights are summed per station and date before the shuffle. A day without a value anywhere has a NULL
+    Distances are planar degrees, longitudes scaled by the cosine of the mean latitude of `stations`. Gauges of equal
+    coordinates travel as one place with the sum and count of their values of a day, and withheld stations of equal
+    coordinates share a prediction, so the pairs grow with the places, not with the stations. The gauge places of a
+    day are dealt into chunks and the withheld places into blocks of about `block` rows, as many as the tables ask
+    for; a chunk and a block meet on (date, chunk, block), so tasks grow with days and places and no key with the
+    table. Weights are summed per place and date before the shuffle. A day without a value anywhere has a NULL
     prediction and no gauges.
     """
     here = stations.select(F.col(key).alias("_s"), F.col("lat").cast("double").alias("_la"), F.col("lon").cast("double").alias("_lo"))
     shrink = stations.agg(F.cos(F.radians(F.avg("lat"))).alias("c")).scalar()
     many = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
-    days = cut_lineage(assimilated.groupBy(date).agg(many(F.count(value)).alias("_n")))
-    blocks = withheld.agg(many(F.count("*")).alias("n")).scalar()
-    g = assimilated.where(F.col(value).isNotNull()).select(F.col(key).alias("_s"), date, F.col(value).cast("double").alias("_v")).join(here, "_s").join(days, date)
-    g = g.withColumn("_c", F.pmod(F.xxhash64("_s"), "_n").cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1))).select(date, "_c", "_b", "_v", "_la", "_lo")
-    at = withheld.select(F.col(key), F.col("lat").alias("_y"), F.col("lon").alias("_x")).withColumn("_b", F.pmod(F.xxhash64(key), blocks).cast("int"))
-    at = at.withColumn("_d", F.explode(days.agg(F.collect_list(F.struct(date, "_n"))).scalar())).select(key, "_y", "_x", "_b", "_d.*")
+    g = assimilated.where(F.col(value).isNotNull()).select(F.col(key).alias("_s"), date, F.col(value).cast("double").alias("_v")).join(here, "_s")
+    g = cut_lineage(g.groupBy(date, "_la", "_lo").agg(F.sum("_v").alias("_v"), F.count("_v").alias("_m")))
+    days = assimilated.select(date).distinct().join(g.groupBy(date).agg(many(F.count("*")).alias("_n")), date, "left")
+    days = cut_lineage(days.select(date, F.coalesce("_n", F.lit(1)).alias("_n")))
+    own = withheld.select(F.col(key), F.col("lat").alias("_y"), F.col("lon").alias("_x"))
+    at = own.select("_y", "_x").distinct()
+    blocks = at.agg(many(F.count("*")).alias("n")).scalar()
+    g = g.join(days, date).withColumn("_c", F.pmod(F.xxhash64("_la", "_lo"), "_n").cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_n")
+    at = at.withColumn("_b", F.pmod(F.xxhash64("_y", "_x"), blocks).cast("int"))
+    at = at.withColumn("_d", F.explode(days.agg(F.collect_list(F.struct(date, "_n"))).scalar())).select("_y", "_x", "_b", "_d.*")
     at = at.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     d = F.sqrt(F.pow((F.col("_lo") - F.col("_x")) * shrink, 2) + F.pow(F.col("_la") - F.col("_y"), 2))
     w = F.when(F.col("_v").isNotNull(), F.pow(F.greatest(d, F.lit(1e-6)), F.lit(-power)))
-    return at.join(g, [date, "_c", "_b"], "left").groupBy(key, date).agg(S.ratio(F.sum(F.col("_v") * w), F.sum(w)).alias("idw"), F.count("_v").alias("n_gauges"))
+    out = at.join(g, [date, "_c", "_b"], "left").groupBy("_y", "_x", date).agg(
+        S.ratio(F.sum(F.col("_v") * w), F.sum(F.col("_m") * w)).alias("idw"), F.coalesce(F.sum("_m"), F.lit(0)).alias("n_gauges"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_y", "_x")]
+    return own.alias("a").join(out.alias("b"), same).select(f"a.{key}", date, "idw", "n_gauges")
 
 
 def scale_ladder(df: DataFrame, factors, area: Column | None = None, pred="pred", obs="obs", keys=("day",), group=()) -> DataFrame:
