@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.functions import ensemble as EN, order as O, scalar as S
 from rainloom.operators import joins as J
+from rainloom.operators.checks import guard
 from rainloom.session import cut_lineage
 
 WET_MM = 1.0
@@ -159,12 +160,16 @@ def physical_summary(df: DataFrame, value: str, keys=()) -> DataFrame:
 
 # ---- variograms -----------------------------------------------------------
 
-#: Stations of a block: two blocks of months meet in one task.
+#: Places of a block: two blocks of months meet in one task.
 BLOCK = 256
 
 
 def _block_sums(edges):
-    """Sums over all station pairs of two blocks in one month, by distance bin: squared differences, shared days, distances."""
+    """Sums over all station pairs of two blocks of places in one month, by distance bin: squared differences, shared days, distances.
+
+    A place has for each day the number of its values, their sum and the sum of their squares, which are all that the
+    squared differences between the stations of two places, or of one, ask for.
+    """
     def km(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         la, lb, oa, ob = (np.radians(x.to_numpy(float)) for x in (a["lat"], b["lat"], a["lon"], b["lon"]))
         h = np.sin((lb[None] - la[:, None]) / 2) ** 2 + np.cos(la)[:, None] * np.cos(lb)[None] * np.sin((ob[None] - oa[:, None]) / 2) ** 2
@@ -175,14 +180,15 @@ def _block_sums(edges):
         a, b = (t, t) if same else (t[t["p"] == t["block"]], t[t["q"] == t["block"]])
         if not len(a) or not len(b):
             return pd.DataFrame({"bin": pd.Series(dtype="int32"), "ss": pd.Series(dtype=float), "n": pd.Series(dtype="int64"), "sk": pd.Series(dtype=float)})
-        x, y = (np.stack(z["y"].to_numpy()).astype(float) for z in (a, b))
-        mx, my = (~np.isnan(z) * 1.0 for z in (x, y))
-        centre = np.nansum(x) / max(mx.sum(), 1.0)
-        x, y = (np.nan_to_num(z - centre) for z in (x, y))
-        n, ss, d = mx @ my.T, (x * x) @ my.T + mx @ (y * y).T - 2 * x @ y.T, km(a, b)
+        (na, xa, qa), (nb, xb, qb) = ([np.nan_to_num(np.stack(z[c].to_numpy()).astype(float)) for c in ("ns", "ys", "qs")] for z in (a, b))
+        n, ss, d = na @ nb.T, qa @ nb.T + na @ qb.T - 2 * xa @ xb.T, km(a, b)
+        if same:
+            # A place with itself: each pair of its stations once.
+            own = np.arange(len(a))
+            n[own, own], ss[own, own], d[own, own] = (na * (na - 1) / 2).sum(1), (na * qa - xa * xa).sum(1), 0.0
         bins = np.where(d < edges[-1], np.searchsorted(edges, d, side="right") - 1, -1)
         if same:
-            bins[np.tril_indices(len(a))] = -1
+            bins[np.tril_indices(len(a), -1)] = -1
         at = bins >= 0
         add = lambda w: np.bincount(bins[at], w[at], len(edges) - 1)
         return pd.DataFrame({"bin": np.arange(len(edges) - 1, dtype=np.int32), "ss": add(np.maximum(ss, 0)), "n": np.rint(add(n)).astype(np.int64), "sk": add(n * d)})
@@ -192,27 +198,38 @@ def _block_sums(edges):
 
 def empirical_variogram(obs: DataFrame, stations: DataFrame, edges, min_pairs=30, value="precip_mm", date="date",
                         key="station_id", block: int = BLOCK) -> DataFrame:
-    """Pair variogram pooled over days.
+    """Pair variogram pooled over days. A station with two rows of one day stops the job.
 
-    Stations are dealt into blocks: tiles as wide as the last edge, dense ones cut by hash into blocks of about
-    `block` stations. Blocks that hold a pair closer than the last edge meet once a month, where a matrix product
-    forms the sums of all their pairs. A station-month (its values by day of month) is shipped once for each such
-    block, and a task returns one row a bin.
+    Stations of equal coordinates travel as one place with the count, sum and sum of squares of its values of a day,
+    taken from the mean of all values; so the pairs grow with the places, not with the stations. Places are dealt into
+    blocks: tiles as wide as the last edge, dense ones cut by hash into blocks of about `block` places. All blocks of
+    tiles that hold a pair closer than the last edge meet once a month, where matrix products form the sums of all
+    their pairs. A place-month is shipped once for each such block, and a task returns one row a bin.
     """
     edges = [float(e) for e in edges]
     tile = edges[-1] / 111.0
-    b = stations.select(key, "lat", "lon", F.concat_ws(":", F.floor(F.col("lat") / tile), F.floor(F.col("lon") / tile)).alias("_t"))
-    n = b.groupBy("_t").agg(F.ceil(F.count("*") / block).alias("_n"))
-    b = cut_lineage(b.join(n, "_t").select(key, "lat", "lon", F.concat_ws(":", "_t", F.pmod(F.xxhash64(key), "_n")).alias("block")))
-    name = lambda k, out: b.select(F.col(key).alias(k), F.col("block").alias(out))
-    near = J.pairs_within(stations, edges[-1], key).select("a", "b").join(name("a", "p"), "a").join(name("b", "q"), "b")
+    at = J.places(stations, key, 1).select(F.get("_ids", F.lit(0)).alias("_p"), "lat", "lon")
+    at = cut_lineage(at.withColumn("_t", F.concat_ws(":", F.floor(F.col("lat") / tile), F.floor(F.col("lon") / tile))))
+    n = at.groupBy("_t").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    name = lambda i: F.concat_ws(":", "_t", i)
+    b = at.join(n, "_t").select("lat", "lon", name(F.pmod(F.xxhash64("_p"), "_n")).alias("block"))
+    tiles = J.neighbours_within(at, at, edges[-1], "_p").join(at.select(F.col("_p").alias("a"), F.col("_t").alias("_ta")), "a").join(at.select(F.col("_p").alias("b"), F.col("_t").alias("_tb")), "b")
+    tiles = tiles.select("_ta", "_tb").unionByName(n.select(F.col("_t").alias("_ta"), F.col("_t").alias("_tb"))).distinct()
+    blocks = n.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("_t", name("_i").alias("block"))
+    near = tiles.join(blocks.select(F.col("_t").alias("_ta"), F.col("block").alias("p")), "_ta").join(blocks.select(F.col("_t").alias("_tb"), F.col("block").alias("q")), "_tb")
     near = cut_lineage(near.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct())
     visits = near.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
 
-    s = obs.where(F.col(value).isNotNull()).groupBy(key, F.trunc(date, "month").alias("month")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.dayofmonth(date), F.col(value)))).alias("m"))
-    s = s.select(key, "month", F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.try_element_at("m", d)).alias("y"))
-    j = s.join(b, key).join(visits, "block").select("p", "q", "block", "month", "lat", "lon", "y")
+    o = obs.where(F.col(value).isNotNull())
+    twice = F.concat(F.lit("two values of one day: "), F.concat_ws(",", F.col(key).cast("string"), F.col(date).cast("string")))
+    o = o.groupBy(key, date).agg(F.first(value).cast("double").alias("_v"), F.count("*").alias("_c")).where(guard(F.col("_c") > 1, twice))
+    centred = F.col("_v") - F.coalesce(obs.agg(F.avg(value)).scalar(), F.lit(0.0))
+    o = o.withColumn("_v", centred).join(stations.select(key, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")), key)
+    s = o.groupBy("lat", "lon", date).agg(F.count("*").cast("double").alias("n"), F.sum("_v").alias("y"), F.sum(F.col("_v") * F.col("_v")).alias("q"))
+    s = s.groupBy("lat", "lon", F.trunc(date, "month").alias("month")).agg(F.map_from_entries(F.collect_list(F.struct(F.dayofmonth(date), F.struct("n", "y", "q")))).alias("m"))
+    days = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.try_element_at("m", d))
+    s = s.select("lat", "lon", "month", days.alias("z")).select("lat", "lon", "month", *[F.col(f"z.{c}").alias(f"{c}s") for c in "nyq"])
+    j = s.join(b, ["lat", "lon"]).join(visits, "block").select("p", "q", "block", "month", "lat", "lon", "ns", "ys", "qs")
     j = j.groupBy("p", "q", "month").applyInPandas(_block_sums(edges), "bin int, ss double, n long, sk double")
     g = j.groupBy("bin").agg(F.sum("ss").alias("ss"), F.sum("n").alias("n_pairs"), F.sum("sk").alias("sk"))
     mids = F.array(*[F.lit((a + b) / 2.0) for a, b in zip(edges[:-1], edges[1:])])

@@ -110,3 +110,42 @@ def test_members_are_sorted_once_for_all_their_levels(spark):
         at = [round(float(np.interp((k + .5) / len(m), [0, .5, 1], [0, .25, 1])) * len(m) - .5) for k in range(len(m))]
         return [sorted(m)[min(max(i, 0), len(m) - 1)] for i in at]
     assert {r.k: r.m for r in d.collect()} == {k: m and plain(m) for k, m in rows}
+
+
+def test_baseline_pairs_places_and_not_stations(spark):
+    """Gauges and withheld stations of one place meet once: with one row a chunk, six stations on two places give four meetings a day."""
+    s = stations(spark, [(20, 88), (20, 88), (20, 88), (21, 89), (20.5, 88), (20.5, 88)])
+    o = spark.createDataFrame([(i, 1, float(i + 1)) for i in range(4)] + [(0, 2, 8.0)], "station_id bigint, date int, precip_mm double")
+    r = X.idw(o, s.where("station_id > 3"), s, "precip_mm").collect()
+    c = math.cos(math.radians((3 * 20 + 21 + 2 * 20.5) / 6))
+    near, far = 1 / .25, 1 / (c * c + .25)
+    for k in (4, 5):
+        got = {x.date: (x.idw, x.n_gauges) for x in r if x.station_id == k}
+        assert got[1] == (pytest.approx((6 * near + 4 * far) / (3 * near + far)), 4) and got[2] == (pytest.approx(8.0), 1)
+    plan = X.idw(o, s.where("station_id > 3"), s, "precip_mm")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_m#" in plan
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_variogram_of_stations_that_share_places(spark, block):
+    rng = np.random.default_rng(8)
+    at = [(22 + k % 4 * .3, 89 + k % 3 * .4) for k in range(40)]
+    v = {(k, d): float(rng.gamma(1, 9)) for k in range(40) for d in (1, 2, 3) if rng.random() < .8}
+    o = spark.createDataFrame([(k, f"2024-01-0{d}", x) for (k, d), x in v.items()] + [(0, "2024-01-09", None)], "station_id bigint, t string, precip_mm double").select("station_id", F.to_date("t").alias("date"), "precip_mm")
+    edges, ss, n = [0.0, 20.0, 60.0, 100.0], np.zeros(3), np.zeros(3, int)
+    for i in range(40):
+        for j in range(i):
+            (la, lo), (lb, lp) = (map(math.radians, at[k]) for k in (i, j))
+            km = 2 * 6371.0 * math.asin(math.sqrt(math.sin((la - lb) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lo - lp) / 2) ** 2))
+            for d in (1, 2, 3):
+                if km < 100 and (i, d) in v and (j, d) in v:
+                    b = int(np.searchsorted(edges, km, side="right")) - 1
+                    ss[b], n[b] = ss[b] + (v[i, d] - v[j, d]) ** 2, n[b] + 1
+    run = ST._block_sums(edges)
+    got = {r.bin: r for r in ST.empirical_variogram(o, stations(spark, at), edges, block=block).collect()}
+    assert {b: r.n_pairs for b, r in got.items()} == {b: int(x) for b, x in enumerate(n)}
+    assert all(got[b].gamma == pytest.approx(ss[b] / n[b] / 2, rel=1e-9) for b in range(3))
+    one = {c: [np.full(31, x)] for c, x in (("ns", 5.0), ("ys", 0.0), ("qs", 2.0))}
+    import pandas as pd
+    own = run(pd.DataFrame({"p": ["a"], "q": ["a"], "block": ["a"], "lat": [22.0], "lon": [89.0], **one}))
+    assert own["n"].tolist() == [310, 0, 0]
