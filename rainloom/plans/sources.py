@@ -96,8 +96,9 @@ select date, count(*) filter (where n is null) as missing, count(*) filter (wher
 def src05(spark, sf):
     e = table(spark, sf, "events")
     t0 = F.date_trunc("hour", "ts").cast("timestamp_ntz") + F.make_dt_interval(mins=F.when(F.minute("ts") >= 30, 30).otherwise(0))
-    end = F.when(F.col("event_id") % 50 == 0, "5900").otherwise(F.when(F.minute("ts") >= 30, "5959").otherwise("2959"))
-    f = e.select(F.concat(F.lit("sat."), F.date_format("ts", "yyyyMMdd"), F.lit("-S"), F.date_format(t0, "HHmmss"), F.lit("-E"), F.date_format(t0, "HH"), end, F.lit("."), "event_type").alias("file")).distinct()
+    e = e.select(t0.alias("t"), (F.col("event_id") % 50 == 0).alias("bad"), "event_type").distinct()
+    end = F.when(F.col("bad"), "5900").otherwise(F.when(F.minute("t") >= 30, "5959").otherwise("2959"))
+    f = e.select(F.concat(F.lit("sat."), F.date_format("t", "yyyyMMdd"), F.lit("-S"), F.date_format("t", "HHmmss"), F.lit("-E"), F.date_format("t", "HH"), end, F.lit("."), "event_type").alias("file")).distinct()
     s = GN.half_hour_inventory(f, F.lit("2024-01-02").cast("date"), F.lit("2024-01-30").cast("date"))
     return GN.window_status(s)
 

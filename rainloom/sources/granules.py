@@ -22,7 +22,7 @@ def list_files(spark: SparkSession, folder: str, pattern="*") -> DataFrame:
 
 def daily_inventory(files: DataFrame, start: Column, end: Column, name="file") -> DataFrame:
     """One row per requested day with its file count and whether it is usable."""
-    d = files.withColumn("day", F.try_to_date(F.regexp_extract(name, DAILY_NAME, 1), "yyyyMMdd")).where("day is not null")
+    d = files.withColumn("day", F.explode(F.array(F.try_to_date(F.regexp_extract(name, DAILY_NAME, 1), "yyyyMMdd")))).where("day is not null")
     c = d.groupBy("day").agg(F.count("*").alias("files"), F.min(name).alias("file"))
     spine = files.sparkSession.range(1).select(F.explode(F.sequence(start, end)).alias("day"))
     n = F.coalesce(F.col("files"), F.lit(0))
@@ -43,7 +43,8 @@ def half_hour_start(name="file") -> Column:
 
 def half_hour_inventory(files: DataFrame, start: Column, end: Column, hour: int = 3, name="file") -> DataFrame:
     """48 slots per reporting day D from [D-1 hour, D hour) with their file counts."""
-    f = files.withColumn("slot", half_hour_start(name)).where("slot is not null").groupBy("slot").agg(F.count("*").alias("files"))
+    # Behind explode a name is parsed once, after any distinct of the caller: a filter on the slot would be moved in front of it, into every row.
+    f = files.withColumn("slot", F.explode(F.array(half_hour_start(name)))).where("slot is not null").groupBy("slot").agg(F.count("*").alias("files"))
     days = files.sparkSession.range(1).select(F.explode(F.sequence(start, end)).alias("date"))
     t0 = F.date_add("date", -1).cast("timestamp_ntz") + F.expr(f"interval {hour} hours")
     slots = days.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(47)))).withColumn("slot", t0 + F.make_dt_interval(mins=F.col("k") * 30))
