@@ -83,35 +83,56 @@ def match_by_set(a: DataFrame, b: DataFrame, label: str, member: str) -> DataFra
 
 # ---- points on a lattice --------------------------------------------------
 
-def corners(points: DataFrame, lattice: Lattice, clamp: bool = False) -> DataFrame:
-    """Four weighted cell keys per point."""
+FOUR = [(dy, dx) for dy in (0, 1) for dx in (0, 1)]
+
+
+def _around(points: DataFrame, lattice: Lattice, clamp: bool) -> DataFrame:
+    """The first (_fy, _fx) of the four cells around each point, and the weights _w0 to _w3 of the cells in the order of FOUR."""
     row, column = lattice.row("lat"), lattice.column("lon")
     if clamp:
         row, column = S.clip(row, 0.0, lattice.nlat - 1.0), S.clip(column, 0.0, lattice.nlon - 1.0)
     p = points.withColumn("_y", row).withColumn("_x", column)
     fy, fx = F.floor("_y").cast("int"), F.floor("_x").cast("int")
     wy, wx = F.col("_y") - fy, F.col("_x") - fx
-    four = F.array(*[
-        F.struct((fy + dy).alias("iy"), (fx + dx).alias("ix"),
-                 ((wy if dy else 1 - wy) * (wx if dx else 1 - wx)).alias("w"))
-        for dy in (0, 1) for dx in (0, 1)])
-    return p.withColumn("_c", F.explode(four)).select(*points.columns, "_c.*")
+    return p.select(*points.columns, fy.alias("_fy"), fx.alias("_fx"), *[
+        ((wy if dy else 1 - wy) * (wx if dx else 1 - wx)).alias(f"_w{k}") for k, (dy, dx) in enumerate(FOUR)])
+
+
+def corners(points: DataFrame, lattice: Lattice, clamp: bool = False) -> DataFrame:
+    """Four weighted cell keys per point."""
+    four = F.array(*[F.struct((F.col("_fy") + dy).alias("iy"), (F.col("_fx") + dx).alias("ix"), F.col(f"_w{k}").alias("w")) for k, (dy, dx) in enumerate(FOUR)])
+    return _around(points, lattice, clamp).withColumn("_c", F.explode(four)).select(*points.columns, "_c.*")
+
+
+def _with_cells(field: DataFrame, keys, points: DataFrame, point_key, lattice: Lattice, clamp: bool, cells) -> DataFrame:
+    """Each point with the four cells around it on each key of the field, in one row.
+
+    The four cells of a square of the lattice are gathered once for all points in it, so what is grouped follows the
+    field; the points only look them up. cells: the columns of corner k, from a function of the condition that a row is that corner.
+    """
+    squares = F.explode(F.array(*[F.struct((F.col("iy") - dy).alias("_fy"), (F.col("ix") - dx).alias("_fx"), F.lit(k).alias("_k")) for k, (dy, dx) in enumerate(FOUR)]))
+    near = field.withColumn("_c", squares).select("*", "_c.*").groupBy("_fy", "_fx", *keys).agg(*[c for k in range(4) for c in cells(k, F.col("_k") == k)])
+    shares = int(field.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = _around(points.select(point_key, "lat", "lon"), lattice, clamp).drop("lat", "lon")
+    # A row of a point makes a row of each key: few small points must not end up in one task.
+    return at.repartition(shares, point_key).join(near, ["_fy", "_fx"])
 
 
 def bilinear_sample(field: DataFrame, points: DataFrame, lattice: Lattice, value: str = "value",
                     keys=("day",), point_key: str = "station_id", missing: str = "renormalise") -> DataFrame:
-    """Sample a long field at points; one equi join on (iy, ix) and one aggregation.
+    """Sample a long field at points; one equi join on the square of four cells around a point, no grouping of points.
 
     missing: 'zero' counts absent cells as zero, 'renormalise' divides by the weight
     present (edge clamped), 'strict' needs the full weight inside the domain.
     """
     if missing not in ("zero", "renormalise", "strict"):
         raise ValueError(f"unknown missing rule {missing!r}")
-    c = corners(points.select(point_key, "lat", "lon"), lattice, clamp=missing == "renormalise")
     v = F.col(value)
-    j = field.select(*keys, "iy", "ix", v).join(c, ["iy", "ix"])
-    g = j.groupBy(point_key, *keys).agg(
-        F.sum(F.when(v.isNotNull(), v * F.col("w"))).alias("_s"), F.sum(F.when(v.isNotNull(), F.col("w"))).alias("_w"))
+    g = _with_cells(field.select(*keys, "iy", "ix", v), keys, points, point_key, lattice, missing == "renormalise", lambda k, here: [
+        F.sum(F.when(here, v)).alias(f"_v{k}"), F.count(F.when(here, v)).alias(f"_n{k}")])
+    known = sum((F.col(f"_n{k}") for k in range(1, 4)), F.col("_n0")) > 0
+    total = lambda c: F.when(known, sum((c(k) for k in range(1, 4)), c(0)))
+    g = g.withColumn("_s", total(lambda k: F.coalesce(F.col(f"_v{k}") * F.col(f"_w{k}"), F.lit(0.0)))).withColumn("_w", total(lambda k: F.col(f"_n{k}") * F.col(f"_w{k}")))
     if missing == "zero":
         out = F.coalesce(F.col("_s"), F.lit(0.0))
     elif missing == "renormalise":
@@ -123,14 +144,19 @@ def bilinear_sample(field: DataFrame, points: DataFrame, lattice: Lattice, value
 
 def bilinear_members(field: DataFrame, points: DataFrame, lattice: Lattice, members: str = "members",
                      keys=("day",), point_key: str = "station_id", clamp: bool = False) -> DataFrame:
-    """Sample every member; a group has at most four weighted arrays, added by position, so rows do not follow the ensemble's size.
+    """Sample every member; the four weighted arrays of a point are added by position, so rows do not follow the ensemble's size.
 
     clamp: a point beyond the outermost centres reads the border, else the corners it lacks count as zero.
     """
-    c = corners(points.select(point_key, "lat", "lon"), lattice, clamp)
-    j = field.select(*keys, "iy", "ix", members).join(c.where("w > 0") if clamp else c, ["iy", "ix"])
-    parts = F.collect_list(F.transform(members, lambda v: v * F.col("w")))
-    return j.groupBy(point_key, *keys).agg(parts.alias("_parts")).select(point_key, *keys, EN.added("_parts").alias(members))
+    m = F.col(members)
+    g = _with_cells(field.select(*keys, "iy", "ix", m), keys, points, point_key, lattice, clamp, lambda k, here: [
+        EN.added(F.collect_list(F.when(here, m))).alias(f"_m{k}"), F.count(F.when(here, 1)).alias(f"_n{k}")])
+    read = [(F.col(f"_w{k}") > 0) & (F.col(f"_n{k}") > 0) if clamp else F.col(f"_n{k}") > 0 for k in range(4)]
+    part = lambda k: F.when(read[k], F.transform(f"_m{k}", lambda v: v * F.col(f"_w{k}")))
+    parts = F.filter(F.array(*[part(k) for k in range(4)]), lambda p: p.isNotNull())
+    if clamp:
+        g = g.where(read[0] | read[1] | read[2] | read[3])
+    return g.withColumn("_parts", parts).select(point_key, *keys, EN.added("_parts").alias(members))
 
 
 def nearest_cell(points: DataFrame, lattice: Lattice) -> DataFrame:
