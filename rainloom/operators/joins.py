@@ -207,19 +207,25 @@ def uncrowded(places: DataFrame, widest: float) -> float:
     return steps[n.agg(F.coalesce(F.min(F.when(F.col("n") <= CROWD, F.col("j"))), F.lit(FINEST))).first()[0]]
 
 
-def pairs_within(points: DataFrame, max_km: float, key: str = "station_id") -> DataFrame:
+def pairs_within(points: DataFrame, max_km: float, key: str = "station_id", block: int = 256) -> DataFrame:
     """Unordered point pairs no farther than max_km: a < b, km.
 
-    Places meet on grid buckets, so a distance is worked out once for a pair of places; pairs of points
-    follow by joining the points of either place, in chunks.
+    Places meet on grid buckets, so a distance is worked out once for a pair of places. The points of a place travel in
+    lists of about `block`; each list of one place meets each of the other, and only that row is unfolded into pairs.
     """
+    shares = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = points.select(F.col(key).alias("_k"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
     at = cut_lineage(places(points, key, 1).select(F.get("_ids", F.lit(0)).alias("_p"), "lat", "lon"))
     of = cut_lineage(d.join(at, ["lat", "lon"]).select("_p", "_k"))
+    n = of.groupBy("_p").agg(F.ceil(F.count("*") / block).alias("_n"))
+    lists = cut_lineage(of.join(n, "_p").groupBy("_p", F.pmod(F.xxhash64("_k"), F.col("_n")).alias("_c")).agg(F.collect_list("_k").alias("_l")))
     met = neighbours_within(at, at, max_km, "_p").where(F.col("a") < F.col("b")).select(F.col("a").alias("_p"), F.col("b").alias("_q"), "km")
-    met = cut_lineage(met.unionByName(at.where(F.lit(max_km >= 0)).select("_p", F.col("_p").alias("_q"), F.lit(0.0).alias("km"))))
-    half = blocked_join(met, of.withColumnRenamed("_k", "_a"), "_p", ["_q"], ["_a"])
-    both = blocked_join(half, of.select(F.col("_p").alias("_q"), F.col("_k").alias("_b")), "_q", ["_p", "_a"], ["_b"])
+    met = met.unionByName(at.where(F.lit(max_km >= 0)).select("_p", F.col("_p").alias("_q"), F.lit(0.0).alias("km")))
+    # A row of two places makes a row of each pair of their points: dealt evenly, whatever the sizes of the buckets.
+    met = cut_lineage(met).repartition(shares, "_p", "_q")
+    half = blocked_join(met, lists.select("_p", F.col("_c").alias("_ca"), F.col("_l").alias("_la")), "_p", ["_q"], ["_ca"])
+    both = blocked_join(half, lists.select(F.col("_p").alias("_q"), F.col("_c").alias("_cb"), F.col("_l").alias("_lb")), "_q", ["_p", "_ca"], ["_cb"])
+    both = both.withColumn("_a", F.explode("_la")).withColumn("_b", F.explode("_lb"))
     both = both.where((F.col("_p") != F.col("_q")) | (F.col("_a") < F.col("_b")))
     return both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "km")
 
