@@ -166,10 +166,10 @@ def stuck_runs(df: DataFrame, key="station_id", value="precip_mm", date="date",
     w = W.partitionBy(key).orderBy(date)
     v = F.col(value)
     same = F.coalesce((v == F.lag(v).over(w)) & (v > 0), F.lit(False))
-    d = df.withColumn("_brk", F.when(same, 0).otherwise(1))
-    d = d.withColumn("_run", F.sum("_brk").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    r = d.groupBy(key, "_run").agg(F.count("*").alias("n"), F.count_if(v > max_mm).alias("o"))
-    g = r.groupBy(key).agg(F.max("n").alias("longest_run"), F.sum("o").alias("n_over_max"))
+    # A run is as long as its last row is far from its first, so the runs need no groups of their own.
+    d = df.withColumn("_i", F.row_number().over(w).cast("bigint")).withColumn("_first", F.when(~same, F.col("_i")))
+    d = d.withColumn("_first", F.max("_first").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    g = d.groupBy(key).agg(F.max(F.col("_i") - F.col("_first") + 1).alias("longest_run"), F.count_if(v > max_mm).alias("n_over_max"))
     return g.withColumn("suspicious", (F.col("n_over_max") > 0) | (F.col("longest_run") >= flag_at))
 
 
