@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rainloom.functions import ensemble as EN, scalar as S
 from rainloom.functions.lattice import Lattice
@@ -50,9 +50,9 @@ def update_once(field: DataFrame, gauge: DataFrame, obs: DataFrame, lattice: Lat
 
 
 def innovation_rmse(field: DataFrame, gauges: DataFrame, obs: DataFrame, lattice: Lattice, kind="log1p", eps=0.1, keys=("day",), key="station_id", value="obs_mm") -> DataFrame:
-    h = predicted_members(field, gauges, lattice, kind, eps, keys, key)
+    h = predicted_members(field, gauges, lattice, kind, eps, keys, key).select(key, *keys, EN.mean("hx").alias("_hm"))
     j = h.join(obs.where(F.col(value).isNotNull()).select(key, *keys, S.rain_forward(value, kind, eps).alias("_y")), [key, *keys])
-    e = F.col("_y") - EN.mean("hx")
+    e = F.col("_y") - F.col("_hm")
     return j.groupBy(*keys).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count("*").alias("n_gauges"))
 
 
@@ -73,44 +73,106 @@ def _taper(km, support: float):
     return np.clip(np.where(r <= 1, near, np.where(r < 2, far, 0.0)), 0, 1)
 
 
-def _assimilate(state, iy, ix, gauges, lattice: Lattice, obs_var: float, support_km: float, kind: str, eps: float):
-    """One day: update_once by each (lat, lon, transformed observation) of gauges in turn. state: a row of members for each cell."""
+#: Days that one task updates together, and stored weights of places after which a task forgets them.
+TOGETHER, KEPT_WEIGHTS = 4, 4_000_000
+
+
+def _assimilate(state, iy, ix, gauges, seen, lattice: Lattice, obs_var: float, support_km: float, kind: str, eps: float):
+    """Days of one ensemble size: update_once by each gauge in turn, on all days at once.
+
+    state: cells x days x members, NaN where a day lacks a cell. gauges: (lat, lon) in order; seen: their transformed
+    observations, gauges x days, NaN where there is none. What hangs on the place of a gauge alone is worked out once for gauges of a place.
+    """
     forward, inverse = ARRAYS[kind]
-    n, at = state.shape[1], {k: i for i, k in enumerate(zip(iy.tolist(), ix.tolist()))}
+    n, at = state.shape[2], {k: i for i, k in enumerate(zip(iy.tolist(), ix.tolist()))}
     if n < LEAST_MEMBERS:
         raise ValueError(TOO_FEW)
     first, res = (lattice.lat_min + 0.5 * lattice.res, lattice.lon_min + 0.5 * lattice.res), lattice.res
     lat, lon = iy * res + first[0], ix * res + first[1]
-    for la, lo, y in gauges:
+
+    def place(la, lo):
+        """Cells read and their weights, cells within the support and theirs."""
         row, column = (min(max((v - a) / res, 0.0), size - 1.0) for v, a, size in ((la, first[0], lattice.nlat), (lo, first[1], lattice.nlon)))
         y0, x0 = int(np.floor(row)), int(np.floor(column))
         wy, wx = row - y0, column - x0
         four = [(at[y0 + dy, x0 + dx], (wy if dy else 1 - wy) * (wx if dx else 1 - wx)) for dy in (0, 1) for dx in (0, 1) if (y0 + dy, x0 + dx) in at]
         four = [(i, w) for i, w in four if w > 0]
-        if not four:
-            continue
-        mm = np.maximum(inverse(state[[i for i, _ in four]], eps), 0)
-        mm = np.where(np.isnan(mm).all(0), np.nan, np.nansum(mm * np.array([[w] for _, w in four]), 0))
-        hx = forward(np.maximum(mm, 0), eps)
-        hm = hx.mean()
-        ha = hx - hm
-        den = ha @ ha / (n - 1) + obs_var
-        if not den > 1e-8:
-            continue
         w = _taper(111.0 * np.sqrt((lat - la) ** 2 + (np.cos(np.radians(la)) * (lon - lo)) ** 2), support_km)
         near = np.flatnonzero(w)
-        s = state[near]
-        gain = w[near] * ((s - s.mean(1, keepdims=True)) @ ha) / (n - 1) / den
-        state[near] = s + gain[:, None] * ((y - hm) - ha / (np.sqrt(obs_var / den) + 1.0))
+        return np.array([i for i, _ in four], int), np.array([w for _, w in four])[:, None, None], near, w[near][:, None] / (n - 1)
+
+    known, kept = {}, 0
+    for (la, lo), y in zip(gauges, seen):
+        if (la, lo) not in known:
+            if kept > KEPT_WEIGHTS:
+                known, kept = {}, 0
+            known[la, lo] = place(la, lo)
+            kept += len(known[la, lo][2])
+        read, share, near, weight = known[la, lo]
+        if not len(read):
+            continue
+        mm = np.maximum(inverse(state[read], eps), 0) * share
+        total = mm.sum(0)
+        if np.isnan(total).any():
+            total = np.where(np.isnan(mm).all(0), np.nan, np.nansum(mm, 0))
+        hx = forward(np.maximum(total, 0), eps)
+        hm = hx.sum(1) / n
+        ha = hx - hm[:, None]
+        den = (ha * ha).sum(1) / (n - 1) + obs_var
+        use = (den > 1e-8) & (y == y)
+        days = slice(None)
+        if not use.all():
+            days = np.flatnonzero(use)
+            if not len(days):
+                continue
+            hm, ha, den, y = hm[days], ha[days], den[days], y[days]
+        s = state[near] if isinstance(days, slice) else state[near[:, None], days]
+        centred = s - s.sum(2, keepdims=True) / n
+        gain = weight * np.einsum("cdm,dm->cd", centred, ha) / den
+        s += gain[:, :, None] * ((y - hm)[:, None] - ha / (np.sqrt(obs_var / den) + 1.0)[:, None])
+        if isinstance(days, slice):
+            state[near] = s
+        else:
+            state[near[:, None], days] = s
     return state
 
 
+def _updated(cells, seen, keys, lattice: Lattice, obs_var: float, support_km: float, kind: str, eps: float):
+    """update_serial on a few days, as pandas frames: cells with members, and gauges with _o, _id, _la, _lo, _y."""
+    cells = cells.reset_index(drop=True)
+    day = cells.groupby(keys, dropna=False).ngroup().to_numpy()
+    names = cells[keys].assign(_d=day).drop_duplicates()
+    seen = seen.merge(names, on=keys).sort_values(["_o", "_id"], kind="stable")
+    seen["_again"] = seen.groupby(["_d", "_o", "_id"], dropna=False).cumcount()
+    sizes, out = cells["members"].map(len).to_numpy(), [None] * len(cells)
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        days, d = np.unique(day[rows], return_inverse=True)
+        part = seen[seen["_d"].isin(days)]
+        if len(part):
+            where, c = np.unique(cells.loc[rows, ["iy", "ix"]].to_numpy(), axis=0, return_inverse=True)
+            state = np.full((len(where), len(days), n), np.nan)
+            state[c.ravel(), d] = np.array(cells.loc[rows, "members"].tolist(), float)
+            turn = part.groupby(["_o", "_id", "_again", "_la", "_lo"], dropna=False).ngroup().to_numpy()
+            at = np.empty((turn.max() + 1, 2))
+            at[turn] = part[["_la", "_lo"]].to_numpy(float)
+            y = np.full((len(at), len(days)), np.nan)
+            y[turn, np.searchsorted(days, part["_d"].to_numpy())] = part["_y"].to_numpy(float)
+            state = _assimilate(state, where[:, 0], where[:, 1], list(map(tuple, at.tolist())), y, lattice, obs_var, support_km, kind, eps)[c.ravel(), d]
+        else:
+            state = np.array(cells.loc[rows, "members"].tolist(), float)
+        for r, m in zip(rows.tolist(), state.tolist()):
+            out[r] = [None if x != x else x for x in m]
+    return cells.assign(members=out)
+
+
 def update_serial(field: DataFrame, gauges: DataFrame, obs: DataFrame, order: list | str | Column, lattice: Lattice, obs_var: float, support_km: float,
                   kind="log1p", eps=0.1, keys=("day",), key="station_id", value="obs_mm") -> DataFrame:
     """update_once by every gauge in turn. order: ids in their order (others are left out), or a column of the gauges, ties by id.
 
     Each update needs the field that the one before it left, but days are independent: one
-    task takes the field and the gauges of one day, and any number of gauges is one shuffle.
+    task takes the field and the gauges of at most TOGETHER days and updates them side by side,
+    and any number of gauges is one shuffle.
     """
     S.transform_pair(kind)
     if isinstance(order, list):
@@ -123,13 +185,19 @@ def update_serial(field: DataFrame, gauges: DataFrame, obs: DataFrame, order: li
     y = S.rain_forward(F.col(value), kind, eps).alias("_y")
     g = obs.where(F.col(value).isNotNull()).select(key, *keys, y).join(g, key).select(*keys, F.col(key).alias("_id"), "_o", "_la", "_lo", "_y")
     f = field.select(*keys, "iy", "ix", "members")
+    columns = f.columns
+    # The list of days is a calendar, so this window holds at most days of the record.
+    days = field.select(*[F.col(k).alias(f"_day{i}") for i, k in enumerate(keys)]).distinct()
+    first = days.columns
+    days = days.withColumn("_b", F.lit(0)).withColumn("_b", F.floor((F.row_number().over(W.partitionBy("_b").orderBy(*first)) - 1) / TOGETHER))
+
+    def numbered(df):
+        own = days.select(*[F.col(c).alias(c) for c in days.columns])
+        return df.join(own, [F.col(k).eqNullSafe(F.col(d)) for k, d in zip(keys, first)]).drop(*first).groupBy("_b")
 
-    def day(cells, seen):
+    def some_days(cells, seen):
         if len(cells) and len(seen):
-            seen = seen.sort_values(["_o", "_id"])
-            new = _assimilate(np.array(cells["members"].tolist(), float), cells["iy"].to_numpy(), cells["ix"].to_numpy(),
-                              seen[["_la", "_lo", "_y"]].to_numpy(float).tolist(), lattice, obs_var, support_km, kind, eps)
-            cells["members"] = [[None if x != x else x for x in m] for m in new.tolist()]
-        return cells
+            cells = _updated(cells, seen.drop(columns="_b"), list(keys), lattice, obs_var, support_km, kind, eps)
+        return cells[columns]
 
-    return f.groupBy(*keys).cogroup(g.groupBy(*keys)).applyInPandas(day, f.schema)
+    return numbered(f).cogroup(numbered(g)).applyInPandas(some_days, f.schema)
