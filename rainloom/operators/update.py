@@ -49,8 +49,14 @@ def update_once(field: DataFrame, gauge: DataFrame, obs: DataFrame, lattice: Lat
     return d.select(*keys, "iy", "ix", F.col("_new").alias("members"))
 
 
+def _shares(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def innovation_rmse(field: DataFrame, gauges: DataFrame, obs: DataFrame, lattice: Lattice, kind="log1p", eps=0.1, keys=("day",), key="station_id", value="obs_mm") -> DataFrame:
     h = predicted_members(field, gauges, lattice, kind, eps, keys, key).select(key, *keys, EN.mean("hx").alias("_hm"))
+    # Rows of gauges and days compress well, so that measured by their bytes too many would end up in one task.
+    h = h.repartition(_shares(field), key, *keys)
     j = h.join(obs.where(F.col(value).isNotNull()).select(key, *keys, S.rain_forward(value, kind, eps).alias("_y")), [key, *keys])
     e = F.col("_y") - F.col("_hm")
     return j.groupBy(*keys).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count("*").alias("n_gauges"))
@@ -183,7 +189,7 @@ def update_serial(field: DataFrame, gauges: DataFrame, obs: DataFrame, order: li
         g = gauges.withColumn("_o", S.col(order))
     g = g.select(key, "_o", F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
     y = S.rain_forward(F.col(value), kind, eps).alias("_y")
-    g = obs.where(F.col(value).isNotNull()).select(key, *keys, y).join(g, key).select(*keys, F.col(key).alias("_id"), "_o", "_la", "_lo", "_y")
+    g = obs.where(F.col(value).isNotNull()).select(key, *keys, y).repartition(_shares(field), key).join(g, key).select(*keys, F.col(key).alias("_id"), "_o", "_la", "_lo", "_y")
     f = field.select(*keys, "iy", "ix", "members")
     columns = f.columns
     # The list of days is a calendar, so this window holds at most days of the record.
@@ -193,7 +199,7 @@ def update_serial(field: DataFrame, gauges: DataFrame, obs: DataFrame, order: li
 
     def numbered(df):
         own = days.select(*[F.col(c).alias(c) for c in days.columns])
-        return df.join(own, [F.col(k).eqNullSafe(F.col(d)) for k, d in zip(keys, first)]).drop(*first).groupBy("_b")
+        return df.join(own, [F.col(k).eqNullSafe(F.col(d)) for k, d in zip(keys, first)]).drop(*first).repartition(_shares(field), "_b").groupBy("_b")
 
     def some_days(cells, seen):
         if len(cells) and len(seen):
