@@ -25,12 +25,15 @@ def safe_corr(a, b) -> Column:
     """Correlation, NULL when either side has no spread.
 
     From the covariance and the spreads that are tested: corr rounds its own sums, which can be zero where a spread of
-    one unit in the last place is not, and then stops the job by a division by zero.
+    one unit in the last place is not, and then stops the job by a division by zero. Equal values are told by their
+    bounds: merging the partial means of equal values rounds, so their deviation need not be zero.
     """
     a, b = S.col(a), S.col(b)
     both = a.isNotNull() & b.isNotNull()
-    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-    return S.clip(F.when(spread > 0, F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))), -1.0, 1.0)
+    x, y = F.when(both, a), F.when(both, b)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (spread > 0)
+    return S.clip(F.when(varied, F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))), -1.0, 1.0)
 
 
 # ---- station and product summaries ----------------------------------------

@@ -290,7 +290,7 @@ d as (select product, count(*) as n, avg(pred-obs) as b, sqrt(avg(pow(pred-obs,2
 f as (select product, tanh(sum(case when c is not null then atanh(least(greatest(c,-0.999999e0),0.999999e0)) end*greatest(n-3,1))/sum(case when c is not null then greatest(n-3,1) end)) as z, corr(mp,mo) as lc, avg(mp-mo) as lb, count(*) as stations from st group by 1)
 select d.product, n, stations, {q6("b","daily_bias")}, {q6("r","daily_rmse")}, {q6("c","daily_corr")}, {q6("z","station_corr")}, {q6("lc","longterm_corr")}, {q6("lb","longterm_bias")} from d join f on f.product=d.product"""))
 def ver35(spark, sf):
-    c = J.common_sample(V.multipair(spark, sf), ["station_id", "date"], "product", "pred", 2)
+    c = J.common_sample(V.multipair(spark, sf, steady=True), ["station_id", "date"], "product", "pred", 2)
     d = F.col("pred") - F.col("obs")
     daily = c.groupBy("product").agg(F.count("*").alias("n"), F.avg(d).alias("daily_bias"), F.sqrt(F.avg(d * d)).alias("daily_rmse"), ST.safe_corr("pred", "obs").alias("daily_corr"))
     st = c.groupBy("product", "station_id").agg(F.count("*").alias("n"), ST.safe_corr("pred", "obs").alias("c"), F.avg("pred").alias("mp"), F.avg("obs").alias("mo"))

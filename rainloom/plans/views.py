@@ -23,24 +23,32 @@ def halfhour(spark, sf):
         F.col("user_id").alias("station_id"), "ts", F.col("value").alias("rate"))
 
 
-def _daily(spark, sf, kinds, name, extra=(), exact=False):
-    """Day sums. exact: as decimals, so that a sum on a limit falls on the same side whatever the order of its rows."""
+def steady_sum(value):
+    """Sum of doubles that does not depend on the order of its rows: added as decimals of 18 places. Values beyond 1e10, infinities and NaN are added as doubles."""
+    v = F.col(value)
+    plain = F.abs(v) < 1e10
+    small, large = F.sum(F.when(plain, v).cast("decimal(28,18)")).cast("double"), F.sum(F.when(~plain, v))
+    return F.when(large.isNull(), small).otherwise(F.coalesce(small, F.lit(0.0)) + large)
+
+
+def _daily(spark, sf, kinds, name, extra=(), exact=False, steady=False):
+    """Day sums. exact: as decimals, so that a sum on a limit falls on the same side whatever the order of its rows. steady: as doubles, equal for days of equal events."""
     e = table(spark, sf, "events").where(F.col("event_type").isin(kinds))
-    return e.groupBy(F.col("user_id").alias("station_id"), F.to_date("ts").alias("date"), *extra).agg(
-        F.sum(F.col("value").cast("decimal(28,10)") if exact else "value").alias(name))
+    total = steady_sum("value") if steady else F.sum(F.col("value").cast("decimal(28,10)") if exact else "value")
+    return e.groupBy(F.col("user_id").alias("station_id"), F.to_date("ts").alias("date"), *extra).agg(total.alias(name))
 
 
-def obs(spark, sf, exact=False):
-    return _daily(spark, sf, ["view", "click", "purchase"], "precip_mm", exact=exact)
+def obs(spark, sf, exact=False, steady=False):
+    return _daily(spark, sf, ["view", "click", "purchase"], "precip_mm", exact=exact, steady=steady)
 
 
 def prod(spark, sf, exact=False):
     return _daily(spark, sf, ["signup", "error"], "product_mm", exact=exact)
 
 
-def multi(spark, sf):
+def multi(spark, sf, steady=False):
     """Two products as long rows: product, station_id, date, pred."""
-    return _daily(spark, sf, ["signup", "error"], "pred", (F.col("event_type").alias("product"),))
+    return _daily(spark, sf, ["signup", "error"], "pred", (F.col("event_type").alias("product"),), steady=steady)
 
 
 def pair(spark, sf):
@@ -48,8 +56,9 @@ def pair(spark, sf):
         "station_id", "date", F.col("precip_mm").alias("obs"), F.col("product_mm").alias("pred"))
 
 
-def multipair(spark, sf):
-    return multi(spark, sf).join(obs(spark, sf), ["station_id", "date"]).select(
+def multipair(spark, sf, steady=False):
+    """steady: for correlations of a station, since one whose days hold equal events has no spread and rounding noise must not become its correlation."""
+    return multi(spark, sf, steady=steady).join(obs(spark, sf, steady=steady), ["station_id", "date"]).select(
         "product", "station_id", "date", F.col("precip_mm").alias("obs"), "pred")
 
 
