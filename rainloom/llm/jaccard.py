@@ -11,7 +11,8 @@ linked pair shares several signatures; pairs that share too few are dropped, cou
 and bounded by the number of a set's common signatures where it is not. What is left forms clusters; a cluster
 of usual size is compared inside one task through an inverted index. A large cluster is
 thinned first by comparing each class with a few neighbours that many share; what is not in the largest component
-then is compared with the whole cluster in cells of bounded size. No pair is ever a row, and none is left out.
+then is compared, in cells of bounded size, with the classes that share one of their rarest elements. No pair is ever
+a row, and none is left out.
 """
 
 from __future__ import annotations
@@ -332,7 +333,9 @@ def large_links(large: DataFrame, near: DataFrame) -> DataFrame:
     """Links of clusters too large for a task.
 
     Each class is compared with its HUBS neighbours of most neighbours first. What then is not in the largest
-    component of its cluster is compared with the whole cluster, in cells of MEMBERS by PROBES classes.
+    component of its cluster (loose) is compared with those of the cluster that can reach the threshold with it: the
+    cluster is parted by kindred(), and a part is compared in cells of MEMBERS by PROBES classes. Cells are exploded,
+    which Spark's size estimates do not see, so their joins are kept from being broadcast.
     """
     both = near.join(large.select(F.col("id").alias("a")), "a", "left_semi")
     both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -344,16 +347,18 @@ def large_links(large: DataFrame, near: DataFrame) -> DataFrame:
     cell = F.concat_ws(":", "b", "k").alias("cell")
     members = asked.select(cell, F.col("b").alias("id"), F.lit(False).alias("probe")).distinct()
     cells = members.unionByName(asked.select(cell, F.col("a").alias("id"), F.lit(True).alias("probe")))
-    sets = large.select("id", "elements")
+    sets = large.select("id", "elements").hint("merge")
     first = cut_lineage(compare(cells.join(sets, "id").select("cell", "id", "probe", "elements")))
     part = components(first)
     sized = part.groupBy(F.col("label").alias("part")).agg(F.count("*").alias("m"))
-    whole = large.select("id", "label", "n").join(part.select(F.col("v").alias("id"), F.col("label").alias("part")), "id", "left").join(sized, "part", "left")
+    whole = large.select("id", "label").join(part.select(F.col("v").alias("id"), F.col("label").alias("part")), "id", "left").join(sized, "part", "left")
     whole = whole.withColumn("part", F.coalesce("part", "id")).withColumn("m", F.coalesce("m", F.lit(1)))
     best = whole.groupBy("label").agg(F.max(F.struct("m", F.col("part").alias("p"))).alias("best"))
-    whole = cut_lineage(whole.join(best, "label").select("id", "label", "n", (F.col("part") != F.col("best.p")).alias("loose")))
-    loose = whole.where("loose").groupBy("label").agg(F.count("*").alias("n_loose"))
-    todo = whole.join(loose, "label").withColumn("rows", F.ceil(F.col("n") / MEMBERS).cast("int")).withColumn("cols", F.ceil(F.col("n_loose") / PROBES).cast("int"))
+    whole = cut_lineage(whole.join(best, "label").select("id", "label", (F.col("part") != F.col("best.p")).alias("loose")))
+    parted = components(kindred(whole.join(sets, "id")))
+    rest = whole.select("id", "loose").join(parted.select(F.col("v").alias("id"), "label"), "id")
+    todo = rest.join(rest.groupBy("label").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("rows"), F.ceil(F.count_if("loose") / PROBES).cast("int").alias("cols")), "label")
+    todo = cut_lineage(todo.where("cols > 0"))
     spot = F.xxhash64("id", F.lit(1))
     members = todo.select("id", "label", F.pmod(spot, F.col("rows")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(False).alias("probe"))
     probes = todo.where("loose").select("id", "label", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod(spot, F.col("cols")).cast("int").alias("c"), F.lit(True).alias("probe"))
@@ -361,6 +366,22 @@ def large_links(large: DataFrame, near: DataFrame) -> DataFrame:
     return first.unionByName(compare(cells.join(sets, "id").select("cell", "id", "probe", "elements")))
 
 
+def kindred(sets: DataFrame) -> DataFrame:
+    """Edges a, b over the sets of large clusters (id, label, loose, elements): within their components lies every linked pair with a loose set.
+
+    The elements of a cluster are ordered by the number of its sets that hold them. Two sets that reach the threshold
+    share one of their first n - ceil(n * PERCENT / 100) + 1 elements in that order, or else too few would be left.
+    Those that no other set holds come first and only take up room; a passage that all sets hold comes last.
+    """
+    by = W.partitionBy("label", "e")
+    held = sets.select("label", "id", "loose", F.size("elements").alias("n"), F.explode("elements").alias("e")).withColumn("c", F.count("*").over(by))
+    common = held.where("c > 1").groupBy("label", "id", "loose", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("e"))
+    first = common.withColumn("p", F.size("e") + 1 - F.expr(f"int((n * {PERCENT} + 99) div 100)")).where("p > 0")
+    first = first.select("label", "id", "loose", F.explode(F.slice("e", 1, F.col("p"))).alias("e")).select("label", "id", "loose", F.col("e.e").alias("e"))
+    met = first.withColumn("b", F.min("id").over(by)).withColumn("some", F.max("loose").over(by))
+    return met.where("some and id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """classes() of docs with the group of each row (null without words) and component_id, the group's smallest doc_id."""
     rows = cut_lineage(classes(docs))
